@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from treelift.llm.chat_format import canonical_turns, chat_digests
 from treelift.llm.decontamination import contamination
 from treelift.llm.exact_dedup import exact_duplicates
+from treelift.llm.near_dedup import near_duplicates
 from treelift.llm.packing import pack_documents
 from treelift.llm.sharding import shard_documents
 from treelift.sources.tables import table
@@ -73,6 +74,32 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, unnest(CASE
+    WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 80 * (nx.n + ny.n - i)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id),
+c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+SELECT c.doc_id, coalesce(n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept
+FROM c LEFT JOIN n USING (doc_id)
+"""
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.sql(
@@ -111,10 +138,11 @@ def queries() -> dict[str, Query]:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_decontamination": op2_decontamination,
         "op4_sharding": op4_sharding,
+        "op5_near_dedup": op5_near_dedup,
         "op8_chat_format": op8_chat_format,
         "op10_packing": op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op8_chat_format": OP8_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_near_dedup": OP5_SQL, "op8_chat_format": OP8_SQL}
