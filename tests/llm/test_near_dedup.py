@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from treelift.sources.scratch import Scratch
 
 
 def shingles(text, k):
-    w = "".join(c.lower() if c < "\x80" else c for c in text or "").replace(" ", "_").split(None)
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 

@@ -12,6 +12,7 @@ from treelift.llm.exact_dedup import exact_duplicates
 from treelift.llm.near_dedup import near_duplicates
 from treelift.llm.packing import pack_documents
 from treelift.llm.sharding import shard_documents
+from treelift.llm.suffix_dedup import remove_repeats
 from treelift.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +101,33 @@ FROM c LEFT JOIN n USING (doc_id)
 """
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (
+  SELECT doc_id, p, md5(substr(h, CAST(2 * p + 1 AS BIGINT), 800)) AS k
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 399)) AS p FROM d WHERE length(h) >= 800)),
+r AS (SELECT doc_id, p FROM s WHERE k IN (SELECT k FROM s GROUP BY k HAVING count(*) > 1)),
+g AS (
+  SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 400 THEN 0 ELSE 1 END AS new FROM r),
+i AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g),
+u AS (SELECT doc_id, run, min(p) AS a, max(p) + 400 AS b FROM i GROUP BY doc_id, run),
+k AS (
+  SELECT doc_id, run, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY run), 0) AS before FROM u),
+t AS (
+  SELECT d.doc_id, any_value(d.h) AS h, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed,
+         string_agg(substr(d.h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY run)
+           || substr(any_value(d.h), CAST(2 * max(b) + 1 AS BIGINT)) AS kept
+  FROM d JOIN k USING (doc_id) GROUP BY d.doc_id)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, d.h))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.sql(
@@ -139,10 +167,11 @@ def queries() -> dict[str, Query]:
         "op2_decontamination": op2_decontamination,
         "op4_sharding": op4_sharding,
         "op5_near_dedup": op5_near_dedup,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_chat_format": op8_chat_format,
         "op10_packing": op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_near_dedup": OP5_SQL, "op8_chat_format": OP8_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_near_dedup": OP5_SQL, "op7_suffix_dedup": OP7_SQL, "op8_chat_format": OP8_SQL}
