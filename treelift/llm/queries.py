@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from treelift.llm.chat_format import canonical_turns, chat_digests
 from treelift.llm.decontamination import contamination
 from treelift.llm.exact_dedup import exact_duplicates
+from treelift.llm.line_dedup import line_report
 from treelift.llm.near_dedup import near_duplicates
 from treelift.llm.packing import pack_documents
 from treelift.llm.sharding import shard_documents
 from treelift.llm.suffix_dedup import remove_repeats
+from treelift.llm.toxicity import score_documents
 from treelift.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +103,10 @@ FROM c LEFT JOIN n USING (doc_id)
 """
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -157,6 +163,10 @@ FROM m GROUP BY conv_id
 """
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("evidence")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -167,8 +177,10 @@ def queries() -> dict[str, Query]:
         "op2_decontamination": op2_decontamination,
         "op4_sharding": op4_sharding,
         "op5_near_dedup": op5_near_dedup,
+        "op6_line_dedup": op6_line_dedup,
         "op7_suffix_dedup": op7_suffix_dedup,
         "op8_chat_format": op8_chat_format,
+        "op9_toxicity": op9_toxicity,
         "op10_packing": op10_packing,
     }
 
