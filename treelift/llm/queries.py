@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from treelift.llm.chat_format import canonical_turns, chat_digests
 from treelift.llm.decontamination import contamination
 from treelift.llm.exact_dedup import exact_duplicates
+from treelift.llm.html_extract import main_texts
 from treelift.llm.line_dedup import line_report
 from treelift.llm.near_dedup import near_duplicates
 from treelift.llm.packing import pack_documents
@@ -73,6 +74,10 @@ FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 """
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -175,6 +180,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_decontamination": op2_decontamination,
+        "op3_html_extract": op3_html_extract,
         "op4_sharding": op4_sharding,
         "op5_near_dedup": op5_near_dedup,
         "op6_line_dedup": op6_line_dedup,
