@@ -1,11 +1,336 @@
-"""Registry of the queries over source trees."""
+"""Registry of the queries over source trees, each with the SQL that gives the same rows.
+
+All of them work on the inventory that is derived from the documents table, or on the tables themselves.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from treelift.functions.identity import candidate_id, content_hashes, snapshot_hashes
+from treelift.functions.paths import ancestors, file_name
+from treelift.operators import boundaries as B
+from treelift.operators import decisions as D
+from treelift.operators import references as R
+from treelift.sources.scratch import Scratch
+from treelift.sources.derived import DUCKDB_INVENTORY, inventory
+from treelift.sources.tables import table
+
+URL = "https://trees.example/"
+DOMAIN = "package-content-v1"
+
+
+def inventory_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory(spark, sf_dir).select("source_id", "path", "kind", "size", "sha256")
+
+
+def snapshot_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot_hashes(inventory(spark, sf_dir))
+
+
+def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inventory(spark, sf_dir)
+    roots = B.discover(rows, B.detect_boundaries(rows)).select("source_id", "root")
+    members = rows.select("*", F.explode(ancestors(F.col("path"))).alias("root")).join(roots, ["source_id", "root"])
+    return content_hashes(members, DOMAIN)
+
+
+def package_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.detect_boundaries(inventory(spark, sf_dir))
+
+
+def ancestor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inventory(spark, sf_dir).select("source_id", "size", F.explode(ancestors(F.col("path"))).alias("root"))
+    return rows.groupBy("source_id", "root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The inventory, and its candidates as a table of paths: what follows joins them several times."""
+    rows = inventory(spark, sf_dir)
+    return rows, Scratch(spark, "trees").keep(B.discover(rows, B.detect_boundaries(rows)), "candidates")
+
+
+def innermost_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, found = _candidates(spark, sf_dir)
+    revision = F.lit("0" * 40)
+    return found.select(
+        "source_id", "root", "entrypoint", "boundary_root", "boundary_manifest", "package_kind",
+        candidate_id(F.concat(F.lit(URL), "source_id"), revision, F.col("root")).alias("candidate_id"),
+    )
+
+
+def frontmatter_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, found = _candidates(spark, sf_dir)
+    return R.frontmatter(rows, found)
+
+
+def path_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, found = _candidates(spark, sf_dir)
+    return R.resolve(R.references(rows), rows, found).select("source_id", "root", "path", "value", "target", "outcome")
+
+
+def link_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.close_links(inventory(spark, sf_dir))
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows, found = _candidates(spark, sf_dir)
+    refs = Scratch(spark, "trees").keep(R.references(rows), "references")  # texts are read once
+    return found, D.evidence(R.resolve(refs, rows, found), refs, found, R.frontmatter(rows, found))
+
+
+def decision_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, found = _findings(spark, sf_dir)
+    rows = D.reasons(found)
+    return rows.select("source_id", "root", "code", "n_attempts", F.to_json("evidence").alias("evidence"))
+
+
+def classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.classify(*_findings(spark, sf_dir))
+
+
+def classification_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.class_counts(classifications(spark, sf_dir))
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A candidate per document: its name is the first word, its content hash that of the text."""
+    docs = table(spark, sf_dir, "documents")
+    root = F.concat(F.lit("packages/"), F.coalesce("source", F.lit("none")), F.lit("/d"), F.col("doc_id"))
+    text = F.coalesce("text", F.lit(""))
+    source = F.coalesce("lang", F.lit("none"))
+    return docs.select(
+        source.alias("source_id"),
+        root.alias("root"),
+        candidate_id(F.concat(F.lit(URL), source), F.lit("0" * 40), root).alias("candidate_id"),
+        F.split_part(text, F.lit(" "), F.lit(1)).alias("name"),
+        F.sha2(text, 256).alias("content_hash"),
+    )
+
+
+def content_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.groups(_members(spark, sf_dir), "duplicate", "content_hash")
+
+
+def name_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _members(spark, sf_dir).where(F.col("name").rlike("^[A-Za-z]+$"))
+    return D.groups(rows, "name-conflict", "name")
+
+
+def duplicate_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _members(spark, sf_dir)
+    sizes = rows.groupBy("source_id", "content_hash").agg(F.count("*").alias("n_copies"))
+    return rows.join(sizes, ["source_id", "content_hash"]).select("source_id", "root", "n_copies", (F.col("n_copies") > 1).alias("duplicate"))
+
+
+def import_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _members(spark, sf_dir)
+    one = rows.groupBy("source_id", "content_hash").agg(
+        F.min_by("name", F.struct("root", "candidate_id")).alias("name"), F.count("*").alias("n_candidates")
+    )
+    slug = F.regexp_replace(F.regexp_replace("name", "[^A-Za-z0-9_.-]+", "-"), "^[-._]+|[-._]+$", "")
+    records = one.withColumn("slug", F.when(slug == "", "skill").otherwise(F.left(slug, F.lit(80))))
+    named = D.destinations(records.select("source_id", "slug", "content_hash"))
+    return records.join(named, ["source_id", "slug", "content_hash"]).select("source_id", "content_hash", "destination", "n_candidates")
+
+
+def partition_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selected and rejected candidates cover every candidate once: rows that don't, beside the counts."""
+    rows = classifications(spark, sf_dir)
+    split = rows.select("source_id", (F.col("classification") == "portable").alias("selected"))
+    return split.groupBy("source_id").agg(
+        F.count_if("selected").alias("n_selected"), F.count_if(~F.col("selected")).alias("n_rejected"), F.count_if(F.col("selected").isNull()).alias("n_lost")
+    )
+
+
+def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels as an outside reviewer's answers."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    root = F.concat(F.lit("packages/"), F.coalesce("source", F.lit("none")), F.lit("/d"), F.col("doc_id"))
+    verdict = F.when(F.col("toxic") == 1, "plugin_bound").when(F.col("quality") == 1, "portable").otherwise("ambiguous")
+    confidence = F.when(F.col("doc_id") % 3 == 0, 0.5).otherwise(0.95)
+    rows = docs.join(labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")), "doc_id")
+    return rows.select(F.coalesce("lang", F.lit("none")).alias("source_id"), root.alias("root"), verdict.alias("verdict"), confidence.alias("confidence"))
+
+
+def review_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.review_outcome(classifications(spark, sf_dir).drop("base_reason"), _reviews(spark, sf_dir))
+
+
+def expected_vs_actual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full outer comparison of classes with the reviewer's verdicts, in numbers by source."""
+    actual = classifications(spark, sf_dir).select("source_id", "root", "classification")
+    joined = actual.join(_reviews(spark, sf_dir).select("source_id", "root", "verdict"), ["source_id", "root"], "full_outer")
+    same = F.col("classification") == F.col("verdict")
+    return joined.groupBy("source_id").agg(
+        F.count_if(same).alias("agree"),
+        F.count_if(~same).alias("disagree"),
+        F.count_if(F.col("verdict").isNull()).alias("not_expected"),
+        F.count_if(F.col("classification").isNull()).alias("not_found"),
+    )
+
+
+def review_quota(spark: SparkSession, sf_dir: str, limit: int = 2) -> DataFrame:
+    """The first attempts of each conversation that count, in order of turn."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.row_number().over(order).alias("attempt"))
+    return rows.where(F.col("attempt") <= limit)
+
+
+def envelope_budget(spark: SparkSession, sf_dir: str, budget: int = 20_000) -> DataFrame:
+    """Documents of a language and source that fit into a review's budget of bytes, in order of id."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+    order = Window.partitionBy("lang", "source").orderBy("doc_id")
+    return rows.withColumn("reach", F.sum("size").over(order)).where(F.col("reach") <= budget).select("doc_id", "reach")
+
+
+def secret_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = rows.withColumn("redacted", D.redact(F.col("text"))).where("redacted <> text")
+    return out.select("doc_id", F.sha2("redacted", 256).alias("redacted_sha256"))
+
+
+def link_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of pages by their first path part: number, and how many lead to the host's own root."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+    return pages.groupBy("page_id").agg(F.count("*").alias("links"), F.count_if(F.startswith("href", F.lit("/"))).alias("host_links"), F.min(file_name(F.col("href"))).alias("first_name"))
+
+
+_QUERIES = (
+    inventory_hash, snapshot_digest, content_digest, package_boundaries, ancestor_counts, innermost_boundary, frontmatter_fields,
+    path_references, link_closure, decision_reasons, classifications, classification_counts, content_duplicates, name_conflicts,
+    duplicate_annotation, import_records, partition_check, review_join, expected_vs_actual, review_quota, envelope_budget,
+    secret_redaction, link_extraction,
+)
+
+_WITH = f"WITH {DUCKDB_INVENTORY}"
+#: Ancestors of a path, from '.' to itself.
+_ANCESTORS = "list_concat(['.'], list_transform(range(1, len(string_split({p}, '/')) + 1), lambda n: array_to_string(string_split({p}, '/')[1:n], '/')))"
+#: In the derived inventory each candidate lies directly in its package, whose manifest is plugin.json.
+_CANDIDATES = """,
+b AS (SELECT source_id, regexp_replace(path, '/plugin.json$', '') AS root, path AS manifest_path, contains(content, '"runtime"') AS runs
+      FROM inventory WHERE path LIKE '%/plugin.json'),
+loose AS (SELECT DISTINCT source_id, regexp_replace(path, '/shared/common.md$', '') AS root FROM inventory WHERE path LIKE '%/shared/common.md'),
+kinds AS (SELECT b.*, CASE WHEN runs OR loose.root IS NOT NULL THEN 'mixed' ELSE 'skills_only' END AS package_kind
+          FROM b LEFT JOIN loose USING (source_id, root)),
+c AS (SELECT i.source_id, regexp_replace(i.path, '/SKILL.md$', '') AS root, i.path AS entrypoint, i.content, kinds.root AS boundary_root,
+             kinds.manifest_path AS boundary_manifest, kinds.package_kind
+      FROM inventory i LEFT JOIN kinds ON kinds.source_id = i.source_id AND kinds.root = regexp_replace(i.path, '/[^/]*/SKILL.md$', '')
+      WHERE i.path LIKE '%/SKILL.md')"""
+_REFERENCES = """,
+r AS (SELECT source_id, root, entrypoint AS path, boundary_root, regexp_extract(content, '\\[guide\\]\\(([^)]*)\\)', 1) AS value, content FROM c),
+t AS (SELECT *, CASE WHEN value LIKE '../%' THEN boundary_root || substr(value, 3) ELSE root || '/' || value END AS target,
+             CASE WHEN value LIKE '/%' THEN 'host' WHEN value LIKE '#%' OR value LIKE 'https:%' THEN 'remote'
+                  WHEN value LIKE '\\%2e%' ESCAPE '\\' THEN 'escape' END AS early FROM r),
+rs AS (SELECT t.source_id, t.root, t.path, t.value, t.content,
+              coalesce(early, CASE WHEN i.path IS NULL THEN 'missing' WHEN starts_with(i.path, t.root || '/') THEN 'inside' ELSE 'outside' END) AS outcome,
+              CASE WHEN early IS NULL THEN t.target END AS target
+       FROM t LEFT JOIN inventory i ON i.source_id = t.source_id AND i.path = t.target)"""
+_EVIDENCE = """,
+marks AS (
+  SELECT source_id, root, 'PATH_TRAVERSAL' AS code, path, value, content, '[guide]' AS mark FROM rs WHERE outcome = 'escape'
+  UNION ALL SELECT source_id, root, 'REFERENCE_OUTSIDE_SKILL_ROOT', path, value || ' -> ' || target, content, '[guide]' FROM rs WHERE outcome = 'outside'
+  UNION ALL SELECT source_id, root, 'MISSING_LOCAL_RESOURCE', path, value || ' -> ' || target, content, '[guide]' FROM rs WHERE outcome = 'missing'
+  UNION ALL SELECT source_id, root, 'PLUGIN_ROOT_VARIABLE', path, '$' || '{PLUGIN_ROOT}', content, 'run $' FROM rs WHERE contains(content, '{PLUGIN_ROOT}')),
+ev AS (
+  SELECT source_id, root, code, path, value, len(string_split(split_part(content, mark, 1), chr(10))) AS line FROM marks
+  UNION ALL SELECT source_id, root, 'INVALID_FRONTMATTER', entrypoint, 'name', 1 FROM c WHERE contains(content, 'name: ' || chr(10) || 'description'))"""
+_CLASSES = """,
+fl AS (SELECT source_id, root, bool_or(code = 'PATH_TRAVERSAL') AS blocked, bool_or(code = 'INVALID_FRONTMATTER') AS invalid,
+              bool_or(code NOT IN ('PATH_TRAVERSAL', 'INVALID_FRONTMATTER')) AS bound FROM ev GROUP BY ALL),
+cl AS (SELECT c.source_id, c.root, package_kind, CASE WHEN blocked THEN 'blocked' WHEN invalid THEN 'invalid' WHEN bound THEN 'plugin_bound'
+              WHEN package_kind IS NULL OR package_kind = 'skills_only' THEN 'portable' ELSE 'ambiguous' END AS classification
+       FROM c LEFT JOIN fl USING (source_id, root))"""
+_MEMBERS = f"""WITH m AS (
+  SELECT coalesce(lang, 'none') AS source_id, 'packages/' || coalesce(source, 'none') || '/d' || doc_id AS root,
+         'sha256:' || sha256('["{URL}' || coalesce(lang, 'none') || '","{"0" * 40}","packages/' || coalesce(source, 'none') || '/d' || doc_id || '"]') AS candidate_id,
+         split_part(coalesce(text, ''), ' ', 1) AS name, sha256(coalesce(text, '')) AS content_hash FROM documents)"""
+_GROUP = """SELECT source_id, {key} AS key, count(*) AS n, arg_min(root, root) AS representative,
+  'sha256:' || sha256('["{kind}","' || {key} || '",["' || string_agg(candidate_id, '","' ORDER BY candidate_id) || '"]]') AS group_id
+  FROM m WHERE {where} GROUP BY source_id, {key} HAVING count(*) > 1"""
+_REVIEWS = """,
+rv AS (SELECT coalesce(d.lang, 'none') AS source_id, 'packages/' || coalesce(d.source, 'none') || '/d' || d.doc_id AS root,
+              CASE WHEN toxic = 1 THEN 'plugin_bound' WHEN quality = 1 THEN 'portable' ELSE 'ambiguous' END AS verdict,
+              CASE WHEN d.doc_id % 3 = 0 THEN 0.5 ELSE 0.95 END AS confidence
+       FROM documents d JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id))"""
+
+
+def _u64(value: str) -> str:
+    return f"lpad(to_hex(CAST({value} AS BIGINT)), 16, '0')"
+
+
+def _record(path: str) -> str:
+    fields = (f"hex(encode({path}))", "hex(encode(kind))", "'30'", "CASE kind WHEN 'file' THEN upper(sha256) ELSE hex(encode(symlink_target)) END")
+    return " || ".join(f"{_u64(f'length({f}) // 2')} || {f}" for f in fields)
+
+
+_SQL = {
+    "inventory_hash": f"{_WITH} SELECT source_id, path, kind, size, sha256 FROM inventory",
+    "snapshot_digest": f"""{_WITH} SELECT source_id, sha256('[' || string_agg('{{"path":"' || path || '","kind":"' || kind || '","size":' || size
+      || ',"executable":false,"symlink_target":' || coalesce('"' || symlink_target || '"', 'null') || ',"sha256":' || coalesce('"' || sha256 || '"', 'null') || '}}',
+      ',' ORDER BY path) || ']') AS snapshot_sha256 FROM inventory GROUP BY source_id""",
+    "content_digest": f"""{_WITH}{_CANDIDATES}, p AS (SELECT i.*, c.root, substr(i.path, length(c.root) + 2) AS rel FROM inventory i
+      JOIN c ON c.source_id = i.source_id AND c.root = regexp_extract(i.path, '^packages/[^/]*/[^/]*'))
+      SELECT source_id, root, sha256(unhex(hex(encode('{DOMAIN}')) || '00' || string_agg({_record('rel')}, '' ORDER BY rel))) AS content_hash FROM p GROUP BY source_id, root""",
+    "package_boundaries": f"{_WITH}{_CANDIDATES} SELECT source_id, root, manifest_path, 'plugin' AS manifest_kind, package_kind FROM kinds",
+    "ancestor_counts": f"{_WITH} SELECT source_id, root, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT source_id, size, unnest({_ANCESTORS.format(p='path')}) AS root FROM inventory) GROUP BY ALL",
+    "innermost_boundary": f"""{_WITH}{_CANDIDATES} SELECT source_id, root, entrypoint, boundary_root, boundary_manifest, package_kind,
+      'sha256:' || sha256('["{URL}' || source_id || '","{"0" * 40}","' || root || '"]') AS candidate_id FROM c""",
+    "frontmatter_fields": f"""{_WITH}{_CANDIDATES}, f AS (SELECT source_id, root, nullif(split_part(substr(content, 11), chr(10), 1), '') AS name,
+      split_part(split_part(content, 'description: ', 2), chr(10), 1) AS description FROM c)
+      SELECT source_id, root, name IS NOT NULL AS valid, name, CASE WHEN name IS NOT NULL THEN description END AS description,
+      CASE WHEN name IS NULL THEN 'name' END AS problem FROM f""",
+    "path_references": f"{_WITH}{_CANDIDATES}{_REFERENCES} SELECT source_id, root, path, value, target, outcome FROM rs",
+    "link_closure": f"""WITH RECURSIVE {DUCKDB_INVENTORY}, l AS (SELECT source_id, path, symlink_target FROM inventory WHERE kind = 'symlink'),
+      w AS (SELECT source_id, path, symlink_target AS stop, 1 AS hops FROM l
+            UNION ALL SELECT w.source_id, w.path, l.symlink_target, w.hops + 1 FROM w JOIN l ON l.source_id = w.source_id AND l.path = w.stop WHERE w.hops < 64),
+      z AS (SELECT source_id, path, arg_max(stop, hops) AS terminal, max(hops) AS hops FROM w GROUP BY ALL)
+      SELECT z.source_id, z.path, terminal, hops, CASE WHEN i.kind IS NULL THEN 'dangling' WHEN i.kind = 'symlink' THEN 'cycle' ELSE 'resolved' END AS outcome
+      FROM z LEFT JOIN inventory i ON i.source_id = z.source_id AND i.path = z.terminal""",
+    "decision_reasons": f"""{_WITH}{_CANDIDATES}{_REFERENCES}{_EVIDENCE} SELECT source_id, root, code, count(*) AS n_attempts,
+      '[' || string_agg('{{"path":"' || path || '","line":' || line || ',"value":"' || value || '"}}', ',' ORDER BY path, line, value) || ']' AS evidence
+      FROM ev GROUP BY source_id, root, code""",
+    "classifications": f"""{_WITH}{_CANDIDATES}{_REFERENCES}{_EVIDENCE}{_CLASSES} SELECT source_id, root, classification,
+      CASE WHEN classification = 'portable' AND package_kind IS NULL THEN 'STANDALONE_NO_PLUGIN_BOUNDARY' WHEN classification = 'portable' THEN 'SKILLS_ONLY_PACKAGE'
+           WHEN classification = 'ambiguous' AND package_kind = 'mixed' THEN 'MIXED_PLUGIN_AUTONOMY_UNPROVEN' END AS base_reason FROM cl""",
+    "classification_counts": f"{_WITH}{_CANDIDATES}{_REFERENCES}{_EVIDENCE}{_CLASSES} SELECT source_id, count(*) AS total, "
+    + ", ".join(f"count(*) FILTER (classification = '{c}') AS {c}" for c in D.CLASSES)
+    + " FROM cl GROUP BY source_id",
+    "content_duplicates": f"{_MEMBERS} {_GROUP.format(key='content_hash', kind='duplicate', where='true')}",
+    "name_conflicts": f"{_MEMBERS} {_GROUP.format(key='name', kind='name-conflict', where="regexp_full_match(name, '[A-Za-z]+')")}",
+    "duplicate_annotation": f"{_MEMBERS} SELECT source_id, root, count(*) OVER g AS n_copies, count(*) OVER g > 1 AS duplicate FROM m WINDOW g AS (PARTITION BY source_id, content_hash)",
+    "import_records": f"""{_MEMBERS}, o AS (SELECT source_id, content_hash, arg_min(name, root) AS name, count(*) AS n_candidates FROM m GROUP BY source_id, content_hash),
+      s AS (SELECT *, left(coalesce(nullif(regexp_replace(regexp_replace(name, '[^A-Za-z0-9_.-]+', '-', 'g'), '^[-._]+|[-._]+$', '', 'g'), ''), 'skill'), 80) AS slug FROM o),
+      x AS (SELECT source_id, slug, content_hash, n, count(*) OVER (PARTITION BY source_id, n, lower(slug || '--' || left(content_hash, n))) AS c
+            FROM (SELECT *, unnest(range(12, 64)) AS n FROM s)),
+      k AS (SELECT source_id, slug, content_hash, min(n) AS n FROM x WHERE c = 1 GROUP BY ALL)
+      SELECT s.source_id, s.content_hash, s.slug || '--' || left(s.content_hash, CAST(coalesce(k.n, 64) AS BIGINT)) AS destination, n_candidates
+      FROM s LEFT JOIN k USING (source_id, slug, content_hash)""",
+    "partition_check": f"""{_WITH}{_CANDIDATES}{_REFERENCES}{_EVIDENCE}{_CLASSES} SELECT source_id, count(*) FILTER (classification = 'portable') AS n_selected,
+      count(*) FILTER (classification <> 'portable') AS n_rejected, count(*) FILTER (classification IS NULL) AS n_lost FROM cl GROUP BY source_id""",
+    "review_join": f"""{_WITH}{_CANDIDATES}{_REFERENCES}{_EVIDENCE}{_CLASSES}{_REVIEWS} SELECT source_id, root, classification,
+      CASE WHEN classification = 'ambiguous' AND verdict = 'plugin_bound' THEN verdict WHEN classification = 'ambiguous' AND verdict = 'portable' AND confidence >= 0.9 THEN verdict
+           ELSE classification END AS final,
+      CASE WHEN classification <> 'ambiguous' THEN NULL WHEN verdict IS NULL THEN 'FM_UNAVAILABLE' WHEN verdict = 'portable' AND confidence >= 0.9 THEN 'FM_PORTABLE_VERIFIED'
+           WHEN verdict = 'portable' THEN 'FM_LOW_CONFIDENCE' ELSE 'FM_' || upper(verdict) END AS review_code
+      FROM cl LEFT JOIN rv USING (source_id, root)""",
+    "expected_vs_actual": f"""{_WITH}{_CANDIDATES}{_REFERENCES}{_EVIDENCE}{_CLASSES}{_REVIEWS} SELECT source_id, count(*) FILTER (classification = verdict) AS agree,
+      count(*) FILTER (classification <> verdict) AS disagree, count(*) FILTER (verdict IS NULL) AS not_expected, count(*) FILTER (classification IS NULL) AS not_found
+      FROM cl FULL JOIN rv USING (source_id, root) GROUP BY source_id""",
+    "review_quota": "SELECT * FROM (SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS attempt FROM conversations) WHERE attempt <= 2",
+    "envelope_budget": """SELECT doc_id, CAST(reach AS BIGINT) AS reach FROM (SELECT doc_id, sum(coalesce(strlen(text), 0)) OVER (PARTITION BY lang, source ORDER BY doc_id) AS reach FROM documents)
+      WHERE reach <= 20000""",
+    "link_extraction": """SELECT page_id, count(*) AS links, count(*) FILTER (starts_with(href, '/')) AS host_links, min(regexp_extract(href, '[^/]*$')) AS first_name
+      FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) GROUP BY page_id""",
+}
+
 
-def queries():
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {q.__name__: q for q in _QUERIES}
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
