@@ -267,6 +267,17 @@ def _record(path: str) -> str:
     return " || ".join(f"{_u64(f'length({f}) // 2')} || {f}" for f in fields)
 
 
+def _redaction() -> str:
+    """Nested replacements; RE2 has no look-ahead, which only matters for values that are redacted already."""
+    out = "regexp_replace(t, '-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*?-----END [A-Z0-9 ]*PRIVATE KEY-----', '<REDACTED:PRIVATE_KEY>', 'gs')"
+    for marker, ends in D.SECRET_KEYS.items():
+        key = rf"""(?i)([''"]?(?:[A-Za-z_][A-Za-z0-9_.-]*?)?(?:{ends})[''"]?\s*[=:]\s*)(?:"[^\r\n"]*"|''[^\r\n'']*''|[^\s,#;}}\]''"]+)"""
+        out = f"regexp_replace({out}, '{key}', '\\1<REDACTED:{marker}>', 'g')"
+    bearer = r"(?im)(\b(?:proxy-)?authorization\s*:\s*Bearer\s+)[A-Za-z0-9._~+/=-]+"
+    out = f"regexp_replace({out}, '{bearer}', '\\1<REDACTED:TOKEN>', 'g')"
+    return f"SELECT doc_id, sha256({out}) AS redacted_sha256 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WHERE {out} <> t"
+
+
 _SQL = {
     "inventory_hash": f"{_WITH} SELECT source_id, path, kind, size, sha256 FROM inventory",
     "snapshot_digest": f"""{_WITH} SELECT source_id, sha256('[' || string_agg('{{"path":"' || path || '","kind":"' || kind || '","size":' || size
@@ -323,6 +334,7 @@ _SQL = {
     "review_quota": "SELECT * FROM (SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS attempt FROM conversations) WHERE attempt <= 2",
     "envelope_budget": """SELECT doc_id, CAST(reach AS BIGINT) AS reach FROM (SELECT doc_id, sum(coalesce(strlen(text), 0)) OVER (PARTITION BY lang, source ORDER BY doc_id) AS reach FROM documents)
       WHERE reach <= 20000""",
+    "secret_redaction": _redaction(),
     "link_extraction": """SELECT page_id, count(*) AS links, count(*) FILTER (starts_with(href, '/')) AS host_links, min(regexp_extract(href, '[^/]*$')) AS first_name
       FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) GROUP BY page_id""",
 }
