@@ -10,11 +10,12 @@ similar to its pivot (branching wouldn't part them).  Other nodes branch again,
 the threshold survives a tree with a probability that :func:`trees_for` works out; independent trees
 repeat until no more than one pair in a million is missed.
 
-A leaf is compared exhaustively, in two rounds that together test every pair which could still change
-the result.  First all documents are tested against the pivot, and confirmed links are joined to components.
-Then pairs from different components are tested; those inside one component need no test.  Large leaves
-are compared in blocks, so no task holds an unbounded group.  A pair is tested on its tokens first (a
-link is lost there with a probability under one in a million) and then confirmed on the full sets.
+A leaf is compared exhaustively on the tokens, which loses a link with a probability under one in a
+million, but only a spanning forest of the pairs found leaves the task, the most similar first.  These pairs are confirmed
+on the full sets and joined to components.  Where documents that tokens connect are still in different
+components, the full sets of these documents are compared with one another, and every link between
+components is found there.  So rows stay proportional to members, however large a group of copies is.
+Large leaves are compared in blocks, so no task holds an unbounded group.
 
 Defined results: a null or empty text, or one of white space, has an empty set and is linked with nothing;
 rows repeated whole share one verdict; a null id is never linked to others by the join, but takes its
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -280,95 +282,173 @@ def with_agreement(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _grouped(members: DataFrame) -> DataFrame:
-    """Members of nodes that hold several documents, with the node's size and pivot."""
+    """Nodes of several documents with their size, pivot and extent; nodes of the same documents count once."""
     order = F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("rep"))
-    nodes = members.groupBy("node").agg(F.count("*").alias("size"), F.min(order)["rep"].alias("pivot")).where("size > 1")
-    return members.join(nodes, "node").select("node", "size", "pivot", "rep")
+    return (
+        members.groupBy("node")
+        .agg(
+            F.count("*").alias("size"),
+            F.min(order)["rep"].alias("pivot"),
+            F.min("rep").alias("low"),
+            F.max("rep").alias("high"),
+            F.bit_xor(F.xxhash64("rep")).alias("mark"),
+        )
+        .where("size > 1")
+        .groupBy("size", "pivot", "low", "high", "mark")
+        .agg(F.min("node").alias("node"))
+        .drop("mark")
+    )
 
 
-def leaves(reps: DataFrame, trees: int, threshold: int, scratch: Scratch, leaf_size: int = LEAF_SIZE) -> DataFrame:
-    """Members of the leaves of all trees: node, size, pivot, rep."""
+def leaves(reps: DataFrame, trees: int, threshold: int, scratch: Scratch, leaf_size: int = LEAF_SIZE) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) from leaves of two documents, and members (node, size, rep) of larger leaves, of all trees."""
     members = reps.select("rep", "tokens").mapInArrow(_roots(trees), "node long, rep long")
-    found = []
+    pairs, found = [], []
     for depth in range(MAX_DEPTH + 1):
-        level = scratch.keep(_grouped(members), f"level{depth}")
-        if depth == MAX_DEPTH:
-            found.append(level)
-            break
+        nodes = scratch.keep(_grouped(members), f"nodes{depth}")
+        pairs.append(nodes.where("size = 2").select(F.col("low").alias("a"), F.col("high").alias("b")))
+        level = scratch.keep(members.join(nodes.where("size > 2").drop("low", "high"), "node"), f"level{depth}")
         large = level.where(F.col("size") > leaf_size)
-        if large.isEmpty():
-            found.append(level)
+        if depth == MAX_DEPTH or large.isEmpty():
+            found.append(level.select("node", "size", "rep"))
             break
-        pairs = large.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-        near = with_agreement(pairs, reps).where(F.col("same") >= threshold).select(F.col("a").alias("pivot"), F.col("b").alias("rep"))
-        tight = (
-            large.join(near, ["pivot", "rep"], "left_semi").groupBy("node", "size").count().where("2 * count >= size").select("node")
-        )
-        tight = scratch.keep(tight, "tight")
-        found.append(level.where(F.col("size") <= leaf_size))
-        found.append(large.join(tight, "node", "left_semi"))
-        open_nodes = large.join(tight, "node", "left_anti").select("node", "rep")
-        if open_nodes.isEmpty():
+        spokes = large.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+        near = with_agreement(spokes, reps).where(F.col("same") >= threshold).select(F.col("a").alias("pivot"), F.col("b").alias("rep"))
+        tight = large.join(near, ["pivot", "rep"], "left_semi").groupBy("node", "size").count().where("2 * count >= size")
+        tight = scratch.keep(tight.select("node"), "tight")
+        found.append(level.where(F.col("size") <= leaf_size).select("node", "size", "rep"))
+        found.append(large.join(tight, "node", "left_semi").select("node", "size", "rep"))
+        parted = large.join(tight, "node", "left_anti").select("node", "rep")
+        if parted.isEmpty():
             break
-        members = open_nodes.join(reps, "rep").select("node", "rep", "tokens").mapInArrow(_branch, "node long, rep long")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+        members = parted.join(reps, "rep").select("node", "rep", "tokens").mapInArrow(_branch, "node long, rep long")
+    return reduce(DataFrame.unionByName, pairs).distinct(), reduce(DataFrame.unionByName, found)
 
 
-def _cross_pairs(threshold: int, most: int):
-    """Pairs of similar tokens from different components, in one block pair of a leaf; at most so many per two components."""
-
-    def run(key, pdf):
-        import pandas as pd
-
-        tokens = np.frombuffer(b"".join(pdf["tokens"]), np.uint32).reshape(len(pdf), SLOTS)
-        reps, comps, side = pdf["rep"].to_numpy(), pdf["component"].to_numpy(), pdf["side"].to_numpy()
-        _, label, size = np.unique(comps, return_inverse=True, return_counts=True)
-        order = np.lexsort((np.arange(len(pdf)), label, size[label]))  # rows of the largest component come last
-        tokens, reps, label, side = tokens[order], reps[order], label[order], side[order]
-        within = key[1] == key[2]
-        a, b, cut = [], [], []
-        taken: dict[tuple[int, int], int] = {}
-        for k in range(len(pdf)):
-            if label[k] == label[-1]:
-                break  # only the largest component is left
-            other = np.flatnonzero((label[k + 1 :] != label[k]) & (True if within else side[k + 1 :] != side[k])) + k + 1
-            if not len(other):
-                continue
-            hits = other[(tokens[other] == tokens[k]).sum(1) >= threshold]
-            for j in hits.tolist():
-                pair = (int(label[k]), int(label[j]))
-                n = taken[pair] = taken.get(pair, 0) + 1
-                if n <= most:
-                    a.append(reps[k])
-                    b.append(reps[j])
-                    cut.append(n == most)
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64), "cut": np.array(cut, bool)})
+def _in_blocks(members: DataFrame, *carried: str) -> DataFrame:
+    """Members of leaves, once for each pair of blocks (i, j) that their block is part of."""
+    blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
+    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    rows = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return rows.select("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "size", "rep", *carried)
+
+
+def _runs_of(batches: Iterator[pa.RecordBatch], n_keys: int, rows: int = 4096) -> Iterator[pa.Table]:
+    """Tables that hold whole groups of rows sorted by their first columns, of about so many rows."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        count += batch.num_rows
+        if count < rows:
+            continue
+        table = pa.Table.from_batches(held)
+        keys = [table.column(k).to_numpy() for k in range(n_keys)]
+        edge = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], 0))
+        if len(edge):
+            cut = int(edge[-1]) + 1
+            yield table.slice(0, cut)
+            held = table.slice(cut).to_batches()
+            count = table.num_rows - cut
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _groups_of(table: pa.Table, n_keys: int) -> Iterator[tuple[int, int]]:
+    keys = [table.column(k).to_numpy() for k in range(n_keys)]
+    edge = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], 0)) + 1
+    yield from zip([0, *edge.tolist()], [*edge.tolist(), table.num_rows], strict=True)
+
+
+def _forest(tokens: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Greatest spanning forest of the pairs with enough equal tokens: each row's tree, and its link to an earlier row or -1."""
+    n = len(tokens)
+    tree, link = np.full(n, -1), np.full(n, -1)
+    best, by = np.zeros(n, np.int64), np.full(n, -1)
+    for start in range(n):
+        if tree[start] >= 0:
+            continue
+        k, label = start, start
+        while True:
+            tree[k], best[k] = label, -1
+            link[k] = by[k]
+            same = (tokens == tokens[k]).sum(1)
+            nearer = (same > best) & (same >= threshold) & (tree < 0)
+            best[nearer], by[nearer] = same[nearer], k
+            waiting = np.where(tree < 0, best, -1)
+            k = int(waiting.argmax())
+            if waiting[k] < threshold:
+                break
+    return tree, link
+
+
+def _sketch_leaves(threshold: int):
+    """(node, i, j, rep, tokens) in order to (node, tree, rep, link): documents that tokens connect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs_of(batches, 3):
+            reps, nodes = table.column(3).to_numpy(), table.column(0).to_numpy()
+            tokens = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint32).reshape(-1, SLOTS)
+            out = []
+            for a, b in _groups_of(table, 3):
+                tree, link = _forest(tokens[a:b], threshold)
+                counts = np.bincount(tree, minlength=b - a)
+                rows = np.flatnonzero(counts[tree] > 1)
+                if len(rows):
+                    linked = np.where(link[rows] >= 0, reps[a + np.maximum(link[rows], 0)], reps[a + rows])
+                    out.append((nodes[a + rows], reps[a + tree[rows]], reps[a + rows], linked))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["node", "tree", "rep", "link"])
 
     return run
 
 
-def cross_pairs(members: DataFrame, reps: DataFrame, labels: DataFrame, threshold: int, most: int) -> DataFrame:
-    """Candidate pairs (a < b) that lie in one leaf but in different components so far."""
-    marked = members.select("node", "size", "rep").join(labels, "rep", "left")
-    marked = marked.withColumn("component", F.coalesce("component", "rep"))
-    mixed = marked.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    rows = marked.join(mixed.select("node"), "node", "left_semi")
-    blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select(
-        "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "component", F.col("own").alias("side")
-    )
-    found = (
-        rows.join(reps, "rep")
-        .select("node", "i", "j", "rep", "component", "side", "tokens")
-        .groupBy("node", "i", "j")
-        .applyInPandas(_cross_pairs(threshold, most), "a long, b long, cut boolean")
-    )
-    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("cut").alias("cut"))
+def _exact_leaves(percent: int):
+    """(node, tree, i, j, rep, component, shingles) in order to links (a, b) that join different components."""
+
+    def solve(reps: np.ndarray, comps: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        _, label, held = np.unique(comps, return_inverse=True, return_counts=True)
+        root = list(range(len(held)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        size = np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(len(sets)), size)
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        values, begin = np.unique(flat[order], return_index=True)
+        stop = np.append(begin[1:], len(flat))
+        owner = owner[order]
+        largest = int(held.argmax())
+        for k in np.flatnonzero(label != largest).tolist():
+            at = np.searchsorted(values, sets[k])
+            both = np.bincount(np.concatenate([owner[begin[v] : stop[v]] for v in at.tolist()]), minlength=len(sets))
+            linked = np.flatnonzero((100 * both >= percent * (size + size[k] - both)) & (label != label[k]))
+            for j in linked.tolist():
+                x, y = find(int(label[k])), find(int(label[j]))
+                if x != y:
+                    root[x] = y
+                    yield int(reps[k]), int(reps[j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs_of(batches, 4, 256):
+            reps, comps = table.column(4).to_numpy(), table.column(5).to_numpy()
+            column = table.column(6).combine_chunks()
+            flat, offsets = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+            links = []
+            for a, b in _groups_of(table, 4):
+                links += solve(reps[a:b], comps[a:b], [flat[offsets[k] : offsets[k + 1]] for k in range(a, b)])
+            if links:
+                x, y = zip(*links, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+    return run
 
 
 def _set_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -405,45 +485,42 @@ def near_duplicates(
         sketches.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens")), "classes"
     )
     reps = classes.where("rep is not null").select("rep", "tokens")
-    members = scratch.keep(leaves(reps, trees, threshold, scratch, leaf_size), "leaves")
-
-    # round 1: everyone against the pivot
-    spokes = members.where("rep <> pivot").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
-    spokes = scratch.keep(with_agreement(spokes, reps).where(F.col("same") >= threshold).select("a", "b"), "spokes")
-    sets = scratch.keep(_set_table(docs, _ends(spokes), words), "sets")
-    links = scratch.keep(confirm(spokes, sets, percent), "links")
+    pairs, members = leaves(reps, trees, threshold, scratch, leaf_size)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    # similar by their tokens: pairs, and trees of documents in leaves
+    near_pairs = with_agreement(pairs, reps).where(F.col("same") >= threshold).select("a", "b")
+    place = ["node", "i", "j"]
+    rows = _in_blocks(members).join(reps, "rep").select(*place, "rep", "tokens")
+    rows = rows.repartition(parts, *place).sortWithinPartitions(*place)
+    connected = scratch.keep(rows.mapInArrow(_sketch_leaves(threshold), "node long, tree long, rep long, link long"), "connected")
+    branches = connected.where("rep <> link").select(F.least("rep", "link").alias("a"), F.greatest("rep", "link").alias("b"))
+    candidates = scratch.keep(near_pairs.unionByName(branches).distinct(), "candidates")
+
+    # confirmed on the full sets
+    sets = scratch.keep(_set_table(docs, _ends(candidates), words), "sets")
+    links = scratch.keep(confirm(candidates, sets, percent), "links")
     labels = scratch.keep(components(links, scratch), "labels").select(F.col("node").alias("rep"), "component")
-    tested = spokes
-
-    # round 2: pairs from different components; again with more of them only where some were held back
-    most = 8
-    while True:
-        pairs = scratch.keep(cross_pairs(members, reps, labels, threshold, most), "pairs")
-        held_back = not pairs.where("cut").isEmpty()
-        fresh = scratch.keep(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"), "fresh")
-        if not fresh.isEmpty():
-            more = _ends(fresh).join(sets.select("rep"), "rep", "left_anti")
-            sets = sets.unionByName(scratch.keep(_set_table(docs, scratch.keep(more, "more"), words), "sets"))
-            found = confirm(fresh, sets, percent)
-            old = lambda end: labels.select(F.col("rep").alias(end), F.col("component").alias(f"{end}_c"))
-            merged = (
-                found.join(old("a"), "a", "left")
-                .join(old("b"), "b", "left")
-                .select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
-            )
-            joined = scratch.keep(components(merged, scratch), "joined")
-            grown = labels.unionByName(joined.select(F.col("node").alias("rep"), F.col("node").alias("component"))).distinct()
-            labels = scratch.keep(
-                grown.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
-                .select("rep", F.coalesce("to", "component").alias("component"))
-                .groupBy("rep")
-                .agg(F.min("component").alias("component")),
-                "labels",
-            )
-            tested = tested.unionByName(fresh)
-        if not held_back:
-            break
-        most *= 64
+
+    # trees that are still in several components
+    marked = connected.select("node", "tree", "rep").distinct().join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    split = (
+        marked.groupBy("node", "tree")
+        .agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y"), F.bit_xor(F.xxhash64("rep")).alias("mark"))
+        .where("x < y")
+        .groupBy("size", "mark", "x", "y")
+        .agg(F.min(F.struct("node", "tree")).alias("at"))
+        .select("at.*", "size")
+    )
+    place = ["node", "tree", "i", "j"]
+    rows = scratch.keep(_in_blocks(marked.join(split, ["node", "tree"]), "tree", "component"), "split")
+    if not rows.isEmpty():
+        rows = rows.join(sets, "rep").select(*place, "rep", "component", "shingles")
+        rows = rows.repartition(parts, *place).sortWithinPartitions(*place)
+        more = rows.mapInArrow(_exact_leaves(percent), "a long, b long")
+        labels = scratch.keep(components(links.unionByName(scratch.keep(more, "more")), scratch), "labels").select(
+            F.col("node").alias("rep"), "component"
+        )
 
     placed = classes.drop("tokens").join(labels, "rep", "left").select(*keys, F.coalesce("component", "rep").alias("component_id"))
     out = sketches.select("doc_id", *keys).join(placed, keys, "left")
