@@ -19,8 +19,10 @@ stays null; an empty table gives an empty result; additional columns are ignored
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -35,8 +37,9 @@ MAX_TOKENS = 2048
 MAX_SEGMENTS = 256
 #: Pieces at hand in a task.
 WINDOW = 192
-MEMO_ENTRIES = 700_000
+MEMO_ENTRIES = 900_000
 BLOCK_CHARS = 2_000_000
+PUNCTUATION = string.punctuation
 
 _PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
@@ -44,6 +47,17 @@ _PIECES = (
 _NAMES = [part.split()[0] for part in _PIECES.split(", ")]
 
 
+class _ByteLetters(dict):
+    """For str.translate: a character to the letters that stand for its bytes in the vocabulary."""
+
+    def __missing__(self, code: int) -> str:
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        letters = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(code))[0][0]
+        self[code] = letters
+        return letters
+
+
 class WordMemo:
     """Token ids of white-space separated pieces, encoded by the tokenizer when first seen."""
 
@@ -51,55 +65,61 @@ class WordMemo:
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(vocabulary)
+        self.letters = _ByteLetters()
         self.limit = limit
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {"": 0}
+        self.at: dict[str, int] = {"": 0}  # piece to its row in ``parts``
+        self.parts = np.zeros((1 << 12, 2), np.int32)  # rows of ``starts`` and ``lengths``; row 0 is empty
+        self.known: dict[str, int] = {"": 0}  # encoded string to its row there
         self.starts = np.zeros(1 << 12, np.int64)
         self.lengths = np.zeros(1 << 12, np.int32)
         self.flat = np.zeros(1 << 14, np.int32)
         self.used = 0
 
-    def _store(self, keys: list[str], ids: list[list[int]]) -> None:
+    @staticmethod
+    def _room(array: np.ndarray, n: int) -> np.ndarray:
+        while n > len(array):
+            array = np.concatenate([array, np.zeros_like(array)])
+        return array
+
+    def _encode(self, words: list[str], others: list[str]) -> None:
+        """Encodes single words of lower-case Latin letters by the model alone, other strings by the whole tokenizer."""
+        split, letters = self.encoder.model.tokenize, self.letters
+        ids = [[t.id for t in split(w.translate(letters))] for w in words]
+        ids += [e.ids for e in self.encoder.encode_batch_fast(others, add_special_tokens=False)]
+        strings = words + others
         lengths = np.fromiter(map(len, ids), np.int32, len(ids))
-        total = int(lengths.sum())
-        n = len(self.at)
-        while n + len(keys) > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.int32, total)
-        self.lengths[n : n + len(keys)] = lengths
-        self.starts[n : n + len(keys)] = self.used + np.cumsum(lengths) - lengths
+        total, n = int(lengths.sum()), len(self.known)
+        self.starts = self._room(self.starts, n + len(ids))
+        self.lengths = self._room(self.lengths, n + len(ids))
+        self.flat = self._room(self.flat, self.used + total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
+        self.lengths[n : n + len(ids)] = lengths
+        self.starts[n : n + len(ids)] = self.used + np.cumsum(lengths) - lengths
         self.used += total
-        self.at.update(zip(keys, range(n, n + len(keys)), strict=True))
-
-    def _encode(self, keys: list[str]) -> None:
-        if keys:
-            self._store(keys, [e.ids for e in self.encoder.encode_batch_fast(keys, add_special_tokens=False)])
-
-    def _ids(self, key: str) -> list[int]:
-        k = self.at[key]
-        return self.flat[self.starts[k] : self.starts[k] + self.lengths[k]].tolist()
+        self.known.update(zip(strings, range(n, n + len(ids)), strict=True))
 
     def learn(self, missing: set[str]) -> None:
-        """Encodes new pieces. Latin words are encoded in lower case and without a final comma or full stop."""
-        plain, derived = [], []
+        """Encodes new pieces; a Latin word is encoded in lower case and apart from the punctuation after it."""
+        words, tails, fresh, known = [], [], set(), self.known
         for piece in missing:
-            word = piece[:-1] if piece[-1] in ",." else piece
-            if word.isalpha() and max(word) < "ɐ" and (low := word.lower()).isalpha() and low != piece:
-                derived.append((piece, low, piece[len(word) :]))
+            word = piece.rstrip(PUNCTUATION)
+            if word.isalpha() and max(word) < "ɐ" and (low := word.lower()).isalpha():
+                words.append(low)
+                tails.append(piece[len(word) :])
+                if low not in known:
+                    fresh.add(low)
             else:
-                plain.append(piece)
-        wanted = set(plain)
-        wanted.update(low for _, low, _ in derived)
-        wanted.update((",", "."))
-        self._encode([w for w in wanted if w not in self.at])
-        if derived:
-            tails = {"": [], ",": self._ids(","), ".": self._ids(".")}
-            self._store([p for p, _, _ in derived], [self._ids(low) + tails[t] for _, low, t in derived])
+                words.append(piece)
+                tails.append("")
+        self._encode(list(fresh), list({*words, *tails}.difference(fresh, known)))
+        n = len(self.at)
+        self.parts = self._room(self.parts, n + len(words))
+        self.parts[n : n + len(words), 0] = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+        self.parts[n : n + len(words), 1] = np.fromiter(map(known.__getitem__, tails), np.int32, len(tails))
+        self.at.update(zip(missing, range(n, n + len(words)), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text, with the end token."""
@@ -112,12 +132,13 @@ class WordMemo:
             ends[k + 1] = len(pieces)
         if missing := set(pieces).difference(self.at):
             self.learn(missing)
-        index = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
-        lengths = self.lengths[index].astype(np.int64)
+        rows = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
+        parts = self.parts[rows].reshape(-1)
+        lengths = self.lengths[parts].astype(np.int64)
         reach = np.concatenate([[0], np.cumsum(lengths)])
-        gather = np.repeat(self.starts[index] - reach[:-1], lengths) + np.arange(reach[-1])
+        gather = np.repeat(self.starts[parts] - reach[:-1], lengths) + np.arange(reach[-1])
         ids = self.flat[gather]
-        cut = reach[ends]
+        cut = reach[2 * ends]
         end = np.array([END_ID], np.int32)
         return [np.concatenate([ids[a:b], end]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
