@@ -114,6 +114,26 @@ def test_link_closure(spark):
     assert got["a"] == ("c", "resolved") and got["f"] == ("gone", "dangling") and got["d"][1] == "cycle" and got["n0"] == ("n60", "resolved")
 
 
+def test_runtime_callers(spark):
+    tree = {
+        "plugin.json": '{"runtime": "src/run.py"}', "src/run.py": 'x = 1\nrunSkill("alpha")\nload("skills/beta/SKILL.md")', "skills/gamma/own.py": 'runSkill("alpha")',
+        "skills/a/SKILL.md": SKILL.format("alpha", ""), "skills/beta/SKILL.md": SKILL.format("b", ""), "skills/gamma/SKILL.md": SKILL.format("g", ""),
+    }
+    rows = make(spark, tree, {"src/run.py": 'runSkill("alpha")', "a/SKILL.md": SKILL.format("alpha", "")})
+    around = B.detect_boundaries(rows)
+    found = B.discover(rows, around)
+    got = R.reverse_references(rows, found, around, R.frontmatter(rows, found)).collect()
+    assert sorted((r.source_id, r.root, r.path, r.line, r.value) for r in got) == [("s0", "skills/a", "src/run.py", 2, "alpha"), ("s0", "skills/beta", "src/run.py", 3, "skills/beta")]
+
+
+def test_limits_and_collisions(spark):
+    rows = make(spark, {"a/B": "x", "a/b": "yy", "c": ("link", "a")})
+    row = D.limit_checks(rows, entries=3, total=3).first()
+    assert (row.n_entries, row.n_bytes, row.largest, row.deepest, row.within) == (3, 3, 2, 2, True)
+    assert not D.limit_checks(rows, total=2).first().within
+    assert [(r.path_key, r.n) for r in D.path_collisions(rows).collect()] == [("a/b", 2)]
+
+
 def test_hashes(spark):
     rows = make(spark, {"s/SKILL.md": "x", "s/l": ("link", "t"), "o/y": "z"})
     members = rows.withColumn("root", F.lit("s"))

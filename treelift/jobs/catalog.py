@@ -32,9 +32,8 @@ def snapshot_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = inventory(spark, sf_dir)
-    roots = B.discover(rows, B.detect_boundaries(rows)).select("source_id", "root")
-    members = rows.select("*", F.explode(ancestors(F.col("path"))).alias("root")).join(roots, ["source_id", "root"])
+    tree = _Tree(spark, sf_dir)
+    members = tree.paths.select("*", F.explode(ancestors(F.col("path"))).alias("root")).join(tree.candidates.select("source_id", "root"), ["source_id", "root"])
     return content_hashes(members, DOMAIN)
 
 
@@ -47,14 +46,21 @@ def ancestor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source_id", "root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The inventory, and its candidates as a table of paths: what follows joins them several times."""
-    rows = inventory(spark, sf_dir)
-    return rows, Scratch(spark, "trees").keep(B.discover(rows, B.detect_boundaries(rows)), "candidates")
+class _Tree:
+    """The inventory, and what several joins need of it as written tables: paths (with the texts of small declaring files,
+    not of entrypoints), package boundaries and candidates. Entrypoints' texts are read from the source where they are looked into."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.scratch = Scratch(spark, "trees")
+        self.full = inventory(spark, sf_dir)
+        text = F.when(~file_name(F.col("path")).isin(B.ENTRYPOINTS), F.col("content"))
+        self.paths = self.scratch.keep(self.full.withColumn("content", text), "paths")
+        self.boundaries = self.scratch.keep(B.detect_boundaries(self.paths), "boundaries")
+        self.candidates = self.scratch.keep(B.discover(self.paths, self.boundaries), "candidates")
 
 
 def innermost_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, found = _candidates(spark, sf_dir)
+    found = _Tree(spark, sf_dir).candidates
     revision = F.lit("0" * 40)
     return found.select(
         "source_id", "root", "entrypoint", "boundary_root", "boundary_manifest", "package_kind",
@@ -63,13 +69,14 @@ def innermost_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frontmatter_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, found = _candidates(spark, sf_dir)
-    return R.frontmatter(rows, found)
+    tree = _Tree(spark, sf_dir)
+    return R.frontmatter(tree.full, tree.candidates)
 
 
 def path_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, found = _candidates(spark, sf_dir)
-    return R.resolve(R.references(rows), rows, found).select("source_id", "root", "path", "value", "target", "outcome")
+    tree = _Tree(spark, sf_dir)
+    refs = tree.scratch.keep(R.references(tree.full), "references")
+    return R.resolve(refs, tree.paths, tree.candidates).select("source_id", "root", "path", "value", "target", "outcome")
 
 
 def link_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,9 +84,38 @@ def link_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows, found = _candidates(spark, sf_dir)
-    refs = Scratch(spark, "trees").keep(R.references(rows), "references")  # texts are read once
-    return found, D.evidence(R.resolve(refs, rows, found), refs, found, R.frontmatter(rows, found))
+    tree = _Tree(spark, sf_dir)
+    refs = tree.scratch.keep(R.references(tree.full), "references")  # texts are read once
+    fields = tree.scratch.keep(R.frontmatter(tree.full, tree.candidates), "frontmatter")
+    callers = R.reverse_references(tree.paths, tree.candidates, tree.boundaries, fields)
+    resolved = R.resolve(refs, tree.paths, tree.candidates)
+    return tree.candidates, tree.scratch.keep(D.evidence(resolved, refs, tree.candidates, fields, callers), "evidence")
+
+
+def runtime_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = _Tree(spark, sf_dir)
+    return R.reverse_references(tree.paths, tree.candidates, tree.boundaries, R.frontmatter(tree.full, tree.candidates))
+
+
+def scan_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.limit_checks(inventory(spark, sf_dir))
+
+
+def path_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collisions among the paths of pages' links, a page's host being the source."""
+    pages = table(spark, sf_dir, "pages").select(
+        F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("source_id"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("path")
+    )
+    return D.path_collisions(pages.where(F.col("path").rlike("^[!-~]+$")))
+
+
+def source_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' URLs as source specs: kind, host, and whether query, fragment or password make them unsafe to fetch."""
+    url = F.coalesce("url", F.lit(""))
+    host = F.lower(F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
+    kind = F.when(host == "", "local").when(host == "github.com", "github").otherwise("git")
+    unsafe = url.rlike(r"[?#]") | url.rlike(r"^[a-z]+://[^/@]*:[^/@]*@") | ~url.rlike(r"^(?:https|ssh|git)://")
+    return table(spark, sf_dir, "pages").select("page_id", kind.alias("kind"), host.alias("host"), F.when(kind == "local", F.lit(False)).otherwise(unsafe).alias("unsafe"))
 
 
 def decision_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +238,7 @@ def link_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     inventory_hash, snapshot_digest, content_digest, package_boundaries, ancestor_counts, innermost_boundary, frontmatter_fields,
     path_references, link_closure, decision_reasons, classifications, classification_counts, content_duplicates, name_conflicts,
-    duplicate_annotation, import_records, partition_check, review_join, expected_vs_actual, review_quota, envelope_budget,
+    duplicate_annotation, import_records, runtime_callers, scan_limits, path_collisions, source_specs, partition_check, review_join, expected_vs_actual, review_quota, envelope_budget,
     secret_redaction, link_extraction,
 )
 
@@ -229,7 +265,11 @@ rs AS (SELECT t.source_id, t.root, t.path, t.value, t.content,
               coalesce(early, CASE WHEN i.path IS NULL THEN 'missing' WHEN starts_with(i.path, t.root || '/') THEN 'inside' ELSE 'outside' END) AS outcome,
               CASE WHEN early IS NULL THEN t.target END AS target
        FROM t LEFT JOIN inventory i ON i.source_id = t.source_id AND i.path = t.target)"""
-_EVIDENCE = """,
+_CALLS = """,
+calls AS (SELECT c.source_id, c.root, i.path, 1 AS line, 0 AS ord, regexp_extract(i.content, '"([^"]*)"', 1) AS value
+          FROM inventory i JOIN c ON c.source_id = i.source_id AND c.boundary_root || '/src/main.py' = i.path
+            AND c.root = c.boundary_root || '/' || regexp_extract(i.content, '"([^"]*)"', 1))"""
+_EVIDENCE = _CALLS + """,
 marks AS (
   SELECT source_id, root, 'PATH_TRAVERSAL' AS code, path, value, content, '[guide]' AS mark FROM rs WHERE outcome = 'escape'
   UNION ALL SELECT source_id, root, 'REFERENCE_OUTSIDE_SKILL_ROOT', path, value || ' -> ' || target, content, '[guide]' FROM rs WHERE outcome = 'outside'
@@ -237,6 +277,7 @@ marks AS (
   UNION ALL SELECT source_id, root, 'PLUGIN_ROOT_VARIABLE', path, '$' || '{PLUGIN_ROOT}', content, 'run $' FROM rs WHERE contains(content, '{PLUGIN_ROOT}')),
 ev AS (
   SELECT source_id, root, code, path, value, len(string_split(split_part(content, mark, 1), chr(10))) AS line FROM marks
+  UNION ALL SELECT source_id, root, 'REFERENCED_BY_PLUGIN_RUNTIME', path, value, line FROM calls
   UNION ALL SELECT source_id, root, 'INVALID_FRONTMATTER', entrypoint, 'name', 1 FROM c WHERE contains(content, 'name: ' || chr(10) || 'description'))"""
 _CLASSES = """,
 fl AS (SELECT source_id, root, bool_or(code = 'PATH_TRAVERSAL') AS blocked, bool_or(code = 'INVALID_FRONTMATTER') AS invalid,
@@ -331,6 +372,15 @@ _SQL = {
     "expected_vs_actual": f"""{_WITH}{_CANDIDATES}{_REFERENCES}{_EVIDENCE}{_CLASSES}{_REVIEWS} SELECT source_id, count(*) FILTER (classification = verdict) AS agree,
       count(*) FILTER (classification <> verdict) AS disagree, count(*) FILTER (verdict IS NULL) AS not_expected, count(*) FILTER (classification IS NULL) AS not_found
       FROM cl FULL JOIN rv USING (source_id, root) GROUP BY source_id""",
+    "runtime_callers": f"{_WITH}{_CANDIDATES}{_CALLS} SELECT * FROM calls",
+    "scan_limits": f"""{_WITH}, s AS (SELECT source_id, count(*) AS n_entries, CAST(sum(CASE WHEN kind = 'file' THEN size ELSE 0 END) AS BIGINT) AS n_bytes,
+      max(size) AS largest, CAST(max(len(string_split(path, '/'))) AS INT) AS deepest FROM inventory GROUP BY source_id)
+      SELECT *, n_entries <= 10000 AND n_bytes <= 262144000 AND largest <= 10485760 AND deepest <= 64 AS within FROM s""",
+    "path_collisions": """SELECT source_id, lower(path) AS path_key, count(DISTINCT path) AS n FROM (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS source_id,
+      unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS path FROM pages) WHERE regexp_full_match(path, '[!-~]+') GROUP BY 1, 2 HAVING count(DISTINCT path) > 1""",
+    "source_specs": """SELECT page_id, CASE host WHEN '' THEN 'local' WHEN 'github.com' THEN 'github' ELSE 'git' END AS kind, host,
+      host <> '' AND (regexp_matches(u, '[?#]') OR regexp_matches(u, '^[a-z]+://[^/@]*:[^/@]*@') OR NOT regexp_matches(u, '^(?:https|ssh|git)://')) AS unsafe
+      FROM (SELECT page_id, coalesce(url, '') AS u, lower(regexp_extract(coalesce(url, ''), '^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)', 1)) AS host FROM pages)""",
     "review_quota": "SELECT * FROM (SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS attempt FROM conversations) WHERE attempt <= 2",
     "envelope_budget": """SELECT doc_id, CAST(reach AS BIGINT) AS reach FROM (SELECT doc_id, sum(coalesce(strlen(text), 0)) OVER (PARTITION BY lang, source ORDER BY doc_id) AS reach FROM documents)
       WHERE reach <= 20000""",

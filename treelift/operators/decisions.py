@@ -18,7 +18,7 @@ BOUND = (
 CLASSES = ["portable", "plugin_bound", "ambiguous", "invalid", "blocked"]
 
 
-def evidence(resolved: DataFrame, refs: DataFrame, candidates: DataFrame, validation: DataFrame) -> DataFrame:
+def evidence(resolved: DataFrame, refs: DataFrame, candidates: DataFrame, validation: DataFrame, callers: DataFrame | None = None) -> DataFrame:
     """source_id, root, code, path, line, ord, value: one row for each finding, in the order in which they count."""
     code = (
         F.when(F.col("outcome") == "escape", "PATH_TRAVERSAL")
@@ -40,7 +40,12 @@ def evidence(resolved: DataFrame, refs: DataFrame, candidates: DataFrame, valida
         .join(candidates.select("source_id", "root", "entrypoint"), ["source_id", "root"])
         .select("source_id", "root", F.lit("INVALID_FRONTMATTER").alias("code"), F.col("entrypoint").alias("path"), F.lit(1).alias("line"), F.lit(0).alias("ord"), F.col("problem").alias("value"))
     )
-    return forward.unionByName(variables).unionByName(invalid)
+    found = forward.unionByName(variables).unionByName(invalid)
+    if callers is not None:
+        found = found.unionByName(
+            callers.select("source_id", "root", F.lit("REFERENCED_BY_PLUGIN_RUNTIME").alias("code"), "path", "line", "ord", bounded(F.col("value")).alias("value"))
+        )
+    return found
 
 
 def reasons(found: DataFrame, limit: int = EVIDENCE_LIMIT) -> DataFrame:
@@ -84,6 +89,24 @@ def classify(candidates: DataFrame, found: DataFrame) -> DataFrame:
     return joined.select("source_id", "root", label.alias("classification"), base.alias("base_reason"))
 
 
+def limit_checks(inventory: DataFrame, entries: int = 10_000, total: int = 250 << 20, single: int = 10 << 20, depth: int = 64) -> DataFrame:
+    """source_id, n_entries, n_bytes, largest, deepest, within: whether a source keeps its operation's limits."""
+    found = inventory.groupBy("source_id").agg(
+        F.count("*").alias("n_entries"),
+        F.sum(F.when(F.col("kind") == "file", F.col("size")).otherwise(0)).alias("n_bytes"),
+        F.max("size").alias("largest"),
+        F.max(F.size(F.split("path", "/"))).alias("deepest"),
+    )
+    keeps = (F.col("n_entries") <= entries) & (F.col("n_bytes") <= total) & (F.col("largest") <= single) & (F.col("deepest") <= depth)
+    return found.withColumn("within", keeps)
+
+
+def path_collisions(inventory: DataFrame) -> DataFrame:
+    """source_id, path_key, n: paths of a source that differ only in case."""
+    keyed = inventory.groupBy("source_id", F.lower("path").alias("path_key")).agg(F.count_distinct("path").alias("n"))
+    return keyed.where("n > 1")
+
+
 def class_counts(classified: DataFrame) -> DataFrame:
     """source_id, total, and the number of candidates of every class, zeros included."""
     return classified.groupBy("source_id").agg(F.count("*").alias("total"), *(F.count_if(F.col("classification") == c).alias(c) for c in CLASSES))

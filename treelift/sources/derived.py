@@ -1,7 +1,7 @@
 """An inventory of source trees made from the documents table.
 
 Every language is a source and every document a candidate directory with an entrypoint; packages get a manifest
-(with a runtime key for half of them) and a shared file; some documents get a guide file, and a chain of
+(with a runtime key and a program that calls one candidate for half of them) and a shared file; some documents get a guide file, and a chain of
 symbolic links runs over all of them.  The same SELECT runs in Spark and, with a few names exchanged, in DuckDB.
 """
 
@@ -33,6 +33,9 @@ UNION ALL
 SELECT DISTINCT lang, concat('packages/', source, '/shared/common.md'), 'file', false, NULL, 'shared'
 FROM d WHERE length(source) % 2 = 0 OR length(source) = 5
 UNION ALL
+SELECT lang, concat('packages/', source, '/src/main.py'), 'file', false, NULL, concat('runSkill("d', min(doc_id), '")')
+FROM d WHERE length(source) % 2 = 0 GROUP BY lang, source
+UNION ALL
 SELECT lang, concat('links/d', doc_id), CASE WHEN doc_id % 4 = 3 THEN 'file' ELSE 'symlink' END, false,
        CASE WHEN doc_id % 4 = 3 THEN NULL ELSE concat('links/d', CAST(floor(doc_id / 3) AS BIGINT)) END,
        CASE WHEN doc_id % 4 = 3 THEN 'end' END
