@@ -37,7 +37,8 @@ THRESHOLD = 0.7
 MIN_SUPPORT = 4
 GRAM_SIZES = range(4, 9)
 LEVELS = (1, 2, 3)
-FLUSH = 300_000
+FLUSH = 200_000
+MEMO_WORDS = 20_000
 
 #: bytes.translate table: letters in lower case, bytes of other characters as they are, all else a space.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -69,7 +70,7 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams: Counter[bytes] = Counter()
             for word, n in Counter((text or b"").translate(_LETTERS).split()).items():
                 if word not in memo:
-                    if len(memo) > FLUSH:
+                    if len(memo) > MEMO_WORDS:
                         memo.clear()
                     memo[word] = word_grams(word)
                 for gram in memo[word]:
