@@ -42,7 +42,7 @@ SIMILARITY_PERCENT = 80
 SLOTS = 64
 ROOT_SLOTS = 2
 NODE_SLOTS = 4
-LEAF_SIZE = 1024
+LEAF_SIZE = 2048
 MAX_DEPTH = 5
 TARGET_MISS = 1e-6
 BLOCK_ROWS = 4096
