@@ -79,3 +79,37 @@ def test_passage_and_edges(spark, make_docs):
     rows = line_report(make_docs([(None, passage), (None, passage), (1, passage)])).collect()
     assert sorted((r.doc_id or -1, r.n_removed) for r in rows) == [(-1, 0), (-1, 0), (1, 7)]
     assert {r.kept_sha256 for r in rows if r.doc_id} == {hashlib.sha256(b"").hexdigest()}
+
+
+def every_earlier_run(texts, min_words):
+    """Lines that lie in a run of enough words that occurred earlier anywhere: all pairs of starts are tried."""
+    keys = [line_keys((t or "").encode()) for t in texts]
+    places = {}
+    out = []
+    for d, (h, w, _) in enumerate(keys):
+        gone = set()
+        for i in range(len(h)):
+            for fd, fi in places.get(h[i], ()):
+                other, n = keys[fd][0], 0
+                while i + n < len(h) and fi + n < len(other) and h[i + n] == other[fi + n]:
+                    n += 1
+                if sum(w[i : i + n]) >= min_words:
+                    gone.update(range(i, i + n))
+            places.setdefault(h[i], []).append((d, i))
+        out.append(gone)
+    return out
+
+
+def test_runs_of_frequent_short_lines(make_docs):
+    rnd = random.Random(6)
+    pool = [" ".join(rnd.choice("abcdefgh") for _ in range(rnd.choice([1, 2, 3, 5]))) for _ in range(20)]
+    passage = [rnd.choice(pool) for _ in range(20)]
+    bodies = [[rnd.choice(pool) for _ in range(rnd.randint(0, 12))] for _ in range(160)]
+    for body in bodies[120:140]:
+        k = rnd.randint(0, len(body))
+        body[k:k] = passage
+    texts = ["\n".join(body) for body in bodies]
+    want = every_earlier_run(texts, 8)
+    got = {r.doc_id: r.n_removed for r in dedup_lines(make_docs(texts)).collect()}
+    assert sum(got.values()) == sum(map(len, want))
+    assert [got[k] for k in range(len(texts))] == [len(x) for x in want]

@@ -1,14 +1,13 @@
-"""Line deduplication by winnowing over line hashes.
+"""Line deduplication by windows of lines.
 
 Lines are compared after trimming and lower-casing A-Z; lines without words are left out of the
-comparison.  A window starts at every line and takes lines until it holds ``MIN_WORDS`` words, so a long
-line is a window by itself and short lines make one together.  The line with the smallest hash of each
-window is a fingerprint.  A repeated run of that many words holds a whole window and so, wherever it occurs,
-the same fingerprint.
-
-Each fingerprint is matched with the first occurrence in the corpus (by doc_id, then line) of its line alone, of
-its line and the next, and of its line and the one before.  A match is extended line by line both ways, and if it holds
-``MIN_WORDS`` words the later run is deleted: the first occurrence stays.  Only the least occurrence
+comparison.  A window starts at every line and takes lines until it holds ``MIN_WORDS`` words, and another one ends at
+every line and reaches back as far; so a long line is a window by itself and short lines make one together.
+A run of that many words is the union of the windows in it: a line of it that no window from an earlier
+line of the run reaches has words enough before it for the window that ends there.
+
+A window's key is the hash of all its lines, so equal keys are equal sequences, whatever else their lines occur in.
+A window that occurred before in the corpus (by doc_id, then line) is deleted: the first occurrence stays.  Only the least occurrence
 of a key is looked for, which pre-aggregates, so a line that a third of all documents hold costs no pairs.
 
 Defined results: a null text has no lines and stays null; a text that loses all its lines becomes empty; lines without words go when
@@ -19,6 +18,7 @@ comes before all others; an empty table gives an empty result; additional column
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,7 +31,7 @@ from treelift.sources.scratch import Scratch
 MIN_WORDS = 8
 NULL_ID = -(1 << 63)
 
-_LINES = "d long, t long, hashes array<long>, words array<int>, marks array<int>"
+_WINDOWS = "d long, t long, key long, first int, last int"
 
 
 def line_keys(text: bytes) -> tuple[list[int], list[int], list[int]]:
@@ -46,6 +46,7 @@ def line_keys(text: bytes) -> tuple[list[int], list[int], list[int]]:
     return hashes, words, places
 
 
+# fingerprints and extend are no part of the query: the tests hold winnowed matching against it.
 def fingerprints(hashes: list[int], words: list[int], min_words: int = MIN_WORDS) -> list[int]:
     """Lines that have the smallest hash (the last of equals) in some window of at least ``min_words`` words."""
     found: set[int] = set()
@@ -70,24 +71,54 @@ def fingerprints(hashes: list[int], words: list[int], min_words: int = MIN_WORDS
     return sorted(found)
 
 
-def _line_rows(min_words: int):
+def windows(words: list[int], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
+    """First and last line of each window from a line on and of each up to a line."""
+    found: set[tuple[int, int]] = set()
+    stop = held = 0
+    for start in range(len(words)):
+        while stop < len(words) and held < min_words:
+            held += words[stop]
+            stop += 1
+        if held < min_words:
+            break
+        found.add((start, stop - 1))
+        held -= words[start]
+    start = held = 0
+    for stop in range(len(words)):
+        held += words[stop]
+        while held - words[start] >= min_words:
+            held -= words[start]
+            start += 1
+        if held >= min_words:
+            found.add((start, stop))
+    return sorted(found)
+
+
+def _window_rows(min_words: int):
+    """(d, t, text) to the windows of each text, with the hash of all their lines."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, words, marks = [], [], []
-            for text in batch.column(2).cast(pa.binary()).to_pylist():
-                h, w, _ = line_keys(text or b"")
-                hashes.append(h)
-                words.append(w)
-                marks.append(fingerprints(h, w, min_words))
+            rows, keys, first, last = [], [], [], []
+            for row, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
+                hashes, words, _ = line_keys(text or b"")
+                packed = array("q", hashes).tobytes()
+                for a, b in windows(words, min_words):
+                    digest = hashlib.blake2b(packed[8 * a : 8 * b + 8], digest_size=8).digest()
+                    keys.append(int.from_bytes(digest, "little", signed=True))
+                    rows.append(row)
+                    first.append(a)
+                    last.append(b)
+            rows = pa.array(rows, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(hashes, pa.list_(pa.int64())),
-                    pa.array(words, pa.list_(pa.int32())),
-                    pa.array(marks, pa.list_(pa.int32())),
+                    batch.column(0).take(rows),
+                    batch.column(1).take(rows),
+                    pa.array(keys, pa.int64()),
+                    pa.array(first, pa.int32()),
+                    pa.array(last, pa.int32()),
                 ],
-                ["d", "t", "hashes", "words", "marks"],
+                ["d", "t", "key", "first", "last"],
             )
 
     return run
@@ -104,61 +135,12 @@ def extend(own: list[int], other: list[int], at: int, other_at: int) -> tuple[in
     return at - first, at + last
 
 
-def _extended(min_words: int):
-    """(d, t, hashes, words, their hashes from their_from on, places) to the runs to delete."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d, t, first, last = [], [], [], []
-            for row_d, row_t, own, words, other, begin, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                seen: set[tuple[int, int]] = set()
-                for p in places:
-                    at, other_at = p["i"], p["fi"] - begin
-                    if any(a <= at <= b for a, b in seen):
-                        continue
-                    a, b = extend(own, other, at, other_at)
-                    if sum(words[a : b + 1]) >= min_words:
-                        seen.add((a, b))
-                        d.append(row_d)
-                        t.append(row_t)
-                        first.append(a)
-                        last.append(b)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())],
-                ["d", "t", "first", "last"],
-            )
-
-    return run
-
-
 def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
-    """Runs of lines (numbered without empty ones) that occurred before: d, t, first, last. docs: d, t, text."""
-    lines = scratch.keep(docs.where("text is not null").mapInArrow(_line_rows(min_words), _LINES), "lines").dropDuplicates(["d", "t"])
-    marked = lines.select("d", "t", "hashes", F.explode("marks").alias("i"))
-    here, after, before = (F.get("hashes", F.col("i") + k) for k in (0, 1, -1))
-    keys = F.array(
-        here,
-        F.when(after.isNotNull(), F.xxhash64(F.lit("next"), here, after)),
-        F.when(before.isNotNull(), F.xxhash64(F.lit("last"), here, before)),
-    )
-    seen = scratch.keep(marked.select("d", "t", "i", F.explode(keys).alias("key")).where("key is not null"), "seen")
-    at = F.struct("d", "t", "i")
+    """Windows of lines (numbered without empty ones) that occurred before: d, t, first, last. docs: d, t, text."""
+    seen = scratch.keep(docs.where("text is not null").mapInArrow(_window_rows(min_words), _WINDOWS), "seen")
+    at = F.struct("d", "t", F.col("first").alias("i"))
     firsts = seen.groupBy("key").agg(F.count("*").alias("n"), F.min(at).alias("f")).where("n > 1").select("key", "f")
-    pairs = (
-        seen.join(firsts, "key")
-        .where(F.col("f") < at)
-        .groupBy("d", "t", F.col("f.d").alias("fd"), F.col("f.t").alias("ft"), (F.col("i") - F.col("f.i")).alias("shift"))
-        .agg(F.array_sort(F.collect_set(F.struct("i", F.col("f.i").alias("fi")))).alias("places"))
-    )
-    own = lines.select("d", "t", "hashes", "words")
-    theirs = lines.select(F.col("d").alias("fd"), F.col("t").alias("ft"), F.col("hashes").alias("theirs"))
-    begin = F.greatest(F.lit(0), -F.col("shift"))  # their line beside our first, as far as there is one
-    aligned = (
-        pairs.join(own, ["d", "t"])
-        .join(theirs, ["fd", "ft"])
-        .select("d", "t", "hashes", "words", F.slice("theirs", begin + 1, F.size("hashes") + 1).alias("theirs"), begin.alias("begin"), "places")
-    )
-    return aligned.mapInArrow(_extended(min_words), "d long, t long, first int, last int").distinct()
+    return seen.join(firsts, "key").where(F.col("f") < at).select("d", "t", "first", "last").distinct()
 
 
 def remaining_text(text: bytes, gone: set[int], places: list[int]) -> tuple[bytes, int, int]:
