@@ -1,12 +1,14 @@
 """Operators over source trees, on small literal inventories with known outcomes."""
 
 import hashlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from treelift.functions import paths as P
 from treelift.functions.identity import content_hashes, group_id, snapshot_hashes
+from treelift.jobs import catalog
 from treelift.operators import boundaries as B
 from treelift.operators import decisions as D
 from treelift.operators import references as R
@@ -182,3 +184,16 @@ def test_review(spark):
     got = {r.root: (r.final, r.review_code) for r in D.review_outcome(rows, reviews).collect()}
     assert got["0"] == ("portable", "FM_PORTABLE_VERIFIED") and got["1"] == ("ambiguous", "FM_LOW_CONFIDENCE")
     assert got["2"][0] == "plugin_bound" and got["4"] == ("ambiguous", "FM_UNAVAILABLE") and got["5"] == ("portable", None)
+
+
+def test_names_of_any_characters_conflict(spark, tmp_path):
+    names = ["été", "x-1", "7", '"q"\\u000B', "a\nb", "\x0b\x1f", "Plain", ""]
+    rows = [(2 * k + n, f"{name} text {n}", "en", "s") for k, name in enumerate(names) for n in range(2)]
+    spark.createDataFrame([*rows, (99, None, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.key: (r.n, r.representative, r.group_id) for r in catalog.name_conflicts(spark, str(tmp_path)).collect()}
+    assert set(got) == set(names) - {""}
+    sha = lambda x: "sha256:" + hashlib.sha256(json.dumps(x, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+    for k, name in enumerate(names[:-1]):
+        roots = [f"packages/s/d{2 * k + n}" for n in range(2)]
+        ids = sorted(sha([catalog.URL + "en", "0" * 40, root]) for root in roots)
+        assert got[name] == (2, roots[0], sha(["name-conflict", name, ids])), name

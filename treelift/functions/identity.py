@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,9 @@ from treelift.functions.paths import is_within, relative_to
 
 def json_text(value: Column) -> Column:
     """A JSON string. Control characters are written with small hex digits, which to_json writes large."""
-    inner = F.to_json(F.array(value))
-    return F.substr(inner, F.lit(2), F.length(inner) - 2)
+    for c in ("\\", '"', *map(chr, range(32))):
+        value = F.replace(value, F.lit(c), F.lit(json.dumps(c)[1:-1]))
+    return F.concat(F.lit('"'), value, F.lit('"'))
 
 
 def candidate_id(url: Column, revision: Column, root: Column) -> Column:

@@ -152,8 +152,7 @@ def content_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _members(spark, sf_dir).where(F.col("name").rlike("^[A-Za-z]+$"))
-    return D.groups(rows, "name-conflict", "name")
+    return D.groups(_members(spark, sf_dir), "name-conflict", "name")
 
 
 def duplicate_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
