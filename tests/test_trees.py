@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -197,3 +198,15 @@ def test_names_of_any_characters_conflict(spark, tmp_path):
         roots = [f"packages/s/d{2 * k + n}" for n in range(2)]
         ids = sorted(sha([catalog.URL + "en", "0" * 40, root]) for root in roots)
         assert got[name] == (2, roots[0], sha(["name-conflict", name, ids])), name
+
+
+def test_collisions_of_any_characters(spark, tmp_path):
+    paths = ["caf\u00e9", "cafe\u0301", "CAFE\u0301", "stra\u00dfe", "STRASSE", "a b", "A B", "a b", "x\u00e9", "one", "\u0130", "i\u0307"]
+    html = "".join(f'<a href="{p}">' for p in paths)
+    rows = [(1, "https://h.example/x", html), (2, "https://g.example/x", '<a href="ONE">'), (3, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    want = {}
+    for p in paths:
+        want.setdefault(unicodedata.normalize("NFC", p).casefold(), set()).add(p)
+    got = {(r.source_id, r.path_key): r.n for r in catalog.path_collisions(spark, str(tmp_path)).collect()}
+    assert got == {("h.example", k): len(v) for k, v in want.items() if len(v) > 1} and len(got) >= 3

@@ -106,7 +106,7 @@ def path_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(
         F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("source_id"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("path")
     )
-    return D.path_collisions(pages.where(F.col("path").rlike("^[!-~]+$")))
+    return D.path_collisions(pages)
 
 
 def source_specs(spark: SparkSession, sf_dir: str) -> DataFrame:

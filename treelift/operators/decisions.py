@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,9 +106,19 @@ def limit_checks(inventory: DataFrame, entries: int = 10_000, total: int = 250 <
 
 
 def path_collisions(inventory: DataFrame) -> DataFrame:
-    """source_id, path_key, n: paths of a source that differ only in case."""
-    keyed = inventory.groupBy("source_id", F.lower("path").alias("path_key")).agg(F.count_distinct("path").alias("n"))
-    return keyed.where("n > 1")
+    """source_id, path_key, n: paths of a source that differ only in case or in how their characters are composed."""
+    paths = inventory.select("source_id", "path").where("path is not null").distinct()
+    keyed = paths.mapInArrow(_collision_keys, paths.select("source_id", F.col("path").alias("path_key")).schema)
+    return keyed.groupBy("source_id", "path_key").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def _collision_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(source_id, path) to (source_id, path_key): NFC, then case folded. Broken UTF-8 stays as it is."""
+    for batch in batches:
+        paths = (p.decode("utf-8", "surrogateescape") for p in batch.column(1).cast(pa.binary()).to_pylist())
+        keys = [unicodedata.normalize("NFC", p).casefold().encode("utf-8", "surrogateescape") for p in paths]
+        binary = pa.array(keys, pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.Array.from_buffers(pa.string(), len(binary), binary.buffers())], ["source_id", "path_key"])
 
 
 def class_counts(classified: DataFrame) -> DataFrame:
