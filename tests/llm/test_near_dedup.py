@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from treelift.llm.components import components
-from treelift.llm.near_dedup import _branch, _children, drop_near_duplicates, minwise, near_duplicates, shingle_sets, token_threshold, trees_for
+from treelift.llm.near_dedup import _branch, _children, _compared_groups, _leaves, _Links, drop_near_duplicates, minwise, near_duplicates, shingle_sets, token_threshold, trees_for
 from treelift.sources.scratch import Scratch
 
 
@@ -74,7 +74,41 @@ def test_edges(make_docs):
     docs = docs.selectExpr("*", "1 as rep", "2 as tokens", "3 as component_id")
     rows = [(r.doc_id or -1, r.component_id or -1, r.kept) for r in near_duplicates(docs).collect()]
     assert sorted(rows) == [(-1, -1, True), (-1, 5, False), (2, 2, True), (5, 5, True), (5, 5, True)]
-    assert drop_near_duplicates(docs).columns == docs.columns
+    left = drop_near_duplicates(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in left.collect()) == [(-1, ""), (2, ""), (5, "a b c d e f")]
+
+
+def test_large_group_of_middling_copies(make_docs):
+    """One group of near copies, edited more or less, some beyond any link: contraction and the stream past a core."""
+    rnd = random.Random(3)
+    base = [f"w{rnd.randrange(9999)}" for _ in range(120)]
+    texts = []
+    for _ in range(700):
+        share = rnd.choice([0.005, 0.01, 0.03, 0.06, 0.09])
+        texts.append(" ".join(f"x{rnd.randrange(9999)}" if rnd.random() < share else w for w in base))
+    texts += [" ".join(base[:40] + [f"y{rnd.randrange(9999)}" for _ in range(80)]) for _ in range(100)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(make_docs(texts), 4, 80).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 4, 80)
+
+
+def test_rows_of_a_large_group_stay_in_proportion(spark):
+    """20,000 near copies of one text: rows to compare are a small multiple of the members, not of their square."""
+    rnd = random.Random(4)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for k in range(20_000):
+        words = list(base)
+        words[rnd.randrange(150)] = f"x{k}"
+        texts.append((k, " ".join(words)))
+    sets = shingle_sets([t.encode() for _, t in texts], 5)
+    tokens = minwise(sets)
+    reps = spark.createDataFrame([(k, t.tobytes()) for k, t in enumerate(tokens)], "rep long, tokens binary")
+    scratch = Scratch(spark, "t")
+    links = _Links(spark.createDataFrame(texts, "doc_id long, text string"), 5, 80, scratch)
+    groups = _compared_groups(_leaves(scratch.keep(reps, "reps"), trees_for(0.8), links, 64)).count()
+    assert groups <= 2 * len(texts)
+    assert links.labels.groupBy("component").count().count() == 1
 
 
 def test_components(spark):

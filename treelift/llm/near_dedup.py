@@ -5,17 +5,21 @@ representative of each class takes part in the join, so exact copies are never p
 
 Each representative has ``SLOTS`` minwise tokens.  In a tree, every node chooses some slots by a hash of
 its path, and a document goes on to one child per chosen slot, named by its token there: documents that
-share many tokens keep meeting.  A node of few documents is a leaf; so is one whose documents are mostly
-similar to its pivot (branching wouldn't part them).  Other nodes branch again, up to ``MAX_DEPTH``.  A pair at
-the threshold survives a tree with a probability that :func:`trees_for` works out; independent trees
-repeat until no more than one pair in a million is missed.
-
-A leaf is compared exhaustively on the tokens, which loses a link with a probability under one in a
-million, but only a spanning forest of the pairs found leaves the task, the most similar first.  These pairs are confirmed
-on the full sets and joined to components.  Where documents that tokens connect are still in different
-components, the full sets of these documents are compared with one another, and every link between
-components is found there.  So rows stay proportional to members, however large a group of copies is.
-Large leaves are compared in blocks, so no task holds an unbounded group.
+share many tokens keep meeting.  A node of at most ``LEAF_SIZE`` documents is a leaf and is compared exhaustively;
+other nodes branch again, up to ``MAX_DEPTH``.  A pair at the threshold survives a tree with a probability that
+:func:`trees_for` works out; independent trees repeat until no more than one pair in a million is missed.
+
+Only components are wanted, so large groups of copies are contracted before anything branches: the members of
+large nodes under the root are dealt to blocks of ``CONTRACT_ROWS``, each block gives a spanning forest of its most
+similar members (one row per member at most), and the links that the full sets confirm are joined to components.  From then on
+a node whose documents all are in one component is done.  One with a component that holds most of it
+(its *core*) and few others is not branched either: the others are compared with the whole node, whose core streams past
+them in blocks.  So the rows of a group stay proportional to its members.
+
+Nodes are compared by tokens first, which loses a link with a probability under one in a million, and what
+leaves a task is again a forest: each document's most similar partner of another component.  Pairs are confirmed on full
+sets.  Where documents that tokens connect are still in different components, their full sets are compared
+exhaustively, so every link that joins components is found.
 
 Defined results: a null or empty text, or one of white space, has an empty set and is linked with nothing;
 rows repeated whole share one verdict; a null id is never linked to others by the join, but takes its
@@ -34,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treelift.llm.components import components
-from treelift.llm.text import LOWER_BYTES
+from treelift.llm.text import LOWER_BYTES, free_name
 from treelift.sources.scratch import Scratch
 
 SHINGLE_WORDS = 5
@@ -42,10 +46,16 @@ SIMILARITY_PERCENT = 80
 SLOTS = 64
 ROOT_SLOTS = 2
 NODE_SLOTS = 4
-LEAF_SIZE = 2048
+LEAF_SIZE = 64
 MAX_DEPTH = 5
 TARGET_MISS = 1e-6
-BLOCK_ROWS = 4096
+#: Contraction: trees whose nodes are contracted, and members of a block that are compared with one another.
+CONTRACT_TREES = 2
+CONTRACT_ROWS = 256
+#: Others of a node that its core streams past at once, blocks of them beyond which a node branches, and rows of a stream.
+OTHERS = 256
+OTHER_BLOCKS = 4
+STREAM_ROWS = 1024
 BLOCK_BYTES = 2_000_000
 #: Ids up to which a side is broadcast (16 MB); beyond, the join is shuffled.
 BROADCAST_IDS = 2_000_000
@@ -195,8 +205,9 @@ def _sketch(words: int):
                         pa.array(one, pa.int64()),
                         pa.array(two, pa.int64()),
                         pa.array([next(tokens).tobytes() if len(s) else None for s in sets], pa.binary()),
+                        batch.column(2).slice(a, b - a),
                     ],
-                    ["doc_id", "n_shingles", "key1", "key2", "tokens"],
+                    ["doc_id", "n_shingles", "key1", "key2", "tokens", "text_key"],
                 )
 
     return run
@@ -240,97 +251,96 @@ def _roots(trees: int):
                 continue
             tokens = _token_rows(batch.column(1))
             n = len(tokens)
-            for slot, name in zip(slots, names, strict=True):
+            for k, (slot, name) in enumerate(zip(slots, names, strict=True)):
                 nodes = _children(np.full(n, name), tokens, np.full((n, 1), slot))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[:, 0].view(np.int64)), batch.column(0)], ["node", "rep"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(nodes[:, 0].view(np.int64)), batch.column(0), pa.array(np.full(n, k // ROOT_SLOTS, np.int32))],
+                    ["node", "rep", "tree"],
+                )
 
     return run
 
 
 def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (node, rep, tokens) to the children in the slots that the node chooses."""
+    """Rows of (node, rep, component, tokens) to the children in the slots that the node chooses."""
     for batch in batches:
         if not batch.num_rows:
             continue
         nodes = batch.column(0).to_numpy().view(np.uint64)
-        tokens = _token_rows(batch.column(2))
+        tokens = _token_rows(batch.column(3))
         # NODE_SLOTS distinct slots: a start and an odd step, both from the node's name
         seed = mix(nodes ^ _BASE)
         step = ((seed >> np.uint64(8)) % np.uint64(SLOTS // 2)) * np.uint64(2) + np.uint64(1)
         chosen = (seed[:, None] + np.arange(NODE_SLOTS, dtype=np.uint64) * step[:, None]) % np.uint64(SLOTS)
         names = _children(nodes, tokens, chosen.astype(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(names.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column(1).to_numpy(), NODE_SLOTS))],
-            ["node", "rep"],
+            [
+                pa.array(names.reshape(-1).view(np.int64)),
+                pa.array(np.repeat(batch.column(1).to_numpy(), NODE_SLOTS)),
+                pa.array(np.repeat(batch.column(2).to_numpy(), NODE_SLOTS)),
+            ],
+            ["node", "rep", "component"],
         )
 
 
-def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, tokens of a, tokens of b) to (a, b, number of equal tokens)."""
-    for batch in batches:
-        if batch.num_rows:
-            same = (_token_rows(batch.column(2)) == _token_rows(batch.column(3))).sum(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.int32())], ["a", "b", "same"])
-
-
-def with_agreement(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the number of their equal tokens."""
-    left = reps.select(F.col("rep").alias("a"), F.col("tokens").alias("ta"))
-    right = reps.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return joined.mapInArrow(_agreement, "a long, b long, same int")
-
-
-def _grouped(members: DataFrame) -> DataFrame:
-    """Nodes of several documents with their size, pivot and extent; nodes of the same documents count once."""
-    order = F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("rep"))
-    return (
-        members.groupBy("node")
-        .agg(
-            F.count("*").alias("size"),
-            F.min(order)["rep"].alias("pivot"),
-            F.min("rep").alias("low"),
-            F.max("rep").alias("high"),
-            F.bit_xor(F.xxhash64("rep")).alias("mark"),
-        )
-        .where("size > 1")
-        .groupBy("size", "pivot", "low", "high", "mark")
-        .agg(F.min("node").alias("node"))
-        .drop("mark")
+def _distinct_nodes(nodes: DataFrame, *more: str) -> DataFrame:
+    """Nodes of the same documents count once."""
+    same = ["size", "low", "high", "mark"]
+    return nodes.groupBy(*same).agg(F.min(F.struct("node", *more)).alias("at")).select("at.*", "size")
+
+
+def _root_nodes(members: DataFrame) -> DataFrame:
+    """Nodes of several documents, with their size."""
+    nodes = members.groupBy("node").agg(
+        F.count("*").alias("size"), F.min("rep").alias("low"), F.max("rep").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("mark")
     )
+    return _distinct_nodes(nodes.where("size > 1"))
 
 
-def leaves(reps: DataFrame, trees: int, threshold: int, scratch: Scratch, leaf_size: int = LEAF_SIZE) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) from leaves of two documents, and members (node, size, rep) of larger leaves, of all trees."""
-    members = reps.select("rep", "tokens").mapInArrow(_roots(trees), "node long, rep long")
-    pairs, found = [], []
-    for depth in range(MAX_DEPTH + 1):
-        nodes = scratch.keep(_grouped(members), f"nodes{depth}")
-        pairs.append(nodes.where("size = 2").select(F.col("low").alias("a"), F.col("high").alias("b")))
-        level = scratch.keep(members.join(nodes.where("size > 2").drop("low", "high"), "node"), f"level{depth}")
-        large = level.where(F.col("size") > leaf_size)
-        if depth == MAX_DEPTH or large.isEmpty():
-            found.append(level.select("node", "size", "rep"))
-            break
-        spokes = large.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-        near = with_agreement(spokes, reps).where(F.col("same") >= threshold).select(F.col("a").alias("pivot"), F.col("b").alias("rep"))
-        tight = large.join(near, ["pivot", "rep"], "left_semi").groupBy("node", "size").count().where("2 * count >= size")
-        tight = scratch.keep(tight.select("node"), "tight")
-        found.append(level.where(F.col("size") <= leaf_size).select("node", "size", "rep"))
-        found.append(large.join(tight, "node", "left_semi").select("node", "size", "rep"))
-        parted = large.join(tight, "node", "left_anti").select("node", "rep")
-        if parted.isEmpty():
-            break
-        members = parted.join(reps, "rep").select("node", "rep", "tokens").mapInArrow(_branch, "node long, rep long")
-    return reduce(DataFrame.unionByName, pairs).distinct(), reduce(DataFrame.unionByName, found)
+def _mixed_nodes(members: DataFrame) -> DataFrame:
+    """Nodes with documents of several components: size, core (their largest component) and how many are not in it."""
+    shares = members.groupBy("node", "component").agg(
+        F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("mark")
+    )
+    nodes = shares.groupBy("node").agg(
+        F.sum("n").alias("size"),
+        F.max(F.struct("n", "component")).alias("core"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+        F.bit_xor("mark").alias("mark"),
+    )
+    nodes = nodes.where("core.n < size").withColumns({"others": F.col("size") - F.col("core.n"), "core": F.col("core.component")})
+    return _distinct_nodes(nodes, "core", "others")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows with the component of their document: itself, where it has no link yet."""
+    if labels is None:
+        return rows.withColumn("component", F.col("rep"))
+    return rows.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
 
+def _leaf_rows(members: DataFrame, last: Column, leaf_size: int) -> tuple[DataFrame, DataFrame]:
+    """Members of nodes that are compared now, and of those that branch. members: node, size, core, others, rep, component."""
+    leaf = F.col("size") <= leaf_size
+    cored = (2 * F.col("others") <= F.col("size")) & (F.col("others") <= OTHERS * OTHER_BLOCKS)
+    compared = leaf | cored | last
+    other = (~cored & (leaf | last)) | (F.col("component") != F.col("core"))
+    blocks = F.when(cored, F.col("others")).otherwise(F.col("size"))
+    now = members.where(compared).select("node", "size", "rep", "component", other.alias("other"), F.ceil(blocks / OTHERS).cast("int").alias("blocks"))
+    return now, members.where(~compared).select("node", "rep", "component")
 
-def _in_blocks(members: DataFrame, *carried: str) -> DataFrame:
-    """Members of leaves, once for each pair of blocks (i, j) that their block is part of."""
-    blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    rows = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return rows.select("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "size", "rep", *carried)
+
+def _compared_groups(rows: DataFrame) -> DataFrame:
+    """Members once for each group (node, i, s) they are part of: block i of the others meets part s of the stream."""
+    parts = F.ceil(F.col("size") / STREAM_ROWS).cast("int")
+    place = F.xxhash64("rep")
+    own, part = F.pmod(place, F.col("blocks")).cast("int"), F.pmod(F.shiftright(place, 20), parts).cast("int")
+    held = F.transform(F.sequence(F.lit(0), parts - 1), lambda s: F.struct(own.alias("i"), s.alias("s"), F.lit(True).alias("held")))
+    before = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: ~F.col("other") | (i < own))
+    passing = F.transform(before, lambda i: F.struct(i.alias("i"), part.alias("s"), F.lit(False).alias("held")))
+    at = F.explode(F.when(F.col("other"), F.concat(held, passing)).otherwise(passing)).alias("at")
+    return rows.select("node", "rep", "component", at).select("node", "at.i", "at.s", "at.held", "rep", "component")
 
 
 def _runs_of(batches: Iterator[pa.RecordBatch], n_keys: int, rows: int = 4096) -> Iterator[pa.Table]:
@@ -362,95 +372,177 @@ def _groups_of(table: pa.Table, n_keys: int) -> Iterator[tuple[int, int]]:
     yield from zip([0, *edge.tolist()], [*edge.tolist(), table.num_rows], strict=True)
 
 
-def _forest(tokens: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Greatest spanning forest of the pairs with enough equal tokens: each row's tree, and its link to an earlier row or -1."""
+def _forest(tokens: np.ndarray, components: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+    """Greatest spanning forest of the pairs with enough equal tokens and different components."""
     n = len(tokens)
-    tree, link = np.full(n, -1), np.full(n, -1)
+    waiting = np.ones(n, bool)
     best, by = np.zeros(n, np.int64), np.full(n, -1)
+    links = []
     for start in range(n):
-        if tree[start] >= 0:
+        if not waiting[start]:
             continue
-        k, label = start, start
+        k = start
         while True:
-            tree[k], best[k] = label, -1
-            link[k] = by[k]
-            same = (tokens == tokens[k]).sum(1)
-            nearer = (same > best) & (same >= threshold) & (tree < 0)
-            best[nearer], by[nearer] = same[nearer], k
-            waiting = np.where(tree < 0, best, -1)
-            k = int(waiting.argmax())
-            if waiting[k] < threshold:
+            joined = np.flatnonzero(waiting & (components == components[k]))
+            waiting[joined] = False
+            for j in joined.tolist():
+                same = (tokens == tokens[j]).sum(1)
+                nearer = waiting & (same > best) & (same >= threshold)
+                best[nearer], by[nearer] = same[nearer], j
+            near = np.where(waiting, best, -1)
+            k = int(near.argmax())
+            if near[k] < threshold:
                 break
-    return tree, link
+            links.append((k, int(by[k])))
+        best[waiting] = 0
+    return links
+
+
+def _contract(threshold: int):
+    """(node, block, rep, tokens) in order to candidate links, a forest of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs_of(batches, 2):
+            reps = table.column(2).to_numpy()
+            tokens = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint32).reshape(-1, SLOTS)
+            links = []
+            for a, b in _groups_of(table, 2):
+                links += [(a + x, a + y) for x, y in _forest(tokens[a:b], np.arange(b - a), threshold)]
+            if links:
+                x, y = np.array(links).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(reps[x], reps[y])), pa.array(np.maximum(reps[x], reps[y]))], ["a", "b"])
+
+    return run
 
 
-def _sketch_leaves(threshold: int):
-    """(node, i, j, rep, tokens) in order to (node, tree, rep, link): documents that tokens connect."""
+def _compare_tokens(threshold: int):
+    """(node, i, s, held, rep, component, tokens) in order to (node, i, s, held, rep, link).
+
+    A row per document that tokens connect to one of another component; link names the partner to confirm, if any.
+    """
+
+    def solve(held: np.ndarray, components: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        near = np.zeros(len(held), bool)
+        here = np.flatnonzero(held)
+        best, by = np.zeros(len(here), np.int64), np.full(len(here), -1)
+        for k in range(len(held)):
+            same = (tokens[here] == tokens[k]).sum(1)
+            same[components[here] == components[k]] = 0
+            close = same >= threshold
+            if close.any():
+                near[k] = True
+                near[here[close]] = True
+                if not held[k]:
+                    closer = close & (same > best)
+                    best[closer], by[closer] = same[closer], k
+        links = [(here[x], here[y]) for x, y in _forest(tokens[here], components[here], threshold)]
+        return near, links + [(here[k], by[k]) for k in np.flatnonzero(by >= 0)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs_of(batches, 3):
-            reps, nodes = table.column(3).to_numpy(), table.column(0).to_numpy()
-            tokens = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint32).reshape(-1, SLOTS)
-            out = []
+            place = [table.column(k).to_numpy() for k in range(3)]
+            held, reps, components = (table.column(k).to_numpy() for k in (3, 4, 5))
+            tokens = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint32).reshape(-1, SLOTS)
+            rows, partner = [], []
             for a, b in _groups_of(table, 3):
-                tree, link = _forest(tokens[a:b], threshold)
-                counts = np.bincount(tree, minlength=b - a)
-                rows = np.flatnonzero(counts[tree] > 1)
-                if len(rows):
-                    linked = np.where(link[rows] >= 0, reps[a + np.maximum(link[rows], 0)], reps[a + rows])
-                    out.append((nodes[a + rows], reps[a + tree[rows]], reps[a + rows], linked))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["node", "tree", "rep", "link"])
+                near, links = solve(held[a:b], components[a:b], tokens[a:b])
+                found = a + np.flatnonzero(near)
+                rows += [*found.tolist(), *(a + int(x) for x, _ in links)]
+                partner += [*reps[found].tolist(), *(int(reps[a + y]) for _, y in links)]
+            if rows:
+                at = np.array(rows)
+                columns = [*(c[at] for c in place), held[at], reps[at], np.array(partner, np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "i", "s", "held", "rep", "link"])
 
     return run
 
 
-def _exact_leaves(percent: int):
-    """(node, tree, i, j, rep, component, shingles) in order to links (a, b) that join different components."""
+class _Held:
+    """The held documents of one group: their sets as an index, and the components that links have joined."""
 
-    def solve(reps: np.ndarray, comps: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-        _, label, held = np.unique(comps, return_inverse=True, return_counts=True)
-        root = list(range(len(held)))
+    def __init__(self, percent: int) -> None:
+        self.percent, self.reps, self.components, self.sets = percent, [], [], []
+        self.root: dict[int, int] = {}
+        self.values: np.ndarray | None = None
 
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
+    def find(self, x: int) -> int:
+        while (up := self.root.get(x, x)) != x:
+            self.root[x] = self.root.get(up, up)
+            x = up
+        return x
 
-        size = np.array([len(s) for s in sets])
-        owner = np.repeat(np.arange(len(sets)), size)
-        flat = np.concatenate(sets)
+    def hold(self, rep: int, component: int, shingles: np.ndarray) -> None:
+        self.reps.append(rep)
+        self.components.append(component)
+        self.sets.append(shingles)
+
+    def index(self) -> None:
+        self.size = np.array([len(s) for s in self.sets])
+        flat = np.concatenate(self.sets)
         order = np.argsort(flat, kind="stable")
-        values, begin = np.unique(flat[order], return_index=True)
-        stop = np.append(begin[1:], len(flat))
-        owner = owner[order]
-        largest = int(held.argmax())
-        for k in np.flatnonzero(label != largest).tolist():
-            at = np.searchsorted(values, sets[k])
-            both = np.bincount(np.concatenate([owner[begin[v] : stop[v]] for v in at.tolist()]), minlength=len(sets))
-            linked = np.flatnonzero((100 * both >= percent * (size + size[k] - both)) & (label != label[k]))
-            for j in linked.tolist():
-                x, y = find(int(label[k])), find(int(label[j]))
-                if x != y:
-                    root[x] = y
-                    yield int(reps[k]), int(reps[j])
+        self.owner = np.repeat(np.arange(len(self.sets)), self.size)[order]
+        self.values, self.begin = np.unique(flat[order], return_index=True)
+        self.stop = np.append(self.begin[1:], len(flat))
+
+    def links(self, rep: int, component: int, shingles: np.ndarray) -> list[tuple[int, int]]:
+        """Links of a document to held ones of other components, as far as they join them."""
+        if not self.sets:
+            return []
+        if self.values is None:
+            self.index()
+        at = np.minimum(np.searchsorted(self.values, shingles), len(self.values) - 1)
+        at = at[self.values[at] == shingles]
+        if not len(at):
+            return []
+        both = np.bincount(np.concatenate([self.owner[self.begin[v] : self.stop[v]] for v in at.tolist()]), minlength=len(self.sets))
+        out = []
+        for j in np.flatnonzero(100 * both >= self.percent * (self.size + len(shingles) - both)).tolist():
+            x, y = self.find(component), self.find(self.components[j])
+            if x != y:
+                self.root[x] = y
+                out.append((rep, self.reps[j]))
+        return out
+
+
+def _compare_sets(percent: int):
+    """(node, i, s, held, rep, component, shingles), held ones first, to links (a, b) that join different components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _runs_of(batches, 4, 256):
-            reps, comps = table.column(4).to_numpy(), table.column(5).to_numpy()
-            column = table.column(6).combine_chunks()
+        key, group = None, _Held(percent)
+        for batch in batches:
+            place = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            held, reps, comps = (batch.column(k).to_pylist() for k in (3, 4, 5))
+            column = batch.column(6)
             flat, offsets = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
-            links = []
-            for a, b in _groups_of(table, 4):
-                links += solve(reps[a:b], comps[a:b], [flat[offsets[k] : offsets[k + 1]] for k in range(a, b)])
+            links: list[tuple[int, int]] = []
+            for k, at in enumerate(place):
+                shingles = flat[offsets[k] : offsets[k + 1]]
+                if at != key:
+                    if group.reps:
+                        links += _among(group)
+                    key, group = at, _Held(percent)
+                if held[k]:
+                    group.hold(reps[k], comps[k], shingles.copy())
+                else:
+                    links += group.links(reps[k], comps[k], shingles)
             if links:
-                x, y = zip(*links, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+                yield _pairs(links)
+        if group.reps and (links := _among(group)):
+            yield _pairs(links)
 
     return run
 
 
+def _among(group: _Held) -> list[tuple[int, int]]:
+    """Links among the held documents of a group."""
+    return [link for row in zip(group.reps, group.components, group.sets, strict=True) for link in group.links(*row)]
+
+
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    x, y = zip(*links, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+
 def _set_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """Full shingle sets of the documents named; their ids are broadcast only while they are few."""
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
@@ -468,73 +560,144 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
 
 
+def _contracted(level: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Candidate links (a, b) within blocks of the large nodes. level: node, size, rep."""
+    blocks = F.ceil(F.col("size") / CONTRACT_ROWS)
+    dealt = level.select("node", F.pmod(F.xxhash64("rep", F.lit(CONTRACT_ROWS)), blocks).cast("int").alias("block"), "rep").join(reps, "rep")
+    dealt = dealt.select("node", "block", "rep", "tokens").repartition(_parts(level), "node", "block").sortWithinPartitions("node", "block")
+    return dealt.mapInArrow(_contract(SLOTS * percent * 9 // 1000), "a long, b long").distinct()
+
+
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+
+
+class _Links:
+    """Confirmed links so far, and the components they make."""
+
+    def __init__(self, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> None:
+        self.docs, self.words, self.percent, self.scratch = docs, words, percent, scratch
+        self.tables: list[DataFrame] = []
+        self.labels: DataFrame | None = None
+
+    def add(self, links: DataFrame) -> None:
+        self.tables.append(links)
+        old = self.labels
+        joined = components(reduce(DataFrame.unionByName, self.tables), self.scratch)
+        self.labels = self.scratch.keep(joined.select(F.col("node").alias("rep"), "component"), "labels")
+        if old is not None:
+            self.scratch.drop(old)
+
+    def confirm(self, candidates: DataFrame) -> None:
+        candidates = self.scratch.keep(candidates, "candidates")
+        sets = self.scratch.keep(_set_table(self.docs, _ends(candidates), self.words), "sets")
+        self.add(self.scratch.keep(confirm(candidates, sets, self.percent), "links"))
+        self.scratch.drop(candidates, sets)
+
+
+def _leaves(reps: DataFrame, trees: int, links: _Links, leaf_size: int) -> DataFrame:
+    """Members of the nodes to compare (node, size, rep, component, other, blocks), of all trees and depths."""
+    scratch = links.scratch
+    roots = reps.select("rep", "tokens").mapInArrow(_roots(trees), "node long, rep long, tree int")
+    nodes = scratch.keep(_root_nodes(roots), "roots")
+    level = scratch.keep(roots.join(nodes, "node").select("node", "size", "rep", "tree"), "level")
+    large = level.where(F.col("size") > leaf_size)
+    if not large.isEmpty():
+        links.confirm(_contracted(large.where(F.col("tree") < CONTRACT_TREES), reps, links.percent))
+    members = _labelled(level.select("node", "rep"), links.labels)
+    found = []
+    for depth in range(MAX_DEPTH + 1):
+        nodes = scratch.keep(_mixed_nodes(members), f"nodes{depth}")
+        now, parted = _leaf_rows(members.join(nodes, "node"), F.lit(depth == MAX_DEPTH), leaf_size)
+        found.append(scratch.keep(now, f"leaves{depth}"))
+        if depth == MAX_DEPTH:
+            break
+        parted = scratch.keep(parted.join(reps, "rep").select("node", "rep", "component", "tokens"), f"parted{depth}")
+        if parted.isEmpty():
+            break
+        members = parted.mapInArrow(_branch, "node long, rep long, component long")
+    return reduce(DataFrame.unionByName, found)
+
+
 def near_duplicates(
     docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT, leaf_size: int = LEAF_SIZE
 ) -> DataFrame:
     """One row per document: size of its set, smallest id of its component, and whether it is the one kept."""
+    return _verdicts(docs, words, percent, leaf_size).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _verdicts(docs: DataFrame, words: int, percent: int, leaf_size: int = LEAF_SIZE) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("text_key"))
     trees, threshold = trees_for(percent / 100), token_threshold(percent / 100)
 
     sketches = scratch.keep(
-        docs.mapInArrow(_sketch(words), "doc_id long, n_shingles long, key1 long, key2 long, tokens binary"), "sketches"
+        docs.mapInArrow(_sketch(words), "doc_id long, n_shingles long, key1 long, key2 long, tokens binary, text_key long"), "sketches"
     )
     keys = ["key1", "key2", "n_shingles"]
     classes = scratch.keep(
-        sketches.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens")), "classes"
+        sketches.where("n_shingles > 0").groupBy(*keys).agg(
+            F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), F.min("text_key").alias("first_key")
+        ),
+        "classes",
     )
     reps = classes.where("rep is not null").select("rep", "tokens")
-    pairs, members = leaves(reps, trees, threshold, scratch, leaf_size)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    # similar by their tokens: pairs, and trees of documents in leaves
-    near_pairs = with_agreement(pairs, reps).where(F.col("same") >= threshold).select("a", "b")
-    place = ["node", "i", "j"]
-    rows = _in_blocks(members).join(reps, "rep").select(*place, "rep", "tokens")
-    rows = rows.repartition(parts, *place).sortWithinPartitions(*place)
-    connected = scratch.keep(rows.mapInArrow(_sketch_leaves(threshold), "node long, tree long, rep long, link long"), "connected")
-    branches = connected.where("rep <> link").select(F.least("rep", "link").alias("a"), F.greatest("rep", "link").alias("b"))
-    candidates = scratch.keep(near_pairs.unionByName(branches).distinct(), "candidates")
-
-    # confirmed on the full sets
-    sets = scratch.keep(_set_table(docs, _ends(candidates), words), "sets")
-    links = scratch.keep(confirm(candidates, sets, percent), "links")
-    labels = scratch.keep(components(links, scratch), "labels").select(F.col("node").alias("rep"), "component")
-
-    # trees that are still in several components
-    marked = connected.select("node", "tree", "rep").distinct().join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    links = _Links(docs, words, percent, scratch)
+    groups = _compared_groups(_leaves(reps, trees, links, leaf_size))
+
+    # similar by their tokens
+    place = ["node", "i", "s"]
+    rows = groups.join(reps, "rep").select(*place, "held", "rep", "component", "tokens")
+    rows = rows.repartition(_parts(docs), *place).sortWithinPartitions(*place)
+    near = scratch.keep(
+        rows.mapInArrow(_compare_tokens(threshold), "node long, i int, s int, held boolean, rep long, link long"), "near"
+    )
+    links.confirm(near.where("rep <> link").select(F.least("rep", "link").alias("a"), F.greatest("rep", "link").alias("b")).distinct())
+
+    # groups that are still in several components: their full sets
+    marked = _labelled(near.select(*place, "held", "rep").distinct(), links.labels)
     split = (
-        marked.groupBy("node", "tree")
-        .agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y"), F.bit_xor(F.xxhash64("rep")).alias("mark"))
+        marked.groupBy(*place)
+        .agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"), F.bit_xor(F.xxhash64("rep", "held")).alias("mark"))
         .where("x < y")
-        .groupBy("size", "mark", "x", "y")
-        .agg(F.min(F.struct("node", "tree")).alias("at"))
-        .select("at.*", "size")
+        .groupBy("n", "mark", "x", "y")
+        .agg(F.min(F.struct(*place)).alias("at"))
+        .select("at.*")
     )
-    place = ["node", "tree", "i", "j"]
-    rows = scratch.keep(_in_blocks(marked.join(split, ["node", "tree"]), "tree", "component"), "split")
+    rows = scratch.keep(marked.join(split, place), "split")
     if not rows.isEmpty():
-        rows = rows.join(sets, "rep").select(*place, "rep", "component", "shingles")
-        rows = rows.repartition(parts, *place).sortWithinPartitions(*place)
-        more = rows.mapInArrow(_exact_leaves(percent), "a long, b long")
-        labels = scratch.keep(components(links.unionByName(scratch.keep(more, "more")), scratch), "labels").select(
-            F.col("node").alias("rep"), "component"
-        )
-
-    placed = classes.drop("tokens").join(labels, "rep", "left").select(*keys, F.coalesce("component", "rep").alias("component_id"))
-    out = sketches.select("doc_id", *keys).join(placed, keys, "left")
+        sets = _set_table(docs, rows.select("rep").distinct(), words)
+        rows = rows.join(sets, "rep").select(*place, "held", "rep", "component", "shingles")
+        rows = rows.repartition(_parts(docs), *place).sortWithinPartitions(*place, F.desc("held"))
+        more = scratch.keep(rows.mapInArrow(_compare_sets(percent), "a long, b long"), "more")
+        if not more.isEmpty():
+            links.add(more)
+
+    placed = classes.join(links.labels, "rep", "left").select(*keys, "first_key", F.coalesce("component", "rep").alias("component_id"))
+    out = sketches.select("doc_id", "text_key", *keys).join(placed, keys, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return out.select("doc_id", "text_key", "n_shingles", "first_key", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-
-
 def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
-    """One document of each component, with all its columns."""
-    kept = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__id"]), "left_semi")
+    """One document of each component, with all its columns.
+
+    Of rows that share id and text one stays; of texts without an id that have the same set one stays, if none with an id has it.
+    """
+    verdicts = _verdicts(docs, words, percent).where(
+        "kept and (doc_id is not null or n_shingles = 0 or text_key = first_key)"
+    )
+    ident, key, rows = (free_name(docs, n) for n in ("id", "key", "rows"))
+    kept = verdicts.groupBy(F.col("doc_id").alias(ident), F.col("text_key").alias(key)).agg(F.count("*").alias(rows))
+    kept = Scratch(docs.sparkSession, "kept").keep(kept, "kept")
+    same = docs["doc_id"].cast("long").eqNullSafe(kept[ident]) & (F.xxhash64(docs["text"]) == kept[key])
+    once = docs.join(kept.where(f"{rows} = 1"), same, "left_semi")
+    again = docs.join(kept.where(f"{rows} > 1"), same).dropDuplicates([ident, key]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return once.unionByName(again)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -15,3 +15,11 @@ LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z only; null becomes the empty text."""
     return F.translate(F.coalesce(col, F.lit("")), UPPER, LOWER)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken or not name.startswith("_"):
+        name = f"_{name}"
+    return name
