@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from treelift.llm.toxicity import BlockMaxIndex, Neighbours, drop_toxic, isotonic, score_documents
+from treelift.llm.toxicity import BlockMaxIndex, Neighbours, drop_toxic, isotonic, score_documents, term_counts
 
 
 def test_nearest_are_exact():
@@ -17,13 +17,10 @@ def test_nearest_are_exact():
         dense[k, terms] = weights
     index = BlockMaxIndex(rows, 20)
     for k in range(100):
-        for skip in (-1, k):
-            cosines = dense @ dense[k]
-            if skip >= 0:
-                cosines[skip] = -1
-            want = np.lexsort((np.arange(500), -cosines.round(12)))[:16]
-            ids, got = index.nearest(*rows[k], 16, skip)
-            assert np.allclose(got, cosines[want]) and np.allclose(np.sort(cosines[ids]), np.sort(cosines[want]))
+        cosines = dense @ dense[k]
+        want = np.lexsort((np.arange(500), -cosines.round(12)))[:16]
+        ids, got = index.nearest(*rows[k], 16)
+        assert np.allclose(got, cosines[want]) and np.allclose(np.sort(cosines[ids]), np.sort(cosines[want]))
     assert len(BlockMaxIndex([], 3).nearest(np.array([0]), np.array([1.0]), 5)[0]) == 0
 
 
@@ -31,7 +28,22 @@ def test_isotonic():
     x, y = isotonic([0.1, 0.2, 0.2, 0.5, 0.9, 0.9], [0, 1, 0, 0, 1, 1])
     assert list(x) == sorted(x) and (np.diff(y) >= 0).all() and 0 < y[0] < y[-1] < 1
     assert len(isotonic([], [])[0]) == 0
-    assert Neighbours([], np.zeros(3)).score(5, [0], [1]) == (0.0, [])
+    assert Neighbours([], {}, np.zeros(0)).vote({"a": 1}) == (0.0, [])
+
+
+def test_terms():
+    assert term_counts("RUNNING runner run 12".encode()) == {"runn": 2, "run": 1}
+    assert sum(term_counts("字".encode() * 50).values()) == 13 and term_counts(None) == {}
+
+
+def test_every_term_counts():
+    """A rare term that a single example holds still decides which example is nearest."""
+    examples = [(1, 1, 0, ["aaaa", "bbbb"], [1, 1]), (2, 0, 1, ["aaaa", "cccc"], [1, 1]), (3, 0, 0, ["dddd"], [2])]
+    vocabulary = {t: k for k, t in enumerate(["aaaa", "bbbb", "cccc", "dddd"])}
+    model = Neighbours(examples, vocabulary, np.ones(4))
+    assert [e[0] for e in model.vote({"bbbb": 1, "zzzz": 3})[1]] == [1]
+    assert [e[0] for e in model.vote({"aaaa": 1, "cccc": 1})[1]] == [2, 1]
+    assert model.vote({"zzzz": 1}) == (0.0, [])
 
 
 def corpus(n, seed):

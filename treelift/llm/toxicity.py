@@ -1,19 +1,21 @@
 """Toxicity by the nearest labelled examples, in exact TF-IDF cosine over a block-max inverted index.
 
-Terms are byte n-grams of words, with a space at a word's ends, that labelled toxic texts hold more often than others; they are chosen from
-at most ``MAX_EXAMPLES`` labelled rows, as the examples are.  Document frequencies are counted over all documents.  Each
-vector also has a length term, the square root of the number of words, so that one odd word in a long text
-and many in a short one point in different directions.
+A term is a word in lower case cut to its first ``STEM`` letters, which joins a word's inflected forms in any language; a run
+of more than ``LONG_RUN`` letters (scripts without spaces) gives all its pieces of that length.  Every term of the at most
+``MAX_EXAMPLES`` labelled examples is in the index.  A weight is (1 + log count) · idf · contrast: idf comes from the
+document frequencies over all documents, contrast is how far labelled texts of either kind differ in holding
+the term, in standard errors above ``NOISE``, and ``FLOOR`` for all other terms, so no term is left out.  Terms that no example
+holds are in no cosine's dot product, and change all cosines of a text alike.
 
 The index keeps, for each term, the examples that hold it, in blocks of ``BLOCK`` with the largest
 weight of each.  A query bounds every block by its terms' block maxima, opens blocks in that order, and stops
-when no block can reach the neighbours at hand; so the neighbours are exact.  Examples without any
-term all lie at the same place, and vote together by their share of label 1.  The votes, weighted by similarity, are calibrated by isotonic
-regression on the examples, each scored without itself.
+when no block can reach the neighbours at hand; so the neighbours are exact.  Their votes, weighted by a power of the
+cosine, are calibrated by isotonic regression: the examples are dealt to two halves, and each half is scored with contrasts and
+neighbours of the other half only.
 
-Defined results: a null or empty text has no terms and gets the score of such examples; with no labelled rows every
-score is 0; of a document's labels the largest counts, null labels don't; rows repeated are scored each; a null id is not held out;
-an empty table gives an empty result; additional columns are ignored.
+Defined results: a text that shares no term with the examples (a null or empty one, too) gets the least calibrated score; with no
+labelled rows every score is 0; of a document's labels the largest counts, null labels don't; rows repeated are scored each;
+a null id is not held out; an empty table gives an empty result; additional columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,128 +28,68 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treelift.llm.text import free_name
 from treelift.sources.scratch import Scratch
 
 MAX_EXAMPLES = 4096
-MAX_TERMS = 400
 NEIGHBOURS = 16
 POWER = 4
 BLOCK = 64
+OPENED = 8
 THRESHOLD = 0.7
-MIN_SUPPORT = 4
-GRAM_SIZES = range(4, 9)
-LEVELS = (1, 2, 3)
-FLUSH = 200_000
-MEMO_WORDS = 20_000
+STEM = 4
+LONG_RUN = 24
+NOISE = 2.0
+FLOOR = 0.1
 
 #: bytes.translate table: letters in lower case, bytes of other characters as they are, all else a space.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
-_COUNTS = [f"{label}{level}" for level in LEVELS for label in "ab"]
-_VECTOR = "doc_id long, n_words long, terms array<int>, counts array<int>"
+
+#: An example: id, label, half that it belongs to, its terms and how often it holds each.
+Example = tuple[int, int, int, list[str], list[int]]
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def word_grams(word: bytes) -> set[bytes]:
-    padded = b" " + word + b" "
-    return {padded} | {padded[i : i + n] for n in GRAM_SIZES for i in range(len(padded) - n + 1)}
+def term_counts(text: bytes | None) -> Counter[str]:
+    """How often a text holds each of its terms."""
+    words = (text or b"").translate(_LETTERS).decode("utf-8").split()
+    counts = Counter([w[:STEM] for w in words if len(w) <= LONG_RUN])
+    for w in words:
+        if len(w) > LONG_RUN:
+            counts.update(w[k : k + STEM] for k in range(0, len(w), STEM))
+    return counts
 
 
-def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, toxic) to grams with the number of texts of either label that hold them once, twice and three times."""
-    totals: dict[bytes, list[int]] = {}
-    memo: dict[bytes, set[bytes]] = {}
+def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, toxic, half, text) to (doc_id, toxic, half, terms, counts)."""
+    for batch in batches:
+        counts = [term_counts(t) for t in batch.column(3).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [
+                *batch.columns[:3],
+                pa.array([list(c) for c in counts], pa.list_(pa.string())),
+                pa.array([list(c.values()) for c in counts], pa.list_(pa.int32())),
+            ],
+            ["doc_id", "toxic", "half", "terms", "counts"],
+        )
 
-    def drain():
-        columns = list(zip(*totals.values(), strict=True)) or [[]] * len(_COUNTS)
-        arrays = [pa.array(list(totals), pa.binary()), *(pa.array(c, pa.int64()) for c in columns)]
-        return pa.RecordBatch.from_arrays(arrays, ["gram", *_COUNTS])
 
-    for batch in batches:
-        for text, toxic in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            grams: Counter[bytes] = Counter()
-            for word, n in Counter((text or b"").translate(_LETTERS).split()).items():
-                if word not in memo:
-                    if len(memo) > MEMO_WORDS:
-                        memo.clear()
-                    memo[word] = word_grams(word)
-                for gram in memo[word]:
-                    grams[gram] += n
-            for gram, n in grams.items():
-                row = totals.setdefault(gram, [0] * len(_COUNTS))
-                for k, level in enumerate(LEVELS):
-                    if n >= level:
-                        row[2 * k + (0 if toxic else 1)] += 1
-            if len(totals) > FLUSH:
-                yield drain()
-                totals.clear()
-    yield drain()
-
-
-def choose_terms(examples: DataFrame, limit: int = MAX_TERMS) -> list[bytes]:
-    """The terms that tell labelled toxic texts best. examples: text, toxic."""
-    sizes = examples.agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b")).first()
-    if not sizes.a or not sizes.b:
-        return []
-    schema = "gram binary, " + ", ".join(f"{c} long" for c in _COUNTS)
-    counts = examples.select("text", "toxic").mapInArrow(_gram_counts, schema)
-    counts = counts.groupBy("gram").agg(*(F.sum(c).alias(c) for c in _COUNTS))
-    best = F.lit(0.0)
-    for level in LEVELS:
-        a, b = F.col(f"a{level}"), F.col(f"b{level}")
-        share = (a + b + 0.5) / (sizes.a + sizes.b + 1)
-        gap = (a + 0.5) / (sizes.a + 1) - (b + 0.5) / (sizes.b + 1)
-        score = gap / F.sqrt(share * (1 - share) * (1 / sizes.a + 1 / sizes.b))
-        best = F.greatest(best, F.when((a >= MIN_SUPPORT) & (a >= b), score).otherwise(0.0))
-    ranked = counts.withColumn("best", best).where("best > 0").orderBy(F.desc("best"), "gram").limit(8 * limit).collect()
-    chosen: list[bytes] = []
-    taken: dict[tuple, list[bytes]] = {}
-    # of grams with the same counts, one that lies within another tells nothing more
-    for row in sorted(ranked, key=lambda r: (-r.best, -len(r.gram), bytes(r.gram))):
-        gram, counted = bytes(row.gram), tuple(row[c] for c in _COUNTS)
-        if any(gram in longer for longer in taken.get(counted, ())):
-            continue
-        taken.setdefault(counted, []).append(gram)
-        chosen.append(gram)
-        if len(chosen) == limit:
-            break
-    return chosen
-
-
-def _vectors(terms: list[bytes]):
-    """(doc_id, text) to the number of words and of each term."""
+def _holding(shared):
+    """Texts to the number of them that hold each term of the vocabulary, and the number of texts under term -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        machine = ahocorasick.Automaton()
-        for k, term in enumerate(terms):
-            machine.add_word(term.decode("latin-1"), k)
-        if terms:
-            machine.make_automaton()
+        vocabulary = shared.value
+        held, n = np.zeros(len(vocabulary), np.int64), 0
         for batch in batches:
-            n_words, found, counts = [], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                words = (text or b"").translate(_LETTERS).split()
-                n_words.append(len(words))
-                here: Counter[int] = Counter()
-                if terms and words:
-                    line = b" " + b"  ".join(words) + b" "
-                    here.update(k for _, k in machine.iter(line.decode("latin-1")))
-                keys = sorted(here)
-                found.append(keys)
-                counts.append([here[k] for k in keys])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(n_words, pa.int64()),
-                    pa.array(found, pa.list_(pa.int32())),
-                    pa.array(counts, pa.list_(pa.int32())),
-                ],
-                ["doc_id", "n_words", "terms", "counts"],
-            )
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                here = [vocabulary[t] for t in term_counts(text) if t in vocabulary]
+                held[here] += 1
+                n += 1
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(held[at], n))], ["term", "n"])
 
     return run
 
@@ -159,82 +101,85 @@ class BlockMaxIndex:
         """rows: terms and weights of each example."""
         self.n = len(rows)
         self.blocks = -(-self.n // BLOCK)
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for k, (terms, weights) in enumerate(rows):
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                lists[t].append((k, w))
-        self.examples = [np.array([e for e, _ in x], np.int64) for x in lists]
-        self.weights = [np.array([w for _, w in x]) for x in lists]
-        edges = np.arange(self.blocks + 1) * BLOCK
-        self.begin = np.array([np.searchsorted(x, edges) for x in self.examples]).reshape(n_terms, self.blocks + 1)
-        self.most = np.zeros((n_terms, self.blocks))
-        for t in range(n_terms):
-            np.maximum.at(self.most[t], self.examples[t] // BLOCK, self.weights[t])
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        sizes = [len(t) for t, _ in rows]
+        terms = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in rows)])
+        weights = np.concatenate([np.zeros(0), *(w for _, w in rows)])
+        examples = np.repeat(np.arange(self.n), sizes)
+        order = np.argsort(terms, kind="stable")  # by term, then by example
+        self.examples, self.weights = examples[order], weights[order]
+        cell = terms[order] * self.blocks + self.examples // BLOCK
+        self.begin = np.searchsorted(cell, np.arange(n_terms * self.blocks + 1))
+        self.most = np.zeros(n_terms * self.blocks)
+        np.maximum.at(self.most, cell, self.weights)
+        self.most = self.most.reshape(n_terms, self.blocks)
+
+    def _open(self, blocks: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Cosines of all examples, right for those in the blocks."""
+        cells = (terms[:, None] * self.blocks + blocks).ravel()
+        first, count = self.begin[cells], self.begin[cells + 1] - self.begin[cells]
+        total = np.cumsum(count)
+        at = np.repeat(first - total + count, count) + np.arange(total[-1] if len(total) else 0)
+        return np.bincount(self.examples[at], np.repeat(np.repeat(weights, len(blocks)), count) * self.weights[at], self.n)
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine (of equals, the first), and their cosines."""
-        if not self.n:
-            return np.zeros(0, np.int64), np.zeros(0)
         bound = weights @ self.most[terms]
-        ids, cosines, least = np.zeros(0, np.int64), np.zeros(0), -1.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if len(ids) == k and bound[b] < least - 1e-12:
+        order = np.argsort(-bound, kind="stable")
+        ids, cosines = np.zeros(0, np.int64), np.zeros(0)
+        for at in range(0, self.blocks, OPENED):
+            blocks = order[at : at + OPENED]
+            if len(ids) == k and bound[blocks[0]] < cosines[-1] - 1e-12:
                 break
-            score = np.zeros(min(BLOCK, self.n - b * BLOCK))
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                i, j = self.begin[t, b], self.begin[t, b + 1]
-                if i < j:
-                    score[self.examples[t][i:j] - b * BLOCK] += w * self.weights[t][i:j]
-            here = np.arange(len(score)) + b * BLOCK
-            if b == skip // BLOCK and skip >= 0:
-                here, score = np.delete(here, skip - b * BLOCK), np.delete(score, skip - b * BLOCK)
-            ids, cosines = np.concatenate([ids, here]), np.concatenate([cosines, score])
+            scores = self._open(blocks, terms, weights)
+            here = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            here = here[here < self.n]
+            ids, cosines = np.concatenate([ids, here]), np.concatenate([cosines, scores[here]])
             top = np.lexsort((ids, -cosines))[:k]
             ids, cosines = ids[top], cosines[top]
-            if len(ids) == k:
-                least = cosines[-1]
         return ids, cosines
 
 
 class Neighbours:
-    """Scores vectors by labelled examples."""
-
-    def __init__(self, examples: list[tuple], idf: np.ndarray) -> None:
-        """examples: (doc_id, toxic, n_words, terms, counts)."""
-        self.idf = idf
-        with_terms = sorted((e for e in examples if len(e[3])), key=lambda e: (e[3][0], -len(e[3]), e[0] or 0))
-        plain = [e[1] for e in examples if not len(e[3])]
-        self.plain_share = float(np.mean(plain)) if plain else 0.0
-        self.n_plain = len(plain)
-        self.ids = [e[0] for e in with_terms]
-        self.labels = np.array([e[1] for e in with_terms], float)
-        rows = [self.vector(e[2], e[3], e[4]) for e in with_terms]
-        self.index = BlockMaxIndex(rows, len(idf) + 1)
-        raw = [self.vote(*row, skip=k)[0] for k, row in enumerate(rows)]
-        self.x, self.y = isotonic([*raw, *[self.plain_share] * self.n_plain], [*self.labels.tolist(), *plain])
-
-    def vector(self, n_words: int, terms, counts) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights of a unit vector; the last term is the length."""
-        terms = np.append(np.asarray(terms, np.int64), len(self.idf))
-        weights = np.append(np.asarray(counts, float) * self.idf[terms[:-1]], np.sqrt(n_words))
+    """Votes of labelled examples on a text."""
+
+    def __init__(self, examples: list[Example], vocabulary: dict[str, int], idf: np.ndarray) -> None:
+        self.vocabulary = vocabulary
+        self.labels = np.array([e[1] for e in examples], float)
+        at = [np.array([vocabulary[t] for t in e[3]], np.int64) for e in examples]
+        self.scale = idf * self._contrast(at)
+        rows = [self._unit(terms, e[4]) for terms, e in zip(at, examples, strict=True)]
+        likeness = [(-int(terms[np.argmax(w)]) if len(terms) else 0, k) for k, (terms, w) in enumerate(rows)]
+        order = [k for _, k in sorted(likeness)]  # examples with the same strongest term share blocks
+        self.labels = self.labels[order]
+        self.ids = [examples[k][0] for k in order]
+        self.index = BlockMaxIndex([rows[k] for k in order], len(vocabulary))
+
+    def _contrast(self, terms: list[np.ndarray]) -> np.ndarray:
+        held = np.zeros((2, len(self.vocabulary)))
+        for at, label in zip(terms, self.labels.astype(int).tolist(), strict=True):
+            held[label, at] += 1
+        n = np.array([(self.labels == 0).sum(), (self.labels == 1).sum()])
+        if not n.all():
+            return np.full(len(self.vocabulary), FLOOR)
+        shares = (held + 0.5) / (n[:, None] + 1)
+        both = (held.sum(0) + 0.5) / (n.sum() + 1)
+        errors = np.abs(shares[1] - shares[0]) / np.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]))
+        return FLOOR + np.maximum(0, errors - NOISE)
+
+    def _unit(self, terms: np.ndarray, counts) -> tuple[np.ndarray, np.ndarray]:
+        weights = (1 + np.log(np.maximum(np.asarray(counts, float), 1))) * self.scale[terms]
         return terms, weights / (np.linalg.norm(weights) or 1.0)
 
-    def vote(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[float, list[tuple]]:
-        ids, cosines = self.index.nearest(terms, weights, NEIGHBOURS, skip)
-        nearer = cosines > weights[-1] if self.n_plain else np.ones(len(ids), bool)  # than the examples without terms
-        ids, cosines = ids[nearer], cosines[nearer]
-        rest = min(NEIGHBOURS - len(ids), self.n_plain)
-        power = cosines**POWER
-        plain = rest * weights[-1] ** POWER
-        total = power.sum() + plain
-        share = (power @ self.labels[ids] + plain * self.plain_share) / total if total else 0.0
-        return float(share), [(self.ids[k], float(c), int(self.labels[k])) for k, c in zip(ids, cosines, strict=True)]
-
-    def score(self, n_words: int, terms, counts) -> tuple[float, list[tuple]]:
-        if not len(self.x):
+    def vote(self, counts: dict[str, int]) -> tuple[float, list[tuple[int, float, int]]]:
+        """Share of label 1 among the nearest examples, and these as (id, cosine, label)."""
+        known = [(self.vocabulary[t], n) for t, n in counts.items() if t in self.vocabulary]
+        if not known or not self.index.n:
             return 0.0, []
-        share, evidence = (self.plain_share, []) if not len(terms) else self.vote(*self.vector(n_words, terms, counts))
-        return float(np.interp(share, self.x, self.y)), evidence
+        terms, weights = self._unit(*map(np.array, zip(*known, strict=True)))
+        ids, cosines = self.index.nearest(terms, weights, NEIGHBOURS)
+        power = cosines**POWER
+        share = float(power @ self.labels[ids] / power.sum()) if power.sum() else 0.0
+        return share, [(self.ids[k], float(c), int(self.labels[k])) for k, c in zip(ids, cosines, strict=True) if c > 0]
 
 
 def isotonic(x, y) -> tuple[np.ndarray, np.ndarray]:
@@ -251,20 +196,43 @@ def isotonic(x, y) -> tuple[np.ndarray, np.ndarray]:
 
 
 _EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
+_models: dict[str, Neighbours] = {}
+
+
+def _model(shared, name: str, half: int | None = None) -> Neighbours:
+    """The model of all examples, or of those outside a half, built once per worker."""
+    key = f"{name}/{half}"
+    if key not in _models:
+        for old in [k for k in _models if not k.startswith(f"{name}/")]:
+            del _models[old]
+        examples, vocabulary, idf = shared.value
+        _models[key] = Neighbours([e for e in examples if e[2] != half], vocabulary, idf)
+    return _models[key]
+
 
+def _cross_votes(shared, name: str):
+    """Examples to (vote by the other half, label)."""
 
-def _scored(shared, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _models:
-            _models.clear()
-            _models[name] = Neighbours(*shared.value)
-        model = _models[name]
+        for batch in batches:
+            _, toxic, half, terms, counts = (c.to_pylist() for c in batch.columns)
+            votes = [
+                _model(shared, name, h).vote(dict(zip(t, c, strict=True)))[0] for h, t, c in zip(half, terms, counts, strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), pa.array(toxic, pa.int32())], ["vote", "toxic"])
+
+    return run
+
+
+def _scored(shared, name: str, curve: tuple[np.ndarray, np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, (x, y) = _model(shared, name), curve
         for batch in batches:
             scores, evidence = [], []
-            for n_words, terms, counts in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                score, near = model.score(n_words, terms, counts)
-                scores.append(score)
-                evidence.append([{"doc_id": i, "similarity": c, "toxic": y} for i, c, y in near])
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
+                share, near = model.vote(term_counts(text))
+                scores.append(float(np.interp(share, x, y)) if len(x) else 0.0)
+                evidence.append([{"doc_id": i, "similarity": c, "toxic": label} for i, c, label in near])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, _EVIDENCE)], ["doc_id", "score", "evidence"]
             )
@@ -272,10 +240,7 @@ def _scored(shared, name: str):
     return run
 
 
-_models: dict[str, Neighbours] = {}
-
-
-def score_documents(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """One row per document: held_out, score, predicted, and the examples that voted."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
@@ -283,30 +248,38 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
-    examples = docs.join(F.broadcast(chosen), "doc_id").repartition(24, F.xxhash64("text"), "doc_id")
-    examples = scratch.keep(examples.select("doc_id", "text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic")), "examples")
-
-    terms = choose_terms(examples, max_terms)
-    vectors = scratch.keep(docs.mapInArrow(_vectors(terms), _VECTOR), "vectors")
-    n_docs = vectors.count()
-    holding = dict(vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect())
-    idf = np.array([np.log((1 + n_docs) / (1 + holding.get(k, 0))) + 1 for k in range(len(terms))])
-    rows = examples.select("doc_id", "text").mapInArrow(_vectors(terms), _VECTOR).join(F.broadcast(chosen), "doc_id")
-    rows = [(r.doc_id, int(r.toxic > 0), r.n_words, r.terms, r.counts) for r in rows.collect()]
-    shared = spark.sparkContext.broadcast((rows, idf))
-    return (
-        vectors.mapInArrow(_scored(shared, scratch.root), "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,toxic:int>>")
-        .select(
-            "doc_id",
-            held_out(F.col("doc_id")).alias("held_out"),
-            "score",
-            (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
-            "evidence",
-        )
+    examples = docs.join(F.broadcast(chosen), "doc_id").select(
+        "doc_id",
+        F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"),
+        F.pmod(F.xxhash64("doc_id", F.lit(STEM)), F.lit(2)).cast("int").alias("half"),
+        "text",
+    )
+    examples = scratch.keep(
+        examples.mapInArrow(_example_terms, "doc_id long, toxic int, half int, terms array<string>, counts array<int>"), "examples"
+    )
+
+    context = spark.sparkContext
+    rows = sorted(tuple(r) for r in examples.collect())  # bounded by max_examples
+    vocabulary = {t: k for k, t in enumerate(sorted({t for r in rows for t in r[3]}))}
+    counted = docs.select("text").mapInArrow(_holding(context.broadcast(vocabulary)), "term long, n long")
+    held = dict(counted.groupBy("term").agg(F.sum("n")).collect())
+    n_docs = held.get(-1, 0)
+    idf = np.array([np.log((1 + n_docs) / (1 + held.get(k, 0))) + 1 for k in range(len(vocabulary))])
+    shared = context.broadcast((rows, vocabulary, idf))
+    crossed = examples.repartition(8, "doc_id").mapInArrow(_cross_votes(shared, scratch.root), "vote double, toxic int").collect()
+    curve = isotonic([r.vote for r in crossed], [r.toxic for r in crossed])
+    schema = "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,toxic:int>>"
+    return docs.mapInArrow(_scored(shared, scratch.root, curve), schema).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+        "evidence",
     )
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, with all their columns, that are not predicted toxic; a row without id stays."""
-    bad = score_documents(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["__id"], "left_anti")
+    ident = free_name(docs, "id")
+    bad = score_documents(docs, labels).where("predicted = 1").select(F.col("doc_id").alias(ident)).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long") == bad[ident], "left_anti")
