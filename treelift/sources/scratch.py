@@ -16,11 +16,21 @@ def scratch_root(spark: SparkSession) -> str:
     """Folder for intermediate tables, visible to the driver and to every executor."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+ROWS_PER_TASK = 50_000
+
+
+def in_few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """The frame in no more tasks than narrow rows of this number need; a large one stays as it is dealt."""
+    return df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
+
+
 class Scratch:
     """Tables of one run: ``keep`` writes a frame and reads it back, ``drop`` deletes one that was superseded."""
 
