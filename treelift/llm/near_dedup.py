@@ -5,8 +5,9 @@ representative of each class takes part in the join, so exact copies are never p
 
 Each representative has ``SLOTS`` minwise tokens.  In a tree, every node chooses some slots by a hash of
 its path, and a document goes on to one child per chosen slot, named by its token there: documents that
-share many tokens keep meeting.  A node of at most ``LEAF_SIZE`` documents is a leaf and is compared exhaustively;
-other nodes branch again, up to ``MAX_DEPTH``.  A pair at the threshold survives a tree with a probability that
+share many tokens keep meeting.  A node of at most ``LEAF_SIZE`` documents is a leaf and is compared exhaustively, and so is a
+moderate one that holds so much of its parent that ``NODE_SLOTS`` children like it would have more rows than it has; other
+nodes branch again, up to ``MAX_DEPTH``.  A pair at the threshold survives a tree with a probability that
 :func:`trees_for` works out; independent trees repeat until no more than one pair in a million is missed.
 
 Only components are wanted, so large groups of copies are contracted before anything branches: the members of
@@ -39,14 +40,14 @@ from pyspark.sql import functions as F
 
 from treelift.llm.components import components
 from treelift.llm.text import LOWER_BYTES, free_name
-from treelift.sources.scratch import Scratch
+from treelift.sources.scratch import Scratch, in_few_tasks
 
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 80
 SLOTS = 64
 ROOT_SLOTS = 2
 NODE_SLOTS = 4
-LEAF_SIZE = 64
+LEAF_SIZE = 256
 MAX_DEPTH = 5
 TARGET_MISS = 1e-6
 #: Contraction: trees whose nodes are contracted, and members of a block that are compared with one another.
@@ -262,7 +263,7 @@ def _roots(trees: int):
 
 
 def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (node, rep, component, tokens) to the children in the slots that the node chooses."""
+    """Rows of (node, rep, component, tokens, size) to the children in the slots that the node chooses."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -278,8 +279,9 @@ def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(names.reshape(-1).view(np.int64)),
                 pa.array(np.repeat(batch.column(1).to_numpy(), NODE_SLOTS)),
                 pa.array(np.repeat(batch.column(2).to_numpy(), NODE_SLOTS)),
+                pa.array(np.repeat(batch.column(4).to_numpy(), NODE_SLOTS)),
             ],
-            ["node", "rep", "component"],
+            ["node", "rep", "component", "parent"],
         )
 
 
@@ -300,7 +302,11 @@ def _root_nodes(members: DataFrame) -> DataFrame:
 def _mixed_nodes(members: DataFrame) -> DataFrame:
     """Nodes with documents of several components: size, core (their largest component) and how many are not in it."""
     shares = members.groupBy("node", "component").agg(
-        F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("mark")
+        F.count("*").alias("n"),
+        F.min("rep").alias("low"),
+        F.max("rep").alias("high"),
+        F.bit_xor(F.xxhash64("rep")).alias("mark"),
+        F.max("parent").alias("parent"),
     )
     nodes = shares.groupBy("node").agg(
         F.sum("n").alias("size"),
@@ -308,9 +314,10 @@ def _mixed_nodes(members: DataFrame) -> DataFrame:
         F.min("low").alias("low"),
         F.max("high").alias("high"),
         F.bit_xor("mark").alias("mark"),
+        F.max("parent").alias("parent"),
     )
     nodes = nodes.where("core.n < size").withColumns({"others": F.col("size") - F.col("core.n"), "core": F.col("core.component")})
-    return _distinct_nodes(nodes, "core", "others")
+    return _distinct_nodes(nodes, "core", "others", "parent")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -320,15 +327,17 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
 
-def _leaf_rows(members: DataFrame, last: Column, leaf_size: int) -> tuple[DataFrame, DataFrame]:
-    """Members of nodes that are compared now, and of those that branch. members: node, size, core, others, rep, component."""
-    leaf = F.col("size") <= leaf_size
+def _placed(members: DataFrame, last: bool, leaf_size: int, rows: int) -> DataFrame:
+    """Members of mixed nodes: whether the node is compared now, who belongs to its others, and in how many blocks these are."""
+    nodes = in_few_tasks(_mixed_nodes(members), rows)
+    dense = (NODE_SLOTS * F.col("size") > F.col("parent")) & (F.col("size") <= OTHERS * OTHER_BLOCKS)
     cored = (2 * F.col("others") <= F.col("size")) & (F.col("others") <= OTHERS * OTHER_BLOCKS)
-    compared = leaf | cored | last
-    other = (~cored & (leaf | last)) | (F.col("component") != F.col("core"))
-    blocks = F.when(cored, F.col("others")).otherwise(F.col("size"))
-    now = members.where(compared).select("node", "size", "rep", "component", other.alias("other"), F.ceil(blocks / OTHERS).cast("int").alias("blocks"))
-    return now, members.where(~compared).select("node", "rep", "component")
+    blocks = F.ceil(F.when(cored, F.col("others")).otherwise(F.col("size")) / OTHERS).cast("int")
+    now = cored | dense | (F.col("size") <= leaf_size) | F.lit(last)
+    joined = members.drop("parent").join(nodes, "node")
+    other = ~cored | (F.col("component") != F.col("core"))
+    placed = joined.select("node", "size", "rep", "component", now.alias("now"), other.alias("other"), blocks.alias("blocks"))
+    return in_few_tasks(placed, rows)
 
 
 def _compared_groups(rows: DataFrame) -> DataFrame:
@@ -586,16 +595,14 @@ class _Links:
 
     def add(self, links: DataFrame) -> None:
         self.tables.append(links)
-        old = self.labels
         joined = components(reduce(DataFrame.unionByName, self.tables), self.scratch)
-        self.labels = self.scratch.keep(joined.select(F.col("node").alias("rep"), "component"), "labels")
-        if old is not None:
-            self.scratch.drop(old)
+        self.labels = joined.select(F.col("node").alias("rep"), "component")
 
     def confirm(self, candidates: DataFrame) -> None:
         candidates = self.scratch.keep(candidates, "candidates")
         sets = self.scratch.keep(_set_table(self.docs, _ends(candidates), self.words), "sets")
-        self.add(self.scratch.keep(confirm(candidates, sets, self.percent), "links"))
+        links = in_few_tasks(confirm(candidates, sets, self.percent), candidates.count())
+        self.add(self.scratch.keep(links, "links"))
         self.scratch.drop(candidates, sets)
 
 
@@ -603,23 +610,23 @@ def _leaves(reps: DataFrame, trees: int, links: _Links, leaf_size: int) -> DataF
     """Members of the nodes to compare (node, size, rep, component, other, blocks), of all trees and depths."""
     scratch = links.scratch
     roots = reps.select("rep", "tokens").mapInArrow(_roots(trees), "node long, rep long, tree int")
-    nodes = scratch.keep(_root_nodes(roots), "roots")
-    level = scratch.keep(roots.join(nodes, "node").select("node", "size", "rep", "tree"), "level")
-    large = level.where(F.col("size") > leaf_size)
-    if not large.isEmpty():
-        links.confirm(_contracted(large.where(F.col("tree") < CONTRACT_TREES), reps, links.percent))
-    members = _labelled(level.select("node", "rep"), links.labels)
-    found = []
+    level = scratch.keep(roots.join(_root_nodes(roots), "node").select("node", "size", "rep", "tree"), "level")
+    sizes = level.agg(F.count("*").alias("all"), F.count_if(F.col("size") > leaf_size).alias("large")).first()
+    if sizes.large:
+        large = level.where((F.col("size") > leaf_size) & (F.col("tree") < CONTRACT_TREES))
+        links.confirm(_contracted(large, reps, links.percent))
+    members = _labelled(level.select("node", "rep"), links.labels).withColumn("parent", F.lit(1 << 62))
+    rows, found = sizes.all, []
     for depth in range(MAX_DEPTH + 1):
-        nodes = scratch.keep(_mixed_nodes(members), f"nodes{depth}")
-        now, parted = _leaf_rows(members.join(nodes, "node"), F.lit(depth == MAX_DEPTH), leaf_size)
-        found.append(scratch.keep(now, f"leaves{depth}"))
-        if depth == MAX_DEPTH:
+        placed = scratch.keep(_placed(members, depth == MAX_DEPTH, leaf_size, rows), f"placed{depth}")
+        found.append(placed.where("now").drop("now"))
+        parted = placed.where("not now")
+        rows = NODE_SLOTS * parted.count()
+        if not rows:
             break
-        parted = scratch.keep(parted.join(reps, "rep").select("node", "rep", "component", "tokens"), f"parted{depth}")
-        if parted.isEmpty():
-            break
-        members = parted.mapInArrow(_branch, "node long, rep long, component long")
+        parted = parted.join(reps, "rep").select("node", "rep", "component", "tokens", "size")
+        parted = scratch.keep(in_few_tasks(parted, rows), f"parted{depth}")
+        members = parted.mapInArrow(_branch, "node long, rep long, component long, parent long")
     return reduce(DataFrame.unionByName, found)
 
 
