@@ -1,7 +1,42 @@
 import hashlib
 import random
 
-from treelift.llm.line_dedup import dedup_lines, extend, fingerprints, line_keys, line_report
+from treelift.llm.line_dedup import dedup_lines, drop_repeated_lines, line_keys, line_report
+
+
+def fingerprints(hashes: list[int], words: list[int], min_words: int) -> list[int]:
+    """Lines that have the smallest hash (the last of equals) in some window of at least ``min_words`` words."""
+    found: set[int] = set()
+    stop = held = 0
+    queue: list[int] = []  # candidates of the window, hashes rising
+    head = 0
+    for start in range(len(hashes)):
+        while stop < len(hashes) and held < min_words:
+            while len(queue) > head and hashes[queue[-1]] >= hashes[stop]:
+                queue.pop()
+            queue.append(stop)
+            held += words[stop]
+            stop += 1
+        if held < min_words:
+            break
+        while queue[head] < start:
+            head += 1
+        found.add(queue[head])
+        held -= words[start]
+        if head < len(queue) and queue[head] == start:
+            head += 1
+    return sorted(found)
+
+
+def extend(own: list[int], other: list[int], at: int, other_at: int) -> tuple[int, int]:
+    """First and last line of the run around a matched line in which both sides agree."""
+    first = 0
+    while at - first - 1 >= 0 and other_at - first - 1 >= 0 and own[at - first - 1] == other[other_at - first - 1]:
+        first += 1
+    last = 0
+    while at + last + 1 < len(own) and other_at + last + 1 < len(other) and own[at + last + 1] == other[other_at + last + 1]:
+        last += 1
+    return at - first, at + last
 
 
 def brute(texts, min_words):
@@ -113,3 +148,22 @@ def test_runs_of_frequent_short_lines(make_docs):
     got = {r.doc_id: r.n_removed for r in dedup_lines(make_docs(texts)).collect()}
     assert sum(got.values()) == sum(map(len, want))
     assert [got[k] for k in range(len(texts))] == [len(x) for x in want]
+
+
+def test_order_of_frequent_lines(make_docs):
+    """Whichever line of a run has the smallest hash, a run whose parts stand in other contexts before is found."""
+    for k in range(6):
+        a, b, c = (f"line {k} {x} of three" for x in "abc")
+        got = {r.doc_id: r.n_removed for r in line_report(make_docs([f"{a}\n{b}", f"{b}\n{c}", f"{a}\n{b}\n{c}", f"{a}\n{b}\n{c}"])).collect()}
+        assert got[3] == 3
+
+
+def test_clashing_names(make_docs):
+    docs = make_docs(["one two three four five six seven eight"] * 2 + ["left"])
+    for clash in (["1 as n_lines", "'x' as N_Removed", "3 as n_runs"], ["5 as __d", "6 as _t", "7 as _runs"]):
+        given = docs.selectExpr("*", *clash)
+        out = dedup_lines(given)
+        assert sorted((r["doc_id"], r["n_removed"]) for r in out.collect()) == [(0, 0), (1, 1), (2, 0)]
+        left = drop_repeated_lines(given)
+        assert left.columns == given.columns and {r["doc_id"] for r in left.collect()} == {0, 2}
+    assert drop_repeated_lines(docs.drop("n_chars")).count() == 2

@@ -1,18 +1,23 @@
-"""Line deduplication by windows of lines.
+"""Line deduplication by winnowing over line hashes.
 
 Lines are compared after trimming and lower-casing A-Z; lines without words are left out of the
 comparison.  A window starts at every line and takes lines until it holds ``MIN_WORDS`` words, and another one ends at
 every line and reaches back as far; so a long line is a window by itself and short lines make one together.
-A run of that many words is the union of the windows in it: a line of it that no window from an earlier
+A window's fingerprint is its line of smallest hash (the last of equals).  Equal windows have equal fingerprints, so a
+fingerprint that stands at one place only rules all its windows out; the others are candidates.
+
+Frequent lines make poor evidence: the least place of a fingerprint may stand in another, shorter context than the run looked for.  So
+the lines around a fingerprint are matched whole, both ways, as far as its windows reach: the key of a candidate is the hash of all its lines,
+and only the least place of each key is looked for, which pre-aggregates; a line that a third of all documents hold
+costs no pairs.  A run of repeated lines is the union of the windows in it: a line of it that no window from an earlier
 line of the run reaches has words enough before it for the window that ends there.
 
-A window's key is the hash of all its lines, so equal keys are equal sequences, whatever else their lines occur in.
-A window that occurred before in the corpus (by doc_id, then line) is deleted: the first occurrence stays.  Only the least occurrence
-of a key is looked for, which pre-aggregates, so a line that a third of all documents hold costs no pairs.
+A window that occurred before in the corpus (by doc_id, then line) is deleted: the first occurrence stays.
 
 Defined results: a null text has no lines and stays null; a text that loses all its lines becomes empty; lines without words go when
 the lines around them do (at an end: the one line beside them); rows repeated whole count as one document; a null id
-comes before all others; an empty table gives an empty result; additional columns pass through.
+comes before all others; an empty table gives an empty result; additional columns pass through, but for
+those named n_lines, n_removed or n_runs where :func:`dedup_lines` adds these.
 """
 
 from __future__ import annotations
@@ -25,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treelift.llm.text import LOWER_BYTES
+from treelift.llm.text import LOWER_BYTES, free_name
 from treelift.sources.scratch import Scratch
 
 MIN_WORDS = 8
 NULL_ID = -(1 << 63)
 
-_WINDOWS = "d long, t long, key long, first int, last int"
+_WINDOWS = "d long, t long, key long, fingerprint long, place int, first int, last int"
 
 
 def line_keys(text: bytes) -> tuple[list[int], list[int], list[int]]:
@@ -46,31 +51,6 @@ def line_keys(text: bytes) -> tuple[list[int], list[int], list[int]]:
     return hashes, words, places
 
 
-# fingerprints and extend are no part of the query: the tests hold winnowed matching against it.
-def fingerprints(hashes: list[int], words: list[int], min_words: int = MIN_WORDS) -> list[int]:
-    """Lines that have the smallest hash (the last of equals) in some window of at least ``min_words`` words."""
-    found: set[int] = set()
-    stop = held = 0
-    queue: list[int] = []  # candidates of the window, hashes rising
-    head = 0
-    for start in range(len(hashes)):
-        while stop < len(hashes) and held < min_words:
-            while len(queue) > head and hashes[queue[-1]] >= hashes[stop]:
-                queue.pop()
-            queue.append(stop)
-            held += words[stop]
-            stop += 1
-        if held < min_words:
-            break
-        while queue[head] < start:
-            head += 1
-        found.add(queue[head])
-        held -= words[start]
-        if head < len(queue) and queue[head] == start:
-            head += 1
-    return sorted(found)
-
-
 def windows(words: list[int], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
     """First and last line of each window from a line on and of each up to a line."""
     found: set[tuple[int, int]] = set()
@@ -95,11 +75,11 @@ def windows(words: list[int], min_words: int = MIN_WORDS) -> list[tuple[int, int
 
 
 def _window_rows(min_words: int):
-    """(d, t, text) to the windows of each text, with the hash of all their lines."""
+    """(d, t, text) to the windows of each text, with the hash of all their lines and their fingerprint's hash and line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, keys, first, last = [], [], [], []
+            rows, keys, marks, places, first, last = [], [], [], [], [], []
             for row, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
                 hashes, words, _ = line_keys(text or b"")
                 packed = array("q", hashes).tobytes()
@@ -107,6 +87,9 @@ def _window_rows(min_words: int):
                     digest = hashlib.blake2b(packed[8 * a : 8 * b + 8], digest_size=8).digest()
                     keys.append(int.from_bytes(digest, "little", signed=True))
                     rows.append(row)
+                    at = min(range(b, a - 1, -1), key=hashes.__getitem__)
+                    marks.append(hashes[at])
+                    places.append(at)
                     first.append(a)
                     last.append(b)
             rows = pa.array(rows, pa.int32())
@@ -115,32 +98,31 @@ def _window_rows(min_words: int):
                     batch.column(0).take(rows),
                     batch.column(1).take(rows),
                     pa.array(keys, pa.int64()),
+                    pa.array(marks, pa.int64()),
+                    pa.array(places, pa.int32()),
                     pa.array(first, pa.int32()),
                     pa.array(last, pa.int32()),
                 ],
-                ["d", "t", "key", "first", "last"],
+                ["d", "t", "key", "fingerprint", "place", "first", "last"],
             )
 
     return run
 
 
-def extend(own: list[int], other: list[int], at: int, other_at: int) -> tuple[int, int]:
-    """First and last line of the run around a matched line in which both sides agree."""
-    first = 0
-    while at - first - 1 >= 0 and other_at - first - 1 >= 0 and own[at - first - 1] == other[other_at - first - 1]:
-        first += 1
-    last = 0
-    while at + last + 1 < len(own) and other_at + last + 1 < len(other) and own[at + last + 1] == other[other_at + last + 1]:
-        last += 1
-    return at - first, at + last
-
-
 def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
     """Windows of lines (numbered without empty ones) that occurred before: d, t, first, last. docs: d, t, text."""
     seen = scratch.keep(docs.where("text is not null").mapInArrow(_window_rows(min_words), _WINDOWS), "seen")
+    repeated = (
+        seen.groupBy("fingerprint")
+        .agg(*(f(c).alias(f"{n}_{c}") for c in ("d", "t", "place") for n, f in (("min", F.min), ("max", F.max))))
+        .where("min_d < max_d or min_t < max_t or min_place < max_place")
+        .select("fingerprint")
+    )
+    candidates = scratch.keep(seen.join(repeated, "fingerprint").select("d", "t", "key", "first", "last"), "candidates")
+    scratch.drop(seen)
     at = F.struct("d", "t", F.col("first").alias("i"))
-    firsts = seen.groupBy("key").agg(F.count("*").alias("n"), F.min(at).alias("f")).where("n > 1").select("key", "f")
-    return seen.join(firsts, "key").where(F.col("f") < at).select("d", "t", "first", "last").distinct()
+    firsts = candidates.groupBy("key").agg(F.count("*").alias("n"), F.min(at).alias("f")).where("n > 1").select("key", "f")
+    return candidates.join(firsts, "key").where(F.col("f") < at).select("d", "t", "first", "last").distinct()
 
 
 def remaining_text(text: bytes, gone: set[int], places: list[int]) -> tuple[bytes, int, int]:
@@ -158,7 +140,7 @@ def remaining_text(text: bytes, gone: set[int], places: list[int]) -> tuple[byte
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, runs) last; replaces them by text, n_lines, n_removed, n_runs."""
+    """(text, runs) last; replaces them by text and three counts: lines, lines removed, runs."""
     for batch in batches:
         texts = batch.column(batch.num_columns - 2).cast(pa.binary()).to_pylist()
         out, total, removed, n_runs = [], [], [], []
@@ -173,7 +155,6 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total.append(len(places))
             removed.append(n)
             n_runs.append(m)
-        names = batch.schema.names[:-1] + ["n_lines", "n_removed", "n_runs"]
         yield pa.RecordBatch.from_arrays(
             [
                 *batch.columns[:-2],
@@ -182,27 +163,47 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(removed, pa.int64()),
                 pa.array(n_runs, pa.int64()),
             ],
-            names,
+            [f"c{k}" for k in range(batch.num_columns + 2)],
         )
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents without later repeated runs of lines, and columns n_lines, n_removed, n_runs beside theirs."""
+COUNTS = ["n_lines", "n_removed", "n_runs"]
+
+
+def _cleaned(docs: DataFrame, counts: list[str], min_words: int) -> DataFrame:
+    """The documents without later repeated runs, and three columns of counts that they don't have yet."""
     scratch = Scratch(docs.sparkSession, "lines")
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
     runs = repeated_runs(docs.select(ident.alias("d"), F.xxhash64("text").alias("t"), "text"), scratch, min_words)
+    d, t, spans = (free_name(docs, n) for n in ("d", "t", "runs"))
     runs = scratch.keep(
-        runs.groupBy(F.col("d").alias("__d"), F.col("t").alias("__t")).agg(F.collect_list(F.struct("first", "last")).alias("__runs")), "runs"
+        runs.groupBy(F.col("d").alias(d), F.col("t").alias(t)).agg(F.collect_list(F.struct("first", "last")).alias(spans)), "runs"
     )
     others = [f"`{c}`" for c in docs.columns if c != "text"]
-    joined = docs.join(runs, (ident == F.col("__d")) & (F.xxhash64("text") == F.col("__t")), "left")
-    joined = joined.select(*others, "text", "__runs")
-    added = "n_lines long, n_removed long, n_runs long"
+    joined = docs.join(runs, (ident == F.col(d)) & (F.xxhash64("text") == F.col(t)), "left").select(*others, "text", spans)
     shape = docs.select(*others, "text").schema
-    for field in added.split(", "):
-        shape = shape.add(*field.split())
-    cleaned = joined.mapInArrow(_clean, shape)
-    return cleaned
+    for name in counts:
+        shape = shape.add(name, "long")
+    return joined.mapInArrow(_clean, shape)
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The documents without later repeated runs of lines, and columns n_lines, n_removed, n_runs beside theirs."""
+    own = [c for c in docs.columns if c.lower() not in COUNTS]
+    return _cleaned(docs.select(*(F.col(f"`{c}`") for c in own)), COUNTS, min_words)
+
+
+def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The documents, with their columns only, without later repeated runs of lines.
+
+    A document that loses all its text goes; n_chars, where there is such a column, follows the text.
+    """
+    counts = [free_name(docs, c) for c in COUNTS]
+    cleaned = _cleaned(docs, counts, min_words).where((F.col(counts[1]) == 0) | (F.trim("text") != ""))
+    if "n_chars" in docs.columns:
+        length = F.when(F.col(counts[1]) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+        cleaned = cleaned.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
+    return cleaned.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
