@@ -2,14 +2,17 @@
 
 Words are maximal runs of digits, letters a-z (A-Z lower-cased) and everything outside ASCII.  Every ten
 consecutive words of a benchmark item form a window; an item of fewer words is one window by itself.  All
-windows go into one automaton, which reads each text once, normalised to words between single spaces, and
-the words that a window covers are mapped back to character offsets of the original text.
+windows go into one automaton, which reads each text once, and the words that a window covers are mapped back
+to character offsets of the original text.
 
-The automaton is broadcast only while the item texts are within ``AUTOMATON_BYTES``.  A larger benchmark
-is dealt into blocks within that bound; the texts are then read once per block and the findings merged.
+The automaton reads words, not letters: each word of the windows has a code of two or three symbols, and every
+other word of a text one that no window holds.  A window then takes 20 to 30 nodes of about 50 bytes whatever its length, and
+an automaton of ``AUTOMATON_WINDOWS`` windows about 150 MB in a worker.  A larger benchmark is dealt into
+blocks within that bound; only one of them is in the driver and in the workers at a time, the texts are read once per block, and
+the findings are merged.
 
-Defined results: a null or empty text has no words and is clean; items without words match nothing; an
-item id that is null counts as -1; repeated items count once per id; an empty table of either side gives
+Defined results: a null or empty text has no words and is clean; items without words match nothing; items whose
+id is null count as one item, named null; repeated items count once per id; an empty table of either side gives
 no findings (one clean row per document); additional columns are ignored.
 """
 
@@ -24,8 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treelift.sources.scratch import Scratch
+
 WINDOW = 10
-AUTOMATON_BYTES = 16 << 20
+AUTOMATON_WINDOWS = 100_000
+BASE = 256
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: bytes.translate table: A-Z to a-z, ASCII outside words to a space, bytes of other characters unchanged.
@@ -34,7 +40,7 @@ _NORMAL = bytes(
 )
 
 _FOUND = (
-    "row long, doc_id long, n_words long, items array<long>, "
+    "row long, doc_id long, n_words long, items array<string>, "
     "runs array<struct<first:long,last:long,start:long,end:long>>"
 )
 _RUN = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
@@ -51,33 +57,48 @@ def item_windows(words: list[bytes], window: int = WINDOW) -> list[bytes]:
     return [b" ".join(words[i : i + window]) for i in range(len(words) - window + 1)]
 
 
-_built: dict[str, tuple] = {}
+_built: dict[str, Automaton | None] = {}
+
+
+class Automaton:
+    """The windows of a block, over codes of their words. Digits of a code are of different ranges, so matches start at words."""
+
+    def __init__(self, windows: list[tuple[bytes, list[str]]]) -> None:
+        words = {w: k for k, w in enumerate(sorted({w for window, _ in windows for w in window.split(b" ")}))}
+        self.digits = 2 if len(words) <= BASE**2 else 3
+        self.codes = {w: self._code(k) for w, k in words.items()}
+        self.other = chr(BASE * self.digits) * self.digits
+        self.table = [(window.count(b" ") + 1, owners) for window, owners in windows]
+        self.machine = ahocorasick.Automaton()
+        for k, (window, _) in enumerate(windows):
+            self.machine.add_word("".join(self.codes[w] for w in window.split(b" ")), k)
+        self.machine.make_automaton()
+
+    def _code(self, k: int) -> str:
+        return "".join(chr(BASE * d + k // BASE**d % BASE) for d in range(self.digits))
 
+    def matches(self, words: list[bytes]) -> Iterator[tuple[int, int, list[str]]]:
+        """First and last word of every occurrence of a window, and the items that own it."""
+        codes, other = self.codes, self.other
+        for end, k in self.machine.iter("".join([codes.get(w, other) for w in words])):
+            length, owners = self.table[k]
+            last = end // self.digits
+            yield last - length + 1, last, owners
 
-class Items:
-    """A broadcast block of items; its name lets a worker keep the automaton it has built from it."""
 
-    def __init__(self, context, block: list[tuple[int, bytes]]) -> None:
+class Block:
+    """A broadcast block of windows; its name lets a worker keep the automaton it has built from it."""
+
+    def __init__(self, context, windows: list[tuple[bytes, list[str]]]) -> None:
         self.name = uuid.uuid4().hex
-        self.block = context.broadcast(block)
-
-
-def _automaton(shared: Items, window: int):
-    """The automaton of a block of (item id, text), built once per worker."""
-    if shared.name not in _built:
-        _built.clear()
-        owners: dict[bytes, set[int]] = {}
-        for item_id, text in shared.block.value:
-            for w in item_windows(words_of(text), window):
-                owners.setdefault(w, set()).add(item_id)
-        machine = ahocorasick.Automaton()
-        table = [(w.count(b" ") + 1, sorted(ids)) for w, ids in owners.items()]
-        for k, w in enumerate(owners):
-            machine.add_word(f" {w.decode('latin-1')} ", k)
-        if owners:
-            machine.make_automaton()
-        _built[shared.name] = (machine if owners else None, table)
-    return _built[shared.name]
+        self.windows = context.broadcast(windows)
+
+    def automaton(self) -> Automaton | None:
+        if self.name not in _built:
+            _built.clear()
+            windows = self.windows.value
+            _built[self.name] = Automaton(windows) if windows else None
+        return _built[self.name]
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -90,21 +111,16 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def scan_text(text: bytes, machine, table) -> tuple[int, list[int], list[dict]]:
+def scan_text(text: bytes, automaton: Automaton | None) -> tuple[int, list[str], list[dict]]:
     """Words of a text, the items found in it, and the runs of covered words with their original offsets."""
     words = words_of(text)
-    if machine is None or not words:
+    if automaton is None or not words:
         return len(words), [], []
-    line = f" {b' '.join(words).decode('latin-1')} "
-    items: set[int] = set()
+    items: set[str] = set()
     spans: list[tuple[int, int]] = []
-    at = seen = 0
-    for end, k in machine.iter(line):
-        seen += line.count(" ", at, end)
-        at = end
-        length, owners = table[k]
+    for first, last, owners in automaton.matches(words):
         items.update(owners)
-        spans.append((seen - length, seen - 1))
+        spans.append((first, last))
     if not spans:
         return len(words), [], []
     original = text.decode("utf-8")
@@ -118,18 +134,18 @@ def scan_text(text: bytes, machine, table) -> tuple[int, list[int], list[dict]]:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def _scan(shared, window: int):
+def _scan(block: Block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, table = _automaton(shared, window)
+        automaton = block.automaton()
         for batch in batches:
             texts = batch.column(2).cast(pa.binary()).to_pylist()
-            found = [scan_text(t or b"", machine, table) for t in texts]
+            found = [scan_text(t or b"", automaton) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(1),
                     pa.array([f[0] for f in found], pa.int64()),
-                    pa.array([f[1] for f in found], pa.list_(pa.int64())),
+                    pa.array([f[1] for f in found], pa.list_(pa.string())),
                     pa.array([f[2] for f in found], pa.list_(_RUN)),
                 ],
                 ["row", "doc_id", "n_words", "items", "runs"],
@@ -138,34 +154,56 @@ def _scan(shared, window: int):
     return run
 
 
-def item_blocks(items: DataFrame, limit: int = AUTOMATON_BYTES) -> list[list[tuple[int, bytes]]]:
-    """The items in blocks of bounded bytes; each block is read to the driver by itself."""
-    rows = items.select(
-        F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"),
-        F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text"),
-    )
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // limit) or 1
-    if n > 1:  # half-filled on average, as hashing deals them out unevenly
-        n *= 2
-    return [
-        [(r.item_id, bytes(r.text)) for r in rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).toLocalIterator()]
-        for k in range(n)
-    ]
+def _windows(window: int):
+    """(item, text) to (item, window)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [list(dict.fromkeys(item_windows(words_of(t or b""), window))) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            rows = pa.array([k for k, f in enumerate(found) for _ in f], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), pa.array([w for f in found for w in f], pa.binary())], ["item", "window"]
+            )
+
+    return run
 
-def find_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, limit: int = AUTOMATON_BYTES) -> DataFrame:
+
+def window_blocks(items: DataFrame, scratch: Scratch, window: int, limit: int) -> Iterator[list[tuple[bytes, list[str]]]]:
+    """The windows with the items that own them, in blocks of about ``limit`` at most; each is read to the driver by itself."""
+    named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
+    rows = named.mapInArrow(_windows(window), "item string, window binary").groupBy("window").agg(F.collect_set("item").alias("items"))
+    rows = scratch.keep(rows, "windows")
+    n = -(-rows.count() // limit)
+    if n > 1:  # hashing deals them out unevenly
+        n += 1
+    for k in range(max(n, 1)):
+        block = rows.where(F.pmod(F.xxhash64("window"), F.lit(max(n, 1))) == k)
+        yield sorted((bytes(r.window), sorted(r["items"])) for r in block.toLocalIterator())
+
+
+def find_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, limit: int = AUTOMATON_WINDOWS) -> DataFrame:
     """Per document: words, ids of the items found, and runs of covered words with original character offsets."""
-    context = docs.sparkSession.sparkContext
+    scratch = Scratch(docs.sparkSession, "decontamination")
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"
     )
-    parts = [rows.mapInArrow(_scan(Items(context, block), window), _FOUND) for block in item_blocks(items, limit)]
-    if len(parts) == 1:
-        return parts[0].drop("row")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    found = None
+    for windows in window_blocks(items, scratch, window, limit):
+        block = Block(docs.sparkSession.sparkContext, windows)
+        part = rows.mapInArrow(_scan(block), _FOUND)
+        if len(windows) == 0 and found is not None:
+            continue
+        if found is None:
+            found, held = part, block
+            continue
+        if held is not None:  # there are several blocks: each is done with before the next is read
+            found = scratch.keep(found, "found")
+            held.windows.unpersist()
+            held = None
+        found = found.unionByName(scratch.keep(part, "found"))
+        block.windows.unpersist()
+    if held is not None:
+        return found.drop("row")
     return (
         found.groupBy("row")
         .agg(
@@ -178,7 +216,7 @@ def find_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, limit
     )
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, limit: int = AUTOMATON_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, limit: int = AUTOMATON_WINDOWS) -> DataFrame:
     """One row per document: covered words, items with occurring windows, and whether any was found."""
     runs = "array<struct<first:bigint,last:bigint,start:bigint,end:bigint>>"
 
@@ -196,7 +234,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, limit
     joined = F.aggregate("runs", F.array().cast(runs), join_run)  # runs of several automata may overlap
     found = find_passages(docs, items, window, limit).withColumn("runs", joined)
     covered = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1)
-    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    names = F.array_join(F.array_sort("items"), ",")
     return found.select(
         "doc_id",
         "n_words",
@@ -208,18 +246,26 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, limit
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, limit: int = AUTOMATON_WINDOWS) -> DataFrame:
     """The documents, with all their columns, in which no window of any item occurs."""
-    keep = docs.columns
-    clean = docs
-    for block in item_blocks(items):
-        shared = Items(docs.sparkSession.sparkContext, block)
+    scratch = Scratch(docs.sparkSession, "decontamination")
+    at, schema = docs.columns.index("text"), docs.schema
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            machine, table = _automaton(shared, window)
+    def clean_by(block: Block):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = block.automaton()
             for batch in batches:
-                texts = batch.column(keep.index("text")).cast(pa.binary()).to_pylist()
-                yield batch.filter(pa.array([not scan_text(t or b"", machine, table)[2] for t in texts], pa.bool_()))
-
-        clean = clean.mapInArrow(run, docs.schema)
+                texts = batch.column(at).cast(pa.binary()).to_pylist()
+                yield batch.filter(pa.array([not scan_text(t or b"", automaton)[2] for t in texts], pa.bool_()))
+
+        return run
+
+    clean, last = docs, None
+    for windows in window_blocks(items, scratch, window, limit):
+        if last is not None:
+            kept = scratch.keep(clean, "clean")
+            last.windows.unpersist()
+            clean = kept
+        last = Block(docs.sparkSession.sparkContext, windows)
+        clean = clean.mapInArrow(clean_by(last), schema)
     return clean

@@ -49,7 +49,7 @@ WITH d AS (
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents),
 i AS (
-  SELECT coalesce(item_id, -1) AS item_id, regexp_extract_all(
+  SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item_id, regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM benchmark),
@@ -67,7 +67,7 @@ hr AS (
   FROM (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS q FROM h)),
 hi AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, item_id AS item FROM h) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
