@@ -13,7 +13,7 @@ nodes branch again, up to ``MAX_DEPTH``.  A pair at the threshold survives a tre
 Only components are wanted, so large groups of copies are contracted before anything branches: the members of
 large nodes under the root are dealt to blocks of ``CONTRACT_ROWS``, each block gives a spanning forest of its most
 similar members (one row per member at most), and the links that the full sets confirm are joined to components.  From then on
-a node whose documents all are in one component is done.  One with a component that holds most of it
+a node whose documents all are in one component is done.  One with a component that holds a quarter of it or more
 (its *core*) and few others is not branched either: the others are compared with the whole node, whose core streams past
 them in blocks.  So the rows of a group stay proportional to its members.
 
@@ -54,9 +54,9 @@ TARGET_MISS = 1e-6
 CONTRACT_TREES = 2
 CONTRACT_ROWS = 256
 #: Others of a node that its core streams past at once, blocks of them beyond which a node branches, and rows of a stream.
-OTHERS = 256
-OTHER_BLOCKS = 4
-STREAM_ROWS = 1024
+OTHERS = 1024
+OTHER_BLOCKS = 2
+STREAM_ROWS = 4096
 BLOCK_BYTES = 2_000_000
 #: Ids up to which a side is broadcast (16 MB); beyond, the join is shuffled.
 BROADCAST_IDS = 2_000_000
@@ -331,7 +331,7 @@ def _placed(members: DataFrame, last: bool, leaf_size: int, rows: int) -> DataFr
     """Members of mixed nodes: whether the node is compared now, who belongs to its others, and in how many blocks these are."""
     nodes = in_few_tasks(_mixed_nodes(members), rows)
     dense = (NODE_SLOTS * F.col("size") > F.col("parent")) & (F.col("size") <= OTHERS * OTHER_BLOCKS)
-    cored = (2 * F.col("others") <= F.col("size")) & (F.col("others") <= OTHERS * OTHER_BLOCKS)
+    cored = (4 * F.col("others") <= 3 * F.col("size")) & (F.col("others") <= OTHERS * OTHER_BLOCKS)
     blocks = F.ceil(F.when(cored, F.col("others")).otherwise(F.col("size")) / OTHERS).cast("int")
     now = cored | dense | (F.col("size") <= leaf_size) | F.lit(last)
     joined = members.drop("parent").join(nodes, "node")
