@@ -7,10 +7,9 @@ of the next one.  All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from treelift.llm.decontamination import drop_contaminated
-from treelift.llm.line_dedup import dedup_lines
+from treelift.llm.line_dedup import drop_repeated_lines
 from treelift.llm.near_dedup import drop_near_duplicates
 from treelift.llm.packing import pack_documents
 from treelift.llm.toxicity import drop_toxic
@@ -26,9 +25,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later repeated runs of lines; one that loses all its text goes, n_chars follows the text."""
-    cleaned = dedup_lines(docs).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
-    length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cleaned.withColumn("n_chars", length).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return drop_repeated_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
