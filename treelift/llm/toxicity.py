@@ -7,9 +7,10 @@ document frequencies over all documents, contrast is how far labelled texts of e
 the term, in standard errors above ``NOISE``, and ``FLOOR`` for all other terms, so no term is left out.  Terms that no example
 holds are in no cosine's dot product, and change all cosines of a text alike.
 
-The index keeps, for each term, the examples that hold it, in blocks of ``BLOCK`` with the largest
+The index keeps, for each term, the examples that hold it, in blocks of ``BLOCK`` of like ones, with the largest
 weight of each.  A query bounds every block by its terms' block maxima, opens blocks in that order, and stops
-when no block can reach the neighbours at hand; so the neighbours are exact.  Their votes, weighted by a power of the
+when no block can reach the neighbours at hand; so the neighbours are exact.  What the commonest terms add is worked out for many queries
+at once, and is exact in the bounds.  The votes of the neighbours, weighted by a power of the
 cosine, are calibrated by isotonic regression: the examples are dealt to two halves, and each half is scored with contrasts and
 neighbours of the other half only.
 
@@ -35,7 +36,10 @@ MAX_EXAMPLES = 4096
 NEIGHBOURS = 16
 POWER = 4
 BLOCK = 64
-OPENED = 8
+OPENED = 4
+CLUSTERS = 16
+COMMON = 8
+TOGETHER = 64
 THRESHOLD = 0.7
 STEM = 4
 LONG_RUN = 24
@@ -106,39 +110,87 @@ class BlockMaxIndex:
         weights = np.concatenate([np.zeros(0), *(w for _, w in rows)])
         examples = np.repeat(np.arange(self.n), sizes)
         order = np.argsort(terms, kind="stable")  # by term, then by example
-        self.examples, self.weights = examples[order], weights[order]
-        cell = terms[order] * self.blocks + self.examples // BLOCK
-        self.begin = np.searchsorted(cell, np.arange(n_terms * self.blocks + 1))
+        terms, self.examples, self.weights = terms[order], examples[order], weights[order]
+        cell = terms * self.blocks + self.examples // BLOCK
         self.most = np.zeros(n_terms * self.blocks)
         np.maximum.at(self.most, cell, self.weights)
         self.most = self.most.reshape(n_terms, self.blocks)
+        # lists that hold a good part of all examples are kept as rows, a place for each example of each block
+        common = np.bincount(terms, minlength=n_terms) * COMMON >= max(self.n, 1)
+        self.row = np.where(common, np.cumsum(common) - 1, -1)
+        self.rows = np.zeros((int(common.sum()), self.blocks * BLOCK))
+        full = common[terms]
+        self.rows[self.row[terms[full]], self.examples[full]] = self.weights[full]
+        self.examples, self.weights, cell = self.examples[~full], self.weights[~full], cell[~full]
+        self.begin = np.searchsorted(cell, np.arange(n_terms * self.blocks + 1))
+
+    def common_part(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the common terms add to the cosines of all examples, by query, block and place: one product for many queries."""
+        spread = np.zeros((len(queries), len(self.rows)))
+        for q, (terms, weights) in enumerate(queries):
+            row = self.row[terms]
+            spread[q, row[row >= 0]] = weights[row >= 0]
+        return (spread @ self.rows).reshape(len(queries), self.blocks, BLOCK)
 
     def _open(self, blocks: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Cosines of all examples, right for those in the blocks."""
+        """What the other terms add in some blocks, in order of blocks."""
         cells = (terms[:, None] * self.blocks + blocks).ravel()
-        first, count = self.begin[cells], self.begin[cells + 1] - self.begin[cells]
+        first = self.begin[cells]
+        count = self.begin[cells + 1] - first
         total = np.cumsum(count)
-        at = np.repeat(first - total + count, count) + np.arange(total[-1] if len(total) else 0)
-        return np.bincount(self.examples[at], np.repeat(np.repeat(weights, len(blocks)), count) * self.weights[at], self.n)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine (of equals, the first), and their cosines."""
-        bound = weights @ self.most[terms]
+        if not len(total) or not total[-1]:
+            return np.zeros(len(blocks) * BLOCK)
+        at = np.repeat(first - total + count, count) + np.arange(total[-1])
+        here = self.examples[at]
+        place = np.empty(self.blocks, np.int64)
+        place[blocks] = np.arange(len(blocks))
+        added = np.repeat(np.repeat(weights, len(blocks)), count) * self.weights[at]
+        return np.bincount(place[here // BLOCK] * BLOCK + here % BLOCK, added, len(blocks) * BLOCK)
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of largest cosine (of equals, the first), and their cosines. common: what :meth:`common_part` gave for this query."""
+        if common is None:
+            common = self.common_part([(terms, weights)])[0]
+        rare = self.row[terms] < 0
+        terms, weights = terms[rare], weights[rare]
+        bound = common.max(1) + weights @ self.most[terms]
         order = np.argsort(-bound, kind="stable")
         ids, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for at in range(0, self.blocks, OPENED):
-            blocks = order[at : at + OPENED]
-            if len(ids) == k and bound[blocks[0]] < cosines[-1] - 1e-12:
-                break
-            scores = self._open(blocks, terms, weights)
+        at, size = 0, OPENED
+        while at < self.blocks:
+            blocks = order[at : at + size]
+            if len(ids) == k:
+                blocks = blocks[bound[blocks] >= cosines[-1] - 1e-12]
+                if not len(blocks):
+                    break
+            scores = common[blocks].ravel() + self._open(blocks, terms, weights)
             here = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            here = here[here < self.n]
-            ids, cosines = np.concatenate([ids, here]), np.concatenate([cosines, scores[here]])
+            good = here < self.n
+            if len(ids) == k:
+                good &= scores >= cosines[-1]
+            ids, cosines = np.concatenate([ids, here[good]]), np.concatenate([cosines, scores[good]])
             top = np.lexsort((ids, -cosines))[:k]
             ids, cosines = ids[top], cosines[top]
+            at, size = at + size, 2 * size
         return ids, cosines
 
 
+def alike(rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> np.ndarray:
+    """An order that puts rows with the same kind of terms (a language, a topic) side by side, so that blocks differ in what they hold."""
+    if len(rows) <= BLOCK:
+        return np.arange(len(rows))
+    rnd = np.random.default_rng(5)
+    axes = rnd.standard_normal((n_terms, 32))
+    places = np.array([w @ axes[t] if len(t) else np.zeros(32) for t, w in rows])
+    places /= np.maximum(np.linalg.norm(places, axis=1, keepdims=True), 1e-12)
+    centres = places[rnd.choice(len(rows), min(CLUSTERS, len(rows)), replace=False)]
+    for _ in range(8):
+        nearest = (places @ centres.T).argmax(1)
+        centres = np.array([places[nearest == c].mean(0) if (nearest == c).any() else centres[c] for c in range(len(centres))])
+    strongest = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in rows]
+    return np.lexsort((strongest, nearest))
+
+
 class Neighbours:
     """Votes of labelled examples on a text."""
 
@@ -148,8 +200,7 @@ class Neighbours:
         at = [np.array([vocabulary[t] for t in e[3]], np.int64) for e in examples]
         self.scale = idf * self._contrast(at)
         rows = [self._unit(terms, e[4]) for terms, e in zip(at, examples, strict=True)]
-        likeness = [(-int(terms[np.argmax(w)]) if len(terms) else 0, k) for k, (terms, w) in enumerate(rows)]
-        order = [k for _, k in sorted(likeness)]  # examples with the same strongest term share blocks
+        order = alike(rows, len(vocabulary)).tolist()
         self.labels = self.labels[order]
         self.ids = [examples[k][0] for k in order]
         self.index = BlockMaxIndex([rows[k] for k in order], len(vocabulary))
@@ -170,17 +221,28 @@ class Neighbours:
         weights = (1 + np.log(np.maximum(np.asarray(counts, float), 1))) * self.scale[terms]
         return terms, weights / (np.linalg.norm(weights) or 1.0)
 
-    def vote(self, counts: dict[str, int]) -> tuple[float, list[tuple[int, float, int]]]:
-        """Share of label 1 among the nearest examples, and these as (id, cosine, label)."""
-        known = [(self.vocabulary[t], n) for t, n in counts.items() if t in self.vocabulary]
-        if not known or not self.index.n:
+    def votes(self, texts: list[dict[str, int]]) -> Iterator[tuple[float, list[tuple[int, float, int]]]]:
+        """For each text's counts the share of label 1 among the nearest examples, and these as (id, cosine, label)."""
+        for at in range(0, len(texts), TOGETHER):
+            queries = []
+            for counts in texts[at : at + TOGETHER]:
+                known = [(self.vocabulary[t], n) for t, n in counts.items() if t in self.vocabulary] if self.index.n else []
+                queries.append(self._unit(*map(np.array, zip(*known, strict=True))) if known else (np.zeros(0, np.int64), np.zeros(0)))
+            common = self.index.common_part(queries)
+            for query, part in zip(queries, common, strict=True):
+                yield self._vote(*query, part)
+
+    def _vote(self, terms: np.ndarray, weights: np.ndarray, common: np.ndarray) -> tuple[float, list[tuple[int, float, int]]]:
+        if not len(terms):
             return 0.0, []
-        terms, weights = self._unit(*map(np.array, zip(*known, strict=True)))
-        ids, cosines = self.index.nearest(terms, weights, NEIGHBOURS)
+        ids, cosines = self.index.nearest(terms, weights, NEIGHBOURS, common)
         power = cosines**POWER
         share = float(power @ self.labels[ids] / power.sum()) if power.sum() else 0.0
         return share, [(self.ids[k], float(c), int(self.labels[k])) for k, c in zip(ids, cosines, strict=True) if c > 0]
 
+    def vote(self, counts: dict[str, int]) -> tuple[float, list[tuple[int, float, int]]]:
+        return next(self.votes([counts]))
+
 
 def isotonic(x, y) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: nodes of the rising function that fits y best; values are a little drawn off 0 and 1."""
@@ -229,8 +291,8 @@ def _scored(shared, name: str, curve: tuple[np.ndarray, np.ndarray]):
         model, (x, y) = _model(shared, name), curve
         for batch in batches:
             scores, evidence = [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                share, near = model.vote(term_counts(text))
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            for share, near in model.votes([term_counts(t) for t in texts]):
                 scores.append(float(np.interp(share, x, y)) if len(x) else 0.0)
                 evidence.append([{"doc_id": i, "similarity": c, "toxic": label} for i, c, label in near])
             yield pa.RecordBatch.from_arrays(
