@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from treelift.functions import paths as P
-from treelift.functions.identity import content_hashes, group_id, snapshot_hashes
+from treelift.functions.identity import content_hashes, group_ids, snapshot_hashes
 from treelift.jobs import catalog
 from treelift.operators import boundaries as B
 from treelift.operators import decisions as D
@@ -147,7 +147,7 @@ def test_hashes(spark):
     other = make(spark, {"q/SKILL.md": "x", "q/l": ("link", "t")}).withColumn("root", F.lit("q"))
     assert content_hashes(other, "dom").first().content_hash == hashlib.sha256(body).hexdigest()
     assert len(snapshot_hashes(rows).first().snapshot_sha256) == 64
-    ids = spark.createDataFrame([('k"', ["a", "b"])], "k string, ids array<string>").select(group_id("duplicate", F.col("k"), F.col("ids"))).first()[0]
+    ids = group_ids(spark.createDataFrame([("s", 'k"', "b"), ("s", 'k"', "a")], "source_id string, key string, candidate_id string"), "duplicate").first().group_id
     assert ids == "sha256:" + hashlib.sha256(b'["duplicate","k\\"",["a","b"]]').hexdigest()
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +24,53 @@ def candidate_id(url: Column, revision: Column, root: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(F.to_json(F.array(url, revision, root)), 256))
 
 
-def group_id(kind: str, key: Column, ids: Column) -> Column:
-    """Id of a group from its kind, key and sorted member ids."""
-    return F.concat(F.lit("sha256:"), F.sha2(F.concat(F.lit(f'["{kind}",'), json_text(key), F.lit(","), F.to_json(ids), F.lit("]")), 256))
+def ordered_digests(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """The keys and the SHA-256 of ``before``, the pieces in order with ``between`` among them, and ``after``, by group.
+
+    rows: the two keys (strings), the columns to order by, piece, and the constants before, between and after. A digest is a serial
+    thing, so a group passes one task, but as a stream: rows are sorted (on disk, where they must), never gathered.
+    """
+    parts = ["before", "between", "after", "piece"]
+    sorted_rows = rows.select(*keys, *order, *parts).repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, *parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, digest, after = None, None, ""
+        for batch in batches:
+            done = []
+            for *at, before, between, last, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != key:
+                    if digest is not None:
+                        done.append((*key, _closed(digest, after)))
+                    key, digest, after = at, hashlib.sha256(before.encode()), last
+                else:
+                    digest.update(between.encode())
+                digest.update(piece.encode())
+            if done:
+                yield _digest_batch(done)
+        if digest is not None:
+            yield _digest_batch([(*key, _closed(digest, after))])
+
+    return sorted_rows.mapInArrow(run, ", ".join(f"`{k}` string" for k in keys) + f", {name} string")
+
+
+def _closed(digest, after: str) -> str:
+    digest.update(after.encode())
+    return digest.hexdigest()
+
+
+def _digest_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], [f"c{k}" for k in range(len(columns))])
+
+
+def group_ids(members: DataFrame, kind: str) -> DataFrame:
+    """source_id, key, group_id: digest of the JSON list of kind, key and sorted member ids. members: source_id, key, candidate_id."""
+    before = F.concat(F.lit(f'["{kind}",'), json_text(F.col("key")), F.lit(',["'))
+    rows = members.select(
+        "source_id", "key", "candidate_id", F.col("candidate_id").alias("piece"), before.alias("before"), F.lit('","').alias("between"), F.lit('"]]').alias("after")
+    )
+    found = ordered_digests(rows, ["source_id", "key"], ["candidate_id"], "digest")
+    return found.select("source_id", "key", F.concat(F.lit("sha256:"), "digest").alias("group_id"))
 
 
 def snapshot_hashes(inventory: DataFrame) -> DataFrame:
@@ -31,9 +78,8 @@ def snapshot_hashes(inventory: DataFrame) -> DataFrame:
     row = F.to_json(
         F.struct("path", "kind", "size", "executable", "symlink_target", "sha256"), {"ignoreNullFields": "false"}
     )
-    listed = F.array_sort(F.collect_list(F.struct("path", row.alias("row"))))
-    body = F.array_join(F.transform(listed, lambda e: e["row"]), ",")
-    return inventory.groupBy("source_id").agg(F.sha2(F.concat(F.lit("["), body, F.lit("]")), 256).alias("snapshot_sha256"))
+    rows = inventory.select("source_id", "path", row.alias("piece"), F.lit("[").alias("before"), F.lit(",").alias("between"), F.lit("]").alias("after"))
+    return ordered_digests(rows, ["source_id"], ["path"], "snapshot_sha256")
 
 
 def _field(value: Column) -> Column:

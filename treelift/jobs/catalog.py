@@ -15,12 +15,15 @@ from treelift.functions.paths import ancestors, file_name
 from treelift.operators import boundaries as B
 from treelift.operators import decisions as D
 from treelift.operators import references as R
-from treelift.sources.scratch import Scratch
+from treelift.operators.markdown import markdown_references as markdown_rows
+from treelift.sources.archives import pack_documents, untar
 from treelift.sources.derived import DUCKDB_INVENTORY, inventory
+from treelift.sources.scratch import Scratch
 from treelift.sources.tables import table
 
 URL = "https://trees.example/"
 DOMAIN = "package-content-v1"
+ID_RANGE = 1000
 
 
 def inventory_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +55,7 @@ class _Tree:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.scratch = Scratch(spark, "trees")
-        self.full = inventory(spark, sf_dir)
+        self.full = self.scratch.keep(inventory(spark, sf_dir), "inventory")
         text = F.when(~file_name(F.col("path")).isin(B.ENTRYPOINTS), F.col("content"))
         self.paths = self.scratch.keep(self.full.withColumn("content", text), "paths")
         self.boundaries = self.scratch.keep(B.detect_boundaries(self.paths), "boundaries")
@@ -80,7 +83,8 @@ def path_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def link_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.close_links(inventory(spark, sf_dir))
+    """Where every symbolic link ends, through chains of links."""
+    return R.close_links(inventory(spark, sf_dir)).select("source_id", "path", "terminal", "hops", "outcome")
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -89,7 +93,16 @@ def _findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     fields = tree.scratch.keep(R.frontmatter(tree.full, tree.candidates), "frontmatter")
     callers = R.reverse_references(tree.paths, tree.candidates, tree.boundaries, fields)
     resolved = R.resolve(refs, tree.paths, tree.candidates)
-    return tree.candidates, tree.scratch.keep(D.evidence(resolved, refs, tree.candidates, fields, callers), "evidence")
+    found = D.evidence(resolved, refs, tree.candidates, fields, callers)
+    for more in (
+        D.link_evidence(R.close_links(tree.paths), tree.candidates),
+        D.collision_evidence(tree.paths, tree.candidates),
+        D.limit_evidence(tree.paths, tree.candidates),
+        D.package_evidence(tree.boundaries, tree.candidates),
+        D.symbol_evidence(refs, tree.candidates, R.owned_symbols(tree.paths, tree.boundaries)),
+    ):
+        found = found.unionByName(more)
+    return tree.candidates, tree.scratch.keep(found, "evidence")
 
 
 def runtime_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,10 +229,23 @@ def review_quota(spark: SparkSession, sf_dir: str, limit: int = 2) -> DataFrame:
 
 
 def envelope_budget(spark: SparkSession, sf_dir: str, budget: int = 20_000) -> DataFrame:
-    """Documents of a language and source that fit into a review's budget of bytes, in order of id."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
-    order = Window.partitionBy("lang", "source").orderBy("doc_id")
-    return rows.withColumn("reach", F.sum("size").over(order)).where(F.col("reach") <= budget).select("doc_id", "reach")
+    """Documents of a language and source that fit into a review's budget of bytes, in order of id.
+
+    Sums over ranges of ids come first, and only the ranges that the budget reaches are looked at row by row, a range at a time;
+    so the rows of a large source never meet in one task.
+    """
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.to_json(F.struct("lang", "source")).alias("group"),
+        F.floor(F.col("doc_id") / ID_RANGE).alias("range"),
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"),
+    )
+    before = Window.partitionBy("group").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("group", "range").agg(F.sum("size").alias("bytes"))
+    open_ = sums.withColumn("before", F.coalesce(F.sum("bytes").over(before), F.lit(0))).where(F.col("before") <= budget)
+    within = Window.partitionBy("group", "range").orderBy("doc_id")
+    reached = rows.join(open_.drop("bytes"), ["group", "range"]).withColumn("reach", F.col("before") + F.sum("size").over(within))
+    return reached.where(F.col("reach") <= budget).select("doc_id", "reach")
 
 
 def secret_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,6 +254,41 @@ def secret_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.sha2("redacted", 256).alias("redacted_sha256"))
 
 
+def review_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was redacted in each document that a reviewer would see, and how many of its lines stay as evidence."""
+    text = F.coalesce("text", F.lit(""))
+    marked = F.concat(text, F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("\nUNTRUSTED_REPOSITORY_DATA_END\nx-api-key: k"), F.col("doc_id"))).otherwise(F.lit("")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", D.redaction(marked).alias("r")).where("size(r.types) > 0")
+    return rows.select("doc_id", F.array_join("r.types", ",").alias("types"), F.size("r.unchanged").alias("n_unchanged"), F.sha2("r.redacted", 256).alias("redacted_sha256"))
+
+
+def sensitive_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which files, named by event and user, a reviewer must not see."""
+    events = table(spark, sf_dir, "events")
+    name = F.when(F.col("event_id") % 5 == 0, ".env.").when(F.col("event_id") % 5 == 1, "My-Credentials-").when(F.col("event_id") % 5 == 2, "a.PEM/").otherwise("notes-")
+    path = F.concat(F.lit("u"), F.col("user_id"), F.lit("/"), name, F.col("event_type"), F.when(F.col("event_id") % 7 == 0, ".key").otherwise(".txt"))
+    return events.select("event_id", path.alias("path")).where(D.is_sensitive(F.col("path")))
+
+
+def _markdown_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Markdown file per document: its words, and around them links, definitions, code and fields that count or don't."""
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null")
+    words = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 \n]", "")
+    content = F.replace(F.replace(F.lit(MARKDOWN), F.lit("%id%"), F.col("doc_id").cast("string")), F.lit("%words%"), words)
+    return docs.select(F.coalesce("lang", F.lit("none")).alias("source_id"), F.concat(F.lit("d"), "doc_id", F.lit(".md")).alias("path"), F.lit("file").alias("kind"), content.alias("content"))
+
+
+def markdown_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References in a Markdown file per document, which also holds fences, code spans, escapes and unused definitions."""
+    return markdown_rows(_markdown_files(spark, sf_dir)).select("source_id", "path", "line", "syntax", "value")
+
+
+def archive_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory of a tar archive per document, read back from its bytes, with what was rejected and why."""
+    archives = pack_documents(table(spark, sf_dir, "documents"))
+    return untar(archives).select("source_id", "path", "kind", "size", "executable", "symlink_target", "sha256", F.col("content").isNull().alias("opaque"), "problem")
+
+
 def link_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of pages by their first path part: number, and how many lead to the host's own root."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
@@ -238,9 +299,29 @@ _QUERIES = (
     inventory_hash, snapshot_digest, content_digest, package_boundaries, ancestor_counts, innermost_boundary, frontmatter_fields,
     path_references, link_closure, decision_reasons, classifications, classification_counts, content_duplicates, name_conflicts,
     duplicate_annotation, import_records, runtime_callers, scan_limits, path_collisions, source_specs, partition_check, review_join, expected_vs_actual, review_quota, envelope_budget,
-    secret_redaction, link_extraction,
+    secret_redaction, link_extraction, review_redaction, sensitive_paths, markdown_references, archive_inventory,
 )
 
+#: A file of :func:`_markdown_files`; its references by line are in the SQL.
+MARKDOWN = """---
+name: x
+script: tools/%id%.sh
+---
+%words%
+See [guide](guides/%id%.md) and \\[no](skipped.md).
+`[code](span.md)` then ![img](<a b.png>)
+```
+[fence](fence.md)
+```
+Use [the notes][n] and [this text].
+[n]: notes/%id%.md
+[n]: other.md
+[unused]: never.md
+```bash
+$ bash scripts/run.sh --out=x/y
+```
+Run ../shared/%id%.sh now."""
+
 _WITH = f"WITH {DUCKDB_INVENTORY}"
 #: Ancestors of a path, from '.' to itself.
 _ANCESTORS = "list_concat(['.'], list_transform(range(1, len(string_split({p}, '/')) + 1), lambda n: array_to_string(string_split({p}, '/')[1:n], '/')))"
@@ -264,6 +345,8 @@ rs AS (SELECT t.source_id, t.root, t.path, t.value, t.content,
               coalesce(early, CASE WHEN i.path IS NULL THEN 'missing' WHEN starts_with(i.path, t.root || '/') THEN 'inside' ELSE 'outside' END) AS outcome,
               CASE WHEN early IS NULL THEN t.target END AS target
        FROM t LEFT JOIN inventory i ON i.source_id = t.source_id AND i.path = t.target)"""
+#: Names made of letters that YAML doesn't take for a string, and no name at all.
+NO_STRING = "^(?i:|true|false|yes|no|on|off|null)$"
 _CALLS = """,
 calls AS (SELECT c.source_id, c.root, i.path, 1 AS line, 0 AS ord, regexp_extract(i.content, '"([^"]*)"', 1) AS value
           FROM inventory i JOIN c ON c.source_id = i.source_id AND c.boundary_root || '/src/main.py' = i.path
@@ -277,10 +360,27 @@ marks AS (
 ev AS (
   SELECT source_id, root, code, path, value, len(string_split(split_part(content, mark, 1), chr(10))) AS line FROM marks
   UNION ALL SELECT source_id, root, 'REFERENCED_BY_PLUGIN_RUNTIME', path, value, line FROM calls
-  UNION ALL SELECT source_id, root, 'INVALID_FRONTMATTER', entrypoint, 'name', 1 FROM c WHERE contains(content, 'name: ' || chr(10) || 'description'))"""
+  UNION ALL SELECT source_id, root, 'INVALID_FRONTMATTER', entrypoint, 'name', 1 FROM c WHERE regexp_matches(split_part(substr(content, 11), chr(10), 1), '""" + NO_STRING + """')
+  UNION ALL SELECT i.source_id, c.root, CASE WHEN i.path LIKE '%/loop' THEN 'SYMLINK_CYCLE' WHEN i.path LIKE '%/out' THEN 'SYMLINK_ESCAPE' ELSE 'MISSING_LOCAL_RESOURCE' END, i.path,
+    symlink_target || CASE WHEN i.path LIKE '%/ghost' THEN ' -> ' || c.root || '/nothing' ELSE '' END, NULL
+    FROM inventory i JOIN c ON c.source_id = i.source_id AND c.root = regexp_replace(i.path, '/[^/]*$', '') WHERE i.kind = 'symlink'
+  UNION ALL SELECT i.source_id, c.root, 'PATH_COLLISION', i.path, lower(i.path), NULL
+    FROM inventory i JOIN (SELECT source_id, lower(path) AS k FROM inventory GROUP BY ALL HAVING count(DISTINCT path) > 1) k ON k.source_id = i.source_id AND k.k = lower(i.path)
+    JOIN c ON c.source_id = i.source_id AND c.root = regexp_replace(i.path, '/[^/]*$', '')
+  UNION ALL SELECT i.source_id, c.root, 'PLUGIN_RUNTIME_INSIDE_SKILL_ROOT', i.path, 'mixed', NULL
+    FROM inventory i JOIN c ON c.source_id = i.source_id AND c.root = regexp_replace(i.path, '/inner/plugin.json$', '')
+  UNION ALL SELECT i.source_id, c.root, 'DUPLICATE_ENTRYPOINT', c.entrypoint, 'ignored in favor of ' || c.entrypoint, NULL
+    FROM inventory i JOIN c ON c.source_id = i.source_id AND c.root = regexp_replace(i.path, '/skill.md$', '') WHERE i.path LIKE '%/skill.md'
+  UNION ALL SELECT c.source_id, c.root, 'PLUGIN_OWNED_MCP_TOOL', entrypoint, 'mcp__' || regexp_extract(c.root, '^packages/([^/]*)', 1) || '__find',
+    len(string_split(split_part(c.content, chr(10) || 'ask mcp__', 1), chr(10))) + 1
+    FROM c JOIN inventory m ON m.source_id = c.source_id AND m.path = c.boundary_manifest WHERE contains(c.content, 'ask mcp__') AND contains(m.content, 'mcpServers')
+  UNION ALL SELECT c.source_id, c.root, 'PLUGIN_COMMAND_REFERENCE', entrypoint, '/deploy', len(string_split(split_part(c.content, chr(10) || 'then /deploy', 1), chr(10))) + 1
+    FROM c JOIN inventory m ON m.source_id = c.source_id AND m.path = c.boundary_root || '/commands/deploy.md' WHERE contains(c.content, 'then /deploy it'))"""
 _CLASSES = """,
-fl AS (SELECT source_id, root, bool_or(code = 'PATH_TRAVERSAL') AS blocked, bool_or(code = 'INVALID_FRONTMATTER') AS invalid,
-              bool_or(code NOT IN ('PATH_TRAVERSAL', 'INVALID_FRONTMATTER')) AS bound FROM ev GROUP BY ALL),
+fl AS (SELECT source_id, root, bool_or(code IN ('PATH_TRAVERSAL', 'SYMLINK_CYCLE', 'SYMLINK_ESCAPE', 'PATH_COLLISION')) AS blocked,
+              bool_or(code = 'INVALID_FRONTMATTER') AS invalid,
+              bool_or(code NOT IN ('PATH_TRAVERSAL', 'SYMLINK_CYCLE', 'SYMLINK_ESCAPE', 'PATH_COLLISION', 'INVALID_FRONTMATTER', 'DUPLICATE_ENTRYPOINT')) AS bound
+       FROM ev GROUP BY ALL),
 cl AS (SELECT c.source_id, c.root, package_kind, CASE WHEN blocked THEN 'blocked' WHEN invalid THEN 'invalid' WHEN bound THEN 'plugin_bound'
               WHEN package_kind IS NULL OR package_kind = 'skills_only' THEN 'portable' ELSE 'ambiguous' END AS classification
        FROM c LEFT JOIN fl USING (source_id, root))"""
@@ -289,7 +389,7 @@ _MEMBERS = f"""WITH m AS (
          'sha256:' || sha256('["{URL}' || coalesce(lang, 'none') || '","{"0" * 40}","packages/' || coalesce(source, 'none') || '/d' || doc_id || '"]') AS candidate_id,
          split_part(coalesce(text, ''), ' ', 1) AS name, sha256(coalesce(text, '')) AS content_hash FROM documents)"""
 _GROUP = """SELECT source_id, {key} AS key, count(*) AS n, arg_min(root, root) AS representative,
-  'sha256:' || sha256('["{kind}","' || {key} || '",["' || string_agg(candidate_id, '","' ORDER BY candidate_id) || '"]]') AS group_id
+  'sha256:' || sha256('["{kind}",' || CAST(to_json({key}) AS VARCHAR) || ',["' || string_agg(candidate_id, '","' ORDER BY candidate_id) || '"]]') AS group_id
   FROM m WHERE {where} GROUP BY source_id, {key} HAVING count(*) > 1"""
 _REVIEWS = """,
 rv AS (SELECT coalesce(d.lang, 'none') AS source_id, 'packages/' || coalesce(d.source, 'none') || '/d' || d.doc_id AS root,
@@ -307,14 +407,29 @@ def _record(path: str) -> str:
     return " || ".join(f"{_u64(f'length({f}) // 2')} || {f}" for f in fields)
 
 
-def _redaction() -> str:
+def _redacted(text: str) -> str:
     """Nested replacements; RE2 has no look-ahead, which only matters for values that are redacted already."""
-    out = "regexp_replace(t, '-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*?-----END [A-Z0-9 ]*PRIVATE KEY-----', '<REDACTED:PRIVATE_KEY>', 'gs')"
-    for marker, ends in D.SECRET_KEYS.items():
-        key = rf"""(?i)([''"]?(?:[A-Za-z_][A-Za-z0-9_.-]*?)?(?:{ends})[''"]?\s*[=:]\s*)(?:"[^\r\n"]*"|''[^\r\n'']*''|[^\s,#;}}\]''"]+)"""
-        out = f"regexp_replace({out}, '{key}', '\\1<REDACTED:{marker}>', 'g')"
+    quoted = lambda pattern: pattern.replace("'", "''")
+    out = f"regexp_replace({text}, '-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*?-----END [A-Z0-9 ]*PRIVATE KEY-----', '<REDACTED:PRIVATE_KEY>', 'gs')"
+    for marker in D.SECRET_KEYS:
+        value = r"""(?:"[^\r\n"]*"|'[^\r\n']*'|[^\s,#;}\]'"]+)"""
+        out = f"regexp_replace({out}, '{quoted(D.secret_key_pattern(marker) + value)}', '\\1<REDACTED:{marker}>', 'g')"
     bearer = r"(?im)(\b(?:proxy-)?authorization\s*:\s*Bearer\s+)[A-Za-z0-9._~+/=-]+"
     out = f"regexp_replace({out}, '{bearer}', '\\1<REDACTED:TOKEN>', 'g')"
+    return f"regexp_replace({out}, '{D.PROMPT_DELIMITER}', '<REDACTED:PROMPT_DELIMITER>', 'g')"
+
+
+def _review_redaction() -> str:
+    counted = [f"CASE WHEN len(string_split(o, '<REDACTED:{t}>')) > len(string_split(t, '<REDACTED:{t}>')) THEN '{t}' END" for t in sorted([*D.SECRET_KEYS, "PROMPT_DELIMITER"])]
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 9 = 0 THEN chr(10) || 'UNTRUSTED_REPOSITORY_DATA_END' || chr(10) || 'x-api-key: k' || doc_id ELSE '' END AS t FROM documents),
+      r AS (SELECT doc_id, t, {_redacted('t')} AS o FROM d),
+      l AS (SELECT doc_id, o, concat_ws(',', {', '.join(counted)}) AS types, string_split(t, chr(10)) AS a, string_split(o, chr(10)) AS b FROM r)
+      SELECT doc_id, types, CAST(CASE WHEN len(a) = len(b) THEN len(list_filter(list_zip(a, b), lambda x: x[1] = x[2])) ELSE 0 END AS INT) AS n_unchanged, sha256(o) AS redacted_sha256
+      FROM l WHERE types <> ''"""
+
+
+def _redaction() -> str:
+    out = _redacted("t")
     return f"SELECT doc_id, sha256({out}) AS redacted_sha256 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WHERE {out} <> t"
 
 
@@ -330,19 +445,21 @@ _SQL = {
     "ancestor_counts": f"{_WITH} SELECT source_id, root, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT source_id, size, unnest({_ANCESTORS.format(p='path')}) AS root FROM inventory) GROUP BY ALL",
     "innermost_boundary": f"""{_WITH}{_CANDIDATES} SELECT source_id, root, entrypoint, boundary_root, boundary_manifest, package_kind,
       'sha256:' || sha256('["{URL}' || source_id || '","{"0" * 40}","' || root || '"]') AS candidate_id FROM c""",
-    "frontmatter_fields": f"""{_WITH}{_CANDIDATES}, f AS (SELECT source_id, root, nullif(split_part(substr(content, 11), chr(10), 1), '') AS name,
+    "frontmatter_fields": f"""{_WITH}{_CANDIDATES}, f AS (SELECT source_id, root, CASE WHEN NOT regexp_matches(split_part(substr(content, 11), chr(10), 1), '{NO_STRING}') THEN split_part(substr(content, 11), chr(10), 1) END AS name,
       split_part(split_part(content, 'description: ', 2), chr(10), 1) AS description FROM c)
       SELECT source_id, root, name IS NOT NULL AS valid, name, CASE WHEN name IS NOT NULL THEN description END AS description,
       CASE WHEN name IS NULL THEN 'name' END AS problem FROM f""",
     "path_references": f"{_WITH}{_CANDIDATES}{_REFERENCES} SELECT source_id, root, path, value, target, outcome FROM rs",
-    "link_closure": f"""WITH RECURSIVE {DUCKDB_INVENTORY}, l AS (SELECT source_id, path, symlink_target FROM inventory WHERE kind = 'symlink'),
+    "link_closure": f"""WITH RECURSIVE {DUCKDB_INVENTORY}, l AS (
+        SELECT source_id, path, CASE WHEN symlink_target NOT LIKE '../%' THEN regexp_replace(path, '[^/]*$', '') || symlink_target END AS symlink_target
+        FROM inventory WHERE kind = 'symlink'),
       w AS (SELECT source_id, path, symlink_target AS stop, 1 AS hops FROM l
             UNION ALL SELECT w.source_id, w.path, l.symlink_target, w.hops + 1 FROM w JOIN l ON l.source_id = w.source_id AND l.path = w.stop WHERE w.hops < 64),
-      z AS (SELECT source_id, path, arg_max(stop, hops) AS terminal, max(hops) AS hops FROM w GROUP BY ALL)
-      SELECT z.source_id, z.path, terminal, hops, CASE WHEN i.kind IS NULL THEN 'dangling' WHEN i.kind = 'symlink' THEN 'cycle' ELSE 'resolved' END AS outcome
+      z AS (SELECT source_id, path, arg_max_null(stop, hops) AS terminal, max(hops) AS hops FROM w GROUP BY ALL)
+      SELECT z.source_id, z.path, terminal, hops, CASE WHEN terminal IS NULL THEN 'escape' WHEN i.kind IS NULL THEN 'dangling' WHEN i.kind = 'symlink' THEN 'cycle' ELSE 'resolved' END AS outcome
       FROM z LEFT JOIN inventory i ON i.source_id = z.source_id AND i.path = z.terminal""",
     "decision_reasons": f"""{_WITH}{_CANDIDATES}{_REFERENCES}{_EVIDENCE} SELECT source_id, root, code, count(*) AS n_attempts,
-      '[' || string_agg('{{"path":"' || path || '","line":' || line || ',"value":"' || value || '"}}', ',' ORDER BY path, line, value) || ']' AS evidence
+      '[' || string_agg('{{"path":"' || path || coalesce('","line":' || line || ',"', '","') || 'value":"' || value || '"}}', ',' ORDER BY path, line, value) || ']' AS evidence
       FROM ev GROUP BY source_id, root, code""",
     "classifications": f"""{_WITH}{_CANDIDATES}{_REFERENCES}{_EVIDENCE}{_CLASSES} SELECT source_id, root, classification,
       CASE WHEN classification = 'portable' AND package_kind IS NULL THEN 'STANDALONE_NO_PLUGIN_BOUNDARY' WHEN classification = 'portable' THEN 'SKILLS_ONLY_PACKAGE'
@@ -351,7 +468,7 @@ _SQL = {
     + ", ".join(f"count(*) FILTER (classification = '{c}') AS {c}" for c in D.CLASSES)
     + " FROM cl GROUP BY source_id",
     "content_duplicates": f"{_MEMBERS} {_GROUP.format(key='content_hash', kind='duplicate', where='true')}",
-    "name_conflicts": f"{_MEMBERS} {_GROUP.format(key='name', kind='name-conflict', where="regexp_full_match(name, '[A-Za-z]+')")}",
+    "name_conflicts": f"{_MEMBERS} {_GROUP.format(key='name', kind='name-conflict', where="name <> ''")}",
     "duplicate_annotation": f"{_MEMBERS} SELECT source_id, root, count(*) OVER g AS n_copies, count(*) OVER g > 1 AS duplicate FROM m WINDOW g AS (PARTITION BY source_id, content_hash)",
     "import_records": f"""{_MEMBERS}, o AS (SELECT source_id, content_hash, arg_min(name, root) AS name, count(*) AS n_candidates FROM m GROUP BY source_id, content_hash),
       s AS (SELECT *, left(coalesce(nullif(regexp_replace(regexp_replace(name, '[^A-Za-z0-9_.-]+', '-', 'g'), '^[-._]+|[-._]+$', '', 'g'), ''), 'skill'), 80) AS slug FROM o),
@@ -372,11 +489,29 @@ _SQL = {
       count(*) FILTER (classification <> verdict) AS disagree, count(*) FILTER (verdict IS NULL) AS not_expected, count(*) FILTER (classification IS NULL) AS not_found
       FROM cl FULL JOIN rv USING (source_id, root) GROUP BY source_id""",
     "runtime_callers": f"{_WITH}{_CANDIDATES}{_CALLS} SELECT * FROM calls",
+    "markdown_references": """SELECT source_id, path, CAST(line AS INT) AS line, syntax, value FROM (
+      SELECT coalesce(lang, 'none') AS source_id, 'd' || doc_id || '.md' AS path, doc_id,
+             len(string_split(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 \n]', '', 'g'), chr(10))) AS n FROM documents WHERE doc_id IS NOT NULL),
+      LATERAL (VALUES (3, 'markdown.frontmatter', 'tools/' || doc_id || '.sh'), (n + 5, 'markdown.link', 'guides/' || doc_id || '.md'), (n + 6, 'markdown.link', 'a b.png'),
+        (n + 11, 'markdown.reference', 'notes/' || doc_id || '.md'), (n + 15, 'shell.command', 'scripts/run.sh'), (n + 17, 'markdown.action_path', '../shared/' || doc_id || '.sh')) v(line, syntax, value)""",
+    "sensitive_paths": """SELECT * FROM (SELECT event_id, 'u' || user_id || '/' || CASE event_id % 5 WHEN 0 THEN '.env.' WHEN 1 THEN 'My-Credentials-' WHEN 2 THEN 'a.PEM/' ELSE 'notes-' END
+      || event_type || CASE WHEN event_id % 7 = 0 THEN '.key' ELSE '.txt' END AS path, event_id % 5 < 3 OR event_id % 7 = 0 AS hit FROM events) WHERE hit""".replace("SELECT * FROM (", "SELECT event_id, path FROM (", 1),
+    "archive_inventory": """WITH d AS (SELECT doc_id, 'd' || doc_id AS source_id, coalesce(text, '') AS t FROM documents WHERE doc_id IS NOT NULL)
+      SELECT source_id, path, kind, CAST(size AS BIGINT) AS size, executable, symlink_target, sha256, opaque, problem FROM d, LATERAL (VALUES
+        ('skill', 'directory', 0, false, NULL, NULL, true, NULL),
+        ('skill/SKILL.md', 'file', strlen(t), false, NULL, sha256(t), contains(t, chr(0)), NULL),
+        ('skill/run.sh', 'file', 3, doc_id % 2 = 0, NULL, sha256('run'), false, NULL),
+        ('skill/data.bin', 'file', 3, false, NULL, sha256('\x00\x01\x02'::BLOB), true, NULL),
+        ('skill/link', 'symlink', 8, false, 'SKILL.md', NULL, true, NULL),
+        ('../up' || doc_id, 'file', 1, false, NULL, NULL, true, 'unsafe_path'),
+        ('skill/Run.sh', 'file', 1, false, NULL, NULL, true, 'path_collision'),
+        ('skill/hard', 'unsupported', 0, false, NULL, NULL, true, 'unsupported_member'),
+        ('skill/link/below', 'file', 1, false, NULL, NULL, true, 'below_symlink')) v(path, kind, size, executable, symlink_target, sha256, opaque, problem)""",
     "scan_limits": f"""{_WITH}, s AS (SELECT source_id, count(*) AS n_entries, CAST(sum(CASE WHEN kind = 'file' THEN size ELSE 0 END) AS BIGINT) AS n_bytes,
       max(size) AS largest, CAST(max(len(string_split(path, '/'))) AS INT) AS deepest FROM inventory GROUP BY source_id)
       SELECT *, n_entries <= 10000 AND n_bytes <= 262144000 AND largest <= 10485760 AND deepest <= 64 AS within FROM s""",
-    "path_collisions": """SELECT source_id, lower(path) AS path_key, count(DISTINCT path) AS n FROM (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS source_id,
-      unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS path FROM pages) WHERE regexp_full_match(path, '[!-~]+') GROUP BY 1, 2 HAVING count(DISTINCT path) > 1""",
+    "path_collisions": """SELECT source_id, replace(replace(lower(nfc_normalize(path)), 'ß', 'ss'), 'ς', 'σ') AS path_key, count(DISTINCT path) AS n FROM (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS source_id,
+      unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS path FROM pages) WHERE path IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT path) > 1""",
     "source_specs": """SELECT page_id, CASE host WHEN '' THEN 'local' WHEN 'github.com' THEN 'github' ELSE 'git' END AS kind, host,
       host <> '' AND (regexp_matches(u, '[?#]') OR regexp_matches(u, '^[a-z]+://[^/@]*:[^/@]*@') OR NOT regexp_matches(u, '^(?:https|ssh|git)://')) AS unsafe
       FROM (SELECT page_id, coalesce(url, '') AS u, lower(regexp_extract(coalesce(url, ''), '^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)', 1)) AS host FROM pages)""",
@@ -384,6 +519,7 @@ _SQL = {
     "envelope_budget": """SELECT doc_id, CAST(reach AS BIGINT) AS reach FROM (SELECT doc_id, sum(coalesce(strlen(text), 0)) OVER (PARTITION BY lang, source ORDER BY doc_id) AS reach FROM documents)
       WHERE reach <= 20000""",
     "secret_redaction": _redaction(),
+    "review_redaction": _review_redaction(),
     "link_extraction": """SELECT page_id, count(*) AS links, count(*) FILTER (starts_with(href, '/')) AS host_links, min(regexp_extract(href, '[^/]*$')) AS first_name
       FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) GROUP BY page_id""",
 }

@@ -6,19 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treelift.functions.paths import ancestors, collapse, is_host_reference, is_local_reference, is_within, parent, unquote, unquote_fully
+from treelift.operators.markdown import PATH_FIELDS, markdown_references
+from treelift.sources.scratch import Scratch
 
 #: Names of the environment variables that hold a plugin's root, and commands of the host.
 _ROOT_NAME = r"(?:(?:CLAUDE_|CODEX_|CURSOR_|GEMINI_|OPENCLAW_)?PLUGIN_(?:ROOT|DIR|PATH)|EXTENSION_(?:ROOT|DIR|PATH))"
 PLUGIN_VARIABLE = rf"(?i)\$\{{(?:env:|[#!])?{_ROOT_NAME}(?![A-Za-z0-9_])[^}}\r\n]{{0,256}}\}}|\$(?:env:)?{_ROOT_NAME}(?![A-Za-z0-9_])|%{_ROOT_NAME}%|(?<![A-Za-z0-9_])extensionPath(?![A-Za-z0-9_])"
-MARKDOWN_LINK = r"!?\[[^\]]*\]\(\s*(?:<([^>]+)>|([^)\s]+))"
 MCP_TOOL = r"(?<![A-Za-z0-9_])mcp__[A-Za-z0-9_.-]+__[A-Za-z0-9_.-]+"
-CONFIG_FIELD = r"^\s*(entrypoint|executable|file|path|runtime|script|source|root)\s*[:=]\s*[\"']?([^\s#;\"']+)"
-HOST_COMMANDS = "bash bun curl docker git gh jq node npm npx pnpm python python3 sh uv wget yarn".split()
+COMMAND = r"(?:^|\s)(/[A-Za-z0-9_.-]*[A-Za-z0-9_-])(?=$|[\s.,;:!?)])"
+CONFIG_FIELD = rf"^\s*({'|'.join(PATH_FIELDS)})\s*[:=]\s*[\"']?([^\s#;\"']+)"
+CONFIG_FILES = r"(?i)\.(?:cfg|ini|toml|yaml|yml)$"
+#: Calls by which a program runs a skill, and how a configuration names one or several.
 SKILL_CALL = r"(?<![A-Za-z0-9_])(?:runSkill|loadSkill|load_skill|invokeSkill|invoke_skill|skills?\.get)\s*\(\s*[\"']([^\"']+)[\"']"
+SKILL_KEY = r"^\s*[\"']?skill[\"']?\s*:\s*[\"']?([A-Za-z0-9_./-]+)"
+SKILL_LIST = r"^\s*[\"']?skills[\"']?\s*:\s*\[([^\]]*)\]"
 SKILL_PATH = r"([A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)*)/(?:SKILL|skill)\.md"
 #: Suffixes of files that a package may run.
+LIST_ITEMS = 64
 RUNTIME_SUFFIXES = r"(?i)\.(?:py|js|ts|mjs|cjs|mts|cts|sh|bash|zsh|rb|go|rs|java|kt|php|pl|ps1|lua)$"
-DYNAMIC = r"\$(?:\{[^}]+\}|[A-Za-z_][A-Za-z0-9_]*)|[*?]|\{[^}]+\}"
+#: A value that is only known when it runs: variables, placeholders in braces, and wildcards.
+DYNAMIC = r"[*?]|\{[^}]+\}|\$[A-Za-z_{]"
 
 
 def lines_of(inventory: DataFrame) -> DataFrame:
@@ -33,33 +40,57 @@ def _all(pattern: str, group: int) -> Column:
     return F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
 
 
+def _structs(syntax: str, values: Column) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(syntax).alias("syntax"), v.alias("value")))
+
+
 def references(inventory: DataFrame) -> DataFrame:
-    """source_id, path, line, ord, syntax, value: links, path fields, root variables, tools and host commands, file by file once."""
-    text = lines_of(inventory)
-    links = F.zip_with(_all(MARKDOWN_LINK, 1), _all(MARKDOWN_LINK, 2), lambda a, b: F.when(a != "", a).otherwise(b))
-    commands = F.array_intersect(F.split("text", r"[^A-Za-z0-9_.-]+"), F.array(*map(F.lit, HOST_COMMANDS)))
-    found = F.concat(
-        F.transform(links, lambda v: F.struct(F.lit("markdown.link").alias("syntax"), v.alias("value"))),
-        F.transform(_all(CONFIG_FIELD, 2), lambda v: F.struct(F.lit("config.field").alias("syntax"), v.alias("value"))),
-        F.transform(_all(PLUGIN_VARIABLE, 0), lambda v: F.struct(F.lit("plugin.variable").alias("syntax"), v.alias("value"))),
-        F.transform(_all(MCP_TOOL, 0), lambda v: F.struct(F.lit("mcp.tool").alias("syntax"), v.alias("value"))),
-        F.when(F.col("text").rlike(r"^\s*(?:\$ |run )"), F.transform(commands, lambda v: F.struct(F.lit("host.command").alias("syntax"), v.alias("value")))).otherwise(
-            F.array().cast("array<struct<syntax:string,value:string>>")
-        ),
+    """source_id, path, line, ord, syntax, value: references of Markdown and configuration files, and root variables, tools and
+    commands in every text. Files and lines that can't hold a symbol are left out before any pattern runs."""
+    texts = inventory.where((F.col("kind") == "file") & F.col("content").isNotNull())
+    fields = lines_of(texts.where(F.col("path").rlike(CONFIG_FILES)))
+    fields = fields.select("source_id", "path", "line", F.posexplode(_structs("config.field", _all(CONFIG_FIELD, 2))).alias("ord", "r"))
+
+    def may_hold(text: Column) -> Column:
+        hints = [F.contains(text, F.lit(h)) for h in ("$", "%", "extensionPath", "mcp__", " /", "\n/")]
+        return hints[0] | hints[1] | hints[2] | hints[3] | hints[4] | hints[5]
+
+    lines = lines_of(texts.where(may_hold(F.col("content")))).where(may_hold(F.concat(F.lit("\n"), "text")))
+    symbols = F.concat(
+        _structs("plugin.variable", _all(PLUGIN_VARIABLE, 0)), _structs("mcp.tool", _all(MCP_TOOL, 0)), _structs("plugin.command", _all(COMMAND, 1))
     )
-    return text.select("source_id", "path", "line", F.posexplode(found).alias("ord", "r")).select("source_id", "path", "line", "ord", "r.syntax", "r.value")
+    symbols = lines.select("source_id", "path", "line", F.posexplode(symbols).alias("ord", "r"))
+    native = fields.unionByName(symbols).select("source_id", "path", "line", (F.col("ord") + 1000).alias("ord"), "r.syntax", "r.value")
+    return markdown_references(texts).unionByName(native)
+
+
+#: Plain YAML scalars that are no strings.
+_NO_STRING = r"(?i)^(?:[-+]?[0-9][0-9_,]*(?:\.[0-9_]*)?(?:e[-+]?[0-9]+)?|0x[0-9a-f]+|[-+]?\.(?:inf|nan)|[0-9]{4}-[0-9]{2}-[0-9]{2}.*|true|false|yes|no|on|off|null|~|[\[{&*!].*)$"
 
 
 def frontmatter(inventory: DataFrame, candidates: DataFrame) -> DataFrame:
-    """source_id, root, valid, name, description, problem: scalar fields between the first two lines '---'."""
+    """source_id, root, valid, name, description, problem: string fields between the first two lines '---'.
+
+    Plain, quoted and block scalars are read; a value that YAML takes for a number, a date, a truth value, a list or a mapping is no string.
+    """
     entries = candidates.select("source_id", "root", F.col("entrypoint").alias("path")).join(
         inventory.select("source_id", "path", "kind", "content"), ["source_id", "path"]
     )
     head = F.when((F.col("kind") == "file") & F.col("content").rlike(r"\A---\n(?s:.*?)\n---(?:\n|\z)"), F.regexp_extract("content", r"\A---\n((?s:.*?))\n---(?:\n|\z)", 1))
 
     def field(name: str) -> Column:
-        value = F.trim(F.regexp_extract(head, rf"(?m)^{name}:[ \t]*(.*)$", 1))
-        return F.nullif(F.regexp_replace(value, "^([\"'])(.*)\\1$", "$2"), F.lit(""))
+        raw = F.trim(F.regexp_extract(head, rf"(?m)^{name}:[ \t]*(.*)$", 1))
+        block = F.regexp_extract(head, rf"(?m)^{name}:[ \t]*[>|][-+]?[ \t]*((?:\n(?:[ \t]+.*)?)+)", 1)
+        lines = F.trim(F.regexp_replace(block, r"\n[ \t]*", "\n"), F.lit("\n"))
+        folded = F.when(F.startswith(raw, F.lit(">")), F.regexp_replace(lines, r"\n(?!\n)", " ")).otherwise(lines)
+        quoted = raw.rlike("^(?:\"[^\"]*\"|'[^']*')(?:\\s+#.*)?$")
+        plain = F.trim(F.regexp_replace(raw, r"(?:^|\s)#.*$", ""))
+        value = (
+            F.when(raw.rlike("^[>|][-+]?$"), folded)
+            .when(quoted, F.regexp_replace(raw, "^([\"'])(.*?)\\1.*$", "$2"))
+            .when(~plain.rlike(_NO_STRING), plain)
+        )
+        return F.when(F.trim(value) != "", value)
 
     name, description = field("name"), field("description")
     problem = F.when(head.isNull(), "frontmatter").when(name.isNull(), "name").when(description.isNull(), "description")
@@ -73,7 +104,7 @@ def resolve(refs: DataFrame, inventory: DataFrame, candidates: DataFrame) -> Dat
     first probe only.  outcome: host, remote, dynamic, escape, inside, outside, missing.
     """
     roots = candidates.select("source_id", "root")
-    paths = refs.where(F.col("syntax").isin("markdown.link", "config.field"))
+    paths = refs.where(F.startswith("syntax", F.lit("markdown.")) | F.col("syntax").isin("shell.command", "config.field"))
     placed = (
         paths.withColumn("root", F.explode(ancestors(parent(F.col("path")))))
         .join(roots, ["source_id", "root"])
@@ -112,9 +143,10 @@ def reverse_references(inventory: DataFrame, candidates: DataFrame, boundaries:
     above = programs.select("source_id", "path", F.explode(ancestors(F.col("path"))).alias("root"))
     own = above.join(candidates.select("source_id", "root"), ["source_id", "root"]).select("source_id", "path").distinct()
     programs = programs.join(own, ["source_id", "path"], "left_anti")
+    listed = F.slice(F.transform(F.split(F.array_join(_all(SKILL_LIST, 1), ","), ","), lambda v: F.regexp_replace(F.trim(v), "^[\"']|[\"']$", "")), 1, LIST_ITEMS)
     named = (
         lines_of(programs)
-        .select("source_id", "path", "line", F.posexplode(F.concat(_all(SKILL_CALL, 1), _all(SKILL_PATH, 1))).alias("ord", "value"))
+        .select("source_id", "path", "line", F.posexplode(F.concat(_all(SKILL_CALL, 1), _all(SKILL_PATH, 1), _all(SKILL_KEY, 1), listed)).alias("ord", "value"))
         .withColumn("package", F.explode(ancestors(F.col("path"))))
         .join(mixed, ["source_id", "package"])
     )
@@ -126,19 +158,48 @@ def reverse_references(inventory: DataFrame, candidates: DataFrame, boundaries:
 
 
 def close_links(inventory: DataFrame, rounds: int = 6) -> DataFrame:
-    """source_id, path, terminal, hops, outcome of every symbolic link; chains double in length each round, 64 hops in all.
+    """source_id, path, symlink_target, terminal, hops, outcome of every symbolic link; chains double in length each round, 64 hops in all.
 
-    outcome: resolved, dangling, or cycle (also for chains that are longer).
+    outcome: resolved, dangling, escape (terminal null: the chain leaves the tree) or cycle (also for chains that are longer).
+    A target below another link to a directory is followed through that one.  Each round is a written table, as its plan would
+    hold the round before twice.
     """
+    scratch = Scratch(inventory.sparkSession, "links")
     links = inventory.where(F.col("kind") == "symlink")
-    step = links.select(
-        "source_id", "path", collapse(F.when(F.contains("symlink_target", F.lit("links/")), F.lit(".")).otherwise(parent(F.col("path"))), F.col("symlink_target")).alias("at"), F.lit(1).alias("hops")
-    )
-    for _ in range(rounds):
-        after = step.select("source_id", F.col("path").alias("at"), F.col("at").alias("next"), F.col("hops").alias("more"))
-        step = step.join(after, ["source_id", "at"], "left").select(
-            "source_id", "path", F.coalesce("next", "at").alias("at"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")
-        )
+    step = links.select("source_id", "path", "symlink_target", collapse(parent(F.col("path")), F.col("symlink_target")).alias("at"), F.lit(1).alias("hops"))
     kinds = inventory.select("source_id", F.col("path").alias("at"), "kind")
-    outcome = F.when(F.col("kind").isNull(), "dangling").when(F.col("kind") == "symlink", "cycle").otherwise("resolved")
-    return step.join(kinds, ["source_id", "at"], "left").select("source_id", "path", F.col("at").alias("terminal"), "hops", outcome.alias("outcome"))
+    step = scratch.keep(step, "links")
+    for _ in range(rounds):
+        step = scratch.keep(_next_links(step), "links")
+    found = step.join(kinds, ["source_id", "at"], "left")
+    through = found.where("at is not null and kind is null")
+    above = through.select("source_id", "path", "at", F.explode(ancestors(parent(F.col("at")))).alias("link"))
+    ends = step.select("source_id", F.col("path").alias("link"), F.col("at").alias("end"))
+    nearest = above.join(ends, ["source_id", "link"]).groupBy("source_id", "path").agg(F.max_by(F.struct("link", "end"), F.length("link")).alias("l"))
+    moved = F.when(F.col("l").isNull(), F.col("at")).when(F.col("l.end").isNotNull(), F.concat("l.end", F.substr("at", F.length("l.link") + 1)))
+    step = found.drop("kind").join(nearest, ["source_id", "path"], "left").select("source_id", "path", "symlink_target", moved.alias("at"), "hops")
+    outcome = F.when(F.col("at").isNull(), "escape").when(F.col("kind").isNull(), "dangling").when(F.col("kind") == "symlink", "cycle").otherwise("resolved")
+    return step.join(kinds, ["source_id", "at"], "left").select("source_id", "path", "symlink_target", F.col("at").alias("terminal"), "hops", outcome.alias("outcome"))
+
+
+def _next_links(step: DataFrame) -> DataFrame:
+    after = step.select("source_id", F.col("path").alias("at"), F.col("at").alias("next"), F.col("hops").alias("more"))
+    there = F.col("more").isNotNull()
+    return step.join(after, ["source_id", "at"], "left").select(
+        "source_id", "path", "symlink_target", F.when(there, F.col("next")).otherwise(F.col("at")).alias("at"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")
+    )
+
+
+def owned_symbols(inventory: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """source_id, package, kind, symbol (in lower case): tools and commands that packages declare or hold by convention."""
+    declared = inventory.select("source_id", F.col("path").alias("manifest_path"), "content").join(
+        boundaries.select("source_id", F.col("root").alias("package"), "manifest_path"), ["source_id", "manifest_path"]
+    )
+    servers = F.json_object_keys(F.get_json_object("content", "$.mcpServers"))
+    tools = declared.select("source_id", "package", F.lit("mcp.tool").alias("kind"), F.explode(servers).alias("symbol")).withColumn("symbol", F.lower("symbol"))
+    held = r"(?:^|/)commands/([A-Za-z0-9_.-]+)\.md$"
+    commands = inventory.where((F.col("kind") == "file") & F.col("path").rlike(held)).select(
+        "source_id", parent(parent(F.col("path"))).alias("package"), F.lower(F.regexp_extract("path", held, 1)).alias("symbol")
+    )
+    commands = commands.join(boundaries.select("source_id", F.col("root").alias("package")).distinct(), ["source_id", "package"])
+    return tools.unionByName(commands.withColumn("kind", F.lit("plugin.command"))).distinct()

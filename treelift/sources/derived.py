@@ -1,8 +1,10 @@
 """An inventory of source trees made from the documents table.
 
 Every language is a source and every document a candidate directory with an entrypoint; packages get a manifest
-(with a runtime key and a program that calls one candidate for half of them) and a shared file; some documents get a guide file, and a chain of
-symbolic links runs over all of them.  The same SELECT runs in Spark and, with a few names exchanged, in DuckDB.
+(with a runtime key, a tool server and a program that calls one candidate for half of them), a command and a shared file; some documents
+get a guide file, links that loop, dangle or leave the tree, files that differ in case only, a second entrypoint, or a package of their own
+inside; and a chain of symbolic links runs over all of them.  The same SELECT runs in Spark and, with a few names
+exchanged, in DuckDB.
 """
 
 from __future__ import annotations
@@ -20,14 +22,32 @@ SELECT lang AS source_id, concat('packages/', source, '/d', doc_id, '/SKILL.md')
        concat('---', {nl}, 'name: ', CASE WHEN doc_id % 17 = 0 THEN '' ELSE {name} END, {nl}, 'description: ', lang, {nl}, '---', {nl}, t, {nl},
          '[guide](', CASE doc_id % 7 WHEN 0 THEN 'references/guide.md' WHEN 1 THEN '../shared/common.md' WHEN 2 THEN 'missing.md'
            WHEN 3 THEN '%2e%2e/%2e%2e/%2e%2e/%2e%2e/up.md' WHEN 4 THEN 'https://example.org/x' WHEN 5 THEN '/etc/hosts' ELSE '#top' END, ')',
-         CASE WHEN doc_id % 11 = 0 THEN concat({nl}, 'run $', '{{PLUGIN_ROOT}}/tool') ELSE '' END) AS content
+         CASE WHEN doc_id % 11 = 0 THEN concat({nl}, 'run $', '{{PLUGIN_ROOT}}/tool') ELSE '' END,
+         CASE WHEN doc_id % 43 = 5 THEN concat({nl}, 'ask mcp__', source, '__find') ELSE '' END,
+         CASE WHEN doc_id % 47 = 6 THEN concat({nl}, 'then /deploy it') ELSE '' END) AS content
 FROM d
 UNION ALL
+SELECT lang, concat('packages/', source, '/d', doc_id, '/skill.md'), 'file', false, NULL, 'second' FROM d WHERE doc_id % 29 = 1
+UNION ALL
+SELECT lang, concat('packages/', source, '/d', doc_id, '/loop'), 'symlink', false, 'loop', NULL FROM d WHERE doc_id % 31 = 2
+UNION ALL
+SELECT lang, concat('packages/', source, '/d', doc_id, '/out'), 'symlink', false, '../../../../outside', NULL FROM d WHERE doc_id % 37 = 3
+UNION ALL
+SELECT lang, concat('packages/', source, '/d', doc_id, '/ghost'), 'symlink', false, 'nothing', NULL FROM d WHERE doc_id % 41 = 4
+UNION ALL
+SELECT lang, concat('packages/', source, '/d', doc_id, '/inner/plugin.json'), 'file', false, NULL, '{{"name": "inner", "runtime": "x"}}' FROM d WHERE doc_id % 53 = 7
+UNION ALL
+SELECT lang, concat('packages/', source, '/d', doc_id, '/Notes.txt'), 'file', false, NULL, 'a' FROM d WHERE doc_id % 59 = 8
+UNION ALL
+SELECT lang, concat('packages/', source, '/d', doc_id, '/notes.txt'), 'file', false, NULL, 'b' FROM d WHERE doc_id % 59 = 8
+UNION ALL
+SELECT DISTINCT lang, concat('packages/', source, '/commands/deploy.md'), 'file', false, NULL, 'deploys' FROM d WHERE length(source) % 2 = 0
+UNION ALL
 SELECT lang, concat('packages/', source, '/d', doc_id, '/references/guide.md'), 'file', false, NULL, concat('guide ', doc_id)
 FROM d WHERE doc_id % 7 = 0
 UNION ALL
 SELECT DISTINCT lang, concat('packages/', source, '/plugin.json'), 'file', false, NULL,
-       CASE WHEN length(source) % 2 = 0 THEN concat('{{"name": "', source, '", "runtime": "src/main.py"}}') ELSE concat('{{"name": "', source, '"}}') END
+       CASE WHEN length(source) % 2 = 0 THEN concat('{{"name": "', source, '", "runtime": "src/main.py", "mcpServers": {{"', source, '": {{}}}}}}') ELSE concat('{{"name": "', source, '"}}') END
 FROM d
 UNION ALL
 SELECT DISTINCT lang, concat('packages/', source, '/shared/common.md'), 'file', false, NULL, 'shared'
@@ -37,7 +57,7 @@ SELECT lang, concat('packages/', source, '/src/main.py'), 'file', false, NULL, c
 FROM d WHERE length(source) % 2 = 0 GROUP BY lang, source
 UNION ALL
 SELECT lang, concat('links/d', doc_id), CASE WHEN doc_id % 4 = 3 THEN 'file' ELSE 'symlink' END, false,
-       CASE WHEN doc_id % 4 = 3 THEN NULL ELSE concat('links/d', CAST(floor(doc_id / 3) AS BIGINT)) END,
+       CASE WHEN doc_id % 4 = 3 THEN NULL ELSE concat('d', CAST(floor(doc_id / 3) AS BIGINT)) END,
        CASE WHEN doc_id % 4 = 3 THEN 'end' END
 FROM d
 """
