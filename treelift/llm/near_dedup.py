@@ -601,8 +601,7 @@ class _Links:
     def confirm(self, candidates: DataFrame) -> None:
         candidates = self.scratch.keep(candidates, "candidates")
         sets = self.scratch.keep(_set_table(self.docs, _ends(candidates), self.words), "sets")
-        links = in_few_tasks(confirm(candidates, sets, self.percent), candidates.count())
-        self.add(self.scratch.keep(links, "links"))
+        self.add(self.scratch.keep(confirm(candidates, sets, self.percent), "links"))
         self.scratch.drop(candidates, sets)
 
 
@@ -625,7 +624,7 @@ def _leaves(reps: DataFrame, trees: int, links: _Links, leaf_size: int) -> DataF
         if not rows:
             break
         parted = parted.join(reps, "rep").select("node", "rep", "component", "tokens", "size")
-        parted = scratch.keep(in_few_tasks(parted, rows), f"parted{depth}")
+        parted = scratch.keep(parted, f"parted{depth}")
         members = parted.mapInArrow(_branch, "node long, rep long, component long, parent long")
     return reduce(DataFrame.unionByName, found)
 
