@@ -614,7 +614,7 @@ def _leaves(reps: DataFrame, trees: int, links: _Links, leaf_size: int) -> DataF
     if sizes.large:
         large = level.where((F.col("size") > leaf_size) & (F.col("tree") < CONTRACT_TREES))
         links.confirm(_contracted(large, reps, links.percent))
-    members = _labelled(level.select("node", "rep"), links.labels).withColumn("parent", F.lit(1 << 62))
+    members = scratch.keep(_labelled(level.select("node", "rep"), links.labels), "members").withColumn("parent", F.lit(1 << 62))
     rows, found = sizes.all, []
     for depth in range(MAX_DEPTH + 1):
         placed = scratch.keep(_placed(members, depth == MAX_DEPTH, leaf_size, rows), f"placed{depth}")
@@ -666,7 +666,7 @@ def _verdicts(docs: DataFrame, words: int, percent: int, leaf_size: int = LEAF_S
     links.confirm(near.where("rep <> link").select(F.least("rep", "link").alias("a"), F.greatest("rep", "link").alias("b")).distinct())
 
     # groups that are still in several components: their full sets
-    marked = _labelled(near.select(*place, "held", "rep").distinct(), links.labels)
+    marked = scratch.keep(_labelled(near.select(*place, "held", "rep").distinct(), links.labels), "marked")
     split = (
         marked.groupBy(*place)
         .agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"), F.bit_xor(F.xxhash64("rep", "held")).alias("mark"))
