@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from treelift.llm.chat_format import canonical_turns, chat_digests
+from treelift.llm.conversation_repair import repair_report
 from treelift.llm.decontamination import contamination
 from treelift.llm.exact_dedup import exact_duplicates
 from treelift.llm.html_extract import main_texts
@@ -176,6 +177,66 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(table(spark, sf_dir, "conversations")).drop("n_rows")
+
+
+#: The grammar has four states; the least (cost, audit) of each is carried from row to row.  DuckDB has no CRC-32, so it is worked out bit by bit.
+OP12_SQL = r"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+h AS (
+  SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(name, ''), lambda c: CAST(ord(c) AS BIGINT))),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+                               lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) % 20 AS how
+  FROM k),
+d AS (
+  SELECT conv_id, turn, CASE how WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE how WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM h),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM d),
+o AS (
+  SELECT conv_id, turn, p, role, text, left(role, 1) AS i, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY p) AS before,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 'd'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '-' END AS f
+  FROM n),
+w AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS p, {'c': 0, 'a': ''} AS s0, {'c': 1000000000, 'a': ''} AS s1, {'c': 5, 'a': 'I'} AS s2, {'c': 10, 'a': 'II'} AS s3
+  FROM o
+  UNION ALL
+  SELECT conv_id, p, n0, n1, m2, list_sort([n3, {'c': m2.c + 5, 'a': m2.a || 'I'}])[1]
+  FROM (SELECT *, list_sort([n2, {'c': n0.c + 5, 'a': n0.a || 'I'}, {'c': n1.c + 5, 'a': n1.a || 'I'}, {'c': n3.c + 5, 'a': n3.a || 'I'}])[1] AS m2
+    FROM (SELECT conv_id, p, {'c': s0.c + 2, 'a': s0.a || 'D'} AS n0,
+        list_sort([{'c': s1.c + 2, 'a': s1.a || 'D'}, {'c': s0.c + CASE i WHEN 's' THEN stay ELSE 1000000000 END, 'a': s0.a || 'K'}])[1] AS n1,
+        list_sort([{'c': s2.c + 2, 'a': s2.a || 'D'}, {'c': u.c + CASE i WHEN 'u' THEN stay ELSE 1000000000 END, 'a': u.a || 'K'}, {'c': u.c + stay + 1, 'a': u.a || 'R'}])[1] AS n2,
+        list_sort([{'c': s3.c + 2, 'a': s3.a || 'D'}, {'c': s2.c + CASE i WHEN 'a' THEN stay ELSE 1000000000 END, 'a': s2.a || 'K'}, {'c': s2.c + stay + 1, 'a': s2.a || 'R'}])[1] AS n3
+      FROM (SELECT w.conv_id, o.p, s0, s1, s2, s3, i, CASE f WHEN '-' THEN 0 WHEN 't' THEN 5 ELSE 1000000000 END AS stay, list_sort([s0, s1, s3])[1] AS u
+        FROM w JOIN o ON o.conv_id IS NOT DISTINCT FROM w.conv_id AND o.p = w.p + 1)))),
+e AS (SELECT conv_id, list_sort([s0, s3])[1] AS best FROM w QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY p DESC) = 1),
+x AS (
+  SELECT conv_id, q, best.a[q] AS edit, len(regexp_replace(best.a[1:q], 'I', '', 'g')) AS p, len(regexp_replace(best.a[1:q], 'D', '', 'g')) AS place
+  FROM (SELECT conv_id, best, unnest(range(1, len(best.a) + 1)) AS q FROM e)),
+y AS (
+  SELECT x.conv_id, q, edit, place, CASE edit WHEN 'I' THEN '' ELSE text END AS text, role, i,
+         max(CASE WHEN edit = 'K' AND i = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY x.conv_id) AS sys
+  FROM x LEFT JOIN o ON o.conv_id IS NOT DISTINCT FROM x.conv_id AND o.p = x.p WHERE edit <> 'D'),
+z AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY q)) AS digest
+  FROM y GROUP BY conv_id),
+g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate,
+         count(*) FILTER (f = 't') AS truncated, count(*) FILTER (p > 1 AND before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM o GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -188,8 +249,9 @@ def queries() -> dict[str, Query]:
         "op8_chat_format": op8_chat_format,
         "op9_toxicity": op9_toxicity,
         "op10_packing": op10_packing,
+        "op12_conversation_repair": op12_conversation_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_near_dedup": OP5_SQL, "op7_suffix_dedup": OP7_SQL, "op8_chat_format": OP8_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_near_dedup": OP5_SQL, "op7_suffix_dedup": OP7_SQL, "op8_chat_format": OP8_SQL, "op12_conversation_repair": OP12_SQL}
