@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from treelift.llm.chat_format import canonical_turns, chat_digests
 from treelift.llm.conversation_repair import repair_report
 from treelift.llm.decontamination import contamination
+from treelift.llm.embedding_dedup import link_embeddings
 from treelift.llm.exact_dedup import exact_duplicates
+from treelift.llm.hard_negatives import mine_hard_negatives
 from treelift.llm.html_extract import main_texts
 from treelift.llm.line_dedup import line_report
 from treelift.llm.near_dedup import near_duplicates
@@ -177,6 +179,44 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = r"""
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same,
+         CAST(coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda z: coalesce(z[1] * z[2], 0))), 0) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+n AS (
+  SELECT p.a, p.b AS p, p.score AS ps, s.b AS n, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT a AS anchor_id, p AS positive_id, CAST(rank AS INT) AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE rank <= 5
+"""
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id, vec_id AS root FROM embeddings UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.vec_id),
+c AS (SELECT vec_id, min(root) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT x AS vec_id, count(*) AS n FROM l GROUP BY x)
+SELECT c.vec_id, coalesce(n, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(table(spark, sf_dir, "conversations")).drop("n_rows")
 
@@ -249,9 +289,20 @@ def queries() -> dict[str, Query]:
         "op8_chat_format": op8_chat_format,
         "op9_toxicity": op9_toxicity,
         "op10_packing": op10_packing,
+        "op11_hard_negatives": op11_hard_negatives,
         "op12_conversation_repair": op12_conversation_repair,
+        "op13_embedding_dedup": op13_embedding_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_near_dedup": OP5_SQL, "op7_suffix_dedup": OP7_SQL, "op8_chat_format": OP8_SQL, "op12_conversation_repair": OP12_SQL}
+    return {
+        "op1_exact_dedup": OP1_SQL,
+        "op2_decontamination": OP2_SQL,
+        "op5_near_dedup": OP5_SQL,
+        "op7_suffix_dedup": OP7_SQL,
+        "op8_chat_format": OP8_SQL,
+        "op11_hard_negatives": OP11_SQL,
+        "op12_conversation_repair": OP12_SQL,
+        "op13_embedding_dedup": OP13_SQL,
+    }
