@@ -2,15 +2,18 @@
 
 import hashlib
 import io
+import os
 import tarfile
 
 import pytest
 
 from treelift.operators import boundaries as B
 from treelift.operators import decisions as D
+from treelift.operators import links as L
 from treelift.operators import references as R
 from treelift.operators.markdown import markdown_rows
-from treelift.sources.archives import folder_inventory, members, untar
+from treelift.sources.archives import admitted, folder_inventory, members, refused_sources, untar
+from treelift.sources.trees import read_trees, write_trees
 
 SCHEMA = "source_id string, path string, kind string, size long, executable boolean, symlink_target string, sha256 string, content string"
 
@@ -60,7 +63,91 @@ def test_archive_members(spark):
     assert not any(".git" in p for p in rows)
     sources = spark.createDataFrame([("t", data), ("broken", b"no archive"), ("none", None)], "source_id string, archive binary")
     found = untar(sources).groupBy("source_id").count().collect()
-    assert {r.source_id: r["count"] for r in found} == {"t": 11, "broken": 1}
+    assert {r.source_id: r["count"] for r in found} == {"t": 19, "broken": 1}  # with the folders above the deepest member
+
+
+LINK = {"type": tarfile.SYMTYPE, "linkname": "a"}
+
+
+@pytest.mark.parametrize(
+    "entries,problems",
+    [
+        ([("a/b", b"x", {}), ("a", b"", LINK)], {"a": "path_collision"}),
+        ([("c/f", b"x", {}), ("c", b"y", {})], {"c": "path_collision"}),
+        ([("D/x", b"x", {}), ("d/y", b"y", {})], {"d/y": "path_collision"}),
+        ([("f", b"x", {}), ("f/g", b"y", {})], {"f/g": "parent_collision"}),
+        ([("a", b"", LINK), ("a/b", b"y", {})], {"a/b": "below_symlink"}),
+        ([("e", b"x", {}), ("e", b"y", {})], {"e": "path_collision"}),
+        ([("g", b"", {"type": tarfile.DIRTYPE}), ("g/h", b"y", {}), ("g", b"", {"type": tarfile.DIRTYPE})], {}),
+    ],
+)
+def test_archive_parents(entries, problems):
+    assert {r[0]: r[7] for r in members(tar(*entries)) if r[7]} == problems
+
+
+def test_archive_limits():
+    many = tar(*((f"f{k}", b"x" * 10, {}) for k in range(9)))
+    told = lambda **limits: [(r[0], r[7]) for r in members(many, **limits)][-1]
+    assert told() == ("f8", None)
+    assert told(max_entries=5) == ("", "too_many_entries") and told(max_total=45) == ("f4", "too_many_bytes") and told(max_archive=9) == ("", "archive_too_large")
+    assert [r[7] for r in members(tar(("a/b/c/d", b"", {})), max_entries=3)][-1] == "too_many_entries"
+    assert [r[7] for r in members(b"\x1f\x8b broken")] == ["not_an_archive"]
+
+
+def test_refused_sources(spark):
+    archives = [("ok", tar(("a", b"x", {}))), ("link", tar(("a/b", b"x", {}), ("a", b"", LINK))), ("up", tar(("../a", b"x", {}), ("b", b"", {"type": tarfile.FIFOTYPE}))), ("many", tar(*((f"f{k}", b"x", {}) for k in range(4))))]
+    inventory = untar(spark.createDataFrame(archives, "source_id string, archive binary"))
+    refused = refused_sources(inventory, max_entries=3)
+    assert {r.source_id: (r.code, r.path) for r in refused.collect()} == {"link": ("PATH_COLLISION", "a"), "up": ("PATH_TRAVERSAL", "../a"), "many": ("SCAN_LIMIT_EXCEEDED", None)}
+    assert [(r.source_id, r.path) for r in admitted(inventory, refused).collect()] == [("ok", "a")]
+
+
+def test_tree_source(spark, tmp_path):
+    root = tmp_path / "trees"
+    for name, data in {"s/a/SKILL.md": b"x\n", "s/a/b/c.bin": b"\0", "s/a/bad": b"\xff", "s/.git/config": b"x", "s/a/.svn/x": b"", "s/empty": b"", "s/big": b"y" * 99, "t/é/f": b"z", "t/lib/src/t/k.py": b"1", "t/k.py": b"2"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(data)
+    os.chmod(root / "s/empty", 0o755)
+    os.symlink("../../t", root / "s/a/out")
+    os.symlink("gone", root / "s/gone")
+    os.link(root / "t/k.py", root / "t/again")
+    os.mkfifo(root / "t/pipe")
+    os.makedirs(root / "t/" / "/".join("d" * 6))
+    os.mkdir(os.fsencode(root) + b"/t/\xff")
+    for partitions in (1, 3, 50):
+        rows = {(r.source_id, r.path): r for r in read_trees(spark, str(root), max_file=50, max_depth=5, partitions=partitions).collect()}
+        s = {p: r for (k, p), r in rows.items() if k == "s"}
+        assert set(s) == {"a", "a/b", "a/SKILL.md", "a/b/c.bin", "a/bad", "empty", "big", "a/out", "gone"}
+        assert (s["empty"].size, s["empty"].executable, s["empty"].content) == (0, True, "") and not s["a/SKILL.md"].executable
+        assert (s["a/out"].kind, s["a/out"].symlink_target, s["a/out"].size, s["a/out"].sha256) == ("symlink", "../../t", 7, None)
+        assert s["big"].problem == "too_large" and s["big"].content is None and s["a/bad"].content is s["a/b/c.bin"].content is None
+        assert s["a/bad"].sha256 == hashlib.sha256(b"\xff").hexdigest() and s["a"].kind == s["a/b"].kind == "directory"
+        problems = {p: r.problem for (k, p), r in rows.items() if k == "t" and r.problem}
+        assert problems == {"again": "hard_link", "k.py": "hard_link", "pipe": "unsupported_member", "d/d/d/d/d/d": "too_deep", "?": "unsafe_path"}
+        assert rows["t", "lib/src/t/k.py"].content == "1"
+    one = read_trees(spark, f"file://{root}/t", source_id="x", max_entries=3, partitions=1)
+    assert {(r.source_id, r.path, r.problem) for r in one.collect()} == {("x", ".", "too_many_entries")}
+
+
+def test_trees_are_written_whole(spark, tmp_path):
+    rows = tree(spark, {"a/b": "é", "c": ""}, {"d": "a/b"}).selectExpr("*")
+    target = tmp_path / "out"
+    write_trees(rows.unionByName(rows.selectExpr("'t' AS source_id", "path", "kind", "size", "true AS executable", "symlink_target", "sha256", "content")), str(target))
+    got = {(r.source_id, r.path): (r.kind, r.executable, r.symlink_target, r.content) for r in read_trees(spark, str(target)).where("kind <> 'directory'").collect()}
+    assert got == {(k, p): v for k, x in (("s", False), ("t", True)) for p, v in {"a/b": ("file", x, None, "é"), "c": ("file", x, None, ""), "d": ("symlink", False, "a/b", None)}.items()}
+    bad = rows.selectExpr("source_id", "concat('../', path) AS path", "kind", "executable", "symlink_target", "content")
+    with pytest.raises(Exception, match="not a path in a tree"):
+        write_trees(bad, str(tmp_path / "bad"))
+    assert sorted(os.listdir(tmp_path)) == ["out"]
+
+
+def test_folder_whose_path_comes_again(spark, tmp_path):
+    root = tmp_path / "src"
+    (root / "lib/src").mkdir(parents=True)
+    (root / "lib/src/a.py").write_text("1")
+    (root / "a.py").write_text("2")
+    rows = {r.path: r.content for r in folder_inventory(spark, str(root), "s").where("kind = 'file'").collect()}
+    assert rows == {"a.py": "2", "lib/src/a.py": "1"}
 
 
 def test_folder(spark, tmp_path):
@@ -96,7 +183,7 @@ def test_markdown(text, want):
 
 def test_links(spark):
     links = {"a/x": "links/y", "a/links/y": "../f", "out": "../up", "chain": "out", "p": "q", "q": "p", "gone": "no", "dir": "a", "through": "dir/f"}
-    rows = {r.path: (r.outcome, r.terminal) for r in R.close_links(tree(spark, {"a/f": "t"}, links)).collect()}
+    rows = {r.path: (r.outcome, r.terminal) for r in L.close_links(tree(spark, {"a/f": "t"}, links)).collect()}
     assert rows["a/x"] == ("resolved", "a/f") and rows["a/links/y"] == ("resolved", "a/f")
     assert rows["out"] == ("escape", None) and rows["chain"] == ("escape", None)
     assert rows["p"][0] == rows["q"][0] == "cycle" and rows["gone"] == ("dangling", "no") and rows["through"] == ("resolved", "a/f")
@@ -116,11 +203,12 @@ def test_findings_beside_references(spark):
     boundaries = B.detect_boundaries(inventory)
     candidates = B.discover(inventory, boundaries)
     refs = R.references(inventory)
-    found = D.link_evidence(R.close_links(inventory), candidates)
+    found = L.link_evidence(L.close_links(inventory), candidates)
     found = found.unionByName(D.collision_evidence(inventory, candidates)).unionByName(D.limit_evidence(inventory, candidates, single=29 + 100, depth=3))
     found = found.unionByName(D.package_evidence(boundaries, candidates)).unionByName(D.symbol_evidence(refs, candidates, R.owned_symbols(inventory, boundaries)))
     codes = {(r.root, r.code, r.value) for r in found.collect()}
-    assert {c for _, c, _ in codes if c.startswith("SYMLINK")} == {"SYMLINK_CYCLE", "SYMLINK_ESCAPE"}
+    assert {c for _, c, _ in codes if c.startswith("SYMLINK")} == {"SYMLINK_ESCAPE"}
+    assert ("skills/a", "DYNAMIC_REFERENCE_UNRESOLVED", "loop (cycle)") in codes
     assert ("skills/a", "SYMLINK_ESCAPE", "../../plugin.json -> plugin.json") in codes
     assert ("skills/b", "MISSING_LOCAL_RESOURCE", "none -> skills/b/none") in codes
     assert {v for _, c, v in codes if c == "PLUGIN_OWNED_MCP_TOOL"} == {"mcp__files__read"}

@@ -110,13 +110,6 @@ def test_paths(spark):
     assert [r[0] for r in ok] == [False] * len(bad) + [True, True]
 
 
-def test_link_closure(spark):
-    tree = {"a": ("link", "b"), "b": ("link", "c"), "c": "x", "d": ("link", "e"), "e": ("link", "d"), "f": ("link", "gone")}
-    tree |= {f"n{k}": ("link", f"n{k + 1}") for k in range(60)} | {"n60": "end"}
-    got = {r.path: (r.terminal, r.outcome) for r in R.close_links(make(spark, tree)).collect()}
-    assert got["a"] == ("c", "resolved") and got["f"] == ("gone", "dangling") and got["d"][1] == "cycle" and got["n0"] == ("n60", "resolved")
-
-
 def test_runtime_callers(spark):
     tree = {
         "plugin.json": '{"runtime": "src/run.py"}', "src/run.py": 'x = 1\nrunSkill("alpha")\nload("skills/beta/SKILL.md")', "skills/gamma/own.py": 'runSkill("alpha")',

@@ -14,12 +14,14 @@ from treelift.functions.identity import candidate_id, content_hashes, snapshot_h
 from treelift.functions.paths import ancestors, file_name
 from treelift.operators import boundaries as B
 from treelift.operators import decisions as D
+from treelift.operators import links as L
 from treelift.operators import references as R
 from treelift.operators.markdown import markdown_references as markdown_rows
-from treelift.sources.archives import pack_documents, untar
-from treelift.sources.derived import DUCKDB_INVENTORY, inventory
+from treelift.sources.archives import admitted, pack_documents, refused_sources, untar
+from treelift.sources.derived import DUCKDB_INVENTORY, inventory, paths
 from treelift.sources.scratch import Scratch
 from treelift.sources.tables import table
+from treelift.sources.trees import read_trees, write_trees
 
 URL = "https://trees.example/"
 DOMAIN = "package-content-v1"
@@ -35,7 +37,7 @@ def snapshot_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = _Tree(spark, sf_dir)
+    tree = _Tree(spark, inventory(spark, sf_dir))
     members = tree.paths.select("*", F.explode(ancestors(F.col("path"))).alias("root")).join(tree.candidates.select("source_id", "root"), ["source_id", "root"])
     return content_hashes(members, DOMAIN)
 
@@ -53,9 +55,9 @@ class _Tree:
     """The inventory, and what several joins need of it as written tables: paths (with the texts of small declaring files,
     not of entrypoints), package boundaries and candidates. Entrypoints' texts are read from the source where they are looked into."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+    def __init__(self, spark: SparkSession, rows: DataFrame) -> None:
         self.scratch = Scratch(spark, "trees")
-        self.full = self.scratch.keep(inventory(spark, sf_dir), "inventory")
+        self.full = self.scratch.keep(rows, "inventory")
         text = F.when(~file_name(F.col("path")).isin(B.ENTRYPOINTS), F.col("content"))
         self.paths = self.scratch.keep(self.full.withColumn("content", text), "paths")
         self.boundaries = self.scratch.keep(B.detect_boundaries(self.paths), "boundaries")
@@ -63,7 +65,7 @@ class _Tree:
 
 
 def innermost_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _Tree(spark, sf_dir).candidates
+    found = _Tree(spark, inventory(spark, sf_dir)).candidates
     revision = F.lit("0" * 40)
     return found.select(
         "source_id", "root", "entrypoint", "boundary_root", "boundary_manifest", "package_kind",
@@ -72,30 +74,30 @@ def innermost_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frontmatter_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = _Tree(spark, sf_dir)
+    tree = _Tree(spark, inventory(spark, sf_dir))
     return R.frontmatter(tree.full, tree.candidates)
 
 
 def path_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = _Tree(spark, sf_dir)
+    tree = _Tree(spark, inventory(spark, sf_dir))
     refs = tree.scratch.keep(R.references(tree.full), "references")
     return R.resolve(refs, tree.paths, tree.candidates).select("source_id", "root", "path", "value", "target", "outcome")
 
 
 def link_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where every symbolic link ends, through chains of links."""
-    return R.close_links(inventory(spark, sf_dir)).select("source_id", "path", "terminal", "hops", "outcome")
+    """Where every symbolic link ends, through chains of links and linked folders."""
+    return L.close_links(paths(spark, sf_dir)).select("source_id", "path", "terminal", "hops", "outcome")
 
 
-def _findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    tree = _Tree(spark, sf_dir)
+def _findings(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    tree = _Tree(spark, rows)
     refs = tree.scratch.keep(R.references(tree.full), "references")  # texts are read once
     fields = tree.scratch.keep(R.frontmatter(tree.full, tree.candidates), "frontmatter")
     callers = R.reverse_references(tree.paths, tree.candidates, tree.boundaries, fields)
     resolved = R.resolve(refs, tree.paths, tree.candidates)
     found = D.evidence(resolved, refs, tree.candidates, fields, callers)
     for more in (
-        D.link_evidence(R.close_links(tree.paths), tree.candidates),
+        L.link_evidence(L.close_links(tree.paths), tree.candidates),
         D.collision_evidence(tree.paths, tree.candidates),
         D.limit_evidence(tree.paths, tree.candidates),
         D.package_evidence(tree.boundaries, tree.candidates),
@@ -106,7 +108,7 @@ def _findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def runtime_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = _Tree(spark, sf_dir)
+    tree = _Tree(spark, inventory(spark, sf_dir))
     return R.reverse_references(tree.paths, tree.candidates, tree.boundaries, R.frontmatter(tree.full, tree.candidates))
 
 
@@ -132,13 +134,13 @@ def source_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decision_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, found = _findings(spark, sf_dir)
+    _, found = _findings(spark, inventory(spark, sf_dir))
     rows = D.reasons(found)
     return rows.select("source_id", "root", "code", "n_attempts", F.to_json("evidence").alias("evidence"))
 
 
 def classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.classify(*_findings(spark, sf_dir))
+    return D.classify(*_findings(spark, inventory(spark, sf_dir)))
 
 
 def classification_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,6 +285,25 @@ def markdown_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown_rows(_markdown_files(spark, sf_dir)).select("source_id", "path", "line", "syntax", "value")
 
 
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory, made as folders, files and links in the shared folder, and read back from them; programs may be run."""
+    folder = f"{Scratch(spark, 'made').root}-trees"
+    write_trees(inventory(spark, sf_dir).withColumn("executable", F.endswith("path", F.lit(".py"))), folder)
+    return read_trees(spark, folder)
+
+
+def tree_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory of real trees: folders, permissions, link targets, digests, and which files are no text."""
+    rows = _written(spark, sf_dir)
+    return rows.select("source_id", "path", "kind", "size", "executable", "symlink_target", "sha256", F.col("content").isNull().alias("opaque"), "problem")
+
+
+def tree_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classification counts over real trees that no entry keeps from being taken."""
+    rows = _written(spark, sf_dir)
+    return D.class_counts(D.classify(*_findings(spark, admitted(rows, refused_sources(rows, max_entries=1 << 40, max_total=1 << 50)))))
+
+
 def archive_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inventory of a tar archive per document, read back from its bytes, with what was rejected and why."""
     archives = pack_documents(table(spark, sf_dir, "documents"))
@@ -299,7 +320,7 @@ _QUERIES = (
     inventory_hash, snapshot_digest, content_digest, package_boundaries, ancestor_counts, innermost_boundary, frontmatter_fields,
     path_references, link_closure, decision_reasons, classifications, classification_counts, content_duplicates, name_conflicts,
     duplicate_annotation, import_records, runtime_callers, scan_limits, path_collisions, source_specs, partition_check, review_join, expected_vs_actual, review_quota, envelope_budget,
-    secret_redaction, link_extraction, review_redaction, sensitive_paths, markdown_references, archive_inventory,
+    secret_redaction, link_extraction, review_redaction, sensitive_paths, markdown_references, archive_inventory, tree_inventory, tree_classes,
 )
 
 #: A file of :func:`_markdown_files`; its references by line are in the SQL.
@@ -322,7 +343,7 @@ $ bash scripts/run.sh --out=x/y
 ```
 Run ../shared/%id%.sh now."""
 
-_WITH = f"WITH {DUCKDB_INVENTORY}"
+_WITH = f"WITH RECURSIVE {DUCKDB_INVENTORY}"
 #: Ancestors of a path, from '.' to itself.
 _ANCESTORS = "list_concat(['.'], list_transform(range(1, len(string_split({p}, '/')) + 1), lambda n: array_to_string(string_split({p}, '/')[1:n], '/')))"
 #: In the derived inventory each candidate lies directly in its package, whose manifest is plugin.json.
@@ -347,11 +368,45 @@ rs AS (SELECT t.source_id, t.root, t.path, t.value, t.content,
        FROM t LEFT JOIN inventory i ON i.source_id = t.source_id AND i.path = t.target)"""
 #: Names made of letters that YAML doesn't take for a string, and no name at all.
 NO_STRING = "^(?i:|true|false|yes|no|on|off|null)$"
+#: A path with '.' and '..' resolved; null if it leaves the tree.
+_COLLAPSE = """coalesce(nullif(substr(nullif(list_reduce(list_prepend('', string_split({p}, '/')), lambda a, x: CASE WHEN a = '!' THEN '!' WHEN x = '' OR x = '.' THEN a
+  WHEN x <> '..' THEN a || '/' || x WHEN a = '' THEN '!' ELSE regexp_replace(a, '/[^/]*$', '') END), '!'), 2), ''), CASE WHEN {p} IS NULL THEN NULL END)"""
+#: Links one after the other: a path has at most one part that is a link below no other link.
+_LINKS = f""",
+lk AS (SELECT source_id, path, symlink_target AS raw, CASE WHEN NOT starts_with(symlink_target, '/') THEN {_COLLAPSE.format(p="regexp_replace(path, '[^/]*$', '') || symlink_target")} END AS target
+       FROM inventory WHERE kind = 'symlink'),
+tops AS (SELECT * FROM lk WHERE NOT EXISTS (SELECT 1 FROM lk u WHERE u.source_id = lk.source_id AND starts_with(lk.path, u.path || '/'))),
+fo AS (SELECT DISTINCT source_id, unnest({{ancestors}}) AS path FROM (SELECT source_id, regexp_replace(path, '/[^/]*$', '') AS folder FROM inventory WHERE contains(path, '/'))),
+walk AS (SELECT source_id, path AS link, path AS cur, 0 AS hops, CAST([] AS VARCHAR[]) AS seen, CAST([] AS VARCHAR[]) AS tos, CAST([] AS VARCHAR[]) AS raws FROM lk
+  UNION ALL SELECT w.source_id, w.link, t.target || substr(w.cur, length(t.path) + 1), w.hops + 1, list_append(w.seen, w.cur), list_append(w.tos, coalesce(t.target, '!')), list_append(w.raws, t.raw)
+  FROM walk w JOIN tops t ON t.source_id = w.source_id AND (w.cur = t.path OR starts_with(w.cur, t.path || '/')) WHERE w.hops < 65 AND NOT list_contains(w.seen, w.cur)),
+lc AS (SELECT w.*, coalesce(i.kind, CASE WHEN fo.path IS NOT NULL THEN 'directory' END) AS kind, list_contains(seen, cur) AS again
+  FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY source_id, link ORDER BY hops DESC) = 1) w
+  LEFT JOIN inventory i ON i.source_id = w.source_id AND i.path = w.cur LEFT JOIN fo ON fo.source_id = w.source_id AND fo.path = w.cur),
+le0 AS (SELECT *, CASE WHEN again THEN 'cycle' WHEN hops > 64 THEN 'limit' WHEN cur IS NULL THEN 'escape' WHEN kind IS NULL THEN 'dangling' ELSE 'resolved' END AS outcome FROM lc)""".replace(
+    "{ancestors}", _ANCESTORS.format(p="folder")
+)
+#: In a candidate, no step may leave it; a link is cyclic if its folder can be reached from where it leads.
+_LINK_CODES = """,
+cl0 AS (SELECT l.*, c.root, list_filter(range(1, hops + 1), lambda k: tos[k] = '!' OR NOT (tos[k] = c.root OR starts_with(tos[k], c.root || '/')))[1] AS bad,
+               regexp_replace(link, '/[^/]*$', '') AS folder
+        FROM le0 l JOIN c ON c.source_id = l.source_id AND starts_with(l.link, c.root || '/')),
+cl1 AS (SELECT *, CASE WHEN bad IS NULL AND outcome = 'resolved' AND kind = 'directory' THEN cur END AS target FROM cl0),
+ge AS (SELECT DISTINCT source_id, root, folder AS a, target AS b FROM cl1 WHERE target IS NOT NULL
+       UNION SELECT DISTINCT fo.source_id, cl1.root, regexp_replace(fo.path, '/[^/]*$', ''), fo.path FROM fo JOIN cl1 ON cl1.source_id = fo.source_id AND starts_with(fo.path, cl1.root || '/')),
+reach AS (SELECT source_id, root, link, target AS node FROM cl1 WHERE target IS NOT NULL
+          UNION SELECT r.source_id, r.root, r.link, ge.b FROM reach r JOIN ge ON ge.source_id = r.source_id AND ge.root = r.root AND ge.a = r.node),
+le AS (SELECT source_id, root, link, CASE WHEN cyclic THEN 'SYMLINK_CYCLE' WHEN bad IS NOT NULL THEN 'SYMLINK_ESCAPE' WHEN outcome IN ('cycle', 'limit') THEN 'DYNAMIC_REFERENCE_UNRESOLVED'
+         WHEN outcome = 'dangling' THEN 'MISSING_LOCAL_RESOURCE' END AS code,
+       CASE WHEN cyclic THEN raws[1] || ' -> ' || target WHEN bad IS NOT NULL AND starts_with(raws[bad], '/') THEN raws[bad]
+         WHEN bad IS NOT NULL THEN raws[bad] || ' -> ' || CASE WHEN tos[bad] = '!' THEN '<outside snapshot>' ELSE tos[bad] END
+         WHEN outcome = 'cycle' THEN raws[list_position(seen, cur)] || ' (cycle)' WHEN outcome = 'limit' THEN 'chain exceeds 64 links' WHEN outcome = 'dangling' THEN raws[hops] || ' -> ' || cur END AS value
+       FROM (SELECT cl1.*, EXISTS (SELECT 1 FROM reach r WHERE r.source_id = cl1.source_id AND r.root = cl1.root AND r.link = cl1.link AND r.node = cl1.folder) AS cyclic FROM cl1))"""
 _CALLS = """,
 calls AS (SELECT c.source_id, c.root, i.path, 1 AS line, 0 AS ord, regexp_extract(i.content, '"([^"]*)"', 1) AS value
           FROM inventory i JOIN c ON c.source_id = i.source_id AND c.boundary_root || '/src/main.py' = i.path
             AND c.root = c.boundary_root || '/' || regexp_extract(i.content, '"([^"]*)"', 1))"""
-_EVIDENCE = _CALLS + """,
+_EVIDENCE = _CALLS + _LINKS + _LINK_CODES + """,
 marks AS (
   SELECT source_id, root, 'PATH_TRAVERSAL' AS code, path, value, content, '[guide]' AS mark FROM rs WHERE outcome = 'escape'
   UNION ALL SELECT source_id, root, 'REFERENCE_OUTSIDE_SKILL_ROOT', path, value || ' -> ' || target, content, '[guide]' FROM rs WHERE outcome = 'outside'
@@ -361,9 +416,7 @@ ev AS (
   SELECT source_id, root, code, path, value, len(string_split(split_part(content, mark, 1), chr(10))) AS line FROM marks
   UNION ALL SELECT source_id, root, 'REFERENCED_BY_PLUGIN_RUNTIME', path, value, line FROM calls
   UNION ALL SELECT source_id, root, 'INVALID_FRONTMATTER', entrypoint, 'name', 1 FROM c WHERE regexp_matches(split_part(substr(content, 11), chr(10), 1), '""" + NO_STRING + """')
-  UNION ALL SELECT i.source_id, c.root, CASE WHEN i.path LIKE '%/loop' THEN 'SYMLINK_CYCLE' WHEN i.path LIKE '%/out' THEN 'SYMLINK_ESCAPE' ELSE 'MISSING_LOCAL_RESOURCE' END, i.path,
-    symlink_target || CASE WHEN i.path LIKE '%/ghost' THEN ' -> ' || c.root || '/nothing' ELSE '' END, NULL
-    FROM inventory i JOIN c ON c.source_id = i.source_id AND c.root = regexp_replace(i.path, '/[^/]*$', '') WHERE i.kind = 'symlink'
+  UNION ALL SELECT source_id, root, code, link, value, NULL FROM le WHERE code IS NOT NULL
   UNION ALL SELECT i.source_id, c.root, 'PATH_COLLISION', i.path, lower(i.path), NULL
     FROM inventory i JOIN (SELECT source_id, lower(path) AS k FROM inventory GROUP BY ALL HAVING count(DISTINCT path) > 1) k ON k.source_id = i.source_id AND k.k = lower(i.path)
     JOIN c ON c.source_id = i.source_id AND c.root = regexp_replace(i.path, '/[^/]*$', '')
@@ -450,14 +503,7 @@ _SQL = {
       SELECT source_id, root, name IS NOT NULL AS valid, name, CASE WHEN name IS NOT NULL THEN description END AS description,
       CASE WHEN name IS NULL THEN 'name' END AS problem FROM f""",
     "path_references": f"{_WITH}{_CANDIDATES}{_REFERENCES} SELECT source_id, root, path, value, target, outcome FROM rs",
-    "link_closure": f"""WITH RECURSIVE {DUCKDB_INVENTORY}, l AS (
-        SELECT source_id, path, CASE WHEN symlink_target NOT LIKE '../%' THEN regexp_replace(path, '[^/]*$', '') || symlink_target END AS symlink_target
-        FROM inventory WHERE kind = 'symlink'),
-      w AS (SELECT source_id, path, symlink_target AS stop, 1 AS hops FROM l
-            UNION ALL SELECT w.source_id, w.path, l.symlink_target, w.hops + 1 FROM w JOIN l ON l.source_id = w.source_id AND l.path = w.stop WHERE w.hops < 64),
-      z AS (SELECT source_id, path, arg_max_null(stop, hops) AS terminal, max(hops) AS hops FROM w GROUP BY ALL)
-      SELECT z.source_id, z.path, terminal, hops, CASE WHEN terminal IS NULL THEN 'escape' WHEN i.kind IS NULL THEN 'dangling' WHEN i.kind = 'symlink' THEN 'cycle' ELSE 'resolved' END AS outcome
-      FROM z LEFT JOIN inventory i ON i.source_id = z.source_id AND i.path = z.terminal""",
+    "link_closure": f"{_WITH}{_LINKS} SELECT source_id, link AS path, CASE WHEN outcome NOT IN ('cycle', 'limit') THEN cur END AS terminal, least(hops, 64) AS hops, outcome FROM le0",
     "decision_reasons": f"""{_WITH}{_CANDIDATES}{_REFERENCES}{_EVIDENCE} SELECT source_id, root, code, count(*) AS n_attempts,
       '[' || string_agg('{{"path":"' || path || coalesce('","line":' || line || ',"', '","') || 'value":"' || value || '"}}', ',' ORDER BY path, line, value) || ']' AS evidence
       FROM ev GROUP BY source_id, root, code""",
@@ -496,6 +542,11 @@ _SQL = {
         (n + 11, 'markdown.reference', 'notes/' || doc_id || '.md'), (n + 15, 'shell.command', 'scripts/run.sh'), (n + 17, 'markdown.action_path', '../shared/' || doc_id || '.sh')) v(line, syntax, value)""",
     "sensitive_paths": """SELECT * FROM (SELECT event_id, 'u' || user_id || '/' || CASE event_id % 5 WHEN 0 THEN '.env.' WHEN 1 THEN 'My-Credentials-' WHEN 2 THEN 'a.PEM/' ELSE 'notes-' END
       || event_type || CASE WHEN event_id % 7 = 0 THEN '.key' ELSE '.txt' END AS path, event_id % 5 < 3 OR event_id % 7 = 0 AS hit FROM events) WHERE hit""".replace("SELECT * FROM (", "SELECT event_id, path FROM (", 1),
+    "tree_inventory": f"""{_WITH} SELECT source_id, path, kind, size, path LIKE '%.py' AS executable, symlink_target, sha256, kind = 'symlink' AS opaque, CAST(NULL AS VARCHAR) AS problem FROM inventory
+      UNION ALL SELECT DISTINCT source_id, unnest({_ANCESTORS.format(p="folder")}[2:]), 'directory', 0, false, NULL, NULL, true, NULL FROM (SELECT source_id, regexp_replace(path, '/[^/]*$', '') AS folder FROM inventory)""",
+    "tree_classes": f"{_WITH}{_CANDIDATES}{_REFERENCES}{_EVIDENCE}{_CLASSES} SELECT source_id, count(*) AS total, "
+    + ", ".join(f"count(*) FILTER (classification = '{c}') AS {c}" for c in D.CLASSES)
+    + " FROM cl GROUP BY source_id",
     "archive_inventory": """WITH d AS (SELECT doc_id, 'd' || doc_id AS source_id, coalesce(text, '') AS t FROM documents WHERE doc_id IS NOT NULL)
       SELECT source_id, path, kind, CAST(size AS BIGINT) AS size, executable, symlink_target, sha256, opaque, problem FROM d, LATERAL (VALUES
         ('skill', 'directory', 0, false, NULL, NULL, true, NULL),

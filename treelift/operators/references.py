@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from treelift.functions.paths import ancestors, collapse, is_host_reference, is_local_reference, is_within, parent, unquote, unquote_fully
 from treelift.operators.markdown import PATH_FIELDS, markdown_references
-from treelift.sources.scratch import Scratch
 
 #: Names of the environment variables that hold a plugin's root, and commands of the host.
 _ROOT_NAME = r"(?:(?:CLAUDE_|CODEX_|CURSOR_|GEMINI_|OPENCLAW_)?PLUGIN_(?:ROOT|DIR|PATH)|EXTENSION_(?:ROOT|DIR|PATH))"
@@ -157,39 +156,6 @@ def reverse_references(inventory: DataFrame, candidates: DataFrame, boundaries:
     return named.join(known, ["source_id", "package", "value"]).select("source_id", "root", "path", "line", "ord", "value")
 
 
-def close_links(inventory: DataFrame, rounds: int = 6) -> DataFrame:
-    """source_id, path, symlink_target, terminal, hops, outcome of every symbolic link; chains double in length each round, 64 hops in all.
-
-    outcome: resolved, dangling, escape (terminal null: the chain leaves the tree) or cycle (also for chains that are longer).
-    A target below another link to a directory is followed through that one.  Each round is a written table, as its plan would
-    hold the round before twice.
-    """
-    scratch = Scratch(inventory.sparkSession, "links")
-    links = inventory.where(F.col("kind") == "symlink")
-    step = links.select("source_id", "path", "symlink_target", collapse(parent(F.col("path")), F.col("symlink_target")).alias("at"), F.lit(1).alias("hops"))
-    kinds = inventory.select("source_id", F.col("path").alias("at"), "kind")
-    step = scratch.keep(step, "links")
-    for _ in range(rounds):
-        step = scratch.keep(_next_links(step), "links")
-    found = step.join(kinds, ["source_id", "at"], "left")
-    through = found.where("at is not null and kind is null")
-    above = through.select("source_id", "path", "at", F.explode(ancestors(parent(F.col("at")))).alias("link"))
-    ends = step.select("source_id", F.col("path").alias("link"), F.col("at").alias("end"))
-    nearest = above.join(ends, ["source_id", "link"]).groupBy("source_id", "path").agg(F.max_by(F.struct("link", "end"), F.length("link")).alias("l"))
-    moved = F.when(F.col("l").isNull(), F.col("at")).when(F.col("l.end").isNotNull(), F.concat("l.end", F.substr("at", F.length("l.link") + 1)))
-    step = found.drop("kind").join(nearest, ["source_id", "path"], "left").select("source_id", "path", "symlink_target", moved.alias("at"), "hops")
-    outcome = F.when(F.col("at").isNull(), "escape").when(F.col("kind").isNull(), "dangling").when(F.col("kind") == "symlink", "cycle").otherwise("resolved")
-    return step.join(kinds, ["source_id", "at"], "left").select("source_id", "path", "symlink_target", F.col("at").alias("terminal"), "hops", outcome.alias("outcome"))
-
-
-def _next_links(step: DataFrame) -> DataFrame:
-    after = step.select("source_id", F.col("path").alias("at"), F.col("at").alias("next"), F.col("hops").alias("more"))
-    there = F.col("more").isNotNull()
-    return step.join(after, ["source_id", "at"], "left").select(
-        "source_id", "path", "symlink_target", F.when(there, F.col("next")).otherwise(F.col("at")).alias("at"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")
-    )
-
-
 def owned_symbols(inventory: DataFrame, boundaries: DataFrame) -> DataFrame:
     """source_id, package, kind, symbol (in lower case): tools and commands that packages declare or hold by convention."""
     declared = inventory.select("source_id", F.col("path").alias("manifest_path"), "content").join(

@@ -22,6 +22,9 @@ from treelift.functions.paths import ancestors, parent
 VCS = [".git", ".hg", ".svn"]
 MAX_FILE = 10 << 20
 MAX_DEPTH = 64
+MAX_ENTRIES = 10_000
+MAX_TOTAL = 250 << 20
+MAX_ARCHIVE = 100 << 20
 INVENTORY = "source_id string, path string, kind string, size long, executable boolean, symlink_target string, sha256 string, content string, problem string"
 _COLUMNS = [f.split()[0] for f in INVENTORY.split(", ")]
 _TYPES = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
@@ -37,20 +40,69 @@ def text_or_none(data: bytes) -> str | None:
         return None
 
 
-def _unsafe(name: str) -> bool:
+def unsafe_path(name: str) -> bool:
+    """Paths that leave a tree, or that another system would read otherwise."""
     parts = name.split("/")
     return not name or name.startswith("/") or "\\" in name or "\0" in name or ".." in parts or (len(name) > 1 and name[1] == ":")
 
 
-def members(archive: bytes, max_file: int = MAX_FILE, max_depth: int = MAX_DEPTH) -> Iterator[tuple]:
-    """Rows (path, kind, size, executable, symlink_target, sha256, content, problem) of an archive's members, in its order."""
-    seen: dict[str, str] = {}
-    links: set[str] = set()
+class _Tree:
+    """Paths that an archive has made so far, with the folders that follow from them."""
+
+    def __init__(self, max_entries: int, max_depth: int) -> None:
+        self.kinds: dict[str, str] = {}
+        self.keys: dict[str, str] = {}
+        self.max_entries, self.max_depth = max_entries, max_depth
+
+    def register(self, path: str, kind: str) -> str | None:
+        """Takes a path up; returns why not, or 'known' for a folder that is there already."""
+        if path.count("/") >= self.max_depth:
+            return "too_deep"
+        key = unicodedata.normalize("NFC", path).casefold()
+        if self.keys.get(key, path) != path:
+            return "path_collision"
+        if path in self.kinds:
+            return "known" if self.kinds[path] == kind == "directory" else "path_collision"
+        if len(self.kinds) >= self.max_entries:
+            return "too_many_entries"
+        self.keys[key], self.kinds[path] = path, kind
+        return None
+
+    def parents(self, path: str) -> tuple[list[str], str | None]:
+        """Folders above a path that were not there yet, and why the path can't lie below them."""
+        made: list[str] = []
+        parts = path.split("/")
+        for k in range(1, len(parts)):
+            above = "/".join(parts[:k])
+            kind = self.kinds.get(above)
+            if kind == "symlink":
+                return made, "below_symlink"
+            if kind not in (None, "directory"):
+                return made, "parent_collision"
+            if kind is None:
+                problem = self.register(above, "directory")
+                if problem:
+                    return made, problem
+                made.append(above)
+        return made, None
+
+
+def members(
+    archive: bytes, max_file: int = MAX_FILE, max_depth: int = MAX_DEPTH, max_entries: int = MAX_ENTRIES, max_total: int = MAX_TOTAL, max_archive: int = MAX_ARCHIVE
+) -> Iterator[tuple]:
+    """Rows (path, kind, size, executable, symlink_target, sha256, content, problem) of an archive's members, in its order.
+
+    Folders that follow from a member's path are rows too.  An archive with too many members or bytes is read no further.
+    """
+    if len(archive) > max_archive:
+        yield ("", "unsupported", len(archive), False, None, None, None, "archive_too_large")
+        return
     try:
         tar = tarfile.open(fileobj=io.BytesIO(archive), mode="r:*")
-    except tarfile.TarError:
+    except (tarfile.TarError, EOFError, OSError):
         yield ("", "unsupported", len(archive), False, None, None, None, "not_an_archive")
         return
+    tree, total, seen = _Tree(max_entries, max_depth), 0, 0
     with tar:
         while True:
             try:
@@ -60,52 +112,55 @@ def members(archive: bytes, max_file: int = MAX_FILE, max_depth: int = MAX_DEPTH
                 return
             if member is None:
                 return
+            seen += 1
+            if seen > max_entries:
+                yield ("", "unsupported", 0, False, None, None, None, "too_many_entries")
+                return
             name = member.name.rstrip("/")
             path = "/".join(p for p in name.split("/") if p not in ("", ".")) if not name.startswith("/") else name
             if not path or set(path.split("/")) & set(VCS):
                 continue
             kind = "file" if member.isreg() else "directory" if member.isdir() else "symlink" if member.issym() else "unsupported"
-            parts = path.split("/")
-            key = unicodedata.normalize("NFC", path).casefold()
-            problem = None
-            if _unsafe(name):
-                problem = "unsafe_path"
-            elif kind == "unsupported":
-                problem = "unsupported_member"
-            elif len(parts) > max_depth:
-                problem = "too_deep"
-            elif any("/".join(parts[:k]) in links for k in range(1, len(parts))):
-                problem = "below_symlink"
-            elif key in seen and not (seen[key] == path and kind == "directory"):
-                problem = "path_collision"
-            elif kind == "file" and member.size > max_file:
-                problem = "too_large"
-            if problem is None and key in seen:
+            problem = "unsafe_path" if unsafe_path(name) else "unsupported_member" if kind == "unsupported" else None
+            if problem is None:
+                made, problem = tree.parents(path)
+                for folder in made:
+                    yield (folder, "directory", 0, False, None, None, None, None)
+            if problem is None:
+                problem = tree.register(path, kind)
+            if problem == "known":
                 continue
+            if problem is None and kind == "symlink" and "\0" in member.linkname:
+                problem = "unsafe_target"
+            if problem is None and kind == "file":
+                total += member.size
+                problem = "too_large" if member.size > max_file else "too_many_bytes" if total > max_total else None
             size = member.size if kind == "file" else len(member.linkname.encode()) if kind == "symlink" else 0
             if problem:
                 yield (path, kind, size, False, None, None, None, problem)
-                continue
-            seen[key] = path
-            if kind == "symlink":
-                links.add(path)
+                if problem in ("too_many_bytes", "too_many_entries"):
+                    return
+            elif kind == "symlink":
                 yield (path, kind, size, False, member.linkname, None, None, None)
             elif kind == "file":
                 data = tar.extractfile(member).read()
+                if len(data) != size:
+                    yield (path, kind, size, False, None, None, None, "broken_archive")
+                    return
                 yield (path, kind, size, bool(member.mode & 0o111), None, hashlib.sha256(data).hexdigest(), text_or_none(data), None)
             else:
                 yield (path, kind, 0, False, None, None, None, None)
 
 
-def untar(archives: DataFrame, max_file: int = MAX_FILE, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Inventory rows of archives (source_id, archive). Members that can't be taken are rows with a problem; an archive that can't be
-    read is one row; a null archive has none. Folders of version control are left out."""
+def untar(archives: DataFrame, **limits: int) -> DataFrame:
+    """Inventory rows of archives (source_id, archive), under the limits of :func:`members`. Members that can't be taken are rows with a
+    problem; an archive that can't be read is one row; a null archive has none. Folders of version control are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [_TYPES[f.split()[1]] for f in INVENTORY.split(", ")]
         for batch in batches:
             for source, archive in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = [(source, *m) for m in members(archive.as_py() or b"", max_file, max_depth)] if archive.is_valid else []
+                rows = [(source, *m) for m in members(archive.as_py() or b"", **limits)] if archive.is_valid else []
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], _COLUMNS)
 
@@ -119,9 +174,10 @@ def folder_inventory(spark: SparkSession, folder: str, source_id: str) -> DataFr
     passes over files without bytes, which an archive keeps.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    root = folder.rstrip("/").split("://")[-1].split(":/")[-1].strip("/")
     files = reader.load(folder).select("path", "content")
-    path = F.substring_index("path", root + "/", -1)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    root = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
+    path = F.substr("path", F.lit(len(root) + 2))
     text = F.decode("content", "utf-8")
     clean = F.is_valid_utf8(F.col("content").cast("string")) & ~F.contains(F.col("content"), F.lit(b"\0"))
     files = files.select(
@@ -140,6 +196,38 @@ def folder_inventory(spark: SparkSession, folder: str, source_id: str) -> DataFr
     return rows.select(*_COLUMNS)
 
 
+#: Problems of rows, and the codes that a source is refused with.
+REFUSALS = {
+    "PATH_TRAVERSAL": ["unsafe_path", "unsafe_target", "below_symlink", "hard_link"],
+    "PATH_COLLISION": ["path_collision", "parent_collision"],
+    "SCAN_LIMIT_EXCEEDED": ["too_deep", "too_many_entries", "too_many_bytes", "archive_too_large"],
+    "FILE_TOO_LARGE": ["too_large"],
+    "UNSUPPORTED_ENTRY": ["unsupported_member"],
+    "SOURCE_CHANGED": ["changed"],
+    "INVALID_ARCHIVE": ["not_an_archive", "broken_archive"],
+}
+
+
+def refused_sources(inventory: DataFrame, max_entries: int = MAX_ENTRIES, max_total: int = MAX_TOTAL) -> DataFrame:
+    """source_id, code, path: sources with an entry that can't be taken, or that are too large as a whole; a source is taken whole or not at all.
+
+    The first entry by code and path tells why; path is null if the source is too large.
+    """
+    code = F.lit(None).cast("string")
+    for name, problems in REFUSALS.items():
+        code = F.when(F.col("problem").isin(problems), name).otherwise(code)
+    bad = inventory.where("problem is not null").select("source_id", code.alias("code"), "path")
+    sums = inventory.groupBy("source_id").agg(F.count("*").alias("n"), F.sum(F.when(F.col("kind") == "file", F.col("size")).otherwise(0)).alias("bytes"))
+    large = sums.where((F.col("n") > max_entries) | (F.col("bytes") > max_total)).select("source_id", F.lit("SCAN_LIMIT_EXCEEDED").alias("code"), F.lit(None).cast("string").alias("path"))
+    first = bad.unionByName(large).groupBy("source_id").agg(F.min(F.struct("code", "path")).alias("r"))
+    return first.select("source_id", "r.code", "r.path")
+
+
+def admitted(inventory: DataFrame, refused: DataFrame) -> DataFrame:
+    """Entries of the sources that are not refused."""
+    return inventory.join(refused.select("source_id"), "source_id", "left_anti").drop("problem")
+
+
 def pack_documents(docs: DataFrame) -> DataFrame:
     """A tar archive (source_id, archive) per document, with members to take, to leave out and to reject."""
 

@@ -2,9 +2,11 @@
 
 Every language is a source and every document a candidate directory with an entrypoint; packages get a manifest
 (with a runtime key, a tool server and a program that calls one candidate for half of them), a command and a shared file; some documents
-get a guide file, links that loop, dangle or leave the tree, files that differ in case only, a second entrypoint, or a package of their own
-inside; and a chain of symbolic links runs over all of them.  The same SELECT runs in Spark and, with a few names
-exchanged, in DuckDB.
+get a guide file, links that loop, dangle, leave the tree or the candidate, run through linked folders or close a cycle of folders, files that
+differ in case only, a second entrypoint, or a package of their own inside; and a chain of symbolic links runs over all of them.
+
+The rows of a document, and those of a package, are lists of (condition, path, link target, content) in SQL that Spark and DuckDB share: Spark
+makes them in one pass over the texts, DuckDB by a union.
 """
 
 from __future__ import annotations
@@ -16,73 +18,108 @@ from pyspark.sql import functions as F
 
 from treelift.sources.tables import table
 
-INVENTORY_SQL = """
-SELECT lang AS source_id, concat('packages/', source, '/d', doc_id, '/SKILL.md') AS path, 'file' AS kind, false AS executable,
-       CAST(NULL AS {text}) AS symlink_target,
-       concat('---', {nl}, 'name: ', CASE WHEN doc_id % 17 = 0 THEN '' ELSE {name} END, {nl}, 'description: ', lang, {nl}, '---', {nl}, t, {nl},
-         '[guide](', CASE doc_id % 7 WHEN 0 THEN 'references/guide.md' WHEN 1 THEN '../shared/common.md' WHEN 2 THEN 'missing.md'
-           WHEN 3 THEN '%2e%2e/%2e%2e/%2e%2e/%2e%2e/up.md' WHEN 4 THEN 'https://example.org/x' WHEN 5 THEN '/etc/hosts' ELSE '#top' END, ')',
-         CASE WHEN doc_id % 11 = 0 THEN concat({nl}, 'run $', '{{PLUGIN_ROOT}}/tool') ELSE '' END,
-         CASE WHEN doc_id % 43 = 5 THEN concat({nl}, 'ask mcp__', source, '__find') ELSE '' END,
-         CASE WHEN doc_id % 47 = 6 THEN concat({nl}, 'then /deploy it') ELSE '' END) AS content
-FROM d
-UNION ALL
-SELECT lang, concat('packages/', source, '/d', doc_id, '/skill.md'), 'file', false, NULL, 'second' FROM d WHERE doc_id % 29 = 1
-UNION ALL
-SELECT lang, concat('packages/', source, '/d', doc_id, '/loop'), 'symlink', false, 'loop', NULL FROM d WHERE doc_id % 31 = 2
-UNION ALL
-SELECT lang, concat('packages/', source, '/d', doc_id, '/out'), 'symlink', false, '../../../../outside', NULL FROM d WHERE doc_id % 37 = 3
-UNION ALL
-SELECT lang, concat('packages/', source, '/d', doc_id, '/ghost'), 'symlink', false, 'nothing', NULL FROM d WHERE doc_id % 41 = 4
-UNION ALL
-SELECT lang, concat('packages/', source, '/d', doc_id, '/inner/plugin.json'), 'file', false, NULL, '{{"name": "inner", "runtime": "x"}}' FROM d WHERE doc_id % 53 = 7
-UNION ALL
-SELECT lang, concat('packages/', source, '/d', doc_id, '/Notes.txt'), 'file', false, NULL, 'a' FROM d WHERE doc_id % 59 = 8
-UNION ALL
-SELECT lang, concat('packages/', source, '/d', doc_id, '/notes.txt'), 'file', false, NULL, 'b' FROM d WHERE doc_id % 59 = 8
-UNION ALL
-SELECT DISTINCT lang, concat('packages/', source, '/commands/deploy.md'), 'file', false, NULL, 'deploys' FROM d WHERE length(source) % 2 = 0
-UNION ALL
-SELECT lang, concat('packages/', source, '/d', doc_id, '/references/guide.md'), 'file', false, NULL, concat('guide ', doc_id)
-FROM d WHERE doc_id % 7 = 0
-UNION ALL
-SELECT DISTINCT lang, concat('packages/', source, '/plugin.json'), 'file', false, NULL,
-       CASE WHEN length(source) % 2 = 0 THEN concat('{{"name": "', source, '", "runtime": "src/main.py", "mcpServers": {{"', source, '": {{}}}}}}') ELSE concat('{{"name": "', source, '"}}') END
-FROM d
-UNION ALL
-SELECT DISTINCT lang, concat('packages/', source, '/shared/common.md'), 'file', false, NULL, 'shared'
-FROM d WHERE length(source) % 2 = 0 OR length(source) = 5
-UNION ALL
-SELECT lang, concat('packages/', source, '/src/main.py'), 'file', false, NULL, concat('runSkill("d', min(doc_id), '")')
-FROM d WHERE length(source) % 2 = 0 GROUP BY lang, source
-UNION ALL
-SELECT lang, concat('links/d', doc_id), CASE WHEN doc_id % 4 = 3 THEN 'file' ELSE 'symlink' END, false,
-       CASE WHEN doc_id % 4 = 3 THEN NULL ELSE concat('d', CAST(floor(doc_id / 3) AS BIGINT)) END,
-       CASE WHEN doc_id % 4 = 3 THEN 'end' END
-FROM d
-"""
+_ROOT = "'packages/', source, '/d', doc_id, '/"
+_SKILL = """concat('---', {nl}, 'name: ', CASE WHEN doc_id % 17 = 0 THEN '' ELSE {name} END, {nl}, 'description: ', lang, {nl}, '---', {nl}, t, {nl},
+  '[guide](', CASE doc_id % 7 WHEN 0 THEN 'references/guide.md' WHEN 1 THEN '../shared/common.md' WHEN 2 THEN 'missing.md'
+    WHEN 3 THEN '%2e%2e/%2e%2e/%2e%2e/%2e%2e/up.md' WHEN 4 THEN 'https://example.org/x' WHEN 5 THEN '/etc/hosts' ELSE '#top' END, ')',
+  CASE WHEN doc_id % 11 = 0 THEN concat({nl}, 'run $', '{{PLUGIN_ROOT}}/tool') ELSE '' END,
+  CASE WHEN doc_id % 43 = 5 THEN concat({nl}, 'ask mcp__', source, '__find') ELSE '' END,
+  CASE WHEN doc_id % 47 = 6 THEN concat({nl}, 'then /deploy it') ELSE '' END)"""
+
+
+def _file(condition: str, path: str, content: str) -> tuple[str, str, str, str]:
+    return (condition, f"concat({path})", "NULL", content)
+
+
+def _link(condition: str, path: str, target: str) -> tuple[str, str, str, str]:
+    return (condition, f"concat({path})", target, "NULL")
+
+
+DOCUMENT_ROWS = [
+    _file("true", f"{_ROOT}SKILL.md'", _SKILL),
+    _file("doc_id % 29 = 1", f"{_ROOT}skill.md'", "'second'"),
+    _file("doc_id % 53 = 7", f"{_ROOT}inner/plugin.json'", """'{{"name": "inner", "runtime": "x"}}'"""),
+    _file("doc_id % 59 = 8", f"{_ROOT}Notes.txt'", "'a'"),
+    _file("doc_id % 59 = 8", f"{_ROOT}notes.txt'", "'b'"),
+    _file("doc_id % 7 = 0", f"{_ROOT}references/guide.md'", "concat('guide ', doc_id)"),
+    _link("doc_id % 31 = 2", f"{_ROOT}loop'", "'loop'"),
+    _link("doc_id % 37 = 3", f"{_ROOT}out'", "'../../../../outside'"),
+    _link("doc_id % 41 = 4", f"{_ROOT}ghost'", "'nothing'"),
+    _file("doc_id % 61 = 9", f"{_ROOT}real/x.txt'", "'x'"),
+    _link("doc_id % 61 = 9", f"{_ROOT}via'", "'real'"),
+    _link("doc_id % 61 = 9", f"{_ROOT}alias'", "'via/x.txt'"),
+    _link("doc_id % 61 = 9", f"{_ROOT}lost'", "'via/y.txt'"),
+    _link("doc_id % 61 = 10", f"{_ROOT}deep/up'", "'..'"),
+    _link("doc_id % 67 = 11", f"{_ROOT}left/to'", "'../right'"),
+    _link("doc_id % 67 = 11", f"{_ROOT}right/to'", "'../left'"),
+    _link("doc_id % 67 = 11", f"{_ROOT}right/over'", "'to/to/to'"),
+    _link("doc_id % 71 = 12", f"{_ROOT}ring'", "'ring2'"),
+    _link("doc_id % 71 = 12", f"{_ROOT}ring2'", "'ring'"),
+    _link("doc_id % 73 = 13", f"{_ROOT}shared'", "'../shared'"),
+    _link("doc_id % 73 = 13", f"{_ROOT}common'", "'shared/common.md'"),
+    _link("doc_id % 79 = 14", f"{_ROOT}host'", "'/etc/hosts'"),
+    _file("doc_id % 4 = 3", "'links/d', doc_id", "'end'"),
+    _link("doc_id % 4 <> 3", "'links/d', doc_id", "concat('d', CAST(floor(doc_id / 3) AS BIGINT))"),
+]
+PACKAGE_ROWS = [
+    _file("length(source) % 2 = 0", "'packages/', source, '/commands/deploy.md'", "'deploys'"),
+    _file("true", "'packages/', source, '/plugin.json'", """CASE WHEN length(source) % 2 = 0
+      THEN concat('{{"name": "', source, '", "runtime": "src/main.py", "mcpServers": {{"', source, '": {{}}}}}}') ELSE concat('{{"name": "', source, '"}}') END"""),
+    _file("length(source) % 2 = 0 OR length(source) = 5", "'packages/', source, '/shared/common.md'", "'shared'"),
+    _file("length(source) % 2 = 0", "'packages/', source, '/src/main.py'", """concat('runSkill("d', first, '")')"""),
+]
+
+
+def _union(rows: list[tuple[str, str, str, str]], source: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT lang AS source_id, {path} AS path, '{'file' if target == 'NULL' else 'symlink'}' AS kind, false AS executable, "
+        f"CAST({target} AS VARCHAR) AS symlink_target, CAST({content} AS VARCHAR) AS content FROM {source} WHERE {condition}"
+        for condition, path, target, content in rows
+    )
+
+
+def _inline(rows: list[tuple[str, str, str, str]], source: str) -> str:
+    made = ", ".join(
+        f"CASE WHEN {condition} THEN named_struct('path', {path}, 'kind', '{'file' if target == 'NULL' else 'symlink'}', 'executable', false, "
+        f"'symlink_target', CAST({target} AS STRING), 'content', CAST({content} AS STRING)) END"
+        for condition, path, target, content in rows
+    )
+    return f"SELECT lang AS source_id, inline(array_compact(array({made}))) FROM {source}"
+
 
 _DOCS = "SELECT doc_id, coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source, coalesce(text, '') AS t FROM documents"
+_PACKAGES = "SELECT lang, source, min(doc_id) AS first FROM {docs} GROUP BY lang, source"
 
 DUCKDB_INVENTORY = (
-    f"d AS ({_DOCS}), raw AS ("
-    + INVENTORY_SQL.format(text="VARCHAR", nl="chr(10)", name="regexp_replace(split_part(t, ' ', 1), '[^A-Za-z]', '', 'g')")
+    f"d AS ({_DOCS}), pk AS ({_PACKAGES.format(docs='d')}), raw AS ("
+    + (_union(DOCUMENT_ROWS, "d") + " UNION ALL " + _union(PACKAGE_ROWS, "pk")).format(nl="chr(10)", name="regexp_replace(split_part(t, ' ', 1), '[^A-Za-z]', '', 'g')")
     + "), inventory AS (SELECT *, CASE WHEN kind = 'file' THEN sha256(content) END AS sha256, "
     "CAST(CASE WHEN kind = 'file' THEN strlen(content) ELSE strlen(symlink_target) END AS BIGINT) AS size FROM raw)"
 )
 
 
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_id, path, kind, symlink_target of the inventory, without reading a text."""
+    rows = [[(c, p, t, "NULL") for c, p, t, _ in made] for made in (DOCUMENT_ROWS, PACKAGE_ROWS)]
+    return _rows(spark, sf_dir, *rows).select("source_id", "path", "kind", "symlink_target")
+
+
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source_id, path, kind, executable, symlink_target, content, sha256, size."""
-    docs = table(spark, sf_dir, "documents").select(
+    rows = _rows(spark, sf_dir, DOCUMENT_ROWS, PACKAGE_ROWS)
+    size = F.when(F.col("kind") == "file", F.octet_length("content")).otherwise(F.octet_length("symlink_target"))
+    return rows.withColumns({"sha256": F.when(F.col("kind") == "file", F.sha2("content", 256)), "size": size.cast("long")})
+
+
+def _rows(spark: SparkSession, sf_dir: str, of_documents: list, of_packages: list) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select(
         "doc_id",
         F.coalesce("lang", F.lit("none")).alias("lang"),
         F.coalesce("source", F.lit("none")).alias("source"),
         F.coalesce("text", F.lit("")).alias("t"),
     )
-    sql = INVENTORY_SQL.format(text="STRING", nl="char(10)", name="regexp_replace(split_part(t, ' ', 1), '[^A-Za-z]', '')")
     view = f"docs_{uuid.uuid4().hex}"
     docs.createOrReplaceTempView(view)
-    rows = spark.sql(sql.replace("FROM d", f"FROM {view}"))
-    size = F.when(F.col("kind") == "file", F.octet_length("content")).otherwise(F.octet_length("symlink_target"))
-    return rows.withColumns({"sha256": F.when(F.col("kind") == "file", F.sha2("content", 256)), "size": size.cast("long")})
+    own = _inline(of_documents, view).format(nl="char(10)", name="regexp_replace(split_part(t, ' ', 1), '[^A-Za-z]', '')")
+    packages = _inline(of_packages, f"({_PACKAGES.format(docs=view)})").format()
+    return spark.sql(f"{own} UNION ALL {packages}")
