@@ -67,9 +67,8 @@ def unquote(value: Column) -> Column:
 
 
 def unquote_fully(value: Column, rounds: int = 8) -> Column:
-    for _ in range(rounds):
-        value = unquote(value)
-    return value
+    """Percent-decodes again and again; a fold over the rounds, as nested calls would double the expression each time."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), value, lambda decoded, _: unquote(decoded))
 
 
 def is_host_reference(value: Column) -> Column:

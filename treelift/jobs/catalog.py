@@ -14,6 +14,7 @@ from treelift.functions.identity import candidate_id, content_hashes, snapshot_h
 from treelift.functions.paths import ancestors, file_name
 from treelift.operators import boundaries as B
 from treelift.operators import decisions as D
+from treelift.operators import inert as I
 from treelift.operators import links as L
 from treelift.operators import references as R
 from treelift.operators.markdown import markdown_references as markdown_rows
@@ -91,11 +92,14 @@ def link_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _findings(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     tree = _Tree(spark, rows)
-    refs = tree.scratch.keep(R.references(tree.full), "references")  # texts are read once
+    every = tree.scratch.keep(R.references(tree.full), "references")  # texts are read once
+    refs = tree.scratch.keep(I.active_references(every, tree.full), "active")
     fields = tree.scratch.keep(R.frontmatter(tree.full, tree.candidates), "frontmatter")
     callers = R.reverse_references(tree.paths, tree.candidates, tree.boundaries, fields)
+    literals = tree.scratch.keep(I.residual_literals(tree.paths, tree.candidates), "literals")
     resolved = R.resolve(refs, tree.paths, tree.candidates)
     found = D.evidence(resolved, refs, tree.candidates, fields, callers)
+    found = found.unionByName(I.residual_evidence(literals, R.resolve(literals, tree.paths, tree.candidates), tree.candidates))
     for more in (
         L.link_evidence(L.close_links(tree.paths), tree.candidates),
         D.collision_evidence(tree.paths, tree.candidates),
@@ -112,6 +116,21 @@ def runtime_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.reverse_references(tree.paths, tree.candidates, tree.boundaries, R.frontmatter(tree.full, tree.candidates))
 
 
+def inert_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols in comments, literals, samples and foreign blocks, which give no evidence."""
+    tree = _Tree(spark, inventory(spark, sf_dir))
+    refs = tree.scratch.keep(R.references(tree.full).where("col is not null"), "references")
+    active = I.active_references(refs, tree.full)
+    return refs.join(active, ["source_id", "path", "line", "ord", "syntax"], "left_anti").select("source_id", "path", "line", "syntax", "value", "col")
+
+
+def residual_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literals in candidates' programs that lead out of them."""
+    tree = _Tree(spark, inventory(spark, sf_dir))
+    literals = tree.scratch.keep(I.residual_literals(tree.paths, tree.candidates), "literals")
+    return I.residual_evidence(literals, R.resolve(literals, tree.paths, tree.candidates), tree.candidates).drop("ord", "code")
+
+
 def scan_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.limit_checks(inventory(spark, sf_dir))
 
@@ -319,7 +338,7 @@ def link_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     inventory_hash, snapshot_digest, content_digest, package_boundaries, ancestor_counts, innermost_boundary, frontmatter_fields,
     path_references, link_closure, decision_reasons, classifications, classification_counts, content_duplicates, name_conflicts,
-    duplicate_annotation, import_records, runtime_callers, scan_limits, path_collisions, source_specs, partition_check, review_join, expected_vs_actual, review_quota, envelope_budget,
+    duplicate_annotation, import_records, runtime_callers, inert_symbols, residual_paths, scan_limits, path_collisions, source_specs, partition_check, review_join, expected_vs_actual, review_quota, envelope_budget,
     secret_redaction, link_extraction, review_redaction, sensitive_paths, markdown_references, archive_inventory, tree_inventory, tree_classes,
 )
 
@@ -368,6 +387,13 @@ rs AS (SELECT t.source_id, t.root, t.path, t.value, t.content,
        FROM t LEFT JOIN inventory i ON i.source_id = t.source_id AND i.path = t.target)"""
 #: Names made of letters that YAML doesn't take for a string, and no name at all.
 NO_STRING = "^(?i:|true|false|yes|no|on|off|null)$"
+#: Quoted literals that climb, outside comments, in candidates' programs; they count where they meet a file outside the candidate.
+_LITERALS = r""",
+q AS (SELECT i.source_id, c.root, c.boundary_root, i.path, unnest(range(1, len(string_split(i.content, chr(10))) + 1)) AS line, i.content
+      FROM inventory i JOIN c ON c.source_id = i.source_id AND starts_with(i.path, c.root || '/') WHERE regexp_matches(i.path, '/tool[.](py|sh)$')),
+rl AS (SELECT q.source_id, q.root, q.path, CAST(line AS INT) AS line, v || ' -> ' || i.path AS value
+       FROM (SELECT *, unnest(regexp_extract_all(regexp_replace(string_split(content, chr(10))[line], '(^|\s)#.*', ''), '["''](\.\./[^"'']*)["'']', 1)) AS v FROM q) q
+       JOIN inventory i ON i.source_id = q.source_id AND i.path = q.boundary_root || substr(v, 3))"""
 #: A path with '.' and '..' resolved; null if it leaves the tree.
 _COLLAPSE = """coalesce(nullif(substr(nullif(list_reduce(list_prepend('', string_split({p}, '/')), lambda a, x: CASE WHEN a = '!' THEN '!' WHEN x = '' OR x = '.' THEN a
   WHEN x <> '..' THEN a || '/' || x WHEN a = '' THEN '!' ELSE regexp_replace(a, '/[^/]*$', '') END), '!'), 2), ''), CASE WHEN {p} IS NULL THEN NULL END)"""
@@ -406,7 +432,7 @@ _CALLS = """,
 calls AS (SELECT c.source_id, c.root, i.path, 1 AS line, 0 AS ord, regexp_extract(i.content, '"([^"]*)"', 1) AS value
           FROM inventory i JOIN c ON c.source_id = i.source_id AND c.boundary_root || '/src/main.py' = i.path
             AND c.root = c.boundary_root || '/' || regexp_extract(i.content, '"([^"]*)"', 1))"""
-_EVIDENCE = _CALLS + _LINKS + _LINK_CODES + """,
+_EVIDENCE = _CALLS + _LITERALS + _LINKS + _LINK_CODES + """,
 marks AS (
   SELECT source_id, root, 'PATH_TRAVERSAL' AS code, path, value, content, '[guide]' AS mark FROM rs WHERE outcome = 'escape'
   UNION ALL SELECT source_id, root, 'REFERENCE_OUTSIDE_SKILL_ROOT', path, value || ' -> ' || target, content, '[guide]' FROM rs WHERE outcome = 'outside'
@@ -415,6 +441,8 @@ marks AS (
 ev AS (
   SELECT source_id, root, code, path, value, len(string_split(split_part(content, mark, 1), chr(10))) AS line FROM marks
   UNION ALL SELECT source_id, root, 'REFERENCED_BY_PLUGIN_RUNTIME', path, value, line FROM calls
+  UNION ALL SELECT source_id, root, 'STATIC_ANALYSIS_INCOMPLETE', path, value, line FROM rl
+  UNION ALL SELECT i.source_id, c.root, 'PLUGIN_ROOT_VARIABLE', i.path, '$' || '{PLUGIN_ROOT}', 2 FROM inventory i JOIN c ON c.source_id = i.source_id AND i.path = c.root || '/tool.sh'
   UNION ALL SELECT source_id, root, 'INVALID_FRONTMATTER', entrypoint, 'name', 1 FROM c WHERE regexp_matches(split_part(substr(content, 11), chr(10), 1), '""" + NO_STRING + """')
   UNION ALL SELECT source_id, root, code, link, value, NULL FROM le WHERE code IS NOT NULL
   UNION ALL SELECT i.source_id, c.root, 'PATH_COLLISION', i.path, lower(i.path), NULL
@@ -426,15 +454,16 @@ ev AS (
     FROM inventory i JOIN c ON c.source_id = i.source_id AND c.root = regexp_replace(i.path, '/skill.md$', '') WHERE i.path LIKE '%/skill.md'
   UNION ALL SELECT c.source_id, c.root, 'PLUGIN_OWNED_MCP_TOOL', entrypoint, 'mcp__' || regexp_extract(c.root, '^packages/([^/]*)', 1) || '__find',
     len(string_split(split_part(c.content, chr(10) || 'ask mcp__', 1), chr(10))) + 1
-    FROM c JOIN inventory m ON m.source_id = c.source_id AND m.path = c.boundary_manifest WHERE contains(c.content, 'ask mcp__') AND contains(m.content, 'mcpServers')
+    FROM c JOIN inventory m ON m.source_id = c.source_id AND m.path = c.boundary_manifest WHERE contains(split_part(c.content, chr(10) || '```text', 1), 'ask mcp__') AND contains(m.content, 'mcpServers')
   UNION ALL SELECT c.source_id, c.root, 'PLUGIN_COMMAND_REFERENCE', entrypoint, '/deploy', len(string_split(split_part(c.content, chr(10) || 'then /deploy', 1), chr(10))) + 1
-    FROM c JOIN inventory m ON m.source_id = c.source_id AND m.path = c.boundary_root || '/commands/deploy.md' WHERE contains(c.content, 'then /deploy it'))"""
+    FROM c JOIN inventory m ON m.source_id = c.source_id AND m.path = c.boundary_root || '/commands/deploy.md' WHERE contains(split_part(c.content, chr(10) || '```text', 1), 'then /deploy it'))"""
 _CLASSES = """,
 fl AS (SELECT source_id, root, bool_or(code IN ('PATH_TRAVERSAL', 'SYMLINK_CYCLE', 'SYMLINK_ESCAPE', 'PATH_COLLISION')) AS blocked,
               bool_or(code = 'INVALID_FRONTMATTER') AS invalid,
-              bool_or(code NOT IN ('PATH_TRAVERSAL', 'SYMLINK_CYCLE', 'SYMLINK_ESCAPE', 'PATH_COLLISION', 'INVALID_FRONTMATTER', 'DUPLICATE_ENTRYPOINT')) AS bound
+              bool_or(code NOT IN ('PATH_TRAVERSAL', 'SYMLINK_CYCLE', 'SYMLINK_ESCAPE', 'PATH_COLLISION', 'INVALID_FRONTMATTER', 'DUPLICATE_ENTRYPOINT', 'STATIC_ANALYSIS_INCOMPLETE')) AS bound,
+              bool_or(code = 'STATIC_ANALYSIS_INCOMPLETE') AS incomplete
        FROM ev GROUP BY ALL),
-cl AS (SELECT c.source_id, c.root, package_kind, CASE WHEN blocked THEN 'blocked' WHEN invalid THEN 'invalid' WHEN bound THEN 'plugin_bound'
+cl AS (SELECT c.source_id, c.root, package_kind, CASE WHEN blocked THEN 'blocked' WHEN invalid THEN 'invalid' WHEN bound THEN 'plugin_bound' WHEN incomplete THEN 'ambiguous'
               WHEN package_kind IS NULL OR package_kind = 'skills_only' THEN 'portable' ELSE 'ambiguous' END AS classification
        FROM c LEFT JOIN fl USING (source_id, root))"""
 _MEMBERS = f"""WITH m AS (
@@ -558,6 +587,13 @@ _SQL = {
         ('skill/Run.sh', 'file', 1, false, NULL, NULL, true, 'path_collision'),
         ('skill/hard', 'unsupported', 0, false, NULL, NULL, true, 'unsupported_member'),
         ('skill/link/below', 'file', 1, false, NULL, NULL, true, 'below_symlink')) v(path, kind, size, executable, symlink_target, sha256, opaque, problem)""",
+    "residual_paths": f"{_WITH}{_CANDIDATES}{_LITERALS} SELECT * FROM rl",
+    "inert_symbols": f"""{_WITH}, l AS (SELECT source_id, path, string_split(content, chr(10)) AS t FROM inventory WHERE kind = 'file'),
+      f AS (SELECT source_id, path, unnest(range(1, len(t) + 1)) AS line, unnest(t) AS x, list_position(t, '```text') AS fence FROM l)
+      SELECT source_id, path, CAST(line AS INT) AS line, 'mcp.tool' AS syntax, regexp_extract(x, 'mcp__[A-Za-z0-9_.-]+__find') AS value, CAST(strpos(x, 'mcp__') - 1 AS INT) AS col
+      FROM f WHERE contains(x, 'mcp__') AND (fence < line OR path LIKE '%/tool.py')
+      UNION ALL SELECT source_id, path, line, 'plugin.command', '/deploy', 5 FROM f WHERE x = 'then /deploy it' AND fence < line
+      UNION ALL SELECT source_id, path, line, 'plugin.variable', '$' || '{{PLUGIN_ROOT}}', strpos(x, '#') + 1 FROM f WHERE path LIKE '%/tool.sh' AND contains(x, '# $')""",
     "scan_limits": f"""{_WITH}, s AS (SELECT source_id, count(*) AS n_entries, CAST(sum(CASE WHEN kind = 'file' THEN size ELSE 0 END) AS BIGINT) AS n_bytes,
       max(size) AS largest, CAST(max(len(string_split(path, '/'))) AS INT) AS deepest FROM inventory GROUP BY source_id)
       SELECT *, n_entries <= 10000 AND n_bytes <= 262144000 AND largest <= 10485760 AND deepest <= 64 AS within FROM s""",

@@ -40,12 +40,25 @@ def _all(pattern: str, group: int) -> Column:
 
 
 def _structs(syntax: str, values: Column) -> Column:
-    return F.transform(values, lambda v: F.struct(F.lit(syntax).alias("syntax"), v.alias("value")))
+    return F.transform(values, lambda v: F.struct(F.lit(syntax).alias("syntax"), v.alias("value"), F.lit(None).cast("int").alias("col")))
+
+
+def _placed(syntax: str, pattern: str, group: int) -> Column:
+    """Matches with the place in the line (from 0) where each starts: behind all that lies between matches, and all matches before it."""
+    found, between = _all(pattern, 0), F.split("text", pattern)
+    length = lambda parts: F.aggregate(parts, F.lit(0), lambda n, part: n + F.length(part))
+    values = _all(pattern, group) if group else found
+
+    def row(value: Column, k: Column) -> Column:
+        start = length(F.slice(between, 1, k + 1)) + length(F.slice(found, 1, k)) + F.length(F.get(found, k)) - F.length(value)
+        return F.struct(F.lit(syntax).alias("syntax"), value.alias("value"), start.alias("col"))
+
+    return F.transform(values, row)
 
 
 def references(inventory: DataFrame) -> DataFrame:
-    """source_id, path, line, ord, syntax, value: references of Markdown and configuration files, and root variables, tools and
-    commands in every text. Files and lines that can't hold a symbol are left out before any pattern runs."""
+    """source_id, path, line, ord, syntax, value, col: references of Markdown and configuration files, and root variables, tools and
+    commands in every text, these with their place in the line. Files and lines that can't hold a symbol are left out before any pattern runs."""
     texts = inventory.where((F.col("kind") == "file") & F.col("content").isNotNull())
     fields = lines_of(texts.where(F.col("path").rlike(CONFIG_FILES)))
     fields = fields.select("source_id", "path", "line", F.posexplode(_structs("config.field", _all(CONFIG_FIELD, 2))).alias("ord", "r"))
@@ -55,12 +68,10 @@ def references(inventory: DataFrame) -> DataFrame:
         return hints[0] | hints[1] | hints[2] | hints[3] | hints[4] | hints[5]
 
     lines = lines_of(texts.where(may_hold(F.col("content")))).where(may_hold(F.concat(F.lit("\n"), "text")))
-    symbols = F.concat(
-        _structs("plugin.variable", _all(PLUGIN_VARIABLE, 0)), _structs("mcp.tool", _all(MCP_TOOL, 0)), _structs("plugin.command", _all(COMMAND, 1))
-    )
+    symbols = F.concat(_placed("plugin.variable", PLUGIN_VARIABLE, 0), _placed("mcp.tool", MCP_TOOL, 0), _placed("plugin.command", COMMAND, 1))
     symbols = lines.select("source_id", "path", "line", F.posexplode(symbols).alias("ord", "r"))
-    native = fields.unionByName(symbols).select("source_id", "path", "line", (F.col("ord") + 1000).alias("ord"), "r.syntax", "r.value")
-    return markdown_references(texts).unionByName(native)
+    native = fields.unionByName(symbols).select("source_id", "path", "line", (F.col("ord") + 1000).alias("ord"), "r.syntax", "r.value", "r.col")
+    return markdown_references(texts).unionByName(native, allowMissingColumns=True)
 
 
 #: Plain YAML scalars that are no strings.
@@ -103,7 +114,7 @@ def resolve(refs: DataFrame, inventory: DataFrame, candidates: DataFrame) -> Dat
     first probe only.  outcome: host, remote, dynamic, escape, inside, outside, missing.
     """
     roots = candidates.select("source_id", "root")
-    paths = refs.where(F.startswith("syntax", F.lit("markdown.")) | F.col("syntax").isin("shell.command", "config.field"))
+    paths = refs.where(F.startswith("syntax", F.lit("markdown.")) | F.col("syntax").isin("shell.command", "config.field", "residual.literal"))
     placed = (
         paths.withColumn("root", F.explode(ancestors(parent(F.col("path")))))
         .join(roots, ["source_id", "root"])

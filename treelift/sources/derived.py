@@ -24,7 +24,8 @@ _SKILL = """concat('---', {nl}, 'name: ', CASE WHEN doc_id % 17 = 0 THEN '' ELSE
     WHEN 3 THEN '%2e%2e/%2e%2e/%2e%2e/%2e%2e/up.md' WHEN 4 THEN 'https://example.org/x' WHEN 5 THEN '/etc/hosts' ELSE '#top' END, ')',
   CASE WHEN doc_id % 11 = 0 THEN concat({nl}, 'run $', '{{PLUGIN_ROOT}}/tool') ELSE '' END,
   CASE WHEN doc_id % 43 = 5 THEN concat({nl}, 'ask mcp__', source, '__find') ELSE '' END,
-  CASE WHEN doc_id % 47 = 6 THEN concat({nl}, 'then /deploy it') ELSE '' END)"""
+  CASE WHEN doc_id % 47 = 6 THEN concat({nl}, 'then /deploy it') ELSE '' END,
+  CASE WHEN doc_id % 19 = 5 THEN concat({nl}, '```text', {nl}, 'ask mcp__', source, '__find', {nl}, 'then /deploy it', {nl}, '```') ELSE '' END)"""
 
 
 def _file(condition: str, path: str, content: str) -> tuple[str, str, str, str]:
@@ -42,6 +43,8 @@ DOCUMENT_ROWS = [
     _file("doc_id % 59 = 8", f"{_ROOT}Notes.txt'", "'a'"),
     _file("doc_id % 59 = 8", f"{_ROOT}notes.txt'", "'b'"),
     _file("doc_id % 7 = 0", f"{_ROOT}references/guide.md'", "concat('guide ', doc_id)"),
+    _file("doc_id % 23 = 15", f"{_ROOT}tool.py'", """concat('# mcp__', source, '__find in "../shared/common.md"', {nl}, 'x = open("../shared/common.md", "r")', {nl}, 'y = "mcp__', source, '__find own.txt"')"""),
+    _file("doc_id % 23 = 16", f"{_ROOT}tool.sh'", """concat('echo ', {nl}, 'cat ', chr(39), '../shared/common.md', chr(39), ' "$', '{{PLUGIN_ROOT}}/x" # $', '{{PLUGIN_ROOT}}')"""),
     _link("doc_id % 31 = 2", f"{_ROOT}loop'", "'loop'"),
     _link("doc_id % 37 = 3", f"{_ROOT}out'", "'../../../../outside'"),
     _link("doc_id % 41 = 4", f"{_ROOT}ghost'", "'nothing'"),
