@@ -1,9 +1,12 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
 
-from treelift.llm.toxicity import BlockMaxIndex, Neighbours, drop_toxic, isotonic, score_documents, term_counts
+from treelift.llm import toxicity as T
+from treelift.llm.toxicity import BlockMaxIndex, Neighbours, Vectors, drop_toxic, isotonic, score_documents, term_counts
 
 
 def test_nearest_are_exact():
@@ -15,35 +18,93 @@ def test_nearest_are_exact():
         weights /= np.linalg.norm(weights)
         rows.append((terms, weights))
         dense[k, terms] = weights
-    index = BlockMaxIndex(rows, 20)
+    index = BlockMaxIndex(Vectors.of(rows), 20)
     for k in range(100):
         cosines = dense @ dense[k]
         want = np.lexsort((np.arange(500), -cosines.round(12)))[:16]
         ids, got = index.nearest(*rows[k], 16)
         assert np.allclose(got, cosines[want]) and np.allclose(np.sort(cosines[ids]), np.sort(cosines[want]))
-    assert len(BlockMaxIndex([], 3).nearest(np.array([0]), np.array([1.0]), 5)[0]) == 0
+    assert len(BlockMaxIndex(Vectors.of([]), 3).nearest(np.array([0]), np.array([1.0]), 5)[0]) == 0
+
+
+def model(examples, vocabulary):
+    """examples: (id, label, {term: count})."""
+    at = {t: k for k, t in enumerate(vocabulary)}
+    counted = Vectors.of([(np.array([at[t] for t in c], np.int64), np.array(list(c.values()), float)) for _, _, c in examples])
+    return Neighbours(np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], np.int64), counted, at, np.ones(len(at)), 1.0)
 
 
 def test_isotonic():
     x, y = isotonic([0.1, 0.2, 0.2, 0.5, 0.9, 0.9], [0, 1, 0, 0, 1, 1])
     assert list(x) == sorted(x) and (np.diff(y) >= 0).all() and 0 < y[0] < y[-1] < 1
+    assert len(set(x)) == len(x) and abs(np.interp(0.7, x, y) - 0.6) < 0.2  # between the steps, not on one
     assert len(isotonic([], [])[0]) == 0
-    assert Neighbours([], {}, np.zeros(0)).vote({"a": 1}) == (0.0, [])
+    assert model([], []).vote({"a": 1}) == (0.0, [])
 
 
 def test_terms():
-    assert term_counts("RUNNING runner run 12".encode()) == {"runn": 2, "run": 1}
-    assert sum(term_counts("字".encode() * 50).values()) == 13 and term_counts(None) == {}
+    assert term_counts("RUNNING runner Run ÉTÉ été 12 x_1") == {"running": 1, "runner": 1, "run": 1, "été": 2, "12": 1, "x_1": 1}
+    assert sum(term_counts("字" * 50).values()) == 13 and term_counts(None) == {}
 
 
 def test_every_term_counts():
-    """A rare term that a single example holds still decides which example is nearest."""
-    examples = [(1, 1, 0, ["aaaa", "bbbb"], [1, 1]), (2, 0, 1, ["aaaa", "cccc"], [1, 1]), (3, 0, 0, ["dddd"], [2])]
-    vocabulary = {t: k for k, t in enumerate(["aaaa", "bbbb", "cccc", "dddd"])}
-    model = Neighbours(examples, vocabulary, np.ones(4))
-    assert [e[0] for e in model.vote({"bbbb": 1, "zzzz": 3})[1]] == [1]
-    assert [e[0] for e in model.vote({"aaaa": 1, "cccc": 1})[1]] == [2, 1]
-    assert model.vote({"zzzz": 1}) == (0.0, [])
+    """A rare term that a single example holds still decides which example is nearest; a term that no example holds is in the norm."""
+    voted = model([(1, 1, {"aaaa": 1, "bbbb": 1}), (2, 0, {"aaaa": 1, "cccc": 1}), (3, 0, {"dddd": 2})], ["aaaa", "bbbb", "cccc", "dddd"])
+    assert [(e[0], round(e[1], 12)) for e in voted.vote({"bbbb": 1})[1]] == [(1, round(0.5**0.5, 12))]
+    assert [(e[0], round(e[1], 12)) for e in voted.vote({"bbbb": 1, "zzzz": 1})[1]] == [(1, 0.5)]
+    assert [e[0] for e in voted.vote({"aaaa": 1, "cccc": 1})[1]] == [2, 1]
+    assert voted.vote({"zzzz": 1}) == (0.0, [])
+
+
+def plain_votes(texts, examples, df, n):
+    """Share of label 1 among the votes on each text, from whole dictionaries. examples: (id, label, text)."""
+    words = lambda t: {w: t.casefold().split().count(w) for w in re.findall(r"\w+", t.casefold())}
+    held = {w for _, _, t in examples for w in words(t)}
+    idf = lambda w: math.log((1 + n) / (1 + (df[w] if w in held else 0))) + 1
+
+    def unit(t):
+        v = {w: (1 + math.log(c)) * idf(w) for w, c in words(t).items()}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1
+        return {w: x / norm for w, x in v.items()}
+
+    kinds = [[unit(t) for _, label, t in examples if label == k] for k in (0, 1)]
+    contrast = {}
+    for w in held:
+        has = [sum(w in v for v in kind) for kind in kinds]
+        share = [(h + 0.5) / (len(kind) + 1) for h, kind in zip(has, kinds)]
+        both = (sum(has) + 0.5) / (len(examples) + 1)
+        contrast[w] = max(0, abs(share[1] - share[0]) / math.sqrt(both * (1 - both) * (1 / len(kinds[0]) + 1 / len(kinds[1]))) - T.NOISE) ** 2
+    vectors = [(label, unit(t)) for _, label, t in examples]
+    out = []
+    for t in texts:
+        q = unit(t)
+        near = sorted(((sum(x * v.get(w, 0) for w, x in q.items()), label, v) for label, v in vectors), key=lambda r: -r[0])[: T.NEIGHBOURS]
+        power = [(T.FLOOR * c + sum(x * v.get(w, 0) * contrast.get(w, 0) for w, x in q.items()), label) for c, label, v in near]
+        total = sum(p for p, _ in power)
+        out.append(sum(p for p, label in power if label) / total if total and any(w in held for w in q) else 0.0)
+    return out
+
+
+def test_scores_against_brute_force(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(T, "OPENED", 1)
+    texts, toxic = corpus(300, 5)
+    texts = [f"{t} w{k % 7} W{k % 11}" for k, t in enumerate(texts)]
+    labelled = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    df = {}
+    for t in texts:
+        for w in set(re.findall(r"\w+", t.casefold())):
+            df[w] = df.get(w, 0) + 1
+    rows = {r.doc_id: r for r in score_documents(make_docs(texts), spark.createDataFrame([(i, toxic[i]) for i in labelled], "doc_id long, toxic int")).collect()}
+    folds = {r.i: r.h for r in spark.sql(f"SELECT id AS i, pmod(xxhash64(id, 4), {T.FOLDS}) AS h FROM range(300)").collect()}
+    crossed = []
+    for h in range(T.FOLDS):
+        mine = [i for i in labelled if folds[i] == h]
+        whole = {w for i in labelled for w in re.findall(r"\w+", texts[i].casefold())}
+        votes = plain_votes([texts[i] for i in mine], [(i, toxic[i], texts[i]) for i in labelled if folds[i] != h], {w: n if w in whole else 0 for w, n in df.items()}, 300)
+        crossed += [(v, toxic[i]) for v, i in zip(votes, mine)]
+    x, y = isotonic(*zip(*crossed))
+    want = np.interp(plain_votes(texts, [(i, toxic[i], texts[i]) for i in labelled], df, 300), x, y)
+    assert np.mean(np.abs([rows[i].score - want[i] for i in range(300)]) < 1e-6) > 0.97  # the two calibrations differ by the norms of unknown terms of a fold
 
 
 def corpus(n, seed):

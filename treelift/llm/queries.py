@@ -172,7 +172,7 @@ FROM m GROUP BY conv_id
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("evidence")
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,19 @@
 """Toxicity by the nearest labelled examples, in exact TF-IDF cosine over a block-max inverted index.
 
-A term is a word in lower case cut to its first ``STEM`` letters, which joins a word's inflected forms in any language; a run
-of more than ``LONG_RUN`` letters (scripts without spaces) gives all its pieces of that length.  Every term of the at most
-``MAX_EXAMPLES`` labelled examples is in the index.  A weight is (1 + log count) · idf · contrast: idf comes from the
-document frequencies over all documents, contrast is how far labelled texts of either kind differ in holding
-the term, in standard errors above ``NOISE``, and ``FLOOR`` for all other terms, so no term is left out.  Terms that no example
-holds are in no cosine's dot product, and change all cosines of a text alike.
-
-The index keeps, for each term, the examples that hold it, in blocks of ``BLOCK`` of like ones, with the largest
-weight of each.  A query bounds every block by its terms' block maxima, opens blocks in that order, and stops
-when no block can reach the neighbours at hand; so the neighbours are exact.  What the commonest terms add is worked out for many queries
-at once, and is exact in the bounds.  The votes of the neighbours, weighted by a power of the
-cosine, are calibrated by isotonic regression: the examples are dealt to two halves, and each half is scored with contrasts and
-neighbours of the other half only.
+A term is a word, a run of letters, digits and underscores of any script, folded by Unicode case; a run of more than ``LONG_RUN`` characters (scripts
+without spaces) gives all its pieces of ``PIECE``.  A weight is (1 + log count) * idf.  idf is log((1 + n) / (1 + held)) + 1 with the
+number of all documents and of those that hold the term, counted over all documents for the terms of the examples; a term that no example
+holds weighs as one that no document holds, whatever its count over the documents.  It is in a text's norm, so a similarity is the cosine of whole texts.
+
+The examples are at most ``MAX_EXAMPLES`` labelled rows, with all their terms.  The index keeps, for each term, the examples that hold
+it, in blocks of ``BLOCK`` of like ones, with the largest weight of each.  A query bounds every block by its terms' block maxima, opens the
+most promising blocks, and then those whose bound reaches the neighbours at hand; so the neighbours are exact.  What the commonest terms add
+is worked out for many queries at once, and is exact in the bounds.
+
+Each neighbour votes with its cosine times ``FLOOR``, and with what the terms that it shares with the text add to the cosine, times how far labelled texts
+of either kind differ in holding them: the square of the standard errors above ``NOISE``.  The share of label 1 among the votes is calibrated by
+isotonic regression, drawn straight between the middles of its steps: the examples are dealt to ``FOLDS`` parts, and each part is scored with
+neighbours and contrasts of the others only.
 
 Defined results: a text that shares no term with the examples (a null or empty one, too) gets the least calibrated score; with no
 labelled rows every score is 0; of a document's labels the largest counts, null labels don't; rows repeated are scored each;
@@ -21,6 +22,7 @@ a null id is not held out; an empty table gives an empty result; additional colu
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,51 +35,47 @@ from treelift.llm.text import free_name
 from treelift.sources.scratch import Scratch
 
 MAX_EXAMPLES = 4096
-NEIGHBOURS = 16
-POWER = 4
+NEIGHBOURS = 64
+EVIDENCE = 8
 BLOCK = 64
-OPENED = 4
+OPENED = 16
 CLUSTERS = 16
 COMMON = 8
 TOGETHER = 64
 THRESHOLD = 0.7
-STEM = 4
-LONG_RUN = 24
+LONG_RUN, PIECE = 24, 4
+FOLDS = 5
 NOISE = 2.0
 FLOOR = 0.1
 
-#: bytes.translate table: letters in lower case, bytes of other characters as they are, all else a space.
-_LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
-
-#: An example: id, label, half that it belongs to, its terms and how often it holds each.
-Example = tuple[int, int, int, list[str], list[int]]
+_WORD = re.compile(r"\w+")
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def term_counts(text: bytes | None) -> Counter[str]:
+def term_counts(text: str | None) -> Counter[str]:
     """How often a text holds each of its terms."""
-    words = (text or b"").translate(_LETTERS).decode("utf-8").split()
-    counts = Counter([w[:STEM] for w in words if len(w) <= LONG_RUN])
-    for w in words:
-        if len(w) > LONG_RUN:
-            counts.update(w[k : k + STEM] for k in range(0, len(w), STEM))
+    counts = Counter(_WORD.findall((text or "").casefold()))
+    for run in [w for w in counts if len(w) > LONG_RUN]:
+        n = counts.pop(run)
+        for k in range(0, len(run), PIECE):
+            counts[run[k : k + PIECE]] += n
     return counts
 
 
 def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, toxic, half, text) to (doc_id, toxic, half, terms, counts)."""
+    """(doc_id, toxic, fold, text) to (doc_id, toxic, fold, terms, counts)."""
     for batch in batches:
-        counts = [term_counts(t) for t in batch.column(3).cast(pa.binary()).to_pylist()]
+        counts = [term_counts(t) for t in batch.column(3).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
                 *batch.columns[:3],
                 pa.array([list(c) for c in counts], pa.list_(pa.string())),
                 pa.array([list(c.values()) for c in counts], pa.list_(pa.int32())),
             ],
-            ["doc_id", "toxic", "half", "terms", "counts"],
+            ["doc_id", "toxic", "fold", "terms", "counts"],
         )
 
 
@@ -88,8 +86,8 @@ def _holding(shared):
         vocabulary = shared.value
         held, n = np.zeros(len(vocabulary), np.int64), 0
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                here = [vocabulary[t] for t in term_counts(text) if t in vocabulary]
+            for text in batch.column(0).to_pylist():
+                here = [k for t in term_counts(text) if (k := vocabulary.get(t)) is not None]
                 held[here] += 1
                 n += 1
         at = np.flatnonzero(held)
@@ -98,31 +96,58 @@ def _holding(shared):
     return run
 
 
+def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places of several ranges, one after the other."""
+    total = np.cumsum(count)
+    return np.repeat(begin - total + count, count) + np.arange(total[-1] if len(total) else 0)
+
+
+class Vectors:
+    """Unit vectors of examples, one after the other."""
+
+    def __init__(self, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
+        self.begin = np.concatenate([[0], np.cumsum(sizes)])
+        self.terms, self.weights = terms, weights
+
+    @classmethod
+    def of(cls, rows: list[tuple[np.ndarray, np.ndarray]]) -> Vectors:
+        none = np.zeros(0, np.int64)
+        return cls(np.array([len(t) for t, _ in rows], np.int64), np.concatenate([none, *(t for t, _ in rows)]), np.concatenate([np.zeros(0), *(w for _, w in rows)]))
+
+    def __len__(self) -> int:
+        return len(self.begin) - 1
+
+    def take(self, rows: np.ndarray) -> Vectors:
+        sizes = self.begin[rows + 1] - self.begin[rows]
+        at = _ranges(self.begin[rows], sizes)
+        return Vectors(sizes, self.terms[at], self.weights[at])
+
+    def owners(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.begin))
+
+
 class BlockMaxIndex:
     """Inverted lists over unit vectors in blocks of examples, with the largest weight of each list in each block."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> None:
-        """rows: terms and weights of each example."""
-        self.n = len(rows)
+    def __init__(self, vectors: Vectors, n_terms: int) -> None:
+        self.n = len(vectors)
         self.blocks = -(-self.n // BLOCK)
-        sizes = [len(t) for t, _ in rows]
-        terms = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in rows)])
-        weights = np.concatenate([np.zeros(0), *(w for _, w in rows)])
-        examples = np.repeat(np.arange(self.n), sizes)
-        order = np.argsort(terms, kind="stable")  # by term, then by example
-        terms, self.examples, self.weights = terms[order], examples[order], weights[order]
-        cell = terms * self.blocks + self.examples // BLOCK
-        self.most = np.zeros(n_terms * self.blocks)
-        np.maximum.at(self.most, cell, self.weights)
-        self.most = self.most.reshape(n_terms, self.blocks)
+        order = np.argsort(vectors.terms, kind="stable")  # by term, then by example
+        terms, examples, weights = vectors.terms[order], vectors.owners()[order], vectors.weights[order]
         # lists that hold a good part of all examples are kept as rows, a place for each example of each block
         common = np.bincount(terms, minlength=n_terms) * COMMON >= max(self.n, 1)
         self.row = np.where(common, np.cumsum(common) - 1, -1)
         self.rows = np.zeros((int(common.sum()), self.blocks * BLOCK))
         full = common[terms]
-        self.rows[self.row[terms[full]], self.examples[full]] = self.weights[full]
-        self.examples, self.weights, cell = self.examples[~full], self.weights[~full], cell[~full]
-        self.begin = np.searchsorted(cell, np.arange(n_terms * self.blocks + 1))
+        self.rows[self.row[terms[full]], examples[full]] = weights[full]
+        # the others are kept as cells, the part of a list that lies in a block
+        terms, self.examples, self.weights = terms[~full], examples[~full], weights[~full]
+        cell = terms * max(self.blocks, 1) + self.examples // BLOCK
+        starts = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.cell_begin = np.append(starts, len(cell))
+        self.cell_block = self.examples[starts] // BLOCK
+        self.cell_most = np.maximum.reduceat(self.weights, starts) if len(starts) else np.zeros(0)
+        self.cells = np.searchsorted(terms[starts], np.arange(n_terms + 1))
 
     def common_part(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """What the common terms add to the cosines of all examples, by query, block and place: one product for many queries."""
@@ -132,154 +157,154 @@ class BlockMaxIndex:
             spread[q, row[row >= 0]] = weights[row >= 0]
         return (spread @ self.rows).reshape(len(queries), self.blocks, BLOCK)
 
-    def _open(self, blocks: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """What the other terms add in some blocks, in order of blocks."""
-        cells = (terms[:, None] * self.blocks + blocks).ravel()
-        first = self.begin[cells]
-        count = self.begin[cells + 1] - first
-        total = np.cumsum(count)
-        if not len(total) or not total[-1]:
-            return np.zeros(len(blocks) * BLOCK)
-        at = np.repeat(first - total + count, count) + np.arange(total[-1])
-        here = self.examples[at]
-        place = np.empty(self.blocks, np.int64)
-        place[blocks] = np.arange(len(blocks))
-        added = np.repeat(np.repeat(weights, len(blocks)), count) * self.weights[at]
-        return np.bincount(place[here // BLOCK] * BLOCK + here % BLOCK, added, len(blocks) * BLOCK)
-
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine (of equals, the first), and their cosines. common: what :meth:`common_part` gave for this query."""
         if common is None:
             common = self.common_part([(terms, weights)])[0]
         rare = self.row[terms] < 0
         terms, weights = terms[rare], weights[rare]
-        bound = common.max(1) + weights @ self.most[terms]
+        count = self.cells[terms + 1] - self.cells[terms]
+        cells, weights = _ranges(self.cells[terms], count), np.repeat(weights, count)
+        bound = common.max(1) + np.bincount(self.cell_block[cells], weights * self.cell_most[cells], self.blocks)
         order = np.argsort(-bound, kind="stable")
         ids, cosines = np.zeros(0, np.int64), np.zeros(0)
-        at, size = 0, OPENED
-        while at < self.blocks:
-            blocks = order[at : at + size]
+        for blocks in (order[:OPENED], order[OPENED:]):
             if len(ids) == k:
                 blocks = blocks[bound[blocks] >= cosines[-1] - 1e-12]
-                if not len(blocks):
-                    break
-            scores = common[blocks].ravel() + self._open(blocks, terms, weights)
-            here = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            if not len(blocks):
+                continue
+            place = np.full(self.blocks, -1)
+            place[blocks] = np.arange(len(blocks))
+            mine = place[self.cell_block[cells]] >= 0
+            opened = cells[mine]
+            size = self.cell_begin[opened + 1] - self.cell_begin[opened]
+            at = _ranges(self.cell_begin[opened], size)
+            here = self.examples[at]
+            added = np.bincount(place[here // BLOCK] * BLOCK + here % BLOCK, np.repeat(weights[mine], size) * self.weights[at], len(blocks) * BLOCK)
+            scores, here = common[blocks].ravel() + added, (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
             good = here < self.n
             if len(ids) == k:
                 good &= scores >= cosines[-1]
             ids, cosines = np.concatenate([ids, here[good]]), np.concatenate([cosines, scores[good]])
             top = np.lexsort((ids, -cosines))[:k]
             ids, cosines = ids[top], cosines[top]
-            at, size = at + size, 2 * size
         return ids, cosines
 
 
-def alike(rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> np.ndarray:
+def alike(vectors: Vectors, n_terms: int) -> np.ndarray:
     """An order that puts rows with the same kind of terms (a language, a topic) side by side, so that blocks differ in what they hold."""
-    if len(rows) <= BLOCK:
-        return np.arange(len(rows))
+    n = len(vectors)
+    if n <= BLOCK:
+        return np.arange(n)
     rnd = np.random.default_rng(5)
-    axes = rnd.standard_normal((n_terms, 32))
-    places = np.array([w @ axes[t] if len(t) else np.zeros(32) for t, w in rows])
+    axes = rnd.standard_normal((n_terms, 32)).astype(np.float32)
+    places = np.array([vectors.weights[a:b] @ axes[vectors.terms[a:b]] for a, b in zip(vectors.begin, vectors.begin[1:], strict=False)])
     places /= np.maximum(np.linalg.norm(places, axis=1, keepdims=True), 1e-12)
-    centres = places[rnd.choice(len(rows), min(CLUSTERS, len(rows)), replace=False)]
+    centres = places[rnd.choice(n, min(CLUSTERS, n), replace=False)]
     for _ in range(8):
         nearest = (places @ centres.T).argmax(1)
         centres = np.array([places[nearest == c].mean(0) if (nearest == c).any() else centres[c] for c in range(len(centres))])
-    strongest = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in rows]
-    return np.lexsort((strongest, nearest))
+    return np.lexsort((places @ centres[0], nearest))
 
 
 class Neighbours:
     """Votes of labelled examples on a text."""
 
-    def __init__(self, examples: list[Example], vocabulary: dict[str, int], idf: np.ndarray) -> None:
-        self.vocabulary = vocabulary
-        self.labels = np.array([e[1] for e in examples], float)
-        at = [np.array([vocabulary[t] for t in e[3]], np.int64) for e in examples]
-        self.scale = idf * self._contrast(at)
-        rows = [self._unit(terms, e[4]) for terms, e in zip(at, examples, strict=True)]
-        order = alike(rows, len(vocabulary)).tolist()
-        self.labels = self.labels[order]
-        self.ids = [examples[k][0] for k in order]
-        self.index = BlockMaxIndex([rows[k] for k in order], len(vocabulary))
-
-    def _contrast(self, terms: list[np.ndarray]) -> np.ndarray:
-        held = np.zeros((2, len(self.vocabulary)))
-        for at, label in zip(terms, self.labels.astype(int).tolist(), strict=True):
-            held[label, at] += 1
-        n = np.array([(self.labels == 0).sum(), (self.labels == 1).sum()])
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, counted: Vectors, vocabulary: dict[str, int], idf: np.ndarray, unknown: float) -> None:
+        """counted: examples' terms, with their counts for weights. unknown: idf of a term that no example holds."""
+        self.vocabulary, self.idf, self.unknown = vocabulary, idf, unknown
+        self.contrast = self._contrast(counted, labels.astype(int))
+        weights = (1 + np.log(counted.weights)) * idf[counted.terms]
+        owners = counted.owners()
+        norms = np.sqrt(np.bincount(owners, weights * weights, len(counted)))
+        unit = Vectors(np.diff(counted.begin), counted.terms, weights / np.maximum(norms, 1e-300)[owners])
+        order = alike(unit, len(idf))
+        self.ids, self.labels, self.vectors = ids[order], labels[order].astype(float), unit.take(order)
+        self.index = BlockMaxIndex(self.vectors, len(idf))
+        self._spread = np.zeros(len(idf))
+
+    def _contrast(self, counted: Vectors, labels: np.ndarray) -> np.ndarray:
+        held = np.array([np.bincount(counted.terms[labels[counted.owners()] == label], minlength=len(self.idf)) for label in (0, 1)], float)
+        n = np.bincount(labels, minlength=2)
         if not n.all():
-            return np.full(len(self.vocabulary), FLOOR)
+            return np.zeros(len(self.idf))
         shares = (held + 0.5) / (n[:, None] + 1)
         both = (held.sum(0) + 0.5) / (n.sum() + 1)
         errors = np.abs(shares[1] - shares[0]) / np.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]))
-        return FLOOR + np.maximum(0, errors - NOISE)
-
-    def _unit(self, terms: np.ndarray, counts) -> tuple[np.ndarray, np.ndarray]:
-        weights = (1 + np.log(np.maximum(np.asarray(counts, float), 1))) * self.scale[terms]
-        return terms, weights / (np.linalg.norm(weights) or 1.0)
+        return np.maximum(0, errors - NOISE) ** 2
+
+    def query(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms of a text and their weights in its unit vector."""
+        known = [(k, n) for t, n in counts.items() if (k := self.vocabulary.get(t)) is not None]
+        if not known:
+            return np.zeros(0, np.int64), np.zeros(0)
+        terms, times = np.array(known, np.int64).T
+        other = [n for t, n in counts.items() if t not in self.vocabulary]
+        weights = (1 + np.log(times)) * self.idf[terms]
+        rest = (1 + np.log(np.array(other, float))) * self.unknown
+        return terms, weights / np.sqrt(weights @ weights + rest @ rest)
 
     def votes(self, texts: list[dict[str, int]]) -> Iterator[tuple[float, list[tuple[int, float, int]]]]:
-        """For each text's counts the share of label 1 among the nearest examples, and these as (id, cosine, label)."""
+        """For each text's counts the share of label 1 among the votes, and the strongest ones as (id, cosine, label)."""
         for at in range(0, len(texts), TOGETHER):
-            queries = []
-            for counts in texts[at : at + TOGETHER]:
-                known = [(self.vocabulary[t], n) for t, n in counts.items() if t in self.vocabulary] if self.index.n else []
-                queries.append(self._unit(*map(np.array, zip(*known, strict=True))) if known else (np.zeros(0, np.int64), np.zeros(0)))
+            queries = [self.query(counts) for counts in texts[at : at + TOGETHER]]
             common = self.index.common_part(queries)
             for query, part in zip(queries, common, strict=True):
                 yield self._vote(*query, part)
 
     def _vote(self, terms: np.ndarray, weights: np.ndarray, common: np.ndarray) -> tuple[float, list[tuple[int, float, int]]]:
-        if not len(terms):
+        if not len(terms) or not len(self.ids):
             return 0.0, []
         ids, cosines = self.index.nearest(terms, weights, NEIGHBOURS, common)
-        power = cosines**POWER
-        share = float(power @ self.labels[ids] / power.sum()) if power.sum() else 0.0
-        return share, [(self.ids[k], float(c), int(self.labels[k])) for k, c in zip(ids, cosines, strict=True) if c > 0]
+        self._spread[terms] = weights * self.contrast[terms]
+        near = self.vectors.take(ids)
+        telling = np.bincount(near.owners(), self._spread[near.terms] * near.weights, len(ids))
+        self._spread[terms] = 0
+        power = FLOOR * cosines + telling
+        share = float(power @ self.labels[ids] / power.sum()) if power.sum() > 0 else 0.0
+        first = [k for k in np.lexsort((self.ids[ids], -power))[:EVIDENCE] if cosines[k] > 0]
+        return share, [(int(self.ids[ids[k]]), float(cosines[k]), int(self.labels[ids[k]])) for k in first]
 
     def vote(self, counts: dict[str, int]) -> tuple[float, list[tuple[int, float, int]]]:
         return next(self.votes([counts]))
 
 
 def isotonic(x, y) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: nodes of the rising function that fits y best; values are a little drawn off 0 and 1."""
-    merged: list[list[float]] = []  # x lowest, x highest, sum, weight
+    """Pool adjacent violators: the middles of the steps of the rising function that fits y best; values are a little drawn off 0 and 1."""
+    steps: list[list[float]] = []  # sum of x, sum of y, number, greatest x
     for a, b in sorted(zip(x, y, strict=True)):
-        merged.append([a, a, b, 1.0])
-        while len(merged) > 1 and (merged[-2][2] * merged[-1][3] >= merged[-1][2] * merged[-2][3] or merged[-2][1] == merged[-1][0]):
-            last = merged.pop()
-            merged[-1] = [merged[-1][0], last[1], merged[-1][2] + last[2], merged[-1][3] + last[3]]
-    nodes = [(v, (s + 0.05) / (w + 0.1)) for lo, hi, s, w in merged for v in dict.fromkeys((lo, hi))]
-    values = np.maximum.accumulate([v for _, v in nodes]) if nodes else np.zeros(0)
-    return np.array([v for v, _ in nodes]), values
+        steps.append([a, b, 1.0, a])
+        while len(steps) > 1 and (steps[-2][1] * steps[-1][2] >= steps[-1][1] * steps[-2][2] or steps[-2][3] == steps[-1][0] / steps[-1][2]):
+            last = steps.pop()
+            steps[-1] = [steps[-1][0] + last[0], steps[-1][1] + last[1], steps[-1][2] + last[2], last[3]]
+    values = np.maximum.accumulate([(s + 0.05) / (n + 0.1) for _, s, n, _ in steps]) if steps else np.zeros(0)
+    return np.array([a / n for a, _, n, _ in steps]), values
 
 
 _EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 _models: dict[str, Neighbours] = {}
 
 
-def _model(shared, name: str, half: int | None = None) -> Neighbours:
-    """The model of all examples, or of those outside a half, built once per worker."""
-    key = f"{name}/{half}"
+def _model(shared, name: str, fold: int | None = None) -> Neighbours:
+    """The model of all examples, or of those outside a fold, built once per worker."""
+    key = f"{name}/{fold}"
     if key not in _models:
         for old in [k for k in _models if not k.startswith(f"{name}/")]:
             del _models[old]
-        examples, vocabulary, idf = shared.value
-        _models[key] = Neighbours([e for e in examples if e[2] != half], vocabulary, idf)
+        ids, labels, folds, counted, vocabulary, idf, unknown = shared.value
+        rows = np.flatnonzero(folds != fold) if fold is not None else np.arange(len(ids))
+        _models[key] = Neighbours(ids[rows], labels[rows], counted.take(rows), vocabulary, idf, unknown)
     return _models[key]
 
 
 def _cross_votes(shared, name: str):
-    """Examples to (vote by the other half, label)."""
+    """Examples to (vote by the other folds, label)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, toxic, half, terms, counts = (c.to_pylist() for c in batch.columns)
+            _, toxic, fold, terms, counts = (c.to_pylist() for c in batch.columns)
             votes = [
-                _model(shared, name, h).vote(dict(zip(t, c, strict=True)))[0] for h, t, c in zip(half, terms, counts, strict=True)
+                _model(shared, name, h).vote(dict(zip(t, c, strict=True)))[0] for h, t, c in zip(fold, terms, counts, strict=True)
             ]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), pa.array(toxic, pa.int32())], ["vote", "toxic"])
 
@@ -291,7 +316,7 @@ def _scored(shared, name: str, curve: tuple[np.ndarray, np.ndarray]):
         model, (x, y) = _model(shared, name), curve
         for batch in batches:
             scores, evidence = [], []
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            texts = batch.column(1).to_pylist()
             for share, near in model.votes([term_counts(t) for t in texts]):
                 scores.append(float(np.interp(share, x, y)) if len(x) else 0.0)
                 evidence.append([{"doc_id": i, "similarity": c, "toxic": label} for i, c, label in near])
@@ -313,11 +338,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_
     examples = docs.join(F.broadcast(chosen), "doc_id").select(
         "doc_id",
         F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"),
-        F.pmod(F.xxhash64("doc_id", F.lit(STEM)), F.lit(2)).cast("int").alias("half"),
+        F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(FOLDS)).cast("int").alias("fold"),
         "text",
     )
     examples = scratch.keep(
-        examples.mapInArrow(_example_terms, "doc_id long, toxic int, half int, terms array<string>, counts array<int>"), "examples"
+        examples.mapInArrow(_example_terms, "doc_id long, toxic int, fold int, terms array<string>, counts array<int>"), "examples"
     )
 
     context = spark.sparkContext
@@ -326,9 +351,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_
     counted = docs.select("text").mapInArrow(_holding(context.broadcast(vocabulary)), "term long, n long")
     held = dict(counted.groupBy("term").agg(F.sum("n")).collect())
     n_docs = held.get(-1, 0)
-    idf = np.array([np.log((1 + n_docs) / (1 + held.get(k, 0))) + 1 for k in range(len(vocabulary))])
-    shared = context.broadcast((rows, vocabulary, idf))
-    crossed = examples.repartition(8, "doc_id").mapInArrow(_cross_votes(shared, scratch.root), "vote double, toxic int").collect()
+    held_by = np.array([held.get(k, 0) for k in range(len(vocabulary))], float)
+    idf, unknown = np.log((1 + n_docs) / (1 + held_by)) + 1, float(np.log(1 + n_docs) + 1)
+    counted = Vectors.of([(np.array([vocabulary[t] for t in r[3]], np.int64), np.array(r[4], float)) for r in rows])
+    ids, known_labels, folds = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+    shared = context.broadcast((ids, known_labels, folds, counted, vocabulary, idf, unknown))
+    crossed = examples.repartition(FOLDS, "fold").mapInArrow(_cross_votes(shared, scratch.root), "vote double, toxic int").collect()
     curve = isotonic([r.vote for r in crossed], [r.toxic for r in crossed])
     schema = "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,toxic:int>>"
     return docs.mapInArrow(_scored(shared, scratch.root, curve), schema).select(
