@@ -40,7 +40,7 @@ EVIDENCE = 8
 BLOCK = 64
 OPENED = 16
 CLUSTERS = 16
-COMMON = 8
+COMMON = 32
 TOGETHER = 64
 THRESHOLD = 0.7
 LONG_RUN, PIECE = 24, 4
@@ -182,9 +182,9 @@ class BlockMaxIndex:
             here = self.examples[at]
             added = np.bincount(place[here // BLOCK] * BLOCK + here % BLOCK, np.repeat(weights[mine], size) * self.weights[at], len(blocks) * BLOCK)
             scores, here = common[blocks].ravel() + added, (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            good = here < self.n
-            if len(ids) == k:
-                good &= scores >= cosines[-1]
+            scores[here >= self.n] = -1
+            least = cosines[-1] if len(ids) == k else np.partition(scores, -k)[-k] if len(scores) > k else -0.5
+            good = np.flatnonzero(scores >= max(least, -0.5))
             ids, cosines = np.concatenate([ids, here[good]]), np.concatenate([cosines, scores[good]])
             top = np.lexsort((ids, -cosines))[:k]
             ids, cosines = ids[top], cosines[top]
@@ -221,6 +221,10 @@ class Neighbours:
         order = alike(unit, len(idf))
         self.ids, self.labels, self.vectors = ids[order], labels[order].astype(float), unit.take(order)
         self.index = BlockMaxIndex(self.vectors, len(idf))
+        # of the neighbours' vectors, a vote needs the terms with a contrast only
+        telling = self.contrast[self.vectors.terms] > 0
+        sizes = np.bincount(self.vectors.owners()[telling], minlength=len(self.vectors))
+        self.telling = Vectors(sizes, self.vectors.terms[telling], self.vectors.weights[telling])
         self._spread = np.zeros(len(idf))
 
     def _contrast(self, counted: Vectors, labels: np.ndarray) -> np.ndarray:
@@ -235,14 +239,14 @@ class Neighbours:
 
     def query(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Known terms of a text and their weights in its unit vector."""
-        known = [(k, n) for t, n in counts.items() if (k := self.vocabulary.get(t)) is not None]
-        if not known:
-            return np.zeros(0, np.int64), np.zeros(0)
-        terms, times = np.array(known, np.int64).T
-        other = [n for t, n in counts.items() if t not in self.vocabulary]
-        weights = (1 + np.log(times)) * self.idf[terms]
-        rest = (1 + np.log(np.array(other, float))) * self.unknown
-        return terms, weights / np.sqrt(weights @ weights + rest @ rest)
+        terms = np.array([self.vocabulary.get(t, -1) for t in counts], np.int64)
+        times = 1 + np.log(np.fromiter(counts.values(), float, len(counts)))
+        known = terms >= 0
+        terms, weights, rest = terms[known], times[known], times[~known] * self.unknown
+        if len(terms):
+            weights = weights * self.idf[terms]
+            weights /= np.sqrt(weights @ weights + rest @ rest)
+        return terms, weights
 
     def votes(self, texts: list[dict[str, int]]) -> Iterator[tuple[float, list[tuple[int, float, int]]]]:
         """For each text's counts the share of label 1 among the votes, and the strongest ones as (id, cosine, label)."""
@@ -257,7 +261,7 @@ class Neighbours:
             return 0.0, []
         ids, cosines = self.index.nearest(terms, weights, NEIGHBOURS, common)
         self._spread[terms] = weights * self.contrast[terms]
-        near = self.vectors.take(ids)
+        near = self.telling.take(ids)
         telling = np.bincount(near.owners(), self._spread[near.terms] * near.weights, len(ids))
         self._spread[terms] = 0
         power = FLOOR * cosines + telling
@@ -286,11 +290,10 @@ _models: dict[str, Neighbours] = {}
 
 
 def _model(shared, name: str, fold: int | None = None) -> Neighbours:
-    """The model of all examples, or of those outside a fold, built once per worker."""
+    """The model of all examples, or of those outside a fold; a worker keeps the last one."""
     key = f"{name}/{fold}"
     if key not in _models:
-        for old in [k for k in _models if not k.startswith(f"{name}/")]:
-            del _models[old]
+        _models.clear()
         ids, labels, folds, counted, vocabulary, idf, unknown = shared.value
         rows = np.flatnonzero(folds != fold) if fold is not None else np.arange(len(ids))
         _models[key] = Neighbours(ids[rows], labels[rows], counted.take(rows), vocabulary, idf, unknown)
@@ -356,7 +359,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_
     counted = Vectors.of([(np.array([vocabulary[t] for t in r[3]], np.int64), np.array(r[4], float)) for r in rows])
     ids, known_labels, folds = (np.array([r[k] for r in rows], np.int64) for k in range(3))
     shared = context.broadcast((ids, known_labels, folds, counted, vocabulary, idf, unknown))
-    crossed = examples.repartition(FOLDS, "fold").mapInArrow(_cross_votes(shared, scratch.root), "vote double, toxic int").collect()
+    crossed = examples.repartition(FOLDS, "fold").sortWithinPartitions("fold", "doc_id").mapInArrow(_cross_votes(shared, scratch.root), "vote double, toxic int").collect()
     curve = isotonic([r.vote for r in crossed], [r.toxic for r in crossed])
     schema = "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,toxic:int>>"
     return docs.mapInArrow(_scored(shared, scratch.root, curve), schema).select(
