@@ -40,7 +40,7 @@ EVIDENCE = 8
 BLOCK = 64
 OPENED = 16
 CLUSTERS = 16
-COMMON = 32
+COMMON = 16
 TOGETHER = 64
 THRESHOLD = 0.7
 LONG_RUN, PIECE = 24, 4
@@ -197,7 +197,7 @@ def alike(vectors: Vectors, n_terms: int) -> np.ndarray:
     if n <= BLOCK:
         return np.arange(n)
     rnd = np.random.default_rng(5)
-    axes = rnd.standard_normal((n_terms, 32)).astype(np.float32)
+    axes = rnd.standard_normal((n_terms, 32), dtype=np.float32)
     places = np.array([vectors.weights[a:b] @ axes[vectors.terms[a:b]] for a, b in zip(vectors.begin, vectors.begin[1:], strict=False)])
     places /= np.maximum(np.linalg.norm(places, axis=1, keepdims=True), 1e-12)
     centres = places[rnd.choice(n, min(CLUSTERS, n), replace=False)]
@@ -319,10 +319,11 @@ def _scored(shared, name: str, curve: tuple[np.ndarray, np.ndarray]):
         model, (x, y) = _model(shared, name), curve
         for batch in batches:
             scores, evidence = [], []
-            texts = batch.column(1).to_pylist()
-            for share, near in model.votes([term_counts(t) for t in texts]):
-                scores.append(float(np.interp(share, x, y)) if len(x) else 0.0)
-                evidence.append([{"doc_id": i, "similarity": c, "toxic": label} for i, c, label in near])
+            for at in range(0, batch.num_rows, TOGETHER):
+                texts = batch.column(1).slice(at, TOGETHER).to_pylist()
+                for share, near in model.votes([term_counts(t) for t in texts]):
+                    scores.append(float(np.interp(share, x, y)) if len(x) else 0.0)
+                    evidence.append([{"doc_id": i, "similarity": c, "toxic": label} for i, c, label in near])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, _EVIDENCE)], ["doc_id", "score", "evidence"]
             )
@@ -349,15 +350,20 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_
     )
 
     context = spark.sparkContext
-    rows = sorted(tuple(r) for r in examples.collect())  # bounded by max_examples
-    vocabulary = {t: k for k, t in enumerate(sorted({t for r in rows for t in r[3]}))}
+    rows = examples.toArrow().sort_by("doc_id")  # bounded by max_examples; terms, not texts
+    flat = rows.column("terms").combine_chunks().flatten().dictionary_encode()
+    words = flat.dictionary.to_pylist()
+    vocabulary = {t: k for k, t in enumerate(sorted(words))}
+    terms = np.array([vocabulary[t] for t in words], np.int64)[flat.indices.to_numpy()]
     counted = docs.select("text").mapInArrow(_holding(context.broadcast(vocabulary)), "term long, n long")
     held = dict(counted.groupBy("term").agg(F.sum("n")).collect())
     n_docs = held.get(-1, 0)
     held_by = np.array([held.get(k, 0) for k in range(len(vocabulary))], float)
     idf, unknown = np.log((1 + n_docs) / (1 + held_by)) + 1, float(np.log(1 + n_docs) + 1)
-    counted = Vectors.of([(np.array([vocabulary[t] for t in r[3]], np.int64), np.array(r[4], float)) for r in rows])
-    ids, known_labels, folds = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+    sizes = rows.column("terms").combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    counted = Vectors(sizes, terms, rows.column("counts").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float))
+    ids, known_labels, folds = (rows.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "toxic", "fold"))
+    del rows, flat, words
     shared = context.broadcast((ids, known_labels, folds, counted, vocabulary, idf, unknown))
     crossed = examples.repartition(FOLDS, "fold").sortWithinPartitions("fold", "doc_id").mapInArrow(_cross_votes(shared, scratch.root), "vote double, toxic int").collect()
     curve = isotonic([r.vote for r in crossed], [r.toxic for r in crossed])
