@@ -141,7 +141,7 @@ class BlockMaxIndex:
         full = common[terms]
         self.rows[self.row[terms[full]], examples[full]] = weights[full]
         # the others are kept as cells, the part of a list that lies in a block
-        terms, self.examples, self.weights = terms[~full], examples[~full], weights[~full]
+        terms, self.examples, self.weights = terms[~full], examples[~full].astype(np.int32), weights[~full]
         cell = terms * max(self.blocks, 1) + self.examples // BLOCK
         starts = np.flatnonzero(np.diff(cell, prepend=-1))
         self.cell_begin = np.append(starts, len(cell))
@@ -219,12 +219,12 @@ class Neighbours:
         norms = np.sqrt(np.bincount(owners, weights * weights, len(counted)))
         unit = Vectors(np.diff(counted.begin), counted.terms, weights / np.maximum(norms, 1e-300)[owners])
         order = alike(unit, len(idf))
-        self.ids, self.labels, self.vectors = ids[order], labels[order].astype(float), unit.take(order)
-        self.index = BlockMaxIndex(self.vectors, len(idf))
+        self.ids, self.labels, vectors = ids[order], labels[order].astype(float), unit.take(order)
+        self.index = BlockMaxIndex(vectors, len(idf))
         # of the neighbours' vectors, a vote needs the terms with a contrast only
-        telling = self.contrast[self.vectors.terms] > 0
-        sizes = np.bincount(self.vectors.owners()[telling], minlength=len(self.vectors))
-        self.telling = Vectors(sizes, self.vectors.terms[telling], self.vectors.weights[telling])
+        telling = self.contrast[vectors.terms] > 0
+        sizes = np.bincount(vectors.owners()[telling], minlength=len(vectors))
+        self.telling = Vectors(sizes, vectors.terms[telling], vectors.weights[telling])
         self._spread = np.zeros(len(idf))
 
     def _contrast(self, counted: Vectors, labels: np.ndarray) -> np.ndarray:
@@ -318,15 +318,15 @@ def _scored(shared, name: str, curve: tuple[np.ndarray, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, (x, y) = _model(shared, name), curve
         for batch in batches:
-            scores, evidence = [], []
-            for at in range(0, batch.num_rows, TOGETHER):
-                texts = batch.column(1).slice(at, TOGETHER).to_pylist()
-                for share, near in model.votes([term_counts(t) for t in texts]):
+            for at in range(0, batch.num_rows, TOGETHER):  # terms and evidence of a few texts at a time
+                part = batch.slice(at, TOGETHER)
+                scores, evidence = [], []
+                for share, near in model.votes([term_counts(t) for t in part.column(1).to_pylist()]):
                     scores.append(float(np.interp(share, x, y)) if len(x) else 0.0)
                     evidence.append([{"doc_id": i, "similarity": c, "toxic": label} for i, c, label in near])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, _EVIDENCE)], ["doc_id", "score", "evidence"]
-            )
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(scores, pa.float64()), pa.array(evidence, _EVIDENCE)], ["doc_id", "score", "evidence"]
+                )
 
     return run
 
