@@ -40,7 +40,7 @@ EVIDENCE = 8
 BLOCK = 64
 OPENED = 16
 CLUSTERS = 16
-COMMON = 16
+COMMON = 32
 TOGETHER = 64
 THRESHOLD = 0.7
 LONG_RUN, PIECE = 24, 4
