@@ -17,9 +17,10 @@ from treelift.operators import decisions as D
 from treelift.operators import inert as I
 from treelift.operators import links as L
 from treelift.operators import references as R
+from treelift.operators import structured as S
 from treelift.operators.markdown import markdown_references as markdown_rows
 from treelift.sources.archives import admitted, pack_documents, refused_sources, untar
-from treelift.sources.derived import DUCKDB_INVENTORY, inventory, paths
+from treelift.sources.derived import DUCKDB_CONFIGURED, DUCKDB_INVENTORY, inventory, paths
 from treelift.sources.scratch import Scratch
 from treelift.sources.tables import table
 from treelift.sources.trees import read_trees, write_trees
@@ -131,6 +132,12 @@ def residual_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.residual_evidence(literals, R.resolve(literals, tree.paths, tree.candidates), tree.candidates).drop("ord", "code")
 
 
+def structured_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What JSON files in candidates refer to: fields, lists, and patterns with the files that they match."""
+    tree = _Tree(spark, inventory(spark, sf_dir, configured=True))
+    return S.json_references(tree.paths, tree.candidates, tree.scratch).select("source_id", "root", "path", "line", "syntax", "value")
+
+
 def scan_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.limit_checks(inventory(spark, sf_dir))
 
@@ -338,7 +345,7 @@ def link_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     inventory_hash, snapshot_digest, content_digest, package_boundaries, ancestor_counts, innermost_boundary, frontmatter_fields,
     path_references, link_closure, decision_reasons, classifications, classification_counts, content_duplicates, name_conflicts,
-    duplicate_annotation, import_records, runtime_callers, inert_symbols, residual_paths, scan_limits, path_collisions, source_specs, partition_check, review_join, expected_vs_actual, review_quota, envelope_budget,
+    duplicate_annotation, import_records, runtime_callers, inert_symbols, residual_paths, structured_references, scan_limits, path_collisions, source_specs, partition_check, review_join, expected_vs_actual, review_quota, envelope_budget,
     secret_redaction, link_extraction, review_redaction, sensitive_paths, markdown_references, archive_inventory, tree_inventory, tree_classes,
 )
 
@@ -397,6 +404,25 @@ rl AS (SELECT q.source_id, q.root, q.path, CAST(line AS INT) AS line, v || ' ->
 #: A path with '.' and '..' resolved; null if it leaves the tree.
 _COLLAPSE = """coalesce(nullif(substr(nullif(list_reduce(list_prepend('', string_split({p}, '/')), lambda a, x: CASE WHEN a = '!' THEN '!' WHEN x = '' OR x = '.' THEN a
   WHEN x <> '..' THEN a || '/' || x WHEN a = '' THEN '!' ELSE regexp_replace(a, '/[^/]*$', '') END), '!'), 2), ''), CASE WHEN {p} IS NULL THEN NULL END)"""
+#: A pattern of segments as a regular expression over a path's last parts.
+_PATTERN = r"""'(.*/)?' || regexp_replace(regexp_replace(regexp_replace(regexp_replace({p}, '[.]', '[.]', 'g'), '\[!', '[^', 'g'), '[?]', '[^/]', 'g'), '\*+', '[^/]*', 'g')"""
+#: Strings of JSON files below candidates; a pattern has one inner '**' at most, and its head without wildcards is part of each match.
+_STRUCTURED = rf""",
+jf AS (SELECT i.source_id, c.root, i.path, i.content, regexp_replace(i.path, '/[^/]*$', '') AS folder FROM inventory i
+       JOIN c ON c.source_id = i.source_id AND c.root = regexp_extract(i.path, '^packages/[^/]*/[^/]*') WHERE i.path LIKE '%.json'),
+jv AS (SELECT jf.*, field, unnest(CASE json_type(content, '$.' || field) WHEN 'VARCHAR' THEN [json_extract_string(content, '$.' || field)]
+         WHEN 'ARRAY' THEN list_transform(list_filter(TRY_CAST(json_extract(content, '$.' || field) AS JSON[]), lambda x: json_type(x) = 'VARCHAR'), lambda x: x->>'$') ELSE [] END) AS value
+       FROM jf, (SELECT unnest({S.FIELDS}) AS field) WHERE json_valid(content)
+       UNION ALL SELECT jf.*, 'references.path', unnest(json_extract_string(content, '$.references[*].path')) FROM jf WHERE json_valid(content)),
+jl AS (SELECT *, len(string_split(left(content, greatest(strpos(content, value) - 1, 0)), chr(10))) AS line, field IN ('files', 'include') AND regexp_matches(value, '[*?\[]') AS globbed,
+              url_decode(value) AS once, url_decode(url_decode(url_decode(value))) AS decoded FROM jv),
+jb AS (SELECT *, unnest([folder, root]) AS base, unnest([0, 1]) AS probe, starts_with(decoded, '/') OR (decoded <> once AND regexp_matches(decoded, '(^|/)[.][.](/|$)')) AS stays
+       FROM jl WHERE globbed),
+jp AS (SELECT *, {_COLLAPSE.format(p="(base || '/' || once)")} AS pattern FROM jb),
+jm AS (SELECT jp.*, i.path AS hit FROM jp JOIN inventory i ON i.source_id = jp.source_id AND i.kind = 'file' AND contains(i.path, regexp_extract(pattern, '^[^*?\[]*'))
+         AND (regexp_full_match(i.path, {_PATTERN.format(p='pattern')}) OR regexp_full_match(i.path, {_PATTERN.format(p="replace(pattern, '/**/', '/')")})) WHERE NOT stays),
+jx AS (SELECT source_id, root, path, line, value, CASE WHEN starts_with(hit, base || '/') THEN substr(hit, length(base) + 2) ELSE hit END AS found FROM jm
+       QUALIFY probe = min(probe) OVER (PARTITION BY source_id, root, path, value))"""
 #: Links one after the other: a path has at most one part that is a link below no other link.
 _LINKS = f""",
 lk AS (SELECT source_id, path, symlink_target AS raw, CASE WHEN NOT starts_with(symlink_target, '/') THEN {_COLLAPSE.format(p="regexp_replace(path, '[^/]*$', '') || symlink_target")} END AS target
@@ -588,6 +614,12 @@ _SQL = {
         ('skill/hard', 'unsupported', 0, false, NULL, NULL, true, 'unsupported_member'),
         ('skill/link/below', 'file', 1, false, NULL, NULL, true, 'below_symlink')) v(path, kind, size, executable, symlink_target, sha256, opaque, problem)""",
     "residual_paths": f"{_WITH}{_CANDIDATES}{_LITERALS} SELECT * FROM rl",
+    "structured_references": f"""WITH RECURSIVE {DUCKDB_CONFIGURED}{_CANDIDATES}{_STRUCTURED} SELECT source_id, root, path, CAST(line AS INT) AS line, syntax, value FROM (
+      SELECT source_id, root, path, line, 'json.' || field AS syntax, value FROM jl WHERE NOT globbed
+      UNION ALL SELECT source_id, root, path, line, 'json.glob', found FROM jx
+      UNION ALL SELECT source_id, root, path, min(line), 'json.glob', value FROM jp GROUP BY source_id, root, path, value HAVING bool_or(stays)
+        OR (bool_or(pattern IS NULL) AND count(*) FILTER (EXISTS (SELECT 1 FROM jx WHERE jx.source_id = jp.source_id AND jx.path = jp.path AND jx.value = jp.value)) = 0)
+      UNION ALL SELECT source_id, root, path, 1, 'json.parse_failure', '{S.UNPARSEABLE}' FROM jf WHERE NOT json_valid(content))""",
     "inert_symbols": f"""{_WITH}, l AS (SELECT source_id, path, string_split(content, chr(10)) AS t FROM inventory WHERE kind = 'file'),
       f AS (SELECT source_id, path, unnest(range(1, len(t) + 1)) AS line, unnest(t) AS x, list_position(t, '```text') AS fence FROM l)
       SELECT source_id, path, CAST(line AS INT) AS line, 'mcp.tool' AS syntax, regexp_extract(x, 'mcp__[A-Za-z0-9_.-]+__find') AS value, CAST(strpos(x, 'mcp__') - 1 AS INT) AS col

@@ -72,6 +72,18 @@ PACKAGE_ROWS = [
     _file("length(source) % 2 = 0", "'packages/', source, '/src/main.py'", """concat('runSkill("d', first, '")')"""),
 ]
 
+#: Configuration of programs, with patterns over the tree; kept apart from the rows that every query reads.
+CONFIG_ROWS = [
+    _file("doc_id % 13 = 4", f"{_ROOT}lib/tsconfig.json'", """concat('{{"extends": "../../shared/common.md",', {nl}, '"include": ["**/*.ts", "[!b-z]?.ts", "refer*/*.md", "../../shared/*.md",', {nl},
+      '"none/*.x", "%252e%252e/*"],', {nl}, '"files": ["n', doc_id, '.ts"], "path": 5, "references": [{{"path": "p', doc_id, '"}}]}}')"""),
+    _file("doc_id % 13 = 4", f"{_ROOT}lib/a', doc_id % 10, '.ts'", "'a'"),
+    _file("doc_id % 26 = 4", f"{_ROOT}lib/sub/z', doc_id, '.ts'", "'z'"),
+    _file("doc_id % 13 = 4", f"{_ROOT}lib/sub/deep/y.ts'", "'y'"),
+    _file("doc_id % 39 = 4", f"{_ROOT}references/note.md'", "'n'"),
+    _file("doc_id % 13 = 5", f"{_ROOT}package.json'", """concat('{{"main": ', doc_id)"""),
+    _file("doc_id % 13 = 6", f"{_ROOT}settings.json'", """concat('{{"script": ["run', doc_id, '.sh", 5, "', lang, '"]}}')"""),
+]
+
 
 def _union(rows: list[tuple[str, str, str, str]], source: str) -> str:
     return " UNION ALL ".join(
@@ -93,12 +105,18 @@ def _inline(rows: list[tuple[str, str, str, str]], source: str) -> str:
 _DOCS = "SELECT doc_id, coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source, coalesce(text, '') AS t FROM documents"
 _PACKAGES = "SELECT lang, source, min(doc_id) AS first FROM {docs} GROUP BY lang, source"
 
-DUCKDB_INVENTORY = (
-    f"d AS ({_DOCS}), pk AS ({_PACKAGES.format(docs='d')}), raw AS ("
-    + (_union(DOCUMENT_ROWS, "d") + " UNION ALL " + _union(PACKAGE_ROWS, "pk")).format(nl="chr(10)", name="regexp_replace(split_part(t, ' ', 1), '[^A-Za-z]', '', 'g')")
-    + "), inventory AS (SELECT *, CASE WHEN kind = 'file' THEN sha256(content) END AS sha256, "
-    "CAST(CASE WHEN kind = 'file' THEN strlen(content) ELSE strlen(symlink_target) END AS BIGINT) AS size FROM raw)"
-)
+def _duckdb(of_documents: list[tuple[str, str, str, str]]) -> str:
+    rows = _union(of_documents, "d") + " UNION ALL " + _union(PACKAGE_ROWS, "pk")
+    return (
+        f"d AS ({_DOCS}), pk AS ({_PACKAGES.format(docs='d')}), raw AS ("
+        + rows.format(nl="chr(10)", name="regexp_replace(split_part(t, ' ', 1), '[^A-Za-z]', '', 'g')")
+        + "), inventory AS (SELECT *, CASE WHEN kind = 'file' THEN sha256(content) END AS sha256, "
+        "CAST(CASE WHEN kind = 'file' THEN strlen(content) ELSE strlen(symlink_target) END AS BIGINT) AS size FROM raw)"
+    )
+
+
+DUCKDB_INVENTORY = _duckdb(DOCUMENT_ROWS)
+DUCKDB_CONFIGURED = _duckdb(DOCUMENT_ROWS + CONFIG_ROWS)
 
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,9 +125,9 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, sf_dir, *rows).select("source_id", "path", "kind", "symlink_target")
 
 
-def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source_id, path, kind, executable, symlink_target, content, sha256, size."""
-    rows = _rows(spark, sf_dir, DOCUMENT_ROWS, PACKAGE_ROWS)
+def inventory(spark: SparkSession, sf_dir: str, configured: bool = False) -> DataFrame:
+    """source_id, path, kind, executable, symlink_target, content, sha256, size; configured adds the rows of CONFIG_ROWS."""
+    rows = _rows(spark, sf_dir, DOCUMENT_ROWS + CONFIG_ROWS * configured, PACKAGE_ROWS)
     size = F.when(F.col("kind") == "file", F.octet_length("content")).otherwise(F.octet_length("symlink_target"))
     return rows.withColumns({"sha256": F.when(F.col("kind") == "file", F.sha2("content", 256)), "size": size.cast("long")})
 
