@@ -19,6 +19,8 @@ from treelift.operators import links as L
 from treelift.operators import references as R
 from treelift.operators import structured as S
 from treelift.operators.markdown import markdown_references as markdown_rows
+from treelift.operators.refs import resolve_refs
+from treelift.operators.review import resolve_lines, shown_lines
 from treelift.sources.archives import admitted, pack_documents, refused_sources, untar
 from treelift.sources.derived import DUCKDB_CONFIGURED, DUCKDB_INVENTORY, inventory, paths
 from treelift.sources.scratch import Scratch
@@ -138,6 +140,33 @@ def structured_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.json_references(tree.paths, tree.candidates, tree.scratch).select("source_id", "root", "path", "line", "syntax", "value")
 
 
+def ref_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' URLs as routes of their host: the ref by the longest name that a third of the pages gives, then scope and target."""
+    url = F.regexp_extract(F.coalesce("url", F.lit("")), "^[a-z]+://([^/?#]*)/?([^?#]*)", 2)
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(F.coalesce("url", F.lit("")), "^[a-z]+://([^/?#]*)", 1).alias("repo"), F.rtrim(url, F.lit("/")).alias("route"))
+    head = F.split_part("route", F.lit("/"), F.lit(1))
+    name = F.when(F.col("page_id") % 3 == 0, head).when(F.col("page_id") % 3 == 1, F.col("route"))
+    names = pages.select("repo", name.alias("name")).where("name <> ''")
+    routes = pages.withColumns({
+        "kind": F.when(F.col("page_id") % 2 == 0, "tree").otherwise("blob"),
+        "ref": F.when(F.col("page_id") % 7 == 1, head).when(F.col("page_id") % 7 == 2, "main"),
+        "subpath": F.when(F.col("page_id") % 11 < 2, "docs"),
+    })
+    return resolve_refs(routes, names).select("page_id", "repo", "route", "kind", "wanted_ref", "scope", "target", "problem")
+
+
+def evidence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations of documents' lines, some a line or two off, against the lines that redaction left as they were."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("\nx-api-key: k"), F.col("doc_id"))).otherwise(F.lit("")))
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null")
+    texts = docs.select(F.coalesce("lang", F.lit("none")).alias("source_id"), F.concat(F.lit("d"), "doc_id", F.lit(".md")).alias("path"), text.alias("content"), "doc_id")
+    lines = F.split("content", "\n")
+    at = F.when(F.col("doc_id") % 2 == 0, F.size(lines)).otherwise((F.col("doc_id") % 5 + 1).cast("int"))
+    cited = texts.select("source_id", "path", at.alias("at"), F.split_part(F.get(lines, at - 1), F.lit(" "), F.lit(1)).alias("value"))
+    cited = cited.where("value is not null").select("source_id", "path", F.explode(F.expr("array(at - 1, at, at + 1, at + 2)")).alias("line"), "value")
+    return resolve_lines(cited, shown_lines(texts))
+
+
 def scan_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.limit_checks(inventory(spark, sf_dir))
 
@@ -345,7 +374,7 @@ def link_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     inventory_hash, snapshot_digest, content_digest, package_boundaries, ancestor_counts, innermost_boundary, frontmatter_fields,
     path_references, link_closure, decision_reasons, classifications, classification_counts, content_duplicates, name_conflicts,
-    duplicate_annotation, import_records, runtime_callers, inert_symbols, residual_paths, structured_references, scan_limits, path_collisions, source_specs, partition_check, review_join, expected_vs_actual, review_quota, envelope_budget,
+    duplicate_annotation, import_records, runtime_callers, inert_symbols, residual_paths, structured_references, ref_scopes, evidence_lines, scan_limits, path_collisions, source_specs, partition_check, review_join, expected_vs_actual, review_quota, envelope_budget,
     secret_redaction, link_extraction, review_redaction, sensitive_paths, markdown_references, archive_inventory, tree_inventory, tree_classes,
 )
 
@@ -620,6 +649,26 @@ _SQL = {
       UNION ALL SELECT source_id, root, path, min(line), 'json.glob', value FROM jp GROUP BY source_id, root, path, value HAVING bool_or(stays)
         OR (bool_or(pattern IS NULL) AND count(*) FILTER (EXISTS (SELECT 1 FROM jx WHERE jx.source_id = jp.source_id AND jx.path = jp.path AND jx.value = jp.value)) = 0)
       UNION ALL SELECT source_id, root, path, 1, 'json.parse_failure', '{S.UNPARSEABLE}' FROM jf WHERE NOT json_valid(content))""",
+    "ref_scopes": """WITH p AS (SELECT page_id, regexp_extract(coalesce(url, ''), '^[a-z]+://([^/?#]*)', 1) AS repo, rtrim(regexp_extract(coalesce(url, ''), '^[a-z]+://([^/?#]*)/?([^?#]*)', 2), '/') AS route FROM pages),
+      n AS (SELECT DISTINCT repo, CASE page_id % 3 WHEN 0 THEN split_part(route, '/', 1) WHEN 1 THEN route END AS name FROM p),
+      r AS (SELECT *, CASE page_id % 2 WHEN 0 THEN 'tree' ELSE 'blob' END AS kind, CASE page_id % 7 WHEN 1 THEN split_part(route, '/', 1) WHEN 2 THEN 'main' END AS ref, page_id % 11 < 2 AS sub FROM p),
+      m AS (SELECT r.*, CASE WHEN route = ref OR starts_with(route, ref || '/') THEN ref ELSE coalesce(
+              (SELECT arg_max(name, length(name)) FROM n WHERE n.repo = r.repo AND name <> '' AND (r.route = name OR starts_with(r.route, name || '/'))),
+              CASE WHEN regexp_full_match(split_part(route, '/', 1), '[0-9a-f]{40}') THEN split_part(route, '/', 1) END) END AS cut FROM r),
+      k AS (SELECT *, substr(route, length(cut) + 2) AS rest, CASE WHEN route = '' THEN NULL WHEN cut IS NULL AND ref IS NULL THEN 'ref' WHEN cut IS NULL AND NOT sub THEN 'subpath'
+              WHEN kind = 'blob' AND NOT sub AND substr(route, length(cut) + 2) = '' THEN 'blob' END AS problem FROM m)
+      SELECT page_id, repo, route, kind, CASE WHEN problem IS NULL THEN coalesce(nullif(ref, ''), cut) END AS wanted_ref,
+        CASE WHEN problem IS NOT NULL THEN NULL WHEN sub THEN 'docs' WHEN route = '' THEN '.' WHEN kind = 'blob' THEN coalesce(nullif(regexp_replace(rest, '/?[^/]*$', ''), ''), '.') ELSE coalesce(nullif(rest, ''), '.') END AS scope,
+        CASE WHEN problem IS NULL AND NOT sub AND route <> '' AND kind = 'blob' THEN rest END AS target, problem FROM k""",
+    "evidence_lines": f"""WITH d AS (SELECT coalesce(lang, 'none') AS source_id, 'd' || doc_id || '.md' AS path, doc_id,
+        coalesce(text, '') || CASE WHEN doc_id % 9 = 0 THEN chr(10) || 'x-api-key: k' || doc_id ELSE '' END AS t FROM documents WHERE doc_id IS NOT NULL),
+      l AS (SELECT source_id, path, doc_id, string_split(t, chr(10)) AS a, string_split({_redacted('t')}, chr(10)) AS b FROM d),
+      x AS (SELECT source_id, path, unnest(range(1, len(a) + 1)) AS k, unnest(a) AS text, unnest(b) AS shown FROM l WHERE len(a) = len(b)),
+      q AS (SELECT source_id, path, CASE WHEN doc_id % 2 = 0 THEN len(a) ELSE doc_id % 5 + 1 END AS k, a FROM l),
+      c AS (SELECT source_id, path, unnest([k - 1, k, k + 1, k + 2]) AS line, split_part(a[k], ' ', 1) AS value FROM q WHERE k <= len(a))
+      SELECT c.source_id, c.path, CAST(line AS INT) AS line, value, CAST(CASE WHEN bool_or(x.k = c.line) THEN c.line WHEN min(x.k) = max(x.k) THEN min(x.k) END AS INT) AS resolved
+      FROM c LEFT JOIN x ON x.source_id = c.source_id AND x.path = c.path AND x.k BETWEEN c.line - 1 AND c.line + 1 AND x.text = x.shown AND contains(x.text, c.value)
+      GROUP BY c.source_id, c.path, line, value""",
     "inert_symbols": f"""{_WITH}, l AS (SELECT source_id, path, string_split(content, chr(10)) AS t FROM inventory WHERE kind = 'file'),
       f AS (SELECT source_id, path, unnest(range(1, len(t) + 1)) AS line, unnest(t) AS x, list_position(t, '```text') AS fence FROM l)
       SELECT source_id, path, CAST(line AS INT) AS line, 'mcp.tool' AS syntax, regexp_extract(x, 'mcp__[A-Za-z0-9_.-]+__find') AS value, CAST(strpos(x, 'mcp__') - 1 AS INT) AS col
