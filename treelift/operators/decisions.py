@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -255,10 +255,24 @@ PROMPT_DELIMITER = "UNTRUSTED_REPOSITORY_DATA_(?:BEGIN|END)"
 REDACTED = "<REDACTED:"
 
 
+def _key_end(marker: str) -> str:
+    ends = "|".join("[_.-]*".join(end) for end in SECRET_KEYS[marker])
+    return rf"""(?:{ends})[_.-]*['"]?\s*[=:]\s*"""
+
+
 def secret_key_pattern(marker: str) -> str:
     """A key and its sign of assignment. Only letters and digits of a key count, so its end may hold dots, dashes and underscores."""
-    ends = "|".join("[_.-]*".join(end) for end in SECRET_KEYS[marker])
-    return rf"""(?i)(['"]?(?:[A-Za-z_][A-Za-z0-9_.-]*?)?(?:{ends})[_.-]*['"]?\s*[=:]\s*)"""
+    return rf"""(?i)(['"]?(?:[A-Za-z_][A-Za-z0-9_.-]*?)?{_key_end(marker)})"""
+
+
+def _with(value: Column, made: Callable[[Column], Column]) -> Column:
+    """What is made of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
+def _assignments(whole: str, held: str, marker: str) -> Callable[[Column], Column]:
+    """Replaces assignments. Most texts have no key's end, which is found in one pass; the whole pattern tries each word from every letter."""
+    return lambda x: F.when(x.rlike(f"(?i){held}"), F.regexp_replace(x, whole, f"$1{REDACTED}{marker}>")).otherwise(x)
 
 
 def redact(content: Column) -> Column:
@@ -266,20 +280,22 @@ def redact(content: Column) -> Column:
     out = F.regexp_replace(content, r"(?s)-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*?-----END [A-Z0-9 ]*PRIVATE KEY-----", f"{REDACTED}PRIVATE_KEY>")
     for marker in SECRET_KEYS:
         value = r"""(?:"[^\r\n"]*"|'[^\r\n']*'|(?!<REDACTED)[^\s,#;}\]'"]+)"""
-        out = F.regexp_replace(out, secret_key_pattern(marker) + value, f"$1{REDACTED}{marker}>")
+        out = _with(out, _assignments(secret_key_pattern(marker) + value, _key_end(marker), marker))
     out = F.regexp_replace(out, r"(?im)((?<![A-Za-z0-9_])(?:proxy-)?authorization\s*:\s*Bearer\s+)[A-Za-z0-9._~+/=-]+", f"$1{REDACTED}TOKEN>")
     return F.regexp_replace(out, PROMPT_DELIMITER, f"{REDACTED}PROMPT_DELIMITER>")
 
 
 def redaction(content: Column) -> Column:
     """redacted text, the types of what was redacted (sorted), and the numbers of the lines that are unchanged (none if lines went)."""
-    out = redact(content)
-    types = [*SECRET_KEYS, "PROMPT_DELIMITER"]
     count = lambda text, t: F.size(F.split(text, f"{REDACTED}{t}>"))
-    found = F.array_compact(F.array(*(F.when(count(out, t) > count(content, t), t) for t in sorted(types))))
-    before, after = F.split(content, "\n"), F.split(out, "\n")
-    same = F.filter(F.transform(F.arrays_zip(before.alias("a"), after.alias("b")), lambda x, i: F.when(x["a"] == x["b"], i + 1)), lambda x: x.isNotNull())
-    return F.struct(out.alias("redacted"), found.alias("types"), F.when(F.size(before) == F.size(after), same).otherwise(F.array().cast("array<int>")).alias("unchanged"))
+
+    def compared(out: Column) -> Column:
+        found = F.array_compact(F.array(*(F.when(count(out, t) > count(content, t), t) for t in sorted([*SECRET_KEYS, "PROMPT_DELIMITER"]))))
+        before, after = F.split(content, "\n"), F.split(out, "\n")
+        same = F.filter(F.transform(F.arrays_zip(before.alias("a"), after.alias("b")), lambda x, i: F.when(x["a"] == x["b"], i + 1)), lambda x: x.isNotNull())
+        return F.struct(out.alias("redacted"), found.alias("types"), F.when(F.size(before) == F.size(after), same).otherwise(F.array().cast("array<int>")).alias("unchanged"))
+
+    return _with(redact(content), compared)
 
 
 #: Names and ends of files that may hold credentials.
