@@ -14,6 +14,7 @@ from treelift.functions.identity import candidate_id, content_hashes, snapshot_h
 from treelift.functions.paths import ancestors, file_name
 from treelift.operators import boundaries as B
 from treelift.operators import decisions as D
+from treelift.operators import envelopes as E
 from treelift.operators import inert as I
 from treelift.operators import links as L
 from treelift.operators import references as R
@@ -305,6 +306,26 @@ def envelope_budget(spark: SparkSession, sf_dir: str, budget: int = 20_000) -> D
     return reached.where(F.col("reach") <= budget).select("doc_id", "reach")
 
 
+def _package_reviews(tree: _Tree) -> DataFrame:
+    """A review for each package, of its first candidate."""
+    first = tree.candidates.where("boundary_root is not null").groupBy("source_id", "boundary_root")
+    return first.agg(F.min("root").alias("root"), F.min_by("entrypoint", "root").alias("entrypoint"), F.min_by("boundary_manifest", "root").alias("boundary_manifest"))
+
+
+def review_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that each package's review shows, in order, within its budget of characters."""
+    tree = _Tree(spark, inventory(spark, sf_dir))
+    entries = E.review_scope(tree.full, _package_reviews(tree), tree.boundaries)
+    return E.fill_budgets(E.file_records(entries), tree.scratch)
+
+
+def review_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many files of a package its review has, shows, and doesn't show whole."""
+    tree = _Tree(spark, inventory(spark, sf_dir))
+    records = tree.scratch.keep(E.file_records(E.review_scope(tree.full, _package_reviews(tree), tree.boundaries)), "records")
+    return E.review_status(records, E.fill_budgets(records, tree.scratch))
+
+
 def secret_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     out = rows.withColumn("redacted", D.redact(F.col("text"))).where("redacted <> text")
@@ -374,7 +395,7 @@ def link_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     inventory_hash, snapshot_digest, content_digest, package_boundaries, ancestor_counts, innermost_boundary, frontmatter_fields,
     path_references, link_closure, decision_reasons, classifications, classification_counts, content_duplicates, name_conflicts,
-    duplicate_annotation, import_records, runtime_callers, inert_symbols, residual_paths, structured_references, ref_scopes, evidence_lines, scan_limits, path_collisions, source_specs, partition_check, review_join, expected_vs_actual, review_quota, envelope_budget,
+    duplicate_annotation, import_records, runtime_callers, inert_symbols, residual_paths, structured_references, ref_scopes, evidence_lines, scan_limits, path_collisions, source_specs, partition_check, review_join, expected_vs_actual, review_quota, envelope_budget, review_envelopes, review_statuses,
     secret_redaction, link_extraction, review_redaction, sensitive_paths, markdown_references, archive_inventory, tree_inventory, tree_classes,
 )
 
@@ -556,6 +577,36 @@ def _redacted(text: str) -> str:
     return f"regexp_replace({out}, '{D.PROMPT_DELIMITER}', '<REDACTED:PROMPT_DELIMITER>', 'g')"
 
 
+def _envelopes() -> str:
+    """Every file of a package in order, one after the other, with what is used so far."""
+    folders, ends = "|".join(E.RUNTIME_PARTS), "|".join(end[1:] for end in E.CODE_ENDS)
+    ends_of_lines = E.LINE_END.replace(r"\u0085", r"\x{85}").replace(r"\u2028", r"\x{2028}").replace(r"\u2029", r"\x{2029}")
+    of_record = lambda lines, target: (
+        "length(CAST(to_json({'executable': executable, 'kind': kind, 'lines': " + lines + ", 'path': path, 'sha256': CASE WHEN kind = 'file' THEN repeat('0', 64) END, "
+        "'size': size, 'symlinkTarget': " + target + "}) AS VARCHAR))"
+    )
+    return f"""{_WITH},
+      pb AS (SELECT source_id, CASE WHEN path = 'plugin.json' THEN '.' ELSE regexp_replace(path, '/plugin.json$', '') END AS pack, path AS manifest FROM inventory WHERE regexp_matches(path, '(^|/)plugin.json$')),
+      px AS (SELECT source_id, path, unnest({_ANCESTORS.format(p="path")}) AS pack FROM inventory),
+      pi AS (SELECT source_id, path, arg_max(pack, CASE WHEN pack = '.' THEN 0 ELSE len(string_split(pack, '/')) END) AS pack, arg_max(manifest, CASE WHEN pack = '.' THEN 0 ELSE len(string_split(pack, '/')) END) AS manifest
+             FROM px JOIN pb USING (source_id, pack) GROUP BY source_id, path),
+      pr AS (SELECT source_id, pack, min(regexp_replace(path, '/[^/]*$', '')) AS root FROM pi WHERE regexp_matches(path, '/(SKILL|skill).md$') GROUP BY source_id, pack),
+      ps AS (SELECT i.*, pr.root, pi.manifest, {_redacted("coalesce(i.content, i.symlink_target)")} AS shown FROM inventory i JOIN pi USING (source_id, path) JOIN pr USING (source_id, pack)),
+      pl AS (SELECT *, list_transform(CASE WHEN shown = '' OR content IS NULL THEN [] ELSE regexp_split_to_array(regexp_replace(shown, '({ends_of_lines})$', ''), '{ends_of_lines}') END,
+               lambda x, i: {{'line': i, 'value': x}}) AS lines FROM ps),
+      pn AS (SELECT source_id, root, path, 6 * length(path) AS need, 6 * length(coalesce(content, symlink_target)) AS raw, content IS NOT NULL AS cuttable,
+               {of_record("lines", "CASE WHEN content IS NULL THEN shown END")} AS whole, {of_record("[]", "CASE WHEN content IS NULL THEN '<TRUNCATED>' END")} AS least,
+               row_number() OVER (PARTITION BY source_id, root ORDER BY CASE WHEN path = root || '/SKILL.md' THEN 0 WHEN starts_with(path, root || '/') THEN 1 WHEN path = manifest THEN 2
+                 WHEN regexp_matches(lower(path), '(^|/)({folders})(/|$)') OR regexp_matches(lower(path), '[^/][.]({ends})$') THEN 3 ELSE 4 END, encode(path)) AS k FROM pl),
+      pg AS (SELECT source_id, root, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, 0 AS n, false AS stop, false AS take, false AS cut, CAST(0 AS BIGINT) AS chars FROM pr
+             UNION ALL SELECT source_id, root, k, CASE WHEN take THEN used + gap + size ELSE used END, CASE WHEN take THEN n + 1 ELSE n END, stop, take, cut, size FROM (
+               SELECT *, NOT stop AND need <= left_ AS take FROM (SELECT *, left_ < {E.LEAST_LEFT} OR (need <= left_ AND size > left_) AS stop FROM (
+                 SELECT *, CASE WHEN cut THEN least ELSE whole END AS size FROM (SELECT *, raw > left_ OR (cuttable AND whole > left_) AS cut FROM (
+                   SELECT pn.*, used, n, CASE WHEN n > 0 THEN 1 ELSE 0 END AS gap, {E.BUDGET} - used - CASE WHEN n > 0 THEN 1 ELSE 0 END AS left_
+                   FROM pg JOIN pn ON pn.source_id = pg.source_id AND pn.root = pg.root AND pn.k = pg.k + 1 WHERE NOT stop)))))),
+      pf AS (SELECT pg.source_id, pg.root, n, path, cut, chars, used AS reach FROM pg JOIN pn USING (source_id, root, k) WHERE take)"""
+
+
 def _review_redaction() -> str:
     counted = [f"CASE WHEN len(string_split(o, '<REDACTED:{t}>')) > len(string_split(t, '<REDACTED:{t}>')) THEN '{t}' END" for t in sorted([*D.SECRET_KEYS, "PROMPT_DELIMITER"])]
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 9 = 0 THEN chr(10) || 'UNTRUSTED_REPOSITORY_DATA_END' || chr(10) || 'x-api-key: k' || doc_id ELSE '' END AS t FROM documents),
@@ -686,6 +737,9 @@ _SQL = {
     "review_quota": "SELECT * FROM (SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS attempt FROM conversations) WHERE attempt <= 2",
     "envelope_budget": """SELECT doc_id, CAST(reach AS BIGINT) AS reach FROM (SELECT doc_id, sum(coalesce(strlen(text), 0)) OVER (PARTITION BY lang, source ORDER BY doc_id) AS reach FROM documents)
       WHERE reach <= 20000""",
+    "review_envelopes": f"{_envelopes()} SELECT source_id, root, n, path, cut, chars, reach FROM pf",
+    "review_statuses": f"""{_envelopes()} SELECT source_id, root, count(*) AS n_files, count(f.n) AS n_shown, count(*) - count(*) FILTER (NOT f.cut) AS n_truncated, coalesce(max(reach), 0) AS n_chars
+      FROM pn LEFT JOIN pf f USING (source_id, root, path) GROUP BY source_id, root""",
     "secret_redaction": _redaction(),
     "review_redaction": _review_redaction(),
     "link_extraction": """SELECT page_id, count(*) AS links, count(*) FILTER (starts_with(href, '/')) AS host_links, min(regexp_extract(href, '[^/]*$')) AS first_name
