@@ -18,6 +18,7 @@ from treelift.operators import envelopes as E
 from treelift.operators import inert as I
 from treelift.operators import links as L
 from treelift.operators import references as R
+from treelift.operators import responses as P
 from treelift.operators import structured as S
 from treelift.operators.markdown import markdown_references as markdown_rows
 from treelift.operators.refs import resolve_refs
@@ -156,11 +157,16 @@ def ref_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_refs(routes, names).select("page_id", "repo", "route", "kind", "wanted_ref", "scope", "target", "problem")
 
 
-def evidence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Citations of documents' lines, some a line or two off, against the lines that redaction left as they were."""
+def _shown_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_id, path, content, doc_id: documents as files of a review, some with a secret."""
     text = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("\nx-api-key: k"), F.col("doc_id"))).otherwise(F.lit("")))
     docs = table(spark, sf_dir, "documents").where("doc_id is not null")
-    texts = docs.select(F.coalesce("lang", F.lit("none")).alias("source_id"), F.concat(F.lit("d"), "doc_id", F.lit(".md")).alias("path"), text.alias("content"), "doc_id")
+    return docs.select(F.coalesce("lang", F.lit("none")).alias("source_id"), F.concat(F.lit("d"), "doc_id", F.lit(".md")).alias("path"), text.alias("content"), "doc_id")
+
+
+def evidence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations of documents' lines, some a line or two off, against the lines that redaction left as they were."""
+    texts = _shown_texts(spark, sf_dir)
     lines = F.split("content", "\n")
     at = F.when(F.col("doc_id") % 2 == 0, F.size(lines)).otherwise((F.col("doc_id") % 5 + 1).cast("int"))
     cited = texts.select("source_id", "path", at.alias("at"), F.split_part(F.get(lines, at - 1), F.lit(" "), F.lit(1)).alias("value"))
@@ -168,6 +174,33 @@ def evidence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_lines(cited, shown_lines(texts))
 
 
+#: An answer about a document, in SQL that Spark and DuckDB share: most are right, and each kind of fault is in some.
+_ANSWER = """CASE WHEN doc_id % 37 <> 23 THEN concat('{"analysis_hash":"sha256:', hash, CASE WHEN doc_id % 37 = 4 THEN '0' ELSE '' END,
+  '","verdict":"', CASE WHEN doc_id % 37 = 5 THEN 'unknown' ELSE verdict END,
+  '","confidence":', CASE doc_id % 37 WHEN 6 THEN 'true' WHEN 7 THEN '1.5' WHEN 8 THEN '"0.9"' WHEN 26 THEN '1' WHEN 27 THEN '0.5' ELSE '0.95' END,
+  ',"reason_codes":[', CASE WHEN doc_id % 37 = 9 THEN '' WHEN doc_id % 37 = 10 THEN '"low"' WHEN doc_id % 37 = 11 THEN '"A","A"' WHEN doc_id % 37 = 12 THEN '"OTHER"'
+    WHEN verdict = 'portable' THEN '"SELF_CONTAINED_FILES","B"' WHEN verdict = 'plugin_bound' THEN '"PLUGIN_DEPENDENCY"' ELSE '"AUTONOMY_UNPROVEN"' END,
+  '],"evidence":[', CASE WHEN doc_id % 37 = 13 THEN '' ELSE concat('{"path":', CASE doc_id % 37 WHEN 15 THEN concat('"../', path, '"') WHEN 16 THEN '5' ELSE concat('"', path, '"') END,
+    ',"line":', CASE doc_id % 37 WHEN 17 THEN '0' WHEN 18 THEN '1.5' WHEN 20 THEN '99999' WHEN 28 THEN '2' ELSE '1' END,
+    CASE WHEN doc_id % 37 = 14 THEN ',"more":0' ELSE '' END, ',"value":"', CASE WHEN doc_id % 37 = 19 THEN '' ELSE word END, '"}') END,
+  ']', CASE doc_id % 37 WHEN 1 THEN ',"verdict":"portable"' WHEN 2 THEN ',"more":null' ELSE '' END,
+  CASE doc_id % 37 WHEN 3 THEN '' WHEN 21 THEN ',"rationale":""' WHEN 22 THEN ',"rationale":5' ELSE ',"rationale":"fine"' END,
+  '}', CASE WHEN doc_id % 37 = 0 THEN ' x' ELSE '' END) END"""
+
+
+def strict_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers about documents, each read strictly, and the class that follows for an ambiguous candidate; what is redacted isn't portable."""
+    texts = _shown_texts(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    verdict = F.when(F.col("toxic") == 1, "plugin_bound").when(F.col("quality") == 1, "portable").otherwise("ambiguous")
+    word = F.regexp_extract("content", "^[A-Za-z]+", 0)
+    redacted = F.size(D.redaction(F.col("content"))["types"]) > 0
+    rows = texts.join(labels, "doc_id", "left").select("doc_id", "source_id", "path", verdict.alias("verdict"), word.alias("word"), F.sha2("content", 256).alias("hash"), redacted.alias("redacted"))
+    answers = rows.select("doc_id", "source_id", F.expr(_ANSWER).alias("response"), F.concat(F.lit("sha256:"), "hash").alias("expected_hash"), "redacted")
+    judged = P.judge_answers(answers, shown_lines(texts)).withColumn("final", P.final_class(F.col("code"), F.lit(False), F.col("redacted")))
+    return judged.select("doc_id", "source_id", "rule", "verdict", "confidence", F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"), "final.classification", "final.code")
+
+
 def scan_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.limit_checks(inventory(spark, sf_dir))
 
@@ -395,7 +428,7 @@ def link_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     inventory_hash, snapshot_digest, content_digest, package_boundaries, ancestor_counts, innermost_boundary, frontmatter_fields,
     path_references, link_closure, decision_reasons, classifications, classification_counts, content_duplicates, name_conflicts,
-    duplicate_annotation, import_records, runtime_callers, inert_symbols, residual_paths, structured_references, ref_scopes, evidence_lines, scan_limits, path_collisions, source_specs, partition_check, review_join, expected_vs_actual, review_quota, envelope_budget, review_envelopes, review_statuses,
+    duplicate_annotation, import_records, runtime_callers, inert_symbols, residual_paths, structured_references, ref_scopes, evidence_lines, scan_limits, path_collisions, source_specs, partition_check, review_join, expected_vs_actual, review_quota, envelope_budget, review_envelopes, review_statuses, strict_reviews,
     secret_redaction, link_extraction, review_redaction, sensitive_paths, markdown_references, archive_inventory, tree_inventory, tree_classes,
 )
 
@@ -607,6 +640,43 @@ def _envelopes() -> str:
       pf AS (SELECT pg.source_id, pg.root, n, path, cut, chars, used AS reach FROM pg JOIN pn USING (source_id, root, k) WHERE take)"""
 
 
+def _strict_reviews() -> str:
+    """The rules of an answer, one after the other, over DuckDB's own JSON functions."""
+    keys = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
+    clean = lambda v, name: f"json_type({v}) = 'VARCHAR' AND length({v} ->> '$') BETWEEN 1 AND {P.LONGEST[name]} AND NOT regexp_matches({v} ->> '$', '[\\x00-\\x1F\\x7F]')"
+    return f"""WITH t AS (SELECT doc_id, coalesce(lang, 'none') AS source_id, 'd' || doc_id || '.md' AS path, coalesce(text, '') || CASE WHEN doc_id % 9 = 0 THEN chr(10) || 'x-api-key: k' || doc_id ELSE '' END AS t
+          FROM documents WHERE doc_id IS NOT NULL),
+      lb AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+      rw AS (SELECT t.*, {_redacted('t')} AS o, CASE WHEN toxic = 1 THEN 'plugin_bound' WHEN quality = 1 THEN 'portable' ELSE 'ambiguous' END AS verdict,
+               regexp_extract(t, '^[A-Za-z]+') AS word, sha256(t) AS hash FROM t LEFT JOIN lb USING (doc_id)),
+      an AS (SELECT *, {_ANSWER} AS response FROM rw),
+      ob AS (SELECT *, CASE WHEN json_valid(response) THEN CAST(response AS JSON) END AS j FROM an),
+      fd AS (SELECT *, j -> '$.analysis_hash' AS jh, j -> '$.verdict' AS jv, j -> '$.confidence' AS jc, j -> '$.reason_codes' AS jr, j -> '$.evidence' AS je, j -> '$.rationale' AS jt FROM ob),
+      ln AS (SELECT source_id, path, unnest(range(1, len(a) + 1)) AS k, unnest(a) AS text, unnest(b) AS shown FROM (SELECT source_id, path, string_split(t, chr(10)) AS a, string_split(o, chr(10)) AS b FROM rw)
+             WHERE len(a) = len(b)),
+      ev AS (SELECT doc_id, source_id, unnest(range(1, len(CAST(je AS JSON[])) + 1)) AS k, unnest(CAST(je AS JSON[])) AS e FROM fd WHERE json_type(je) = 'ARRAY'),
+      el AS (SELECT doc_id, ev.k, e, CASE WHEN bool_or(ln.k = CAST(e ->> '$.line' AS DOUBLE)) THEN CAST(e ->> '$.line' AS DOUBLE) WHEN min(ln.k) = max(ln.k) THEN min(ln.k) END AS place
+             FROM ev LEFT JOIN ln ON ln.source_id = ev.source_id AND ln.path = e ->> '$.path' AND abs(ln.k - CAST(e ->> '$.line' AS DOUBLE)) <= 1 AND ln.text = ln.shown AND contains(ln.text, e ->> '$.value') GROUP BY doc_id, ev.k, e),
+      er AS (SELECT doc_id, k, place, CASE WHEN list_sort(json_keys(e)) <> {keys(P.EVIDENCE_KEYS)} THEN 'evidence_keys' WHEN NOT ({clean("(e -> '$.path')", "path")}) THEN 'path'
+               WHEN regexp_matches(e ->> '$.path', '^/|/$|//|[\\\\]|(^|/)[.][.]?(/|$)|^[A-Za-z]:') THEN 'path_form' WHEN json_type(e -> '$.line') NOT IN ('UBIGINT', 'BIGINT') OR CAST(e ->> '$.line' AS DOUBLE) < 1 THEN 'line'
+               WHEN NOT ({clean("(e -> '$.value')", "value")}) THEN 'value' WHEN place IS NULL THEN 'unseen' END AS broken FROM el),
+      ei AS (SELECT doc_id, arg_min(broken, k) FILTER (broken IS NOT NULL) AS item, string_agg(CAST(CAST(place AS INT) AS VARCHAR), ',' ORDER BY k) AS lines FROM er GROUP BY doc_id),
+      ru AS (SELECT fd.*, lines, jv ->> '$' AS said, CASE WHEN json_type(jc) IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(jc AS DOUBLE) END AS sure,
+          CASE WHEN response IS NULL THEN 'none' WHEN j IS NULL OR len(json_keys(j)) <> len(list_distinct(json_keys(j))) THEN 'json' WHEN list_sort(json_keys(j)) <> {keys(P.KEYS)} THEN 'keys'
+          WHEN NOT ({clean("jh", "analysis_hash")}) OR jh ->> '$' <> 'sha256:' || hash THEN 'analysis_hash' WHEN (jv ->> '$') NOT IN ('portable', 'plugin_bound', 'ambiguous') THEN 'verdict'
+          WHEN json_type(jc) NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE') OR CAST(jc ->> '$' AS DOUBLE) NOT BETWEEN 0 AND 1 THEN 'confidence'
+          WHEN len(CAST(jr AS VARCHAR[])) NOT BETWEEN 1 AND {P.MOST_CODES} OR len(list_distinct(CAST(jr AS VARCHAR[]))) <> len(CAST(jr AS VARCHAR[]))
+            OR len(list_filter(CAST(jr AS VARCHAR[]), lambda x: NOT regexp_full_match(x, '[A-Z][A-Z0-9_]{{0,63}}'))) > 0 THEN 'reason_codes'
+          WHEN list_intersect(CAST(jr AS VARCHAR[]), {keys(P.NEEDED_CODE.values())}) <> [CASE jv ->> '$' {" ".join(f"WHEN '{k}' THEN '{c}'" for k, c in P.NEEDED_CODE.items())} END] THEN 'support'
+          WHEN json_array_length(je) NOT BETWEEN 1 AND {P.MOST_EVIDENCE} THEN 'evidence' WHEN item IS NOT NULL THEN item WHEN NOT ({clean("jt", "rationale")}) THEN 'rationale' END AS rule
+          FROM fd LEFT JOIN ei USING (doc_id)),
+      co AS (SELECT *, CASE WHEN rule = 'none' THEN 'FM_REVIEW_UNAVAILABLE' WHEN rule IN ('evidence', 'evidence_keys', 'path_form', 'line', 'unseen') THEN 'FM_EVIDENCE_INVALID' WHEN rule IS NOT NULL THEN 'FM_INVALID_RESPONSE'
+          WHEN said = 'plugin_bound' THEN 'FM_PLUGIN_BOUND' WHEN said = 'ambiguous' THEN 'FM_REVIEW_UNAVAILABLE' WHEN sure < {P.LEAST_CONFIDENCE} THEN 'FM_CONFIDENCE_TOO_LOW'
+          WHEN t <> o THEN 'FM_CONTEXT_REDACTED' ELSE 'FM_PORTABLE_VERIFIED' END AS code FROM ru)
+      SELECT doc_id, source_id, rule, CASE WHEN rule IS NULL THEN said END AS verdict, CASE WHEN rule IS NULL THEN sure END AS confidence, CASE WHEN rule IS NULL THEN lines END AS lines,
+        CASE code WHEN 'FM_PLUGIN_BOUND' THEN 'plugin_bound' WHEN 'FM_PORTABLE_VERIFIED' THEN 'portable' ELSE 'ambiguous' END AS classification, code FROM co"""
+
+
 def _review_redaction() -> str:
     counted = [f"CASE WHEN len(string_split(o, '<REDACTED:{t}>')) > len(string_split(t, '<REDACTED:{t}>')) THEN '{t}' END" for t in sorted([*D.SECRET_KEYS, "PROMPT_DELIMITER"])]
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 9 = 0 THEN chr(10) || 'UNTRUSTED_REPOSITORY_DATA_END' || chr(10) || 'x-api-key: k' || doc_id ELSE '' END AS t FROM documents),
@@ -740,6 +810,7 @@ _SQL = {
     "review_envelopes": f"{_envelopes()} SELECT source_id, root, n, path, cut, chars, reach FROM pf",
     "review_statuses": f"""{_envelopes()} SELECT source_id, root, count(*) AS n_files, count(f.n) AS n_shown, count(*) - count(*) FILTER (NOT f.cut) AS n_truncated, coalesce(max(reach), 0) AS n_chars
       FROM pn LEFT JOIN pf f USING (source_id, root, path) GROUP BY source_id, root""",
+    "strict_reviews": _strict_reviews(),
     "secret_redaction": _redaction(),
     "review_redaction": _review_redaction(),
     "link_extraction": """SELECT page_id, count(*) AS links, count(*) FILTER (starts_with(href, '/')) AS host_links, min(regexp_extract(href, '[^/]*$')) AS first_name
