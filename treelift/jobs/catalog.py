@@ -460,8 +460,9 @@ _CANDIDATES = """,
 b AS (SELECT source_id, regexp_replace(path, '/plugin.json$', '') AS root, path AS manifest_path, contains(content, '"runtime"') AS runs
       FROM inventory WHERE path LIKE '%/plugin.json'),
 loose AS (SELECT DISTINCT source_id, regexp_replace(path, '/shared/common.md$', '') AS root FROM inventory WHERE path LIKE '%/shared/common.md'),
-kinds AS (SELECT b.*, CASE WHEN runs OR loose.root IS NOT NULL THEN 'mixed' ELSE 'skills_only' END AS package_kind
-          FROM b LEFT JOIN loose USING (source_id, root)),
+inner_ AS (SELECT b.source_id, b.root, bool_or(i.runs) AS any_runs FROM b JOIN b i ON i.source_id = b.source_id AND (i.root = b.root OR starts_with(i.root, b.root || '/')) GROUP BY 1, 2),
+kinds AS (SELECT b.*, CASE WHEN any_runs OR loose.root IS NOT NULL THEN 'mixed' ELSE 'skills_only' END AS package_kind
+          FROM b JOIN inner_ USING (source_id, root) LEFT JOIN loose USING (source_id, root)),
 c AS (SELECT i.source_id, regexp_replace(i.path, '/SKILL.md$', '') AS root, i.path AS entrypoint, i.content, kinds.root AS boundary_root,
              kinds.manifest_path AS boundary_manifest, kinds.package_kind
       FROM inventory i LEFT JOIN kinds ON kinds.source_id = i.source_id AND kinds.root = regexp_replace(i.path, '/[^/]*/SKILL.md$', '')

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treelift.functions.json_values import MOST_NODES, walk
 from treelift.functions.paths import ancestors, component_key, depth, file_name, parent, relative_to
 
 #: Manifest locations and the kind of each.
@@ -18,12 +19,27 @@ METADATA_MANIFESTS = {
 ROOT_MANIFESTS = {"plugin.json": "plugin", "gemini-extension.json": "gemini_extension", "openclaw.plugin.json": "openclaw_plugin"}
 #: Keys of a package.json that mark a plugin, and keys that declare something to run.
 PACKAGE_MARKERS = ["openclaw", "claudePlugin", "codexPlugin", "cursorPlugin", "geminiExtension", "plugin"]
-RUNTIME_KEYS = (
-    "agent agents bin command commands entrypoint executable executables extension extensions extensionpath hook hooks main mcp "
-    "mcpserver mcpservers provider providers runtime script scripts server servers source src"
-).split()
+RUNTIME_KEYS = [
+    "agent", "agents", "bin", "command", "commands", "entrypoint", "executable", "executables", "extension", "extensionpath", "extensions",
+    "hook", "hooks", "main", "mcp", "mcpserver", "mcpservers", "provider", "providers", "runtime", "script", "scripts", "server", "servers", "source", "src",
+]
+#: Keys of a package.json that only describes, folders that hold something to run, those of them and others that a skill at a
+#: package's root may have, and ends of programs' names.
+METADATA_KEYS = [
+    "author", "bugs", "contributors", "description", "engines", "funding", "homepage", "keywords", "license", "name", "packageManager",
+    "private", "repository", "version",
+]
+RUNTIME_FOLDERS = [
+    "agent", "agents", "bin", "command", "commands", "entrypoint", "executable", "executables", "extension", "extensions", "hook", "hooks", "mcp",
+    "mcpserver", "mcpservers", "provider", "providers", "runtime", "script", "scripts", "server", "servers", "source", "src",
+]
+PAYLOAD_FOLDERS = ["asset", "assets", "reference", "references", "script", "scripts"]
+PROGRAM_ENDS = [
+    ".bash", ".bat", ".c", ".cc", ".cjs", ".cmd", ".cpp", ".cs", ".cts", ".cxx", ".fish", ".go", ".h", ".hpp", ".java", ".js", ".jsx", ".kt", ".kts", ".lua",
+    ".mjs", ".mts", ".php", ".pl", ".ps1", ".py", ".rb", ".rs", ".sh", ".swift", ".ts", ".tsx", ".zsh",
+]
 #: Files beside skills that don't make a package mixed.
-DOC_NAMES = "architecture.md code_of_conduct.md contributing.md security.md .editorconfig .gitignore".split()
+DOC_NAMES = [".editorconfig", ".gitignore", "architecture.md", "code_of_conduct.md", "contributing.md", "security.md"]
 DOC_DIRECTORIES = ["docs", "examples"]
 MARKETPLACE_NAMES = ["marketplace.json", "marketplace.yaml", "marketplace.yml"]
 METADATA_DIRECTORIES = [".plugin", ".claude-plugin", ".codex-plugin", ".cursor-plugin", ".github"]
@@ -49,10 +65,32 @@ def _manifest(path: Column, content: Column, kind: Column) -> Column:
 
 
 def _declares_runtime(content: Column) -> Column:
-    """Whether a manifest can't be read as an object, or any key in it declares something to run."""
-    keys = F.regexp_extract_all(content, F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), F.lit(1))
-    runs = F.arrays_overlap(F.transform(keys, component_key), F.array(*map(F.lit, RUNTIME_KEYS)))
-    return F.json_object_keys(content).isNull() | F.coalesce(runs, F.lit(False))
+    """Whether a manifest can't be read as an object, has too many nodes, or any key in it declares something to run."""
+    names = F.array(*map(F.lit, RUNTIME_KEYS))
+    return F.get(F.transform(F.array(walk(content)), lambda nodes: (
+        nodes.isNull() | F.coalesce(~F.startswith(F.schema_of_variant(nodes[0]["value"]), F.lit("OBJECT")), F.lit(True)) | (F.size(nodes) > MOST_NODES)
+        | F.exists(nodes, lambda n: F.coalesce(F.array_contains(names, component_key(n["key"])), F.lit(False)))
+    )), F.lit(0))
+
+
+def _only_describes(relative: Column, content: Column) -> Column:
+    """Whether an entry is the package.json of the root, with keys that describe and no others."""
+    keys = F.transform(F.filter(walk(content), lambda n: n["depth"] == 1), lambda n: n["key"])
+    known = F.size(F.array_except(keys, F.array(*map(F.lit, METADATA_KEYS)))) == 0
+    return F.coalesce((relative == "package.json") & F.startswith(F.ltrim(content), F.lit("{")) & known, F.lit(False))
+
+
+def _runs_at_root(kind: Column, executable: Column, relative: Column) -> Column:
+    """Whether an entry below a package that is itself a skill lies in a folder to run from, or is a program, outside the folders skills have."""
+    parts = F.split(relative, "/")
+    folders, payload = F.array(*map(F.lit, RUNTIME_FOLDERS)), F.array(*map(F.lit, PAYLOAD_FOLDERS))
+    in_payload = F.array_contains(payload, F.lower(parts[0]))
+    below = F.transform(F.slice(parts, 2, F.size(parts)), component_key)
+    conventional = in_payload & ((F.size(parts) > 1) | (kind == "directory")) & ~F.arrays_overlap(F.array_except(below, payload), folders)
+    runs = F.arrays_overlap(F.transform(parts, component_key), folders) & ~conventional
+    suffix = F.lower(F.regexp_extract(parts[F.size(parts) - 1], r"^.+(\.[^.]+)$", 1))
+    program = (kind == "file") & ~(in_payload & (F.size(parts) > 1)) & (F.coalesce(executable, F.lit(False)) | suffix.isin(PROGRAM_ENDS))
+    return F.coalesce(runs | program, F.lit(False))
 
 
 def manifests(inventory: DataFrame) -> DataFrame:
@@ -80,16 +118,20 @@ def _is_document(relative: Column) -> Column:
 
 
 def detect_boundaries(inventory: DataFrame) -> DataFrame:
-    """One row per manifest; a package is 'mixed' if it declares a runtime or holds files outside its skills and documents.
+    """One row per manifest; a package is 'mixed' if a manifest in it declares a runtime, or it holds files outside its skills and documents.
 
-    Entries meet their packages by an equi-join on the exploded ancestors of their path, and are reduced to
-    one flag per package before anything else is joined.
+    A package that is a skill itself may hold what skills hold, but neither folders to run from nor programs beside those.  Entries meet their
+    packages by an equi-join on the exploded ancestors of their path, and are reduced to one flag per package before anything else is joined.
     """
     found = manifests(inventory)
     roots = found.select("source_id", "root").distinct()
     skills = inventory.where((F.col("kind") == "file") & file_name(F.col("path")).isin(ENTRYPOINTS))
     skills = skills.select("source_id", parent(F.col("path")).alias("skill")).distinct()
-    entries = inventory.select("source_id", "path", "kind", F.explode(ancestors(F.col("path"))).alias("root")).join(roots, ["source_id", "root"])
+    marked = roots.join(skills.select("source_id", F.col("skill").alias("root"), F.lit(True).alias("is_skill")), ["source_id", "root"], "left")
+    executable = F.col("executable") if "executable" in inventory.columns else F.lit(False)
+    package_text = F.when(file_name(F.col("path")) == "package.json", F.col("content"))
+    entries = inventory.select("source_id", "path", "kind", executable.alias("executable"), package_text.alias("content"), F.explode(ancestors(F.col("path"))).alias("root"))
+    entries = entries.join(marked, ["source_id", "root"])
     entries = entries.join(found.select("source_id", F.col("manifest_path").alias("path")), ["source_id", "path"], "left_anti")
     covered = (
         inventory.select("source_id", "path", F.explode(ancestors(F.col("path"))).alias("skill"))
@@ -97,15 +139,20 @@ def detect_boundaries(inventory: DataFrame) -> DataFrame:
         .select("source_id", "path", "skill")
     )
     packages = skills.withColumn("root", F.explode(ancestors(F.col("skill")))).join(roots, ["source_id", "root"])
-    owned = covered.join(packages, ["source_id", "skill"])
+    owned = covered.join(packages, ["source_id", "skill"]).groupBy("source_id", "root", "path").agg(F.bool_or(F.col("skill") != F.col("root")).alias("nested"))
+    relative = relative_to(F.col("path"), F.col("root"))
+    in_folder = F.coalesce(F.arrays_overlap(F.transform(F.split(relative, "/"), component_key), F.array(*map(F.lit, RUNTIME_FOLDERS))), F.lit(False))
+    at_root = F.coalesce("is_skill", F.lit(False))
     loose = (
-        entries.where(F.col("kind") != "directory")
-        .where(~_is_document(relative_to(F.col("path"), F.col("root"))))
-        .join(owned.select("source_id", "root", "path").distinct(), ["source_id", "root", "path"], "left_anti")
+        entries.where(~F.coalesce(_is_document(relative), F.lit(False)) & ~_only_describes(relative, F.col("content")))
+        .join(owned, ["source_id", "root", "path"], "left")
+        .where(~(at_root & F.coalesce("nested", F.lit(False))))
+        .where((at_root & _runs_at_root(F.col("kind"), F.col("executable"), relative)) | (F.col("nested").isNull() & ((F.col("kind") != "directory") | in_folder)))
         .groupBy("source_id", "root")
         .agg(F.lit(True).alias("loose"))
     )
-    runs = found.groupBy("source_id", "root").agg(F.bool_or("runtime").alias("runs"))
+    inside = found.select("source_id", "runtime", F.explode(ancestors(F.col("manifest_path"))).alias("root")).join(roots, ["source_id", "root"])
+    runs = inside.groupBy("source_id", "root").agg(F.bool_or("runtime").alias("runs"))
     kinds = runs.join(loose, ["source_id", "root"], "left").select(
         "source_id", "root", F.when(F.col("runs") | F.coalesce("loose", F.lit(False)), "mixed").otherwise("skills_only").alias("package_kind")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treelift.functions.json_values import parse_whole
 from treelift.functions.paths import is_normalized
 from treelift.operators.review import resolve_lines
 
@@ -30,15 +31,6 @@ def _is(value: Column, *kinds: str) -> Column:
     return F.coalesce(F.regexp_replace(F.schema_of_variant(value), r"[(<].*", "").isin(*kinds), F.lit(False))
 
 
-def parse_whole(text: Column) -> Column:
-    """The JSON value that is all of a text, as a variant; null if the text is none, has something behind it, or repeats a key of an object.
-
-    The parser stops behind the first value, so the text goes into a list before a mark that it can't hold: its own digest.
-    """
-    marked = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), F.sha2(text, 256), F.lit('"]')))
-    return F.when(_get(marked, "$[1]", "string") == F.sha2(text, 256), _get(marked, "$[0]", "variant"))
-
-
 def _has_keys(value: Column, keys: list[str]) -> Column:
     found = F.sort_array(F.map_keys(_get(value, "$", "map<string,variant>")))
     return _is(value, "OBJECT") & F.coalesce(found == F.array(*map(F.lit, keys)), F.lit(False))
