@@ -203,3 +203,17 @@ def test_collisions_of_any_characters(spark, tmp_path):
         want.setdefault(unicodedata.normalize("NFC", p).casefold(), set()).add(p)
     got = {(r.source_id, r.path_key): r.n for r in catalog.path_collisions(spark, str(tmp_path)).collect()}
     assert got == {("h.example", k): len(v) for k, v in want.items() if len(v) > 1} and len(got) >= 3
+
+
+def test_a_group_is_one_digest_after_a_join_turned_to_broadcast(spark):
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    rows = [("s", f"d{k:05d}", f"id{k:05d}", f"own{k}" if k % 50 else f"key{k % 2_000}") for k in range(4_000)]
+    members = spark.createDataFrame(rows, "source_id string, root string, candidate_id string, name string")
+    try:
+        spark.conf.set(coalesce, "false")  # so few rows would else be one task
+        found = [(r.key, r.n, r.group_id) for r in D.groups(members, "name-conflict", "name").collect()]
+    finally:
+        spark.conf.set(coalesce, before)
+    text = lambda k: json.dumps(["name-conflict", f"key{k}", [f"id{k:05d}", f"id{k + 2_000:05d}"]], separators=(",", ":"))
+    assert sorted(found) == sorted((f"key{k}", 2, "sha256:" + hashlib.sha256(text(k).encode()).hexdigest()) for k in range(0, 2_000, 50))

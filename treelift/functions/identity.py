@@ -29,9 +29,11 @@ def ordered_digests(rows: DataFrame, keys: list[str], order: list[str], name: st
 
     rows: the two keys (strings), the columns to order by, piece, and the constants before, between and after. A digest is a serial
     thing, so a group passes one task, but as a stream: rows are sorted (on disk, where they must), never gathered.
+    Rows are dealt by a hash of the keys: a repartition by the keys themselves falls away above a join by them, and that join may
+    come to read its rows where they were written, a group in many tasks.
     """
     parts = ["before", "between", "after", "piece"]
-    sorted_rows = rows.select(*keys, *order, *parts).repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, *parts)
+    sorted_rows = rows.select(*keys, *order, *parts).repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).select(*keys, *parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, digest, after = None, None, ""
