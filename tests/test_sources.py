@@ -6,7 +6,9 @@ import os
 import tarfile
 
 import pytest
+from pyspark.sql import functions as F
 
+from treelift.jobs import catalog
 from treelift.operators import boundaries as B
 from treelift.operators import decisions as D
 from treelift.operators import links as L
@@ -267,3 +269,12 @@ def test_sensitive_paths(spark):
     paths = ["a/.env", "b/.env.local", "MyCredentials/x", "k/id_rsa", "c.PEM", "x/.docker/config.json", "config.json", "environment", "src/key.py"]
     rows = spark.createDataFrame([(p,) for p in paths], "p string").where(D.is_sensitive(F.col("p"))).collect()
     assert [r.p for r in rows] == paths[:6]
+
+
+def test_written_trees_come_back_whole(spark, tmp_path):
+    n = 10_300  # more links in one folder than the reader takes from a stranger's
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    docs.coalesce(4).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = catalog.tree_inventory(spark, str(tmp_path))
+    found = rows.groupBy().agg(F.count_if(F.col("problem").isNotNull()).alias("bad"), F.count_if(F.startswith("path", F.lit("links/"))).alias("links")).first()
+    assert (found.bad, found.links) == (0, n)
