@@ -217,3 +217,11 @@ def test_a_group_is_one_digest_after_a_join_turned_to_broadcast(spark):
         spark.conf.set(coalesce, before)
     text = lambda k: json.dumps(["name-conflict", f"key{k}", [f"id{k:05d}", f"id{k + 2_000:05d}"]], separators=(",", ":"))
     assert sorted(found) == sorted((f"key{k}", 2, "sha256:" + hashlib.sha256(text(k).encode()).hexdigest()) for k in range(0, 2_000, 50))
+
+
+def test_a_head_is_found_once_a_text(spark):
+    inventory = spark.createDataFrame([("s", "a/SKILL.md", "file", False, None, SKILL.format("'x' # y", ""))], SCHEMA)
+    found = R.frontmatter(inventory, spark.createDataFrame([("s", "a", "a/SKILL.md")], "source_id string, root string, entrypoint string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(content") == 1 and plan.count("(?m)^name:[ \\t]*(.*)$") == 1
+    assert [tuple(r) for r in found.collect()] == [("s", "a", True, "x", "does things", None)]
