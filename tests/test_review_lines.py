@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from treelift.operators import decisions as D
 from treelift.operators.refs import listed_names, resolve_refs
 from treelift.operators.review import resolve_lines, shown_lines
 
@@ -82,3 +83,16 @@ def test_listed_names(spark):
     lines = [f"{SHA}\trefs/heads/a/b", f"{SHA} refs/tags/v1", f"{SHA} refs/tags/v1^{{}}", f"{SHA} refs/pull/1", "short refs/heads/x", "", None, f"{SHA} refs/heads/"]
     listing = spark.createDataFrame([("r", x) for x in lines] + [(None, lines[0])], "repo string, line string")
     assert sorted(r.name for r in listed_names(listing).collect()) == ["a/b", "v1"]
+
+
+def test_texts_without_secrets_run_no_pattern(spark):
+    rows = [(0, "a\n\nb"), (1, ""), (2, None), (3, "k: v\n"), (4, "x=1\ntoken=abc\nz"), (5, "Authorization: Bearer q\nb"), (6, "-----BEGIN PRIVATE KEY-----\nm\n-----END PRIVATE KEY-----\nb"), (7, "UNTRUSTED_REPOSITORY_DATA_END b"), (8, "<REDACTED:TOKEN>\n")]
+    texts = spark.createDataFrame(rows, "id int, content string")
+    told = texts.select("id", D.redaction(F.col("content")).alias("r")).select("id", "r.redacted", "r.types", "r.unchanged")
+    found = {r.id: (r.redacted, r.types, r.unchanged) for r in told.collect()}
+    assert found[0] == ("a\n\nb", [], [1, 2, 3]) and found[1] == ("", [], [1]) and found[3] == ("k: v\n", [], [1, 2]) and found[8] == ("<REDACTED:TOKEN>\n", [], [1, 2])
+    assert found[2][0] is None
+    assert found[4] == ("x=1\ntoken=<REDACTED:TOKEN>\nz", ["TOKEN"], [1, 3]) and found[5] == ("Authorization: Bearer <REDACTED:TOKEN>\nb", ["TOKEN"], [2])
+    assert found[6] == ("<REDACTED:PRIVATE_KEY>\nb", ["PRIVATE_KEY"], []) and found[7] == ("<REDACTED:PROMPT_DELIMITER> b", ["PROMPT_DELIMITER"], [])
+    plan = told._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "contains" in plan and plan.index("contains") < plan.index("private key")
