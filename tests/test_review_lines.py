@@ -96,3 +96,11 @@ def test_texts_without_secrets_run_no_pattern(spark):
     assert found[6] == ("<REDACTED:PRIVATE_KEY>\nb", ["PRIVATE_KEY"], []) and found[7] == ("<REDACTED:PROMPT_DELIMITER> b", ["PROMPT_DELIMITER"], [])
     plan = told._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "contains" in plan and plan.index("contains") < plan.index("private key")
+
+
+def test_a_line_does_not_carry_its_file(spark):
+    texts = spark.createDataFrame([("s", "a.md", "one\ntoken=abc\n\nlast"), ("s", "b.md", None), ("s", ".env", "x")], "source_id string, path string, content string")
+    lines = shown_lines(texts)
+    assert sorted(tuple(r) for r in lines.collect()) == [("s", "a.md", 1, "one"), ("s", "a.md", 3, ""), ("s", "a.md", 4, "last")]
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("all#" in line for line in plan.splitlines() if "Generate" in line)

@@ -10,8 +10,11 @@ from treelift.operators.decisions import is_sensitive, redaction
 
 def shown_lines(texts: DataFrame) -> DataFrame:
     """source_id, path, line, text: the lines of files (source_id, path, content) that redaction left as they were; sensitive files have none."""
-    rows = texts.where(F.col("content").isNotNull() & ~is_sensitive(F.col("path"))).select("source_id", "path", F.split("content", "\n").alias("all"), redaction(F.col("content"))["unchanged"].alias("kept"))
-    return rows.select("source_id", "path", "all", F.explode("kept").alias("line")).select("source_id", "path", "line", F.expr("all[line - 1]").alias("text"))
+    rows = texts.where(F.col("content").isNotNull() & ~is_sensitive(F.col("path")))
+    kept = redaction(F.col("content"))["unchanged"]
+    # a row is one line from here on: rows that carry all lines of their file would copy it once a line
+    lines = F.transform(F.array(F.split("content", "\n")), lambda every: F.transform(kept, lambda n: F.struct(n.alias("line"), F.get(every, n - 1).alias("text"))))
+    return rows.select("source_id", "path", F.inline(F.get(lines, F.lit(0))))
 
 
 def resolve_lines(citations: DataFrame, lines: DataFrame) -> DataFrame:
