@@ -14,7 +14,7 @@ from treelift.operators import decisions as D
 from treelift.operators import links as L
 from treelift.operators import references as R
 from treelift.operators.markdown import markdown_rows
-from treelift.sources.archives import admitted, folder_inventory, members, refused_sources, untar
+from treelift.sources.archives import admitted, folder_inventory, members, pack_documents, refused_sources, untar
 from treelift.sources.trees import read_trees, write_trees
 
 SCHEMA = "source_id string, path string, kind string, size long, executable boolean, symlink_target string, sha256 string, content string"
@@ -278,3 +278,11 @@ def test_written_trees_come_back_whole(spark, tmp_path):
     rows = catalog.tree_inventory(spark, str(tmp_path))
     found = rows.groupBy().agg(F.count_if(F.col("problem").isNotNull()).alias("bad"), F.count_if(F.startswith("path", F.lit("links/"))).alias("links")).first()
     assert (found.bad, found.links) == (0, n)
+
+
+def test_archives_come_a_few_at_a_time(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, None), (None, "b")], "doc_id long, text string")
+    rows = untar(pack_documents(docs))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "Arrow" not in plan  # Arrow's batches hold ten thousand archives of any size
+    assert {r.source_id for r in rows.collect()} == {"d1", "d2"}

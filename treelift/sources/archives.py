@@ -12,7 +12,6 @@ import tarfile
 import unicodedata
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +26,6 @@ MAX_TOTAL = 250 << 20
 MAX_ARCHIVE = 100 << 20
 INVENTORY = "source_id string, path string, kind string, size long, executable boolean, symlink_target string, sha256 string, content string, problem string"
 _COLUMNS = [f.split()[0] for f in INVENTORY.split(", ")]
-_TYPES = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
 
 
 def text_or_none(data: bytes) -> str | None:
@@ -156,15 +154,14 @@ def untar(archives: DataFrame, **limits: int) -> DataFrame:
     """Inventory rows of archives (source_id, archive), under the limits of :func:`members`. Members that can't be taken are rows with a
     problem; an archive that can't be read is one row; a null archive has none. Folders of version control are left out."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [_TYPES[f.split()[1]] for f in INVENTORY.split(", ")]
-        for batch in batches:
-            for source, archive in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = [(source, *m) for m in members(archive.as_py() or b"", **limits)] if archive.is_valid else []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], _COLUMNS)
+    entry = ", ".join(f"{n}: {t}" for n, t in (f.split() for f in INVENTORY.split(", ")[1:]))
 
-    return archives.select(F.col("source_id").cast("string"), "archive").mapInArrow(run, INVENTORY)
+    @F.udf(returnType=f"array<struct<{entry}>>", useArrow=False)  # few archives at a time; an Arrow batch of ten thousand is of any size
+    def read(archive: bytes | None) -> list[tuple] | None:
+        return list(members(bytes(archive), **limits)) if archive is not None else None
+
+    found = archives.select(F.col("source_id").cast("string").alias("source_id"), F.explode(read("archive")).alias("m"))
+    return found.select("source_id", "m.*")
 
 
 def folder_inventory(spark: SparkSession, folder: str, source_id: str) -> DataFrame:
@@ -231,13 +228,9 @@ def admitted(inventory: DataFrame, refused: DataFrame) -> DataFrame:
 def pack_documents(docs: DataFrame) -> DataFrame:
     """A tar archive (source_id, archive) per document, with members to take, to leave out and to reject."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            packed = [_packed(i, t or b"") for i, t in zip(ids, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([f"d{i}" for i in ids]), pa.array(packed, pa.binary())], ["source_id", "archive"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(run, "source_id string, archive binary")
+    pack = F.udf(lambda doc_id, text: _packed(doc_id, bytes(text or b"")), "binary", useArrow=False)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("doc_id is not null")
+    return rows.select(F.concat(F.lit("d"), F.col("doc_id")).alias("source_id"), pack("doc_id", "text").alias("archive"))
 
 
 def _packed(doc_id: int, text: bytes) -> bytes:
