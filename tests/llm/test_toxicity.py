@@ -145,3 +145,11 @@ def test_edges(spark, make_docs):
     assert len(rows) == 124 and not any(r.held_out for r in rows if r.doc_id is None)
     assert score_documents(docs.limit(0), labels).count() == 0
     assert drop_toxic(docs, labels).columns == docs.columns
+
+
+def test_words_are_those_of_the_pattern():
+    marks = ["a—b «c»d x_1;y2", "日本。語　文", "été 1²½", "\x1c\x85\xa0", "ß ǅ İ", "\ud800z", "", None]
+    for text in [*marks, *("".join(map(chr, range(k, k + 200))) for k in range(0, 55_000, 200))]:
+        words = re.findall(r"\w+", (text or "").casefold())
+        assert T._words(text) == words
+        assert T.distinct_terms(text) == set(T.term_counts(text))

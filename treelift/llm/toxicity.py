@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,8 @@ BLOCK = 64
 OPENED = 16
 CLUSTERS = 16
 COMMON = 32
-TOGETHER = 64
+TOGETHER = 128
+HELD_TOGETHER = 256
 THRESHOLD = 0.7
 LONG_RUN, PIECE = 24, 4
 FOLDS = 5
@@ -49,19 +51,41 @@ NOISE = 2.0
 FLOOR = 0.1
 
 _WORD = re.compile(r"\w+")
+#: bytes.translate table that makes a space of every ASCII character outside words.
+_APART = bytes(b if b > 127 or chr(b).isalnum() or b == 95 else 32 for b in range(256))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _words(text: str | None) -> list[str]:
+    """The runs of letters, digits and underscores, in order: split at ASCII characters; a pattern serves texts with other marks."""
+    folded = (text or "").casefold()
+    words = folded.encode("utf-8", "surrogatepass").translate(_APART).decode("utf-8", "surrogatepass").split()
+    if folded.isascii() or all(w.isascii() or w.isalnum() for w in words):
+        return words
+    return _WORD.findall(folded)
+
+
+def distinct_terms(text: str | None) -> set[str]:
+    """The terms that a text holds."""
+    terms = set(_words(text))
+    if max(map(len, terms), default=0) > LONG_RUN:
+        for run in [w for w in terms if len(w) > LONG_RUN]:
+            terms.remove(run)
+            terms.update(run[k : k + PIECE] for k in range(0, len(run), PIECE))
+    return terms
+
+
 def term_counts(text: str | None) -> Counter[str]:
     """How often a text holds each of its terms."""
-    counts = Counter(_WORD.findall((text or "").casefold()))
-    for run in [w for w in counts if len(w) > LONG_RUN]:
-        n = counts.pop(run)
-        for k in range(0, len(run), PIECE):
-            counts[run[k : k + PIECE]] += n
+    counts = Counter(_words(text))
+    if max(map(len, counts), default=0) > LONG_RUN:
+        for run in [w for w in counts if len(w) > LONG_RUN]:
+            n = counts.pop(run)
+            for k in range(0, len(run), PIECE):
+                counts[run[k : k + PIECE]] += n
     return counts
 
 
@@ -86,10 +110,14 @@ def _holding(shared):
         vocabulary = shared.value
         held, n = np.zeros(len(vocabulary), np.int64), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                here = [k for t in term_counts(text) if (k := vocabulary.get(t)) is not None]
-                held[here] += 1
-                n += 1
+            for at in range(0, batch.num_rows, HELD_TOGETHER):  # terms of many texts are looked up once
+                texts, here = batch.column(0).slice(at, HELD_TOGETHER).to_pylist(), Counter()
+                for text in texts:
+                    here.update(distinct_terms(text))
+                terms = np.fromiter(map(vocabulary.get, here, repeat(-1)), np.int64, len(here))
+                known = terms >= 0
+                held[terms[known]] += np.fromiter(here.values(), np.int64, len(here))[known]
+                n += len(texts)
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(held[at], n))], ["term", "n"])
 
@@ -141,7 +169,7 @@ class BlockMaxIndex:
         full = common[terms]
         self.rows[self.row[terms[full]], examples[full]] = weights[full]
         # the others are kept as cells, the part of a list that lies in a block
-        terms, self.examples, self.weights = terms[~full], examples[~full].astype(np.int32), weights[~full]
+        terms, self.examples, self.weights = terms[~full], examples[~full], weights[~full]
         cell = terms * max(self.blocks, 1) + self.examples // BLOCK
         starts = np.flatnonzero(np.diff(cell, prepend=-1))
         self.cell_begin = np.append(starts, len(cell))
@@ -165,7 +193,8 @@ class BlockMaxIndex:
         terms, weights = terms[rare], weights[rare]
         count = self.cells[terms + 1] - self.cells[terms]
         cells, weights = _ranges(self.cells[terms], count), np.repeat(weights, count)
-        bound = common.max(1) + np.bincount(self.cell_block[cells], weights * self.cell_most[cells], self.blocks)
+        block = self.cell_block[cells]
+        bound = common.max(1) + np.bincount(block, weights * self.cell_most[cells], self.blocks)
         order = np.argsort(-bound, kind="stable")
         ids, cosines = np.zeros(0, np.int64), np.zeros(0)
         for blocks in (order[:OPENED], order[OPENED:]):
@@ -173,15 +202,15 @@ class BlockMaxIndex:
                 blocks = blocks[bound[blocks] >= cosines[-1] - 1e-12]
             if not len(blocks):
                 continue
-            place = np.full(self.blocks, -1)
-            place[blocks] = np.arange(len(blocks))
-            mine = place[self.cell_block[cells]] >= 0
+            chosen = np.zeros(self.blocks, bool)
+            chosen[blocks] = True
+            mine = np.flatnonzero(chosen[block])
             opened = cells[mine]
-            size = self.cell_begin[opened + 1] - self.cell_begin[opened]
-            at = _ranges(self.cell_begin[opened], size)
-            here = self.examples[at]
-            added = np.bincount(place[here // BLOCK] * BLOCK + here % BLOCK, np.repeat(weights[mine], size) * self.weights[at], len(blocks) * BLOCK)
-            scores, here = common[blocks].ravel() + added, (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            begin = self.cell_begin[opened]
+            size = self.cell_begin[opened + 1] - begin
+            at = _ranges(begin, size)
+            added = np.bincount(self.examples[at], np.repeat(weights[mine], size) * self.weights[at], self.blocks * BLOCK)
+            scores, here = (common[blocks] + added.reshape(-1, BLOCK)[blocks]).ravel(), (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
             scores[here >= self.n] = -1
             least = cosines[-1] if len(ids) == k else np.partition(scores, -k)[-k] if len(scores) > k else -0.5
             good = np.flatnonzero(scores >= max(least, -0.5))
@@ -221,11 +250,13 @@ class Neighbours:
         order = alike(unit, len(idf))
         self.ids, self.labels, vectors = ids[order], labels[order].astype(float), unit.take(order)
         self.index = BlockMaxIndex(vectors, len(idf))
-        # of the neighbours' vectors, a vote needs the terms with a contrast only
-        telling = self.contrast[vectors.terms] > 0
+        # of the neighbours' vectors, a vote needs the terms with a contrast only; these have numbers of their own
+        tells = self.contrast > 0
+        self.told = np.where(tells, np.cumsum(tells) - 1, -1)
+        telling = tells[vectors.terms]
         sizes = np.bincount(vectors.owners()[telling], minlength=len(vectors))
-        self.telling = Vectors(sizes, vectors.terms[telling], vectors.weights[telling])
-        self._spread = np.zeros(len(idf))
+        self.telling = Vectors(sizes, self.told[vectors.terms[telling]], vectors.weights[telling])
+        self._spread = np.zeros(int(tells.sum()))
 
     def _contrast(self, counted: Vectors, labels: np.ndarray) -> np.ndarray:
         held = np.array([np.bincount(counted.terms[labels[counted.owners()] == label], minlength=len(self.idf)) for label in (0, 1)], float)
@@ -239,7 +270,7 @@ class Neighbours:
 
     def query(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Known terms of a text and their weights in its unit vector."""
-        terms = np.array([self.vocabulary.get(t, -1) for t in counts], np.int64)
+        terms = np.fromiter(map(self.vocabulary.get, counts, repeat(-1)), np.int64, len(counts))
         times = 1 + np.log(np.fromiter(counts.values(), float, len(counts)))
         known = terms >= 0
         terms, weights, rest = terms[known], times[known], times[~known] * self.unknown
@@ -260,10 +291,15 @@ class Neighbours:
         if not len(terms) or not len(self.ids):
             return 0.0, []
         ids, cosines = self.index.nearest(terms, weights, NEIGHBOURS, common)
-        self._spread[terms] = weights * self.contrast[terms]
-        near = self.telling.take(ids)
-        telling = np.bincount(near.owners(), self._spread[near.terms] * near.weights, len(ids))
-        self._spread[terms] = 0
+        told = self.told[terms]
+        tells = told >= 0
+        told = told[tells]
+        self._spread[told] = weights[tells] * self.contrast[terms[tells]]
+        begin = self.telling.begin[ids]
+        sizes = self.telling.begin[ids + 1] - begin
+        at = _ranges(begin, sizes)
+        telling = np.bincount(np.repeat(np.arange(len(ids)), sizes), self._spread[self.telling.terms[at]] * self.telling.weights[at], len(ids))
+        self._spread[told] = 0
         power = FLOOR * cosines + telling
         share = float(power @ self.labels[ids] / power.sum()) if power.sum() > 0 else 0.0
         first = [k for k in np.lexsort((self.ids[ids], -power))[:EVIDENCE] if cosines[k] > 0]
@@ -285,7 +321,15 @@ def isotonic(x, y) -> tuple[np.ndarray, np.ndarray]:
     return np.array([a / n for a, _, n, _ in steps]), values
 
 
-_EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
+_EVIDENCE = {"doc_id": pa.int64(), "similarity": pa.float64(), "toxic": pa.int32()}
+
+
+def _evidence(rows: tuple[list[tuple[int, float, int]], ...]) -> pa.ListArray:
+    columns = list(zip(*(x for near in rows for x in near), strict=True)) or [()] * len(_EVIDENCE)
+    structs = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, _EVIDENCE.values(), strict=True)], list(_EVIDENCE))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), structs)
+
+
 _models: dict[str, Neighbours] = {}
 
 
@@ -320,13 +364,9 @@ def _scored(shared, name: str, curve: tuple[np.ndarray, np.ndarray]):
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):  # terms and evidence of a few texts at a time
                 part = batch.slice(at, TOGETHER)
-                scores, evidence = [], []
-                for share, near in model.votes([term_counts(t) for t in part.column(1).to_pylist()]):
-                    scores.append(float(np.interp(share, x, y)) if len(x) else 0.0)
-                    evidence.append([{"doc_id": i, "similarity": c, "toxic": label} for i, c, label in near])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(scores, pa.float64()), pa.array(evidence, _EVIDENCE)], ["doc_id", "score", "evidence"]
-                )
+                shares, evidence = zip(*model.votes([term_counts(t) for t in part.column(1).to_pylist()]), strict=True)
+                scores = np.interp(shares, x, y) if len(x) else np.zeros(len(shares))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores), _evidence(evidence)], ["doc_id", "score", "evidence"])
 
     return run
 
