@@ -1,6 +1,8 @@
+import gc
 import math
 import random
 import re
+import weakref
 import zlib
 
 import numpy as np
@@ -153,3 +155,19 @@ def test_words_are_those_of_the_pattern():
         words = re.findall(r"\w+", (text or "").casefold())
         assert T._words(text) == words
         assert T.distinct_terms(text) == set(T.term_counts(text))
+
+
+def test_model_goes_with_its_broadcast():
+    class Shared:
+        value = (np.arange(4), np.array([0, 1, 0, 1]), np.array([0, 1, 2, 0]), Vectors.of([(np.array([k % 2]), np.array([1.0])) for k in range(4)]), {"a": 0, "b": 1}, np.ones(2), 1.0)
+
+    shared = Shared()
+    kept = weakref.ref(T._model(shared))
+    assert T._model(shared) is kept()
+    T._model(shared, 0)
+    gc.collect()
+    assert kept() is None and len(T._models[shared]) == 1
+    kept = weakref.ref(T._model(shared, 0))
+    del shared  # as a worker does when a later task has no use for the broadcast
+    gc.collect()
+    assert kept() is None and not T._models

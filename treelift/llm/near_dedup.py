@@ -57,7 +57,9 @@ CONTRACT_ROWS = 256
 OTHERS = 1024
 OTHER_BLOCKS = 2
 STREAM_ROWS = 4096
-BLOCK_BYTES = 2_000_000
+#: Texts that a task holds apart from its batch: so many rows, and in hashing so many bytes (some 50 times as much memory).
+SLICE_ROWS = 1024
+BLOCK_BYTES = 500_000
 #: Ids up to which a side is broadcast (16 MB); beyond, the join is shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -176,6 +178,12 @@ def minwise(sets: list[np.ndarray]) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(k, SLICE_ROWS)
+
+
 def _blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     at = 0
     while at < len(texts):
@@ -189,7 +197,7 @@ def _blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 def _sketch(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for a, b in _blocks(texts):
                 sets = shingle_sets(texts[a:b], words)
@@ -216,7 +224,7 @@ def _sketch(words: int):
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for a, b in _blocks(texts):
                 sets = [s.view(np.int64) for s in shingle_sets(texts[a:b], words)]

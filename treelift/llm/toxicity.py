@@ -26,9 +26,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -330,37 +332,37 @@ def _evidence(rows: tuple[list[tuple[int, float, int]], ...]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), structs)
 
 
-_models: dict[str, Neighbours] = {}
+_models: WeakKeyDictionary[Broadcast, dict[int | None, Neighbours]] = WeakKeyDictionary()
 
 
-def _model(shared, name: str, fold: int | None = None) -> Neighbours:
-    """The model of all examples, or of those outside a fold; a worker keeps the last one."""
-    key = f"{name}/{fold}"
-    if key not in _models:
-        _models.clear()
+def _model(shared: Broadcast, fold: int | None = None) -> Neighbours:
+    """The model of all examples, or of those outside a fold; a worker keeps the last one, as long as it keeps the broadcast."""
+    kept = _models.setdefault(shared, {})
+    if fold not in kept:
+        kept.clear()
         ids, labels, folds, counted, vocabulary, idf, unknown = shared.value
         rows = np.flatnonzero(folds != fold) if fold is not None else np.arange(len(ids))
-        _models[key] = Neighbours(ids[rows], labels[rows], counted.take(rows), vocabulary, idf, unknown)
-    return _models[key]
+        kept[fold] = Neighbours(ids[rows], labels[rows], counted.take(rows), vocabulary, idf, unknown)
+    return kept[fold]
 
 
-def _cross_votes(shared, name: str):
+def _cross_votes(shared: Broadcast):
     """Examples to (vote by the other folds, label)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, toxic, fold, terms, counts = (c.to_pylist() for c in batch.columns)
             votes = [
-                _model(shared, name, h).vote(dict(zip(t, c, strict=True)))[0] for h, t, c in zip(fold, terms, counts, strict=True)
+                _model(shared, h).vote(dict(zip(t, c, strict=True)))[0] for h, t, c in zip(fold, terms, counts, strict=True)
             ]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), pa.array(toxic, pa.int32())], ["vote", "toxic"])
 
     return run
 
 
-def _scored(shared, name: str, curve: tuple[np.ndarray, np.ndarray]):
+def _scored(shared: Broadcast, curve: tuple[np.ndarray, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (x, y) = _model(shared, name), curve
+        model, (x, y) = _model(shared), curve
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):  # terms and evidence of a few texts at a time
                 part = batch.slice(at, TOGETHER)
@@ -405,10 +407,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_
     ids, known_labels, folds = (rows.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "toxic", "fold"))
     del rows, flat, words
     shared = context.broadcast((ids, known_labels, folds, counted, vocabulary, idf, unknown))
-    crossed = examples.repartition(FOLDS, "fold").sortWithinPartitions("fold", "doc_id").mapInArrow(_cross_votes(shared, scratch.root), "vote double, toxic int").collect()
+    crossed = examples.repartition(FOLDS, "fold").sortWithinPartitions("fold", "doc_id").mapInArrow(_cross_votes(shared), "vote double, toxic int").collect()
     curve = isotonic([r.vote for r in crossed], [r.toxic for r in crossed])
     schema = "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,toxic:int>>"
-    return docs.mapInArrow(_scored(shared, scratch.root, curve), schema).select(
+    return docs.mapInArrow(_scored(shared, curve), schema).select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "score",
