@@ -159,7 +159,7 @@ def test_words_are_those_of_the_pattern():
 
 def test_model_goes_with_its_broadcast():
     class Shared:
-        value = (np.arange(4), np.array([0, 1, 0, 1]), np.array([0, 1, 2, 0]), Vectors.of([(np.array([k % 2]), np.array([1.0])) for k in range(4)]), {"a": 0, "b": 1}, np.ones(2), 1.0)
+        value = (np.arange(4), np.array([0, 1, 0, 1]), np.array([0, 1, 2, 0]), Vectors.of([(np.array([k % 2]), np.array([1.0])) for k in range(4)]), np.ones(2), 1.0)
 
     shared = Shared()
     kept = weakref.ref(T._model(shared))

@@ -25,7 +25,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 from weakref import WeakKeyDictionary
 
 import numpy as np
@@ -152,6 +152,10 @@ class Vectors:
         at = _ranges(self.begin[rows], sizes)
         return Vectors(sizes, self.terms[at], self.weights[at])
 
+    def row(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.begin[k], self.begin[k + 1])
+        return self.terms[part], self.weights[part]
+
     def owners(self) -> np.ndarray:
         return np.repeat(np.arange(len(self)), np.diff(self.begin))
 
@@ -163,7 +167,8 @@ class BlockMaxIndex:
         self.n = len(vectors)
         self.blocks = -(-self.n // BLOCK)
         order = np.argsort(vectors.terms, kind="stable")  # by term, then by example
-        terms, examples, weights = vectors.terms[order], vectors.owners()[order], vectors.weights[order]
+        terms, examples, weights = vectors.terms[order].astype(np.int64), vectors.owners()[order], vectors.weights[order]
+        del order
         # lists that hold a good part of all examples are kept as rows, a place for each example of each block
         common = np.bincount(terms, minlength=n_terms) * COMMON >= max(self.n, 1)
         self.row = np.where(common, np.cumsum(common) - 1, -1)
@@ -248,9 +253,12 @@ class Neighbours:
         weights = (1 + np.log(counted.weights)) * idf[counted.terms]
         owners = counted.owners()
         norms = np.sqrt(np.bincount(owners, weights * weights, len(counted)))
-        unit = Vectors(np.diff(counted.begin), counted.terms, weights / np.maximum(norms, 1e-300)[owners])
+        weights /= np.maximum(norms, 1e-300)[owners]
+        unit = Vectors(np.diff(counted.begin), counted.terms, weights)
+        del owners, weights
         order = alike(unit, len(idf))
         self.ids, self.labels, vectors = ids[order], labels[order].astype(float), unit.take(order)
+        del unit
         self.index = BlockMaxIndex(vectors, len(idf))
         # of the neighbours' vectors, a vote needs the terms with a contrast only; these have numbers of their own
         tells = self.contrast > 0
@@ -283,12 +291,19 @@ class Neighbours:
 
     def votes(self, texts: list[dict[str, int]]) -> Iterator[tuple[float, list[tuple[int, float, int]]]]:
         """For each text's counts the share of label 1 among the votes, and the strongest ones as (id, cosine, label)."""
-        for at in range(0, len(texts), TOGETHER):
-            queries = [self.query(counts) for counts in texts[at : at + TOGETHER]]
-            common = self.index.common_part(queries)
-            for query, part in zip(queries, common, strict=True):
+        yield from self.votes_of(map(self.query, texts))
+
+    def votes_of(self, queries: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, list[tuple[int, float, int]]]]:
+        """The same for known terms and their weights."""
+        while together := list(islice(queries, TOGETHER)):
+            for query, part in zip(together, self.index.common_part(together), strict=True):
                 yield self._vote(*query, part)
 
+    def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms of a text that has no others, and their weights in its unit vector."""
+        weights = (1 + np.log(counts)) * self.idf[terms]
+        return terms, weights / np.sqrt(weights @ weights) if len(terms) else weights
+
     def _vote(self, terms: np.ndarray, weights: np.ndarray, common: np.ndarray) -> tuple[float, list[tuple[int, float, int]]]:
         if not len(terms) or not len(self.ids):
             return 0.0, []
@@ -335,34 +350,38 @@ def _evidence(rows: tuple[list[tuple[int, float, int]], ...]) -> pa.ListArray:
 _models: WeakKeyDictionary[Broadcast, dict[int | None, Neighbours]] = WeakKeyDictionary()
 
 
-def _model(shared: Broadcast, fold: int | None = None) -> Neighbours:
+def _model(shared: Broadcast, fold: int | None = None, vocabulary: dict[str, int] | None = None) -> Neighbours:
     """The model of all examples, or of those outside a fold; a worker keeps the last one, as long as it keeps the broadcast."""
     kept = _models.setdefault(shared, {})
     if fold not in kept:
         kept.clear()
-        ids, labels, folds, counted, vocabulary, idf, unknown = shared.value
-        rows = np.flatnonzero(folds != fold) if fold is not None else np.arange(len(ids))
-        kept[fold] = Neighbours(ids[rows], labels[rows], counted.take(rows), vocabulary, idf, unknown)
+        ids, labels, folds, counted, idf, unknown = shared.value
+        if fold is None:
+            kept[fold] = Neighbours(ids, labels, counted, vocabulary or {}, idf, unknown)
+        else:
+            rows = np.flatnonzero(folds != fold)
+            kept[fold] = Neighbours(ids[rows], labels[rows], counted.take(rows), {}, idf, unknown)
     return kept[fold]
 
 
 def _cross_votes(shared: Broadcast):
-    """Examples to (vote by the other folds, label)."""
+    """(fold, example) to (vote by the other folds, label); the examples' terms are in the broadcast, so no vocabulary is needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, labels, _, counted, _, _ = shared.value
         for batch in batches:
-            _, toxic, fold, terms, counts = (c.to_pylist() for c in batch.columns)
-            votes = [
-                _model(shared, h).vote(dict(zip(t, c, strict=True)))[0] for h, t, c in zip(fold, terms, counts, strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), pa.array(toxic, pa.int32())], ["vote", "toxic"])
+            folds, examples = (c.to_numpy() for c in batch.columns)
+            for fold in np.unique(folds).tolist():
+                model, mine = _model(shared, fold), examples[folds == fold]
+                votes = [share for share, _ in model.votes_of(map(model.unit, *zip(*(counted.row(k) for k in mine.tolist()), strict=True)))]
+                yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), pa.array(labels[mine], pa.int32())], ["vote", "toxic"])
 
     return run
 
 
-def _scored(shared: Broadcast, curve: tuple[np.ndarray, np.ndarray]):
+def _scored(shared: Broadcast, words: Broadcast, curve: tuple[np.ndarray, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (x, y) = _model(shared), curve
+        model, (x, y) = _model(shared, None, words.value), curve
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):  # terms and evidence of a few texts at a time
                 part = batch.slice(at, TOGETHER)
@@ -397,20 +416,22 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_
     words = flat.dictionary.to_pylist()
     vocabulary = {t: k for k, t in enumerate(sorted(words))}
     terms = np.array([vocabulary[t] for t in words], np.int64)[flat.indices.to_numpy()]
-    counted = docs.select("text").mapInArrow(_holding(context.broadcast(vocabulary)), "term long, n long")
+    known_words = context.broadcast(vocabulary)
+    counted = docs.select("text").mapInArrow(_holding(known_words), "term long, n long")
     held = dict(counted.groupBy("term").agg(F.sum("n")).collect())
     n_docs = held.get(-1, 0)
     held_by = np.array([held.get(k, 0) for k in range(len(vocabulary))], float)
     idf, unknown = np.log((1 + n_docs) / (1 + held_by)) + 1, float(np.log(1 + n_docs) + 1)
     sizes = rows.column("terms").combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    counted = Vectors(sizes, terms, rows.column("counts").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float))
+    counted = Vectors(sizes, terms.astype(np.int32), rows.column("counts").combine_chunks().flatten().to_numpy(zero_copy_only=False))
     ids, known_labels, folds = (rows.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "toxic", "fold"))
     del rows, flat, words
-    shared = context.broadcast((ids, known_labels, folds, counted, vocabulary, idf, unknown))
-    crossed = examples.repartition(FOLDS, "fold").sortWithinPartitions("fold", "doc_id").mapInArrow(_cross_votes(shared), "vote double, toxic int").collect()
+    shared = context.broadcast((ids, known_labels, folds, counted, idf, unknown))
+    places = spark.createDataFrame([(int(h), k) for k, h in enumerate(folds)], "fold int, example int")
+    crossed = places.repartition(FOLDS, "fold").mapInArrow(_cross_votes(shared), "vote double, toxic int").collect()
     curve = isotonic([r.vote for r in crossed], [r.toxic for r in crossed])
     schema = "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,toxic:int>>"
-    return docs.mapInArrow(_scored(shared, curve), schema).select(
+    return docs.mapInArrow(_scored(shared, known_words, curve), schema).select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "score",
