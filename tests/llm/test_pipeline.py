@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+
 import corpus_pipeline as C
 from treelift.llm.packing import VOCABULARY
 
@@ -55,3 +57,24 @@ def test_planted_cases(spark, tmp_path):
     assert {r.doc_id for r in rows} == set(kept["decontamination"])
     assert sum(r.length for r in rows) == sum({r.doc_id: r.doc_tokens for r in rows}.values())
     assert VOCABULARY.endswith(".json")
+
+
+def test_stages_pass_texts_in_small_batches(spark, monkeypatch):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for name in ("drop_toxic", "drop_repeated_lines", "drop_near_duplicates", "drop_contaminated", "pack_documents"):
+            monkeypatch.setattr(C, name, lambda docs, *more: docs.mapInArrow(sizes, "n long"))
+        monkeypatch.setattr(C, "table", lambda *at: None)
+        for _, stage in C.STAGES:
+            spark.conf.set(key, 10_000)
+            assert max(r.n for r in stage(spark, spark.range(0, 5000, 1, 1), "").collect()) <= 1024
+        spark.conf.set(key, 100)
+        C.packing(spark, spark.range(1), "")
+        assert spark.conf.get(key) == "100"
+    finally:
+        spark.conf.set(key, before)

@@ -10,8 +10,8 @@ and a source or text that makes up a third of the rows is spread like any other
 holds the task's partition in its upper bits, so a task that is run again gives the same ids.
 
 Token ids come from the vocabulary file, whose pre-tokeniser never joins anything over white space.  So
-texts are split at spaces and newlines, and each distinct piece is encoded once per worker while it stays
-in a bounded memo.
+texts are split at spaces and newlines, and each distinct piece is encoded once per task while it stays
+in a bounded memo, which goes with the task.
 
 Defined results: a null or empty text is the end token alone; rows that repeat are packed each; a null id
 stays null; an empty table gives an empty result; additional columns are ignored.
@@ -37,8 +37,8 @@ MAX_TOKENS = 2048
 MAX_SEGMENTS = 256
 #: Pieces at hand in a task.
 WINDOW = 192
-MEMO_ENTRIES = 900_000
-BLOCK_CHARS = 2_000_000
+MEMO_ENTRIES = 300_000
+BLOCK_CHARS = 500_000
 PUNCTUATION = string.punctuation
 
 _PIECES = (
@@ -223,17 +223,12 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _NAMES)
 
 
-_memos: dict[str, WordMemo] = {}
-
-
 def _pack_texts(vocabulary: str, limits: tuple[int, int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if vocabulary not in _memos:
-            _memos[vocabulary] = WordMemo(vocabulary)
-        memo = _memos[vocabulary]
+        memo = WordMemo(vocabulary)
         packer = Packer(limits, TaskContext.get().partitionId() << 40)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
