@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from treelift.llm.components import components
-from treelift.llm.near_dedup import _branch, _children, _compared_groups, _leaves, _Links, drop_near_duplicates, minwise, near_duplicates, shingle_sets, token_threshold, trees_for
+from treelift.llm.near_dedup import LEAF_SIZE, _branch, _children, _compared_groups, _leaves, _Links, drop_near_duplicates, minwise, near_duplicates, shingle_sets, token_threshold, trees_for
 from treelift.sources.scratch import Scratch
 
 
@@ -111,6 +111,22 @@ def test_rows_of_a_large_group_stay_in_proportion(spark):
     assert links.labels.groupBy("component").count().count() == 1
 
 
+def test_a_group_meets_its_others_once(spark):
+    """Near copies of very different closeness, many beyond any link: nodes that hold much the same documents are compared as one."""
+    rnd = random.Random(6)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for k in range(3000):
+        share = rnd.choice([0.005, 0.02, 0.05, 0.08])
+        texts.append((k, " ".join(f"x{rnd.randrange(10**6)}" if rnd.random() < share else w for w in base)))
+    tokens = minwise(shingle_sets([t.encode() for _, t in texts], 4))
+    scratch = Scratch(spark, "t")
+    reps = scratch.keep(spark.createDataFrame([(k, t.tobytes()) for k, t in enumerate(tokens)], "rep long, tokens binary"), "reps")
+    links = _Links(spark.createDataFrame(texts, "doc_id long, text string"), 4, 80, scratch)
+    n = _compared_groups(_leaves(reps, trees_for(0.8), links, LEAF_SIZE)).count()
+    assert n <= 6 * len(texts), n
+
+
 def test_components(spark):
     rnd = random.Random(9)
     pairs = [(k, k + 1) for k in range(0, 60)] + [(100, rnd.randint(101, 300)) for _ in range(200)] + [(400, 400)]

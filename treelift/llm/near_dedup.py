@@ -308,13 +308,14 @@ def _root_nodes(members: DataFrame) -> DataFrame:
 
 
 def _mixed_nodes(members: DataFrame) -> DataFrame:
-    """Nodes with documents of several components: size, core (their largest component) and how many are not in it."""
+    """Nodes with documents of several components: size, core (their largest component), how many are not in it, first document by hash."""
     shares = members.groupBy("node", "component").agg(
         F.count("*").alias("n"),
         F.min("rep").alias("low"),
         F.max("rep").alias("high"),
         F.bit_xor(F.xxhash64("rep")).alias("mark"),
         F.max("parent").alias("parent"),
+        F.min(F.struct(F.xxhash64("rep"), "rep")).alias("first"),
     )
     nodes = shares.groupBy("node").agg(
         F.sum("n").alias("size"),
@@ -323,9 +324,10 @@ def _mixed_nodes(members: DataFrame) -> DataFrame:
         F.max("high").alias("high"),
         F.bit_xor("mark").alias("mark"),
         F.max("parent").alias("parent"),
+        F.min("first").alias("first"),
     )
-    nodes = nodes.where("core.n < size").withColumns({"others": F.col("size") - F.col("core.n"), "core": F.col("core.component")})
-    return _distinct_nodes(nodes, "core", "others", "parent")
+    nodes = nodes.where("core.n < size").withColumns({"others": F.col("size") - F.col("core.n"), "core": F.col("core.component"), "first": F.col("first.rep")})
+    return _distinct_nodes(nodes, "core", "others", "parent", "first")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -336,7 +338,8 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _placed(members: DataFrame, last: bool, leaf_size: int, rows: int) -> DataFrame:
-    """Members of mixed nodes: whether the node is compared now, who belongs to its others, and in how many blocks these are."""
+    """Members of mixed nodes: whether the node is compared now, who belongs to its others, in how many blocks these are, and
+    what nodes of much the same documents have in common: their core, or else their first document by hash."""
     nodes = in_few_tasks(_mixed_nodes(members), rows)
     dense = (NODE_SLOTS * F.col("size") > F.col("parent")) & (F.col("size") <= OTHERS * OTHER_BLOCKS)
     cored = (4 * F.col("others") <= 3 * F.col("size")) & (F.col("others") <= OTHERS * OTHER_BLOCKS)
@@ -344,10 +347,33 @@ def _placed(members: DataFrame, last: bool, leaf_size: int, rows: int) -> DataFr
     now = cored | dense | (F.col("size") <= leaf_size) | F.lit(last)
     joined = members.drop("parent").join(nodes, "node")
     other = ~cored | (F.col("component") != F.col("core"))
-    placed = joined.select("node", "size", "rep", "component", now.alias("now"), other.alias("other"), blocks.alias("blocks"))
+    key = F.when(cored, F.col("core")).otherwise(F.col("first"))
+    placed = joined.select(
+        "node", "size", "rep", "component", now.alias("now"), other.alias("other"), blocks.alias("blocks"), cored.alias("cored"), key.alias("key")
+    )
     return in_few_tasks(placed, rows)
 
 
+def _merged(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members of the nodes to compare: those with the same core, or the same first document, are one node where that makes fewer rows.
+
+    So a document is compared with a group once, and not in each node where they meet.  A merged node holds every pair of its nodes.
+    """
+    size, others = F.col("size"), F.col("others")
+    made = F.when(F.col("other"), F.ceil(size / STREAM_ROWS) + F.pmod(F.xxhash64("rep"), F.col("blocks"))).otherwise(F.col("blocks"))
+    members = rows.groupBy("cored", "key", "rep").agg(
+        F.first("component").alias("component"), F.first("other").alias("other"), F.sum(made).alias("made")
+    )
+    members = scratch.keep(members, "merged")
+    nodes = members.groupBy("cored", "key").agg(F.count("*").alias("size"), F.count_if("other").alias("others"), F.sum("made").alias("made"))
+    nodes = nodes.withColumn("blocks", F.ceil(others / OTHERS).cast("int"))
+    fewer = (size - others) * F.col("blocks") + others * (F.ceil(size / STREAM_ROWS) + (F.col("blocks") - 1) / 2) < F.col("made")
+    nodes = scratch.keep(nodes.where(fewer).select("cored", "key", F.xxhash64("cored", "key").alias("node"), "size", "blocks"), "nodes")
+    columns = ["node", "size", "rep", "component", "other", "blocks"]
+    whole = members.join(nodes, ["cored", "key"]).select(*columns)
+    return whole.unionByName(rows.join(nodes, ["cored", "key"], "left_anti").select(*columns))
+
+
 def _compared_groups(rows: DataFrame) -> DataFrame:
     """Members once for each group (node, i, s) they are part of: block i of the others meets part s of the stream."""
     parts = F.ceil(F.col("size") / STREAM_ROWS).cast("int")
@@ -634,7 +660,7 @@ def _leaves(reps: DataFrame, trees: int, links: _Links, leaf_size: int) -> DataF
         parted = parted.join(reps, "rep").select("node", "rep", "component", "tokens", "size")
         parted = scratch.keep(parted, f"parted{depth}")
         members = parted.mapInArrow(_branch, "node long, rep long, component long, parent long")
-    return reduce(DataFrame.unionByName, found)
+    return _merged(reduce(DataFrame.unionByName, found), scratch)
 
 
 def near_duplicates(
