@@ -21,6 +21,16 @@ def test_ids_are_those_of_the_tokenizer():
                 assert got.tolist() == [*plain.encode(t, add_special_tokens=False).ids, 1]
 
 
+def test_a_word_is_learned_once():
+    memo, plain = WordMemo(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    texts = ["Word, word. WORD; word: word\nword!"]
+    texts += ["<|ENDOFTEXT|> X, y", "A,. b., C", "it'S, Don'T. 'S, x' , y", "4, 5. É, Ü; Ŀ: ǆ! Ǆ? İ, x", "a_, b-. (c), d)", "Ω, x", " , .", "x,\n. y"]
+    got = memo.encode(texts[:1])
+    assert set(memo.at) == {"", "word", ",", ".", ";", ":", "word!"}
+    for t, ids in zip(texts, got + memo.encode(texts[1:]), strict=True):
+        assert ids.tolist() == [*plain.encode(t, add_special_tokens=False).ids, 1]
+
+
 def check(pieces, full):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for p in pieces:

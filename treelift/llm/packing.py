@@ -11,7 +11,8 @@ holds the task's partition in its upper bits, so a task that is run again gives
 
 Token ids come from the vocabulary file, whose pre-tokeniser never joins anything over white space.  So
 texts are split at spaces and newlines, and each distinct piece is encoded once per task while it stays
-in a bounded memo, which goes with the task.
+in a bounded memo, which goes with the task.  Texts of Latin letters are brought to lower case and parted before single marks first,
+as the vocabulary does, so a word is one piece whatever its case and the mark after it.
 
 Defined results: a null or empty text is the end token alone; rows that repeat are packed each; a null id
 stays null; an empty table gives an empty result; additional columns are ignored.
@@ -19,6 +20,7 @@ stays null; an empty table gives an empty result; additional columns are ignored
 
 from __future__ import annotations
 
+import re
 import string
 import zlib
 from collections.abc import Iterator
@@ -40,6 +42,9 @@ WINDOW = 192
 MEMO_ENTRIES = 300_000
 BLOCK_CHARS = 500_000
 PUNCTUATION = string.punctuation
+_BEYOND_LATIN = re.compile("[İɐ-\U0010ffff]")
+#: A single mark between a letter or digit and a space; an apostrophe may belong to what follows it, and İ ends in a mark in lower case.
+_MARK = re.compile(r"[,.;:!?](?<=[^\W_İ].) ")
 
 _PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
@@ -58,6 +63,27 @@ class _ByteLetters(dict):
         return letters
 
 
+class _Rows(dict):
+    """Pieces by number; a new one gets the next and is noted in ``new``."""
+
+    def __init__(self, rows: dict[str, int]) -> None:
+        super().__init__(rows)
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        row = self[piece] = len(self)
+        return row
+
+
+def word_pieces(text: str) -> list[str]:
+    """Pieces of a text that are encoded apart; a special token is only one as it is written."""
+    text = text.replace("\n", " ")
+    if (text.isascii() or not _BEYOND_LATIN.search(text)) and "<|" not in text:
+        text = text.lower()
+    return _MARK.sub(r" \g<0>", text).split(" ")
+
+
 class WordMemo:
     """Token ids of white-space separated pieces, encoded by the tokenizer when first seen."""
 
@@ -70,7 +96,7 @@ class WordMemo:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {"": 0}  # piece to its row in ``parts``
+        self.at = _Rows({"": 0})  # piece to its row in ``parts``
         self.parts = np.zeros((1 << 12, 2), np.int32)  # rows of ``starts`` and ``lengths``; row 0 is empty
         self.known: dict[str, int] = {"": 0}  # encoded string to its row there
         self.starts = np.zeros(1 << 12, np.int64)
@@ -87,7 +113,7 @@ class WordMemo:
     def _encode(self, words: list[str], others: list[str]) -> None:
         """Encodes single words of lower-case Latin letters by the model alone, other strings by the whole tokenizer."""
         split, letters = self.encoder.model.tokenize, self.letters
-        ids = [[t.id for t in split(w.translate(letters))] for w in words]
+        ids = [[t.id for t in split(w if w.isascii() else w.translate(letters))] for w in words]
         ids += [e.ids for e in self.encoder.encode_batch_fast(others, add_special_tokens=False)]
         strings = words + others
         lengths = np.fromiter(map(len, ids), np.int32, len(ids))
@@ -101,25 +127,24 @@ class WordMemo:
         self.used += total
         self.known.update(zip(strings, range(n, n + len(ids)), strict=True))
 
-    def learn(self, missing: set[str]) -> None:
-        """Encodes new pieces; a Latin word is encoded in lower case and apart from the punctuation after it."""
-        words, tails, fresh, known = [], [], set(), self.known
-        for piece in missing:
+    def learn(self) -> None:
+        """Encodes the pieces that ``at`` has noted; a Latin word is encoded in lower case and apart from the punctuation after it."""
+        known, words = self.known, self.at.new
+        self.at.new = []
+        tails, others = [""] * len(words), set()
+        for k in [k for k, w in enumerate(words) if not (w.isascii() and w.isalpha() and w.islower())]:
+            piece = words[k]
             word = piece.rstrip(PUNCTUATION)
-            if word.isalpha() and max(word) < "ɐ" and (low := word.lower()).isalpha():
-                words.append(low)
-                tails.append(piece[len(word) :])
-                if low not in known:
-                    fresh.add(low)
+            if word.isalpha() and (word.isascii() or max(word) < "ɐ") and (low := word.lower()).isalpha():
+                words[k], tails[k] = low, piece[len(word) :]
             else:
-                words.append(piece)
-                tails.append("")
-        self._encode(list(fresh), list({*words, *tails}.difference(fresh, known)))
-        n = len(self.at)
+                others.add(piece)
+        others.update(tails)
+        self._encode(list(set(words).difference(known, others)), list(others.difference(known)))
+        n = len(self.at) - len(words)
         self.parts = self._room(self.parts, n + len(words))
         self.parts[n : n + len(words), 0] = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
         self.parts[n : n + len(words), 1] = np.fromiter(map(known.__getitem__, tails), np.int32, len(tails))
-        self.at.update(zip(missing, range(n, n + len(words)), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text, with the end token."""
@@ -128,11 +153,11 @@ class WordMemo:
         pieces: list[str] = []
         ends = np.zeros(len(texts) + 1, np.int64)
         for k, text in enumerate(texts):
-            pieces += text.replace("\n", " ").split(" ")
+            pieces += word_pieces(text)
             ends[k + 1] = len(pieces)
-        if missing := set(pieces).difference(self.at):
-            self.learn(missing)
         rows = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
+        if self.at.new:
+            self.learn()
         parts = self.parts[rows].reshape(-1)
         lengths = self.lengths[parts].astype(np.int64)
         reach = np.concatenate([[0], np.cumsum(lengths)])
