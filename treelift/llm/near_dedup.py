@@ -15,7 +15,8 @@ large nodes under the root are dealt to blocks of ``CONTRACT_ROWS``, each block
 similar members (one row per member at most), and the links that the full sets confirm are joined to components.  From then on
 a node whose documents all are in one component is done.  One with a component that holds a quarter of it or more
 (its *core*) and few others is not branched either: the others are compared with the whole node, whose core streams past
-them in blocks.  So the rows of a group stay proportional to its members.
+them in blocks.  Nodes of one core, or with the same first document by hash, hold much the same documents: they are compared
+as one node where that makes fewer rows.  So the rows of a group stay proportional to its members.
 
 Nodes are compared by tokens first, which loses a link with a probability under one in a million, and what
 leaves a task is again a forest: each document's most similar partner of another component.  Pairs are confirmed on full
@@ -354,6 +355,14 @@ def _placed(members: DataFrame, last: bool, leaf_size: int, rows: int) -> DataFr
     return in_few_tasks(placed, rows)
 
 
+def _whole(parted: DataFrame) -> DataFrame:
+    """Keys of nodes to branch that make few more rows if they are compared as one: branching takes their rows twice at least."""
+    members = parted.groupBy("key", "rep").agg(F.count("*").alias("n"))
+    nodes = members.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+    blocks = F.ceil(F.col("size") / OTHERS)
+    return nodes.where(F.col("size") * (F.ceil(F.col("size") / STREAM_ROWS) + (blocks - 1) / 2) <= 2 * F.col("n")).select("key")
+
+
 def _merged(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Members of the nodes to compare: those with the same core, or the same first document, are one node where that makes fewer rows.
 
@@ -654,6 +663,9 @@ def _leaves(reps: DataFrame, trees: int, links: _Links, leaf_size: int) -> DataF
         placed = scratch.keep(_placed(members, depth == MAX_DEPTH, leaf_size, rows), f"placed{depth}")
         found.append(placed.where("now").drop("now"))
         parted = placed.where("not now")
+        whole = scratch.keep(_whole(parted), f"whole{depth}")
+        found.append(parted.join(whole, "key", "left_semi").select(*found[-1].columns))
+        parted = scratch.keep(parted.join(whole, "key", "left_anti"), f"branching{depth}")
         rows = NODE_SLOTS * parted.count()
         if not rows:
             break
